@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import chat, line_dedup, mixing, quality
+from galley.llm import bpe, chat, language_id, line_dedup, mixing, quality
 from galley.sources.tables import table
 
 
@@ -22,6 +22,31 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from documents whose crc32(doc_id) mod 4 is not 2; predicted from the text alone."""
+    held_out = language_id.held_out(F.col("doc_id"), 4, 2)
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~held_out))
+    texts = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language_id.identify(texts, model, with_spans=False).drop("text")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+    return got.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,6 +71,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_formatting, op5_source_mixing, op7_quality_rules, op8_line_dedup)
+    for f in (
+        op1_chat_formatting,
+        op2_language_id,
+        op4_bpe_codec,
+        op5_source_mixing,
+        op7_quality_rules,
+        op8_line_dedup,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
