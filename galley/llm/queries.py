@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, language_id, line_dedup, mixing, quality
+from galley.llm import bpe, chat, language_id, line_dedup, mixing, quality, toxicity
 from galley.sources.tables import table
 
 
@@ -69,6 +69,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels of documents whose crc32(doc_id) mod 5 is not 0; scored from the text alone."""
+    held_out = language_id.held_out(F.col("doc_id"), 5, 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.filter(~held_out).join(labels, "doc_id"))
+    got = toxicity.score(docs.withColumn("held_out", held_out), model).drop("text")
+    return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +88,7 @@ QUERIES = {
         op5_source_mixing,
         op7_quality_rules,
         op8_line_dedup,
+        op9_toxicity,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
