@@ -74,7 +74,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language_id.held_out(F.col("doc_id"), 5, 0)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.filter(~held_out).join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels.filter(~held_out))
     got = toxicity.score(docs.withColumn("held_out", held_out), model).drop("text")
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
