@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, language_id, line_dedup, mixing, quality, toxicity
+from galley.llm import bpe, chat, digest, language_id, line_dedup, mixing, quality, toxicity
 from galley.sources.tables import table
 
 
@@ -51,6 +51,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest.compare_with_edits(docs, digest.corpus_ranks(docs))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"
@@ -86,6 +91,7 @@ QUERIES = {
         op2_language_id,
         op4_bpe_codec,
         op5_source_mixing,
+        op6_fingerprints,
         op7_quality_rules,
         op8_line_dedup,
         op9_toxicity,
