@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, digest, language_id, line_dedup, mixing, quality, toxicity
+from galley.llm import bpe, chat, digest, language_id, line_dedup, mixing, quality, toxicity, wrappers
 from galley.sources.tables import table
 
 
@@ -31,6 +31,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(texts, model, with_spans=False).drop("text")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -89,6 +93,7 @@ QUERIES = {
     for f in (
         op1_chat_formatting,
         op2_language_id,
+        op3_html_extraction,
         op4_bpe_codec,
         op5_source_mixing,
         op6_fingerprints,
