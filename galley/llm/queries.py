@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, digest, language_id, line_dedup, mixing, quality, toxicity, wrappers
+from galley.llm import bpe, chat, digest, language_id, line_dedup, mixing, ngram_join, quality, toxicity, wrappers
 from galley.sources.tables import table
 
 
@@ -88,6 +88,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share 85 % or more of their four-word shingles, and the groups they form."""
+    return ngram_join.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +105,7 @@ QUERIES = {
         op7_quality_rules,
         op8_line_dedup,
         op9_toxicity,
+        op10_ngram_join,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
