@@ -1,0 +1,95 @@
+"""Nested documents and web pages as rows."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from galley.sources.workers import ship
+
+#: A recipe document: sections of ingredient lines and of steps.
+DOCUMENT = (
+    "struct<servings: double, ingredient_sections: array<struct<title: string, ingredients: array<struct<id: string, name: string, "
+    "clean_name: string, source_text: string>>>>, step_sections: array<struct<title: string, steps: array<struct<id: string, text: string>>>>>"
+)
+
+
+def read_documents(rows: DataFrame, column: str = "document") -> DataFrame:
+    """rows with the JSON column as a struct; malformed JSON gives null."""
+    return rows.withColumn(column, F.from_json(column, DOCUMENT))
+
+
+def ingredient_lines(rows: DataFrame, column: str = "document") -> DataFrame:
+    """A row for each ingredient, with its section and place from 0 and text, the first of its names that is not empty."""
+    from galley.functions.text import first_of
+
+    sections = rows.select(
+        *[c for c in rows.columns if c != column], F.posexplode(f"{column}.ingredient_sections").alias("section", "_s")
+    )
+    lines = sections.select("*", F.posexplode("_s.ingredients").alias("place", "_i")).drop("_s")
+    return lines.withColumn("text", first_of(F.col("_i.clean_name"), F.col("_i.name"), F.col("_i.source_text"))).drop("_i")
+
+
+def validation_errors(column: str = "document", sections: int = 30, lines: int = 250) -> Column:
+    """array<string>: what is wrong with a document struct; empty for a valid one."""
+    parts = F.coalesce(F.col(f"{column}.ingredient_sections"), F.array())
+    ids = F.flatten(F.transform(parts, lambda s: F.transform(s["ingredients"], lambda i: i["id"])))
+    checks = {
+        "missing document": F.col(column).isNull(),
+        "too many sections": F.size(parts) > sections,
+        "too many lines": F.exists(parts, lambda s: F.size(s["ingredients"]) > lines),
+        "missing id": F.exists(ids, lambda i: i.isNull() | ~F.rlike(i, F.lit(r"^[A-Za-z0-9_-]{1,64}$"))),
+        "repeated id": F.size(ids) != F.size(F.array_distinct(ids)),
+    }
+    return F.array_compact(F.array(*[F.when(bad, name) for name, bad in checks.items()]))
+
+
+_SCRIPT = re.compile(r"<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script", re.S | re.I)
+
+
+def linked_data(page: str, kind: str) -> list[dict]:
+    """All objects of a type in a page's JSON-LD scripts, also below @graph and mainEntity; malformed scripts are passed over."""
+    out: list[dict] = []
+
+    def walk(node: object) -> None:
+        if isinstance(node, list):
+            for x in node:
+                walk(x)
+        elif isinstance(node, dict):
+            types = node.get("@type")
+            if kind in (types if isinstance(types, list) else [types]):
+                out.append(node)
+            else:
+                walk(node.get("@graph"))
+                walk(node.get("mainEntity"))
+
+    for m in _SCRIPT.finditer(page or ""):
+        try:
+            walk(json.loads(m[1]))
+        except ValueError:
+            continue
+    return out
+
+
+def page_objects(pages: DataFrame, kind: str = "Recipe") -> DataFrame:
+    """page_id and object (JSON) of each object of a type in (page_id, html) rows."""
+    ship(pages.sparkSession)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(i, json.dumps(x)) for i, page in zip(frame["page_id"], frame["html"], strict=True) for x in linked_data(page, kind)]
+            if found:
+                yield pd.DataFrame(found, columns=["page_id", "object"])
+
+    return pages.select("page_id", "html").mapInPandas(scan, "page_id long, object string")
+
+
+def catalog_json(rows: DataFrame) -> DataFrame:
+    """A JSON line and its hash for each row, as a catalog is published."""
+    line = F.to_json(F.struct(*rows.columns))
+    return rows.select(line.alias("json"), F.sha2(line, 256).alias("etag"))
