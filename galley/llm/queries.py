@@ -108,4 +108,61 @@ QUERIES = {
         op10_ngram_join,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_CHAT_SQL = r"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+forms AS (SELECT *, replace(replace(x, '</turn>', '<\/turn>'), '### ', '##\# ') AS once,
+  replace(replace(replace(x, '\', '\\'), '</turn>', '<\/turn>'), '### ', '##\# ') AS twice FROM rows),
+bodies AS (SELECT *, CASE WHEN contains(x, '\') OR contains(x, '</turn>') OR contains(x, '### ') THEN
+  CASE WHEN regexp_replace(once, '(?s)\\(.)', '\1', 'g') = x AND NOT contains(once, '</turn>') AND NOT contains(once, '### ')
+  THEN once ELSE twice END ELSE x END AS body FROM forms)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+  coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  sum(4 + length(regexp_replace(r, '([\\:/#])', '\\\1', 'g')) + 2 + length(body) + 9)::BIGINT AS formatted_chars,
+  true AS roundtrip
+FROM bodies GROUP BY conv_id"""
+
+_MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(cap, weight * coalesce(max(CASE WHEN NOT cap < weight * level THEN level END) OVER (), 0)) AS target,
+  ('0x' || substr(md5(coalesce(source, chr(0) || 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM l),
+p AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS place FROM d)
+SELECT doc_id, size, source_size, target,
+  size * least(3, floor(u + coalesce(target / nullif(source_size, 0), 0) * place) - floor(u + coalesce(target / nullif(source_size, 0), 0) * (place - 1)))::BIGINT AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source"""
+
+_LINES_SQL = r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+k AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS key FROM l),
+b AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) > 0 AND length(key) - length(replace(key, ' ', '')) >= 2
+  GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(0) || 'null')) >= 5),
+m AS (SELECT k.*, b.first IS NOT NULL AND doc_id <> b.first AS gone FROM k LEFT JOIN b USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  length(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS n_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS text_sha256
+FROM m GROUP BY doc_id"""
+
+_JOIN_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS shingle FROM w),
+n AS (SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.node)
+SELECT n.doc_id, n.n AS n_shingles, min(root) AS component_id FROM r JOIN n ON n.doc_id = node GROUP BY 1, 2"""
+
+#: Languages, main texts, tokens, fingerprints, quality and toxicity have no SQL: they are tested against plain Python.
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": _CHAT_SQL,
+    "op5_source_mixing": _MIX_SQL,
+    "op8_line_dedup": _LINES_SQL,
+    "op10_ngram_join": _JOIN_SQL,
+}
