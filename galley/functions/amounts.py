@@ -89,43 +89,46 @@ def family(unit: Column) -> Column:
 def nice(value: Column) -> Column:
     """A number with a vulgar fraction of halves, thirds, quarters or eighths if one is near, else with two decimals."""
     glyphs = {"1/2": "½", "1/3": "⅓", "2/3": "⅔", "1/4": "¼", "3/4": "¾", "1/8": "⅛", "3/8": "⅜", "5/8": "⅝", "7/8": "⅞"}
-    out = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
-    for d in (8, 4, 3, 2):
+
+    def near(d: Column) -> Column:
         scaled = F.bround(value * d)
-        whole, rem = F.floor(scaled / d).cast("long"), (scaled % d).cast("int")
-        reduced = F.when((rem % 4 == 0) & (d == 8), F.lit("1/2")).when((rem % 2 == 0) & (d in (4, 8)), F.concat((rem / 2).cast("int").cast("string"), F.lit(f"/{d // 2}"))).otherwise(F.concat(rem.cast("string"), F.lit(f"/{d}")))
-        part = lookup(glyphs, reduced)
-        shown = F.when(rem == 0, whole.cast("string")).when(whole == 0, part).otherwise(F.concat(whole.cast("string"), part))
-        out = F.when(F.abs(value * d - scaled) < 0.02, shown).otherwise(out)
-    return out
+        whole, rem = F.floor(scaled / d).cast("long").cast("string"), (scaled % d).cast("int")
+        part = lookup(glyphs, F.concat_ws("/", rem.cast("string"), d.cast("string")))
+        shown = F.when(rem == 0, whole).when(whole == "0", part).otherwise(F.concat(whole, part))
+        return F.when(F.abs(value * d - scaled) < 0.02, shown)
+
+    found = F.array_compact(F.transform(F.array(*[F.lit(d) for d in (2, 3, 4, 8)]), near))
+    decimals = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
+    return F.when(value.isNotNull(), F.coalesce(F.get(found, F.lit(0)), decimals))
 
 
 def display(family_name: Column, base: Column, hint: Column) -> Column:
     """struct<amount, unit> for a shopping list: metric if the first line was metric, else the largest fitting unit."""
     metric_volume = F.coalesce(hint.isin("ml", "l", "milliliter", "milliliters", "liter", "liters"), F.lit(False))
     metric_mass = F.coalesce(hint.isin("g", "gram", "grams", "kg"), F.lit(False))
-    cups, lb = base / 236.59, base / 453.59
-    rounded = F.bround(base).cast("long").cast("string")
     volume, mass = family_name == "volume", family_name == "mass"
     counted = F.nullif(F.regexp_extract(family_name, "^count:(.*)$", 1), F.lit(""))
     plural = F.when(
         (base > 1) & ~F.endswith(counted, F.lit("s")),
         F.concat(counted, F.when(F.rlike(counted, F.lit("(ch|sh)$")), "es").otherwise("s")),
     ).otherwise(counted)
+    cup, spoon, pound = VOLUME_ML["cup"], VOLUME_ML["tbsp"], MASS_G["lb"]
     rule = [
-        (volume & metric_volume & (base >= 1000), nice(base / 1000), F.lit("l")),
-        (volume & metric_volume, rounded, F.lit("ml")),
-        (volume & (base >= 236.59 / 4 * 0.99), nice(cups), F.when(cups <= 1, "cup").otherwise("cups")),
-        (volume & (base >= 14.787 * 0.99), nice(base / 14.787), F.lit("tbsp")),
-        (volume, nice(base / 4.929), F.lit("tsp")),
-        (mass & metric_mass & (base >= 1000), nice(base / 1000), F.lit("kg")),
-        (mass & metric_mass, rounded, F.lit("g")),
-        (mass & (base >= 453.59 * 0.99), nice(lb), F.lit("lb")),
-        (mass, nice(base / 28.35), F.lit("oz")),
+        (volume & metric_volume & (base >= 1000), 1000.0, F.lit("l")),
+        (volume & metric_volume, 1.0, F.lit("ml")),
+        (volume & (base >= cup / 4 * 0.99), cup, F.when(base <= cup, "cup").otherwise("cups")),
+        (volume & (base >= spoon * 0.99), spoon, F.lit("tbsp")),
+        (volume, VOLUME_ML["tsp"], F.lit("tsp")),
+        (mass & metric_mass & (base >= 1000), 1000.0, F.lit("kg")),
+        (mass & metric_mass, 1.0, F.lit("g")),
+        (mass & (base >= pound * 0.99), pound, F.lit("lb")),
+        (mass, MASS_G["oz"], F.lit("oz")),
     ]
-    amount, unit = nice(base), plural
-    for when, a, u in reversed(rule):
-        amount, unit = F.when(when, a).otherwise(amount), F.when(when, u).otherwise(unit)
+    per, unit = F.lit(1.0), plural
+    for when, p, u in reversed(rule):
+        per, unit = F.when(when, p).otherwise(per), F.when(when, u).otherwise(unit)
+    whole = F.coalesce(unit.isin("ml", "g"), F.lit(False))
+    amount = F.when(whole, F.bround(base).cast("long").cast("string")).otherwise(nice(base / per))
     return F.struct(amount.alias("amount"), unit.alias("unit"))
 
 

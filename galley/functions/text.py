@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def tokens(text: Column) -> Column:
@@ -40,7 +41,11 @@ def first_of(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
 
 
-@F.pandas_udf("double")
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def ratio(a: Column | str, b: Column | str) -> Column:
     """The share of matching blocks of two strings; the order of the arguments matters."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+    @F.pandas_udf(DoubleType())
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)])
+
+    return of(a, b)
