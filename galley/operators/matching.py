@@ -54,3 +54,40 @@ def token_overlap(rows: DataFrame, source: Column, found: Column) -> DataFrame:
 
 def f1(both: Column, n_source: Column, n_found: Column) -> Column:
     return F.when(n_source + n_found == 0, 0.0).otherwise(2 * both / (n_source + n_found))
+
+
+def fused(a: DataFrame, b: DataFrame, pairs: DataFrame, fields: list[str], earliest: list[str] = (), latest: list[str] = ()) -> DataFrame:
+    """One record for each pair and each unpaired record: a's fields first, b's where a's are null.
+
+    a and b have id and the fields; pairs has (a, b), one to one. Of ``earliest`` fields the lesser is kept, of ``latest`` the
+    greater. source says ``both``, ``a`` or ``b``.
+    """
+    left = a.select(F.col("id").alias("a"), *[F.col(f).alias(f"a_{f}") for f in [*fields, *earliest, *latest]])
+    right = b.select(F.col("id").alias("b"), *[F.col(f).alias(f"b_{f}") for f in [*fields, *earliest, *latest]])
+    both = left.join(pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb")), F.col("a") == F.col("pa"), "left").join(
+        right, F.col("pb") == F.col("b"), "full"
+    )
+    source = F.when(F.col("a").isNull(), "b").when(F.col("b").isNull(), "a").otherwise("both")
+    return both.select(
+        "a",
+        "b",
+        source.alias("source"),
+        *[F.coalesce(f"a_{f}", f"b_{f}").alias(f) for f in fields],
+        *[F.least(f"a_{f}", f"b_{f}").alias(f) for f in earliest],
+        *[F.greatest(f"a_{f}", f"b_{f}").alias(f) for f in latest],
+    )
+
+
+def review_band(pairs: DataFrame, matched: DataFrame, title: float = 0.75, overlap: float = 0.4, least: float = 0.5) -> DataFrame:
+    """(a, b, title, jaccard) pairs worth a look: alike titles, or some overlap and half-alike titles, not both matched."""
+    plausible = (F.col("title") >= title) | ((F.col("jaccard") >= overlap) & (F.col("title") >= least))
+    by_a, by_b = matched.select("a", F.lit(True).alias("_a")), matched.select("b", F.lit(True).alias("_b"))
+    out = pairs.filter(plausible).join(by_a, "a", "left").join(by_b, "b", "left")
+    return out.filter(F.col("_a").isNull() | F.col("_b").isNull()).drop("_a", "_b")
+
+
+def same_text_ids(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """new (key, text, place) with the id of the old line of equal text, each old line once and in order; null if there is none."""
+    nth = Window.partitionBy(key, "text").orderBy("place")
+    o = old.select(key, "text", "id", F.row_number().over(nth).alias("_n"))
+    return new.withColumn("_n", F.row_number().over(nth)).join(o, [key, "text", "_n"], "left").drop("_n")

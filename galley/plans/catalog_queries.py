@@ -526,3 +526,74 @@ def staple_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).filter("key is not null")
     staples = table(spark, sf_dir, "documents").select(F.lower(F.substring_index("text", " ", 1)).alias("name")).distinct()
     return coverage.coverage(lines, staples)
+
+
+@query("""SELECT s.s_suppkey::BIGINT AS a, c.c_custkey AS b, CASE WHEN s.s_suppkey IS NULL THEN 'b' WHEN c.c_custkey IS NULL THEN 'a' ELSE 'both' END AS source,
+coalesce(s.s_name, c.c_name) AS name, least(s.s_acctbal, c.c_acctbal) AS low, greatest(s.s_acctbal, c.c_acctbal) AS high
+FROM (SELECT * FROM supplier WHERE s_suppkey % 7 <> 0) s FULL JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) c ON s.s_suppkey = c.c_custkey AND s.s_suppkey % 3 = 0""")
+def record_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 7 <> 0").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("low"), F.col("s_acctbal").alias("high"))
+    c = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("low"), F.col("c_acctbal").alias("high"))
+    pairs = s.join(c.select("id"), "id").filter("id % 3 = 0").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return matching.fused(s, c, pairs, ["name"], ["low"], ["high"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN n IS NULL THEN 'empty' WHEN o_orderstatus = 'F' THEN 'done' WHEN n >= 5 THEN 'large' ELSE 'open' END AS outcome
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""")
+def row_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    cascade = [("empty", F.col("n").isNull()), ("done", F.col("o_orderstatus") == "F"), ("large", F.col("n") >= 5)]
+    return rules.ledger(orders, lines, "o_orderkey", cascade, "open")
+
+
+@query("""SELECT l_partkey, CASE WHEN bool_or(l_returnflag = 'A') THEN 0 ELSE 1 END AS tier,
+arg_max(l_orderkey * 10 + l_linenumber, ((CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END), l_extendedprice, l_orderkey * 10 + l_linenumber)) AS line
+FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1""")
+def tiered_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line")
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_extendedprice", line)
+    tiers = [F.col("l_returnflag") == "A", F.col("l_returnflag") == "R"]
+    return ranking.first_tier(rows, "l_partkey", tiers, [F.desc("l_extendedprice"), F.desc("line")]).select("l_partkey", "tier", "line")
+
+
+@query("""SELECT user_id, arg_max(value, event_id) AS value, min(event_id) AS event_id FROM events GROUP BY user_id, event_type""")
+def keep_last_first_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    return ranking.keep_last_in_first_place(rows, ["user_id", "event_type"], "event_id").drop("event_type")
+
+
+@query("""SELECT c_nationkey, string_agg(kind || '=' || names, ';' ORDER BY kind) AS tags FROM (SELECT c_nationkey, c_mktsegment AS kind,
+string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS names FROM customer GROUP BY 1, 2) GROUP BY 1""")
+def nested_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.col("c_mktsegment").alias("kind")).agg(
+        F.array_join(F.sort_array(F.collect_list("c_custkey")).cast("array<string>"), ",").alias("names")
+    )
+    pair = F.concat(F.col("kind"), F.lit("="), F.col("names"))
+    return inner.groupBy("c_nationkey").agg(F.array_join(F.sort_array(F.collect_list(pair)), ";").alias("tags"))
+
+
+@query("""SELECT event_id, user_id, value FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE value > 90) AND event_type ILIKE 'CL%'
+AND (value BETWEEN 10 AND 60 OR user_id IN (1, 2, 3))""")
+def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    high = events.filter("value > 90").select("event_id")
+    kept = events.filter(F.ilike("event_type", F.lit("CL%")) & (F.col("value").between(10, 60) | F.col("user_id").isin(1, 2, 3)))
+    return kept.join(high, "event_id", "left_anti").select("event_id", "user_id", "value")
+
+
+@query("""SELECT c.conv_id, c.turn, coalesce(nullif(c.role, ''), 'none') AS who, length(c.text) - length(p.text) AS change FROM conversations c
+LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1""")
+def turn_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    change = F.length("text") - F.length(before)
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", F.coalesce(F.nullif("role", F.lit("")), F.lit("none")).alias("who"), change.cast("long").alias("change"))
+
+
+@query("""SELECT p_brand, avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END) AS share, count(*) FILTER (WHERE abs(p_retailprice - 950) / 950 * 100 <= 2) AS within FROM part GROUP BY 1""")
+def agreement_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = F.abs(F.col("p_retailprice") - 950) / 950 * 100 <= 2
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(
+        F.avg((F.col("p_size") > 25).cast("double")).alias("share"), F.count_if(near).alias("within")
+    )
