@@ -19,7 +19,10 @@ from galley.sources.tables import materialise
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-RULES = ("long_enough", "word_length", "few_symbols", "few_repeated_lines", "few_repeated_words", "not_shouting")
+SYMBOLS = "#*$%&|<>"
+RULES = (
+    "long_enough word_length few_symbols mostly_letters plain_words few_bare_marks few_repeated_lines few_repeated_words not_shouting"
+).split()
 
 
 def words_of(text: Column) -> Column:
@@ -30,8 +33,8 @@ def words_of(text: Column) -> Column:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the base statistics of each document, one row per input row, without a shuffle.
 
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and n_lines (lines with a word) and n_upper (words of
-    capitals). A null or empty text has zeros. Other columns are ignored.
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (lines with a word), n_upper (words of capitals),
+    n_marked (words with a symbol) and n_bare (words without a letter or digit). A null or empty text has zeros. Other columns are ignored.
 
     Runs of 8 words are compared by a 64-bit hash within their text. If a hash set finds them all distinct, no word is
     repeated. Otherwise (hash, place) pairs are sorted, places whose neighbour has the same hash are kept, and what each adds to
@@ -46,7 +49,9 @@ def statistics(docs: DataFrame) -> DataFrame:
         "doc_id",
         n.cast("long").alias("n_words"),
         F.length(F.regexp_replace("x", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("x") - F.length(F.translate("x", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("x") - F.length(F.translate("x", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size(F.filter("w", lambda x: F.translate(x, SYMBOLS, "") != x)).cast("long").alias("n_marked"),
+        F.size(F.filter("w", lambda x: ~F.rlike(x, F.lit(r"[\p{L}\p{N}]")))).cast("long").alias("n_bare"),
         lines.alias("lines"),
         F.regexp_count("x", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0Da-z]*[A-Z]{2,}[^\x20\x09-\x0Da-z]*(?![^\x20\x09-\x0D])"))
         .cast("long")
@@ -84,6 +89,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(added, F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_upper",
+        "n_marked",
+        "n_bare",
     )
 
 
@@ -99,8 +106,11 @@ def votes() -> list[Column]:
         vote(F.col("n_words") >= 50, F.col("n_words") < 20).alias("long_enough"),
         vote(mean.between(3, 10), (mean < 2.5) | (mean > 14)).alias("word_length"),
         vote(F.col("n_symbols") <= 0.05 * n, F.col("n_symbols") > 0.1 * n).alias("few_symbols"),
-        vote(F.col("n_dup_lines") <= 0.1 * lines, F.col("n_dup_lines") > 0.3 * lines).alias("few_repeated_lines"),
-        vote(F.col("n_repeat_words") <= 0.05 * n, F.col("n_repeat_words") > 0.2 * n).alias("few_repeated_words"),
+        vote(F.col("n_symbols") <= 0.02 * F.col("word_chars"), F.col("n_symbols") > 0.06 * F.col("word_chars")).alias("mostly_letters"),
+        vote(F.col("n_marked") <= 0.05 * n, F.col("n_marked") > 0.2 * n).alias("plain_words"),
+        vote(F.col("n_bare") <= 0.05 * n, F.col("n_bare") > 0.2 * n).alias("few_bare_marks"),
+        vote(F.col("n_dup_lines") <= 0.1 * lines, F.col("n_dup_lines") > 0.5 * lines).alias("few_repeated_lines"),
+        vote(F.col("n_repeat_words") <= 0.05 * n, F.col("n_repeat_words") > 0.25 * n).alias("few_repeated_words"),
         vote(F.col("n_upper") <= 0.2 * n, F.col("n_upper") > 0.5 * n).alias("not_shouting"),
     ]
 
