@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galley.sources.tables import materialise
-from galley.sources.workers import ship
+from galley.sources.workers import ship, trimmed
 
 TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -302,6 +302,8 @@ def infer(pages: DataFrame) -> DataFrame:
                 elif len(seen) < 100_000:
                     seen.add(form)
                 found[host] = merged(found.get(host), own)
+        if not found:
+            return
         salt = zlib.crc32("".join(found).encode()) % 64
         yield pd.DataFrame({"host": list(found), "salt": salt, "wrapper": [json.dumps(w) for w in found.values()]})
 
@@ -312,7 +314,7 @@ def infer(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": frame["host"][:1], "wrapper": [json.dumps(total)]})
 
     kind = "host string, wrapper string"
-    parts = pages.filter("html is not null").select("host", "html").mapInPandas(partial, "host string, salt int, wrapper string")
+    parts = pages.filter("html is not null").select("host", "html").mapInPandas(trimmed(partial), "host string, salt int, wrapper string")
     once = parts.groupBy("host", "salt").applyInPandas(lambda f: merge(f), kind)
     return once.groupBy("host").applyInPandas(lambda f: merge(f), kind)
 
@@ -345,4 +347,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield frame[["page_id", "url"]].assign(text=out)
 
     kind = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string"
-    return joined.select("page_id", "url", "html", "wrapper").mapInPandas(batches, kind)
+    return joined.select("page_id", "url", "html", "wrapper").mapInPandas(trimmed(batches), kind)
