@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.sources.workers import ship
+from galley.sources.workers import ship, trimmed
 
 WIDTH = 64
 RUN = 64
@@ -113,7 +113,7 @@ def corpus_ranks(docs: DataFrame) -> np.ndarray:
                 total += class_counts(texts[part])
         yield pd.DataFrame({"kind": np.arange(len(total)), "n": total})
 
-    rows = docs.select("text").mapInPandas(count, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInPandas(trimmed(count), "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(CLASSES + 1, np.int64)
     for r in rows:
         counts[r["kind"]] = r["n"]
@@ -238,7 +238,7 @@ def fingerprint_documents(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
             yield frame.assign(fingerprint=out)
 
     kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "fingerprint string"])
-    return docs.mapInPandas(batches, kind)
+    return docs.mapInPandas(trimmed(batches), kind)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -326,7 +326,7 @@ def compare_with_edits(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return with_next(docs).mapInPandas(
-        batches,
+        trimmed(batches),
         f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double",
     )
