@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from galley.llm.digest import lots
 from galley.llm.shingles import mixed, shingle_sets
 from galley.sources.tables import materialise
-from galley.sources.workers import ship
+from galley.sources.workers import ship, trimmed
 
 #: Cells of the table of shingle counts. It has the same size for any input.
 CELLS = 1 << 21
 PARTS = 1 << 15
 FRAGMENTS = 6
-LOT = 1_000_000
+LOT = 600_000
 #: Tables of ids up to this size are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -86,7 +86,7 @@ def survey(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     plain = docs.select("doc_id", "text")
     tasks = 4 * spark.sparkContext.defaultParallelism
     written = materialise(
-        plain.coalesce(tasks).mapInPandas(scan, f"doc_id {kind}, n long, c long, part int, counts binary"), "survey"
+        plain.coalesce(tasks).mapInPandas(trimmed(scan), f"doc_id {kind}, n long, c long, part int, counts binary"), "survey"
     )
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
@@ -152,7 +152,7 @@ def prefixes(docs: DataFrame, codes: object, width: int, percent: int) -> DataFr
                     }
                 )
 
-    return docs.select("text").filter("text is not null").mapInPandas(scan, "token long, c long, n int, i int")
+    return docs.select("text").filter("text is not null").mapInPandas(trimmed(scan), "token long, c long, n int, i int")
 
 
 def segments(docs: DataFrame, ids: DataFrame, codes: object, cuts: np.ndarray, width: int) -> DataFrame:
@@ -178,7 +178,7 @@ def segments(docs: DataFrame, ids: DataFrame, codes: object, cuts: np.ndarray, w
                 )
 
     held = docs.select("doc_id", "text").join(small(ids, 8), "doc_id", "left_semi")
-    return held.mapInPandas(scan, "c long, f int, tokens array<long>").dropDuplicates(["c", "f"])
+    return held.mapInPandas(trimmed(scan), "c long, f int, tokens array<long>")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, codes: object, cuts: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -186,16 +186,34 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, codes: object,
     nodes = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     ids = materialise(classes.join(nodes, "c", "left_semi").select("doc_id"), "candidates")
     parts = materialise(segments(docs, ids, codes, cuts, width), "segments")
-    left = parts.select(F.col("c").alias("a"), "f", F.col("tokens").alias("x"))
-    right = parts.select(F.col("c").alias("b"), "f", F.col("tokens").alias("y"))
+    # The rarest fragment comes first: what it leaves open bounds the overlap, and few pairs that are no links reach the others.
+    rare = overlaps(pairs, parts.filter("f = 0"))
+    able = F.col("o") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")) >= needed(F.col("na"), F.col("nb"), percent)
+    seen = pairs.join(rare, ["a", "b"], "left").fillna(0, ["o", "sa", "sb"])
+    alive = materialise(seen.filter(able).select("a", "b", "na", "nb", "o"), "alive")
+    rest = overlaps(alive, parts.filter("f > 0")).select("a", "b", F.col("o").alias("more"))
+    total = F.col("o") + F.coalesce("more", F.lit(0))
+    linked_by = 100 * total >= percent * (F.col("na") + F.col("nb") - total)
+    return alive.join(rest, ["a", "b"], "left").filter(linked_by).select("a", "b")
+
+
+def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b, o, sa, sb): the overlaps of pairs (a written table) in fragments, summed, and what of either set lies in them.
+
+    Each pair meets the fragments of either side where these lie, so only what pairs need is shuffled, by pair and fragment. A
+    repeated row brings its fragments again; one of each is taken.
+    """
+    near, nothing = small(pairs.select("a", "b"), 16), F.lit(None).cast("array<long>")
+    left = parts.join(near, F.col("c") == F.col("a")).select("a", "b", "f", F.col("tokens").alias("x"), nothing.alias("y"))
+    right = parts.join(near, F.col("c") == F.col("b")).select("a", "b", "f", nothing.alias("x"), F.col("tokens").alias("y"))
+    size = lambda x: F.coalesce(F.size(x), F.lit(0))
     return (
-        pairs.join(left, "a")
-        .join(right, ["b", "f"])
-        .select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("part"))
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum("part").alias("o"))
-        .filter(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o")))
-        .select("a", "b")
+        left.unionByName(right)
+        .groupBy("a", "b", "f")
+        .agg(F.first("x", ignorenulls=True).alias("x"), F.first("y", ignorenulls=True).alias("y"))
+        .select("a", "b", size(F.array_intersect("x", "y")).alias("o"), size("x").alias("sa"), size("y").alias("sb"))
+        .groupBy("a", "b")
+        .agg(F.sum("o").alias("o"), F.sum("sa").alias("sa"), F.sum("sb").alias("sb"))
     )
 
 
@@ -246,11 +264,14 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     classes = materialise(rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "classes")
 
     first = materialise(prefixes(docs, shared, width, percent), "prefixes")
-    met = first.groupBy("token").agg(F.min("c").alias("pivot"), F.max("c").alias("other"), F.min("n").alias("least"))
-    met = materialise(met.filter("pivot != other").drop("other"), "tokens")
+    met = first.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    met = materialise(met.filter("low != high").select("token"), "tokens")
     # A class can link here only with a set as large as the least of this shingle, and only if enough of it comes from place i on.
     able = F.col("n") - F.col("i") >= needed(F.col("n"), F.greatest("least", F.col("n") * percent / 100), percent)
-    bucket = materialise(first.join(small(met, 20), "token").filter(able).distinct(), "buckets")
+    bucket = materialise(first.join(small(met, 8), "token").distinct(), "buckets")
+    # The pivot has the fewest shingles that are rarer than the one they meet by: of a text and its edited copies, the text.
+    pivot = bucket.groupBy("token").agg(F.min(F.struct("i", "n", "c"))["c"].alias("pivot"), F.min("n").alias("least"))
+    bucket = materialise(bucket.join(pivot, "token").filter(able).drop("least"), "pivots")
 
     def likely(a: str, b: str) -> object:
         na, nb, ia, ib = (F.col(x) for x in (f"n{a}", f"n{b}", f"i{a}", f"i{b}"))
@@ -266,7 +287,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     count = lambda pairs: linked(pairs, docs, classes, shared, cuts, width, percent)
     roots = materialise(components(count(star), "star-edges"), "roots")
 
-    known = rooted(bucket.drop("pivot", "least"), "c", roots, "root")
+    known = rooted(bucket.drop("pivot"), "c", roots, "root")
     sizes = known.groupBy("token", "root").agg(F.count("*").alias("k"))
     split = sizes.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
     open_ = materialise(known.join(split.filter("roots > 1").drop("roots"), "token"), "open")
