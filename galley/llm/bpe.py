@@ -13,17 +13,17 @@ from __future__ import annotations
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from galley.sources.workers import ship
+from galley.sources.workers import ship, trimmed
 
 #: White space as the tokenizer's patterns have it, which is less than str.split() takes.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 17
 WORD_END = "</w>"
 NO_PAIR = 1 << 60
 
@@ -97,56 +97,56 @@ class Codec:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.tokens = {v: k for k, v in vocab.items()} | {v: k for k, v in self.special.items()}
+        by_id = {v: k for k, v in vocab.items()} | {v: k for k, v in self.special.items()}
+        self.tokens = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         symbols = byte_symbols()
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + WORD_END] for s in symbols]
         self.split_special = regex.compile(f"({'|'.join(map(regex.escape, self.special))})") if self.special else None
         rule = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.pieces = regex.compile(rule).findall
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def part(self, piece: str) -> tuple[int, ...]:
+    def part(self, piece: str) -> bytes:
         if (ids := self.parts.get(piece)) is None:
             data = piece.encode()
             inner = self.inner
-            ids = tuple(merged([*(inner[b] for b in data[:-1]), self.last[data[-1]]], self.merges))
+            ids = array("I", merged([*(inner[b] for b in data[:-1]), self.last[data[-1]]], self.merges)).tobytes()
             if len(self.parts) >= KEPT_WORDS:
                 self.parts.clear()
             self.parts[piece] = ids
         return ids
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """Packed ids of a stretch without white space, and the text they decode to."""
+    def word(self, word: str) -> bytes:
+        """Packed ids of a stretch without white space."""
         text = word if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ")
-        ids = array("I", [i for piece in self.pieces(text.lower()) for i in self.part(piece)])
-        got = ids.tobytes(), self.decode(ids)
-        if len(self.words) >= KEPT_WORDS:
-            self.words.clear()
+        pieces = self.pieces(text.lower())
+        got = b"".join([self.part(piece) for piece in pieces])
         if len(word) <= 64:
+            if len(self.words) >= KEPT_WORDS:
+                self.words.clear()
             self.words[word] = got
         return got
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the decoded text."""
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         known, got = self.words, []
         stretches = self.split_special.split(text) if self.split_special and "<|" in text else [text]
         for k, stretch in enumerate(stretches):
             if k % 2:
-                got.append((self.special[stretch].to_bytes(4, "little"), stretch))
+                got.append(self.special[stretch].to_bytes(4, "little"))
                 continue
             words = [stretch] if ODD_SPACE.search(stretch) else stretch.split()
             hits = list(map(known.get, words))
             if None in hits:
-                hits = [h or known.get(w) or self.word(w) for h, w in zip(hits, words)]
+                hits = [self.word(w) if h is None else h for h, w in zip(hits, words)]
             got += hits
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])
+        return b"".join(got)
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: bytes) -> str:
         """Tokens joined by one space each, as the file names no decoder of its own; special tokens stay."""
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids])
+        return " ".join(map(self.tokens.__getitem__, array("I", ids)))
 
 
 _codecs: dict[int, Codec] = {}
@@ -174,8 +174,10 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(definition.value)
         for frame in frames:
-            got = [own.encode(t or "") for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [g[0] for g in got], "decoded": [g[1] for g in got]})
+            for start in range(0, len(frame), 256):
+                part = frame.iloc[start : start + 256]
+                ids = [own.encode(t or "") for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids, "decoded": list(map(own.decode, ids))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(batches, f"doc_id {kind}, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInPandas(trimmed(batches), f"doc_id {kind}, ids binary, decoded string")
