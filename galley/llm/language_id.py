@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.llm import letters
-from galley.sources.workers import ship
+from galley.sources.workers import ship, trimmed
 
 PER_LANGUAGE = 1500
 BUCKETS = 1 << 16
@@ -29,7 +29,7 @@ PENALTY = 8.0
 SCRIPT_SHARE = 0.002
 UNKNOWN = "und"
 #: Texts are scored and decoded in lots of about so many code points; a longer text is a lot of its own.
-LOT, PART = 24_000_000, 1_000_000
+LOT, PART = 4_000_000, 500_000
 NARROWED = -1e4
 
 
@@ -73,7 +73,8 @@ def count_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             got = np.bincount(np.concatenate([three, four]), minlength=2 * BUCKETS)
             got = np.concatenate([got, np.bincount(script[points[at]], minlength=letters.N_SCRIPTS)])
             total[language] = total.get(language, 0) + got
-    yield pd.DataFrame({"lang": list(total), "counts": [v.astype("<i8").tobytes() for v in total.values()]})
+    if total:
+        yield pd.DataFrame({"lang": list(total), "counts": [v.astype("<i8").tobytes() for v in total.values()]})
 
 
 def add_counts(frame: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +94,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     )
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < keep * (1 << 20)).select("text", "lang")
     kind = "lang string, counts binary"
-    rows = sample.mapInPandas(count_features, kind).groupBy("lang").applyInPandas(add_counts, kind).collect()
+    rows = sample.mapInPandas(trimmed(count_features), kind).groupBy("lang").applyInPandas(add_counts, kind).collect()
     rows = sorted((r["lang"], np.frombuffer(r["counts"], "<i8")) for r in rows)
     counts = np.array([c for _, c in rows], np.float64).T
     scores = []
@@ -230,4 +231,4 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, with_spans
         [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string", "score double"]
         + ["spans array<struct<start: int, end: int, lang: string>>"] * with_spans
     )
-    return docs.mapInPandas(batches, kind)
+    return docs.mapInPandas(trimmed(batches), kind)
