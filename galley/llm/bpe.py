@@ -23,7 +23,7 @@ from galley.sources.workers import ship, trimmed
 
 #: White space as the tokenizer's patterns have it, which is less than str.split() takes.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
-KEPT_WORDS = 1 << 17
+KEPT_WORDS, KEPT_PIECES = 1 << 18, 1 << 16
 WORD_END = "</w>"
 NO_PAIR = 1 << 60
 
@@ -109,13 +109,16 @@ class Codec:
         self.parts: dict[str, bytes] = {}
 
     def part(self, piece: str) -> bytes:
-        if (ids := self.parts.get(piece)) is None:
+        # A piece in ASCII is a word of its own with the same ids, so one table holds both.
+        table, most = (self.words, KEPT_WORDS) if piece.isascii() else (self.parts, KEPT_PIECES)
+        if (ids := table.get(piece)) is None:
             data = piece.encode()
             inner = self.inner
             ids = array("I", merged([*(inner[b] for b in data[:-1]), self.last[data[-1]]], self.merges)).tobytes()
-            if len(self.parts) >= KEPT_WORDS:
-                self.parts.clear()
-            self.parts[piece] = ids
+            if len(piece) <= 64:
+                if len(table) >= most:
+                    table.clear()
+                table[piece] = ids
         return ids
 
     def word(self, word: str) -> bytes:
