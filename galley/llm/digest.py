@@ -123,7 +123,8 @@ def corpus_ranks(docs: DataFrame) -> np.ndarray:
 def features(texts: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the features of all texts in order of place, without repeats in a text, and the number of the text of each.
 
-    A text with fewer bytes than a window is one feature itself; an empty one has none.
+    A text with fewer bytes than a window is one feature itself; an empty one has none. A text whose windows all miss the points,
+    or are all of a class below the least, has the one with the most points, of those the rarest, and of those the leftmost.
     """
     data, starts, windows = joined(texts)
     n = len(data) - WIDTH + 1
@@ -142,8 +143,12 @@ def features(texts: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndar
     few = np.flatnonzero((windows > 0) & (runs < POINTS))  # too few runs to gain the points: the rarest window alone
     for k in few:
         chosen[key[starts[k] : starts[k] + windows[k]].min() & ((1 << 40) - 1)] = True
+    chosen &= (key >> 40) < NEVER
+    so_far = np.concatenate([[0], np.cumsum(chosen)])
+    for k in np.flatnonzero((windows > 0) & (so_far[starts + windows] == so_far[starts])):
+        own = slice(starts[k], starts[k] + windows[k])
+        chosen[starts[k] + np.lexsort((key[own], -points[own]))[0]] = True
     at = np.flatnonzero(chosen)
-    at = at[(key[at] >> 40) < NEVER]
     rows = np.lib.stride_tricks.sliding_window_view(data, WIDTH)[at]
     hashes = mixed(np.ascontiguousarray(rows).view(np.uint64))
     text = np.searchsorted(starts + np.maximum(windows, 0), at, "right") if len(at) else at

@@ -61,6 +61,18 @@ def test_defined_values(spark):
     assert langs[None] == langs[""] == ("und", 0.0)
 
 
+def test_only_empty_texts_have_no_fingerprint():
+    import numpy as np
+
+    random.seed(11)
+    texts = [bytes(random.choices(b"abcdefgh ijkl mnop", k=n)) for n in range(1, 400)] + [b"-" * n for n in range(60, 300, 7)] + [b""]
+    ranks = digest.ranks_of(digest.class_counts(texts))
+    filters, counts = digest.fingerprints(texts, ranks)
+    assert [k for k, n in enumerate(counts) if not n] == [len(texts) - 1]
+    a, b = digest.fingerprints([b"-" * 200], ranks)[0], digest.fingerprints([b"=" * 200], ranks)[0]
+    assert digest.likeness(a, b) < 0.1 and digest.likeness(a, np.array(a)) == 1
+
+
 def test_chat_round_trip(spark):
     random.seed(3)
     pieces = ["\\", "### ", "</turn>", "\n", ": ", "a", " ", "#", "<", "user"]
