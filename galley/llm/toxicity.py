@@ -1,8 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, of toxic and of ordinary documents, give each word the difference of its log-likelihoods. Both back off
-from bigrams to their own continuation counts and from those to continuation counts that the classes share, so an expression
-that is rare in one class is not a surprise to the other alone. A document is compared by its log-likelihood ratio over its
+from bigrams to bigrams that the classes share, from those to their own continuation counts and from these to continuation
+counts that the classes share, so an expression that is rare in one class is not a surprise to the other alone. Every word and
+bigram of the sample counts, however rare; the discounts and the shared backoff weigh it. A document is compared by its log-likelihood ratio over its
 length, and so is its strongest stretch of a few words, as a few expressions make a long text toxic; a logistic curve turns
 the two into a probability.
 
@@ -26,10 +27,6 @@ from galley.sources.tables import materialise
 from galley.sources.workers import ship, trimmed
 
 PER_CLASS = 2000
-#: Words of fewer sampled documents share one entry. Contexts that either class has seen less often than MIN_CONTEXT, and
-#: bigrams that both together have seen less often than MIN_PAIR, leave their share to the backoff in both.
-MIN_DOCS, MIN_SHARE = 5, 0.005
-MIN_CONTEXT, MIN_PAIR = 50, 12
 DISCOUNT = 0.75
 STRETCHES = (1, 4, 12)
 PART = 1_000_000
@@ -107,15 +104,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            hashes, text = word_hashes(list(frame["text"]))
-            each = np.unique(np.stack([hashes.view(np.int64), text]), axis=1)[0]
-            word, n = np.unique(each, return_counts=True)
-            yield pd.DataFrame({"word": word, "n": n})
+            hashes, _ = word_hashes(list(frame["text"]))
+            yield pd.DataFrame({"word": np.unique(hashes.view(np.int64))})
 
-    counted = sample.filter("not held").mapInPandas(trimmed(words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    vocabulary = np.sort(
-        np.asarray(counted.filter(F.col("n") >= max(MIN_DOCS, MIN_SHARE * 2 * each)).select("word").toArrow()["word"], np.int64).view(np.uint64)
-    )
+    found = sample.filter("not held").mapInPandas(trimmed(words), "word long").distinct()
+    vocabulary = np.sort(np.asarray(found.toArrow()["word"], np.int64).view(np.uint64))
     size = len(vocabulary) + 2
     shared = spark.sparkContext.broadcast(vocabulary)
 
@@ -154,25 +147,27 @@ def smoothed(vocabulary: np.ndarray, pair: np.ndarray, n: np.ndarray) -> Model:
     kinds, place = np.unique(pair % (size * size), return_inverse=True)  # all bigrams, of either class
     seen = np.stack([np.bincount(place, np.where(label == c, n, 0.0), len(kinds)) for c in (0, 1)])
     left, right = kinds // size, kinds % size
-    # As contexts pass one count for each kind of word to the class, the classes pass one each to what they share.
+    # As contexts pass one count for each kind of word to the class, the classes pass one each to what they share: words, bigrams.
     shared = sum(np.bincount(right[seen[c] > 0], minlength=size) > 0 for c in (0, 1)) + 0.01
     shared = shared / shared.sum()
     count = [np.bincount(left, seen[c], size) for c in (0, 1)]
-    kept = (np.minimum(count[0], count[1]) >= MIN_CONTEXT)[left] & (seen.sum(0) >= MIN_PAIR)
+    both = (seen > 0).sum(0)
+    pooled = (both - DISCOUNT) / np.maximum(np.bincount(left, both, size), 1)[left]
+    rest = 1 - np.bincount(left, pooled, size)
     single, context, top = [], [], []
     for c in (0, 1):
         after = np.bincount(right[seen[c] > 0], minlength=size).astype(float)  # distinct contexts of each word
         total = max(after.sum(), 1.0)
         words = np.maximum(after - DISCOUNT, 0) / total + (DISCOUNT * (after > 0).sum() / total if after.any() else 1.0) * shared
         single.append(words)
-        direct = np.where(kept, np.maximum(seen[c] - DISCOUNT, 0) / np.maximum(count[c], 1)[left], 0.0)
+        direct = np.maximum(seen[c] - DISCOUNT, 0) / np.maximum(count[c], 1)[left]
         context.append(1 - np.bincount(left, direct, size))
-        top.append((direct + context[c][left] * words[right])[kept])
+        top.append(direct + context[c][left] * (pooled + rest[left] * words[right]))
     return Model(
         vocabulary,
         np.log(single[1] / single[0]),
         np.log(context[1] / context[0]),
-        kinds[kept],
+        kinds,
         np.log(top[1] / top[0]).astype(np.float32),
     )
 

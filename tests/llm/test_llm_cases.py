@@ -73,6 +73,22 @@ def test_only_empty_texts_have_no_fingerprint():
     assert digest.likeness(a, b) < 0.1 and digest.likeness(a, np.array(a)) == 1
 
 
+def test_rare_toxic_expressions_count(spark):
+    """A word of few toxic documents, and pairs behind words that only toxic documents have, are evidence."""
+    import numpy as np
+
+    random.seed(13)
+    plain = lambda: random.choices([f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)], k=20)
+    rows = [(k, " ".join(plain() + (["zorp"] if k < 8 and k % 2 else []) + ["wretch", "fool"] * (k % 2)), k % 2) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    rare, unknown, common = toxicity.compare(model, ["zorp", "neverseen", "waa"])[:, 1]
+    assert rare > unknown + 0.3 and rare > common + 0.3
+    first, second = toxicity.ids_of(model.words, toxicity.word_hashes(["wretch fool"])[0])
+    assert first * (len(model.words) + 2) + second in model.pairs
+    assert np.isfinite(model.ratio).all() and np.isfinite(model.single).all() and np.isfinite(model.context).all()
+
+
 def test_chat_round_trip(spark):
     random.seed(3)
     pieces = ["\\", "### ", "</turn>", "\n", ": ", "a", " ", "#", "<", "user"]
