@@ -2,8 +2,10 @@
 
 A page is a stream of text blocks, each under a path of elements. Streams of the same host are aligned one after another into
 a union-free regular expression: what repeats becomes a repeated group, what only some pages have an optional one, and text a
-slot. A slot is part of the article by where it stands, by whether its text is the same on all pages of the host, and by how
-much of it is links. A page's main text is what its host's wrapper takes from it.
+slot. Each page's blocks are then matched against its host's expression, so a slot is a place in the expression, not a path
+alone. A slot is not the article if its text is the same on all pages that have it, or if it is mostly links on all of them;
+lists of names of elements and classes are hints besides. Copies of a page count once. A page's main text is what its host's
+wrapper takes from it.
 
 Wrappers grow by alignment of any two, so tasks form partial ones over their pages, which merge by host in two rounds; a host
 that has a third of all pages brings a small partial wrapper from each task. They go to the pages by a broadcast while they are
@@ -17,6 +19,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,8 +55,10 @@ HINTS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 READERS = frozenset("comment comments disqus reply replies respond related recommended".split())
 ROOTS = frozenset(("article", "main"))
-#: A slot of a page without an article is the host's own text if so many pages have it and all say the same.
+#: A slot is the host's own text if so many different pages have it and all say the same.
 SAME_ON = 3
+#: Pages with the same longest blocks are copies of one, whatever date or counter they differ in.
+LONGEST = 3
 LINKS = 0.5
 #: A table of wrappers up to this size is broadcast.
 BROADCAST_BYTES = 16 << 20
@@ -142,6 +147,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
+@lru_cache(100_000)
 def place(path: str) -> str:
     """Where a path stands: ``article``, ``body``, or ``out`` for what is not the article."""
     state, root = "body", False
@@ -168,8 +174,15 @@ def place(path: str) -> str:
 
 def folded(items: list, widest: int = 4) -> list:
     """Adjacent equal groups become one repeated group, shorter groups first."""
+    return grouped(items, widest)[0]
+
+
+def grouped(items: list, widest: int = 4) -> tuple[list, list[int]]:
+    """The folded items, and how many of the items given each of them stands for."""
+    sizes = [1] * len(items)
     for width in range(1, widest + 1):
         out: list = []
+        held: list[int] = []
         k = 0
         while k < len(items):
             group = items[k : k + width]
@@ -178,14 +191,17 @@ def folded(items: list, widest: int = 4) -> list:
                 n += 1
             if n > 1:
                 out.append(group[0] if width == 1 and group[0][0] == "+" else ["+", group])
+                held.append(sum(sizes[k : k + n * width]))
                 k += n * width
             elif out and width == 1 and out[-1] == ["+", [items[k]]]:
+                held[-1] += sizes[k]
                 k += 1
             else:
                 out.append(items[k])
+                held.append(sizes[k])
                 k += 1
-        items = out
-    return items
+        items, sizes = out, held
+    return items, sizes
 
 
 def core(item: object) -> object:
@@ -241,82 +257,184 @@ def aligned(a: list, b: list) -> list:
     return out
 
 
-def wrapper_of(page: list[tuple[str, str, int]]) -> dict:
-    """A wrapper of one page: its expression, and for each slot: pages, least and greatest hash of its text, characters, links."""
-    slots: dict[str, list[int]] = {}
-    texts: dict[str, int] = {}
-    for path, text, links in page:
-        texts[path] = zlib.crc32(text.encode("utf-8", "surrogatepass"), texts.get(path, 0))
-        s = slots.setdefault(path, [1, 0, 0, 0, 0])
-        s[3] += len(text)
-        s[4] += min(links, len(text))
-    for path, h in texts.items():
-        slots[path][1] = slots[path][2] = h
-    return {"form": folded([path for path, _, _ in page]), "slots": slots}
-
-
-def merged(a: dict | None, b: dict) -> dict:
-    if a is None:
-        return b
-    slots = dict(a["slots"])
-    for path, (n, low, high, chars, links) in b["slots"].items():
-        if path in slots:
-            m, lo, hi, c, k = slots[path]
-            slots[path] = [m + n, min(lo, low), max(hi, high), c + chars, k + links]
+def matched(paths: list[str], form: list, cores: list | None = None) -> list[int]:
+    """The item of an expression that each block of a page is in; -1 where the expression has none.
+
+    Of all ways to match, one with the most items of the page and the most items that are not optional, the leftmost.
+    """
+    items, sizes = grouped(paths)
+    own = [core(x) for x in items]
+    cores = [core(x) for x in form] if cores is None else cores
+    at = list(range(len(own)))
+    if own != cores:
+        worth = [1 + ("?" not in marks_of(x)) for x in form]
+        best = [[0] * (len(form) + 1) for _ in range(len(own) + 1)]
+        for i in range(len(own) - 1, -1, -1):
+            row, below, mine = best[i], best[i + 1], own[i]
+            for j in range(len(form) - 1, -1, -1):
+                most = max(below[j], row[j + 1])
+                row[j] = max(most, below[j + 1] + worth[j]) if cores[j] == mine else most
+        at, i, j = [-1] * len(own), 0, 0
+        while i < len(own) and j < len(form):
+            if cores[j] == own[i] and best[i][j] == best[i + 1][j + 1] + worth[j]:
+                at[i] = j
+                i, j = i + 1, j + 1
+            elif best[i][j] == best[i][j + 1]:
+                j += 1
+            else:
+                i += 1
+    return [k for k, n in zip(at, sizes, strict=True) for _ in range(n)]
+
+
+class Matcher:
+    """Matches pages against one host's expression; streams seen before are not matched again."""
+
+    def __init__(self, form: list):
+        self.form, self.cores, self.known = form, [core(x) for x in form], {}
+
+    def slots(self, page: list[tuple[str, str, int]]) -> list[str]:
+        """The name of the slot of each block: its item and its path."""
+        paths = [path for path, _, _ in page]
+        if (key := "\n".join(paths)) not in self.known:
+            if len(self.known) > 1000:
+                self.known.clear()
+            self.known[key] = [f"{k} {path}" for k, path in zip(matched(paths, self.form, self.cores), paths, strict=True)]
+        return self.known[key]
+
+
+def hashed(text: str, start: int = 0) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"), start)
+
+
+def slots_of(page: list[tuple[str, str, int]], names: list[str]) -> dict[str, list]:
+    """For each slot of a page: least and greatest hash of its text, hashes of contents that have it, least share of links."""
+    inner = [text for path, text, _ in page if place(path) != "out"] or [text for _, text, _ in page]
+    content = hashed("\n".join(sorted(sorted(inner, key=lambda t: (-len(t), t))[:LONGEST])))
+    found: dict[str, list[int]] = {}
+    for name, (_, text, links) in zip(names, page, strict=True):
+        s = found.setdefault(name, [0, 0, 0])
+        s[0] = hashed(text, s[0])
+        s[1] += len(text)
+        s[2] += min(links, len(text))
+    return {name: [h, h, [content], links / chars] for name, (h, chars, links) in found.items()}
+
+
+def together(a: dict[str, list], b: dict[str, list]) -> dict[str, list]:
+    """The slots of two. Copies of a page change nothing; of the contents, SAME_ON are kept, as no more are asked for."""
+    out = dict(a)
+    for name, (low, high, contents, links) in b.items():
+        if name in out:
+            lo, hi, c, k = out[name]
+            out[name] = [min(lo, low), max(hi, high), sorted({*c, *contents})[:SAME_ON], min(k, links)]
         else:
-            slots[path] = [n, low, high, chars, links]
-    return {"form": aligned(a["form"], b["form"]), "slots": slots}
+            out[name] = [low, high, contents, links]
+    return out
+
+
+def wrapper_of(page: list[tuple[str, str, int]]) -> dict:
+    """A wrapper of one page: its expression and its slots."""
+    form = folded([path for path, _, _ in page])
+    return {"form": form, "slots": slots_of(page, Matcher(form).slots(page))}
 
 
-def labels(wrapper: dict) -> dict[str, str]:
-    """``article``, ``body`` or ``out`` for each slot of a wrapper."""
+def labels(wrapper: dict) -> tuple[Matcher, dict[str, str]]:
+    """The matcher of a wrapper, and ``article``, ``body`` or ``out`` for each of its slots, in upper case for the host's own text."""
     out = {}
-    for path, (pages, low, high, chars, links) in wrapper["slots"].items():
-        where = place(path)
-        if where == "body" and (low == high and pages >= SAME_ON or links > LINKS * chars):
-            where = "out"
-        out[path] = where
-    return out
+    for name, (low, high, contents, links) in wrapper["slots"].items():
+        where = place(name.partition(" ")[2])
+        several = len(contents) >= SAME_ON
+        if several and low == high or links > LINKS and (several or where == "body"):
+            where = where.upper()
+        out[name] = where
+    return Matcher(wrapper["form"]), out
+
 
+def main_text(page: list[tuple[str, str, int]], label: tuple[Matcher, dict[str, str]]) -> str:
+    """The blocks in slots of the article; if the page has none, those in slots of the body.
 
-def main_text(page: list[tuple[str, str, int]], label: dict[str, str]) -> str:
-    """The blocks in slots of the article; if the page has none, those in slots of the body."""
+    The host's own text among them is left out, unless the page has nothing else.
+    """
+    matcher, of = label
+    names = matcher.slots(page)
+    place_of = [of.get(name) or place(path) for name, (path, _, _) in zip(names, page, strict=True)]
     for where in ("article", "body"):
-        if got := [text for path, text, _ in page if label.get(path) == where]:
-            return "\n".join(got)
+        for kind in (where, where.upper()):
+            if got := [text for w, (_, text, _) in zip(place_of, page, strict=True) if w == kind]:
+                return "\n".join(got)
     return ""
 
 
-def infer(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) of each host of (host, html) rows; pages without html add nothing."""
-    ship(pages.sparkSession)
+def expressions(pages: DataFrame) -> DataFrame:
+    """host, wrapper (JSON of the expression) of each host of (host, html) rows; pages without html add nothing."""
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[str, dict] = {}
+        found: dict[str, list] = {}
         seen: set[tuple] = set()
         for frame in frames:
             for host, page in zip(frame["host"], frame["html"], strict=True):
-                own = wrapper_of(blocks(page))
-                if (form := (host, json.dumps(own["form"]))) in seen:
-                    own["form"] = found[host]["form"]  # aligned before
-                elif len(seen) < 100_000:
+                own = folded([path for path, _, _ in blocks(page)])
+                if (form := (host, json.dumps(own))) in seen:
+                    continue  # aligned before
+                if len(seen) < 100_000:
                     seen.add(form)
-                found[host] = merged(found.get(host), own)
-        if not found:
-            return
+                found[host] = aligned(found[host], own) if host in found else own
+        yield from rows_of(found)
+
+    return by_host(pages.select("host", "html").mapInPandas(trimmed(partial), "host string, salt int, wrapper string"), aligned)
+
+
+def rows_of(found: dict) -> Iterator[pd.DataFrame]:
+    if found:
         salt = zlib.crc32("".join(found).encode()) % 64
         yield pd.DataFrame({"host": list(found), "salt": salt, "wrapper": [json.dumps(w) for w in found.values()]})
 
+
+def by_host(parts: DataFrame, merged) -> DataFrame:
+    """One wrapper for each host from partial ones, in two rounds."""
+
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         total = None
         for w in sorted(frame["wrapper"]):
-            total = merged(total, json.loads(w))
+            total = json.loads(w) if total is None else merged(total, json.loads(w))
         return pd.DataFrame({"host": frame["host"][:1], "wrapper": [json.dumps(total)]})
 
-    kind = "host string, wrapper string"
-    parts = pages.filter("html is not null").select("host", "html").mapInPandas(trimmed(partial), "host string, salt int, wrapper string")
-    once = parts.groupBy("host", "salt").applyInPandas(lambda f: merge(f), kind)
-    return once.groupBy("host").applyInPandas(lambda f: merge(f), kind)
+    once = parts.groupBy("host", "salt").applyInPandas(lambda f: merge(f), "host string, wrapper string")
+    return once.groupBy("host").applyInPandas(lambda f: merge(f), "host string, wrapper string")
+
+
+def with_wrappers(pages: DataFrame, found: DataFrame) -> DataFrame:
+    size = found.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    found = found.withColumnRenamed("host", "of")
+    return pages.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("host") == F.col("of"), "left")
+
+
+def infer(pages: DataFrame) -> DataFrame:
+    """host, wrapper (JSON) of each host of (host, html) rows; pages without html add nothing.
+
+    Two passes: the expressions, and what the slots hold on the pages matched against them.
+    """
+    ship(pages.sparkSession)
+    pages = pages.filter("html is not null").select("host", "html")
+    forms = materialise(expressions(pages), "expressions")
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, dict] = {}
+        matchers: dict[str, Matcher] = {}
+        for frame in frames:
+            for host, html_, wrapper in zip(frame["host"], frame["html"], frame["wrapper"], strict=True):
+                if host not in matchers:
+                    if len(matchers) > 256:
+                        matchers.clear()
+                    matchers[host] = Matcher(json.loads(wrapper))
+                page = blocks(html_)
+                own = slots_of(page, matchers[host].slots(page))
+                found[host] = together(found[host], own) if host in found else own
+        yield from rows_of(found)
+
+    held = with_wrappers(pages, forms).select("host", "html", "wrapper")
+    slots = by_host(held.mapInPandas(trimmed(partial), "host string, salt int, wrapper string"), together)
+    both = forms.withColumnRenamed("wrapper", "form").join(slots, "host")
+    return both.select("host", F.concat(F.lit('{"form": '), "form", F.lit(', "slots": '), "wrapper", F.lit("}")).alias("wrapper"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -327,12 +445,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     held = pages.select("page_id", "url", "html", host.alias("host"))
-    found = materialise(infer(held), "wrappers").withColumnRenamed("host", "of")
-    size = found.agg(F.sum(F.length("wrapper"))).first()[0] or 0
-    joined = held.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("host") == F.col("of"), "left")
+    joined = with_wrappers(held, materialise(infer(held), "wrappers"))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict[str, str]] = {}
+        known: dict[str, tuple[Matcher, dict[str, str]]] = {}
         for frame in frames:
             out = []
             for page, wrapper in zip(frame["html"], frame["wrapper"], strict=True):

@@ -195,6 +195,27 @@ def test_wrapper_expressions():
     assert wrappers.main_text(blocks, wrappers.labels(wrappers.wrapper_of(blocks))) == "T\na &lt; b\nc\none\ntwo"
 
 
+def extracted(spark, pages):
+    docs = spark.createDataFrame([(k, f"http://h.org/{k}", html) for k, html in enumerate(pages)], "page_id int, url string, html string")
+    return [r["text"] for r in sorted(wrappers.extract(docs).collect(), key=lambda r: r["page_id"])]
+
+
+def test_alignment_decides(spark):
+    """The same paragraph stands before each title, under the path of the article's own; only its place in the expression tells."""
+    pages = [f"<article><p>Sign our letter</p><h1>T{k}</h1><p>text {k}</p>{'<p>more</p>' * (k % 3)}</article>" for k in range(6)]
+    assert extracted(spark, pages) == ["\n".join([f"T{k}", f"text {k}"] + ["more"] * (k % 3)) for k in range(6)]
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<div><h2>Only</h2><p>one body text</p><p>and another of it</p></div>"
+    own = "Only\none body text\nand another of it"
+    assert extracted(spark, [page] * 5) == [own] * 5
+    others = [f"<div><ul><li>our menu</li></ul><h3>T {k}</h3></div>" for k in range(4)]
+    assert extracted(spark, [page] * 4 + others) == [own] * 4 + [f"T {k}" for k in range(4)]
+    dated = [f"<div><h2>Only</h2><p>one body text</p><span>{k}</span><p>and another of it</p></div>" for k in range(4)]
+    assert all("Only" in t and "one body text" in t for t in extracted(spark, dated))
+
+
 def test_quality_fit_separates():
     good, bad = (1, 1, 1), (0, 0, 1)
     share, right = quality.fit([(good, 900), ((1, None, 1), 50), (bad, 100)])
