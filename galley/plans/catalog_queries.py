@@ -520,11 +520,12 @@ def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def staple_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as recipes, their turns as lines, against a table of staples."""
-    lines = table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("id"), F.col("role").alias("title"), F.lower(F.substring_index("text", " ", 3)).alias("key")
-    ).filter("key is not null")
-    staples = table(spark, sf_dir, "documents").select(F.lower(F.substring_index("text", " ", 1)).alias("name")).distinct()
+    """Conversations as recipes, the lines of their turns as lines, against all words of the documents as staples."""
+    line = F.explode(F.split(F.lower("text"), "\n", -1))
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("role").alias("title"), line.alias("key"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("name"))
+    lines = lines.withColumn("key", F.regexp_replace("key", r"^\s+|\s+$", ""))
+    staples = words.filter("name <> ''").distinct()
     return coverage.coverage(lines, staples)
 
 

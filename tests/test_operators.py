@@ -100,3 +100,13 @@ def test_change_feed_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r["k"], r["n"]) for r in spark.table("feed").collect()} == {(1, 2), (2, 1)}
+
+
+def test_staples_are_met_in_whole_turns(spark, tmp_path):
+    from galley.plans import catalog_queries
+
+    turns = [(1, 0, "user", "Zz yy\n\nplain words in front then Salt\nqq"), (1, 1, "user", "zz yy"), (2, 0, "user", "qq"), (3, 0, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(1, "some more\nof SALT"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["id"]: (r["to_buy_count"], r["percent_to_buy"]) for r in catalog_queries.staple_coverage(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, 50), 2: (1, 100)}
