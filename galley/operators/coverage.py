@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 def staple_keys(keys: DataFrame, staples: DataFrame, always: tuple[str, ...] = ("water", "ice")) -> DataFrame:
     """The distinct keys that are staples: empty, always at hand, equal to a staple, or holding it with all its words.
 
-    A staple is met through its first word, so keys and staples join by words and not each with each.
+    A staple is met through its first word, so keys and staples join by words and not each with each. Only a hash of the key goes
+    with each of its words.
     """
     words = lambda c: F.split(F.col(c), r"\s+")
     distinct = keys.select("key").distinct()
     listed = staples.select(F.lower("name").alias("staple")).distinct().withColumn("word", F.element_at(words("staple"), 1))
-    by_word = distinct.withColumn("word", F.explode(F.array_distinct(words("key"))))
-    held = (
-        by_word.join(listed, "word")
-        .filter(F.contains("key", "staple") & (F.size(F.array_except(words("staple"), words("key"))) == 0))
-        .select("key")
-    )
+    by_word = distinct.select(F.xxhash64("key").alias("hash"), F.explode(F.array_distinct(words("key"))).alias("word"))
+    met = by_word.join(listed, "word").select(F.col("hash").alias("met"), "staple")
+    whole = F.contains("key", "staple") & (F.size(F.array_except(words("staple"), words("key"))) == 0)
+    held = distinct.join(met, (F.xxhash64("key") == F.col("met")) & whole, "left_semi")
     plain = distinct.filter((F.col("key") == "") | F.col("key").isin(*always))
     return held.union(plain).distinct()
 
