@@ -22,12 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in local tests, a temporary folder is made once
-    and kept in the session's own setting.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, the session's warehouse is used, which a cluster shares
+    as well. Only a local master, whose executors are the driver, gets a temporary folder of its own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("galley.shared.dir", None)
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='galley-')}"
+        if spark.sparkContext.master.startswith("local"):
+            named = f"file://{tempfile.mkdtemp(prefix='galley-')}"
+        elif spark.sparkContext.getConf().get("spark.sql.warehouse.dir"):
+            named = spark.conf.get("spark.sql.warehouse.dir")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("galley.shared.dir", named)
     return named.rstrip("/")
 
@@ -36,7 +41,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The written table cuts the lineage: whatever is read from it later, any number of times, sees the same rows, and a lost
-    executor costs a reread instead of a recomputation.
+    executor costs a reread instead of a recomputation. The table stays until ``drop_materialised``; whoever asked for the result
+    calls that once the result is written, as a result that is still to be computed reads from it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/galley/{label}-{uuid.uuid4().hex}"
