@@ -15,30 +15,33 @@ cannot reach the threshold. Shingles are 64-bit hashes of their words and classe
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galley.llm.digest import lots
 from galley.llm.shingles import mixed, shingle_sets
+from galley.operators.joins import hot_keys, salted_join
 from galley.sources.tables import materialise
 from galley.sources.workers import ship, trimmed
 
 #: Cells of the table of shingle counts. It has the same size for any input.
 CELLS = 1 << 21
 PARTS = 1 << 15
+SOME = 128
 FRAGMENTS = 6
 LOT = 600_000
-#: Tables of ids up to this size are broadcast; larger ones are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Tables of ids up to this size, with what a hash table of them takes, are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 64
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df``, a written table, with a broadcast hint if its rows are few enough."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of ids, with a broadcast hint if its rows are few enough."""
+    return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_BYTES else df
 
 
 def cells_of(hashes: np.ndarray) -> np.ndarray:
@@ -61,7 +64,8 @@ def set_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def survey(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, c) of each row, with the size and the hash of its set; and the code of each cell's count.
 
-    One pass. Its tasks are bounded by the cluster's cores, not by the input, as each of them writes a table of counts.
+    One pass, in which each task writes a compressed table of counts, at most 8 MB. The tables are added in two rounds by part, so
+    that of ten thousand tasks no group holds more than some hundred parts of 128 KB.
     """
     spark = ship(docs.sparkSession)
 
@@ -80,24 +84,33 @@ def survey(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                     {"doc_id": frame["doc_id"], "n": np.concatenate(n), "c": np.concatenate(c).view(np.int64), "part": None, "counts": None}
                 )
         for k in range(0, CELLS, PARTS):
-            yield pd.DataFrame({"doc_id": None, "n": None, "c": None, "part": [k // PARTS], "counts": [total[k : k + PARTS].tobytes()]})
+            counts = zlib.compress(total[k : k + PARTS].astype(np.int64).tobytes(), 1)
+            yield pd.DataFrame({"doc_id": None, "n": None, "c": None, "part": [k // PARTS], "counts": [counts]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", "text")
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    written = materialise(
-        plain.coalesce(tasks).mapInPandas(trimmed(scan), f"doc_id {kind}, n long, c long, part int, counts binary"), "survey"
-    )
+    written = materialise(plain.mapInPandas(trimmed(scan), f"doc_id {kind}, n long, c long, part int, counts binary"), "survey")
+
+    def added(frame: pd.DataFrame) -> np.ndarray:
+        total = np.zeros(PARTS, np.int64)
+        for b in frame["counts"]:
+            total += np.frombuffer(zlib.decompress(b), np.int64)
+        return total
+
+    def some(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": frame["part"][:1], "counts": [zlib.compress(added(frame).tobytes(), 1)]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.uint32).astype(np.int64) for b in frame["counts"])
+        total = added(frame)
         code = np.minimum(np.floor(8 * np.log2(total + 1)), 255).astype(np.uint8)
         by_code = np.bincount(code, total, 256)
         return pd.DataFrame({"part": frame["part"][:1], "codes": [code.tobytes()], "weights": [by_code.tolist()]})
 
     rows = (
         written.filter("part is not null")
-        .select("part", "counts")
+        .select("part", "counts", F.pmod(F.spark_partition_id(), F.lit(SOME)).alias("some"))
+        .groupBy("part", "some")
+        .applyInPandas(some, "part int, counts binary")
         .groupBy("part")
         .applyInPandas(add, "part int, codes binary, weights array<double>")
         .collect()
@@ -177,35 +190,41 @@ def segments(docs: DataFrame, ids: DataFrame, codes: object, cuts: np.ndarray, w
                     }
                 )
 
-    held = docs.select("doc_id", "text").join(small(ids, 8), "doc_id", "left_semi")
+    wanted = small(ids.select(F.col("doc_id").alias("wanted")))
+    held = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     return held.mapInPandas(trimmed(scan), "c long, f int, tokens array<long>")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, codes: object, cuts: np.ndarray, width: int, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose overlap, summed over fragments, reaches the threshold."""
-    nodes = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    ids = materialise(classes.join(nodes, "c", "left_semi").select("doc_id"), "candidates")
-    parts = materialise(segments(docs, ids, codes, cuts, width), "segments")
+    ends = pairs.select(F.col("a").alias("c")).unionAll(pairs.select(F.col("b").alias("c")))
+    nodes = materialise(ends.groupBy("c").agg(F.count("*").alias("k")), "nodes")
+    # A class whose rows all lack a doc_id is met through the null, with whatever else has none.
+    ids = materialise(classes.join(nodes, "c", "left_semi").select("doc_id").distinct(), "candidates")
+    held = segments(docs, ids, codes, cuts, width)
+    parts = materialise(held.groupBy("c", "f").agg(F.first("tokens").alias("tokens")), "segments")
+    hot = hot_keys(nodes, "c", 2 * pairs.count())
     # The rarest fragment comes first: what it leaves open bounds the overlap, and few pairs that are no links reach the others.
-    rare = overlaps(pairs, parts.filter("f = 0"))
+    rare = overlaps(pairs, parts.filter("f = 0"), hot)
     able = F.col("o") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")) >= needed(F.col("na"), F.col("nb"), percent)
     seen = pairs.join(rare, ["a", "b"], "left").fillna(0, ["o", "sa", "sb"])
     alive = materialise(seen.filter(able).select("a", "b", "na", "nb", "o"), "alive")
-    rest = overlaps(alive, parts.filter("f > 0")).select("a", "b", F.col("o").alias("more"))
+    rest = overlaps(alive, parts.filter("f > 0"), hot).select("a", "b", F.col("o").alias("more"))
     total = F.col("o") + F.coalesce("more", F.lit(0))
     linked_by = 100 * total >= percent * (F.col("na") + F.col("nb") - total)
     return alive.join(rest, ["a", "b"], "left").filter(linked_by).select("a", "b")
 
 
-def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, o, sa, sb): the overlaps of pairs (a written table) in fragments, summed, and what of either set lies in them.
+def overlaps(pairs: DataFrame, parts: DataFrame, hot: DataFrame) -> DataFrame:
+    """(a, b, o, sa, sb): the overlaps of pairs in fragments, summed, and what of either set lies in them.
 
-    Each pair meets the fragments of either side where these lie, so only what pairs need is shuffled, by pair and fragment. A
-    repeated row brings its fragments again; one of each is taken.
+    Each pair meets the fragments of either side, which then meet each other by pair and fragment. A class with very many pairs,
+    such as a pivot, is hot: its fragments are repeated for some tasks and its pairs dealt to them.
     """
-    near, nothing = small(pairs.select("a", "b"), 16), F.lit(None).cast("array<long>")
-    left = parts.join(near, F.col("c") == F.col("a")).select("a", "b", "f", F.col("tokens").alias("x"), nothing.alias("y"))
-    right = parts.join(near, F.col("c") == F.col("b")).select("a", "b", "f", nothing.alias("x"), F.col("tokens").alias("y"))
+    near, nothing = pairs.select("a", "b"), F.lit(None).cast("array<long>")
+    side = lambda x: salted_join(near.withColumn("c", F.col(x)), parts, "c", hot)
+    left = side("a").select("a", "b", "f", F.col("tokens").alias("x"), nothing.alias("y"))
+    right = side("b").select("a", "b", "f", nothing.alias("x"), F.col("tokens").alias("y"))
     size = lambda x: F.coalesce(F.size(x), F.lit(0))
     return (
         left.unionByName(right)
@@ -221,21 +240,22 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) for every node of (a, b) edges; root is the least node of its component.
 
     Rounds of large and small stars: each node's greater neighbours are tied to its least neighbour, then its lesser ones, until
-    nothing changes. A node with many neighbours is a join key, never a list.
+    nothing changes. A node with many neighbours is a join key, never a list, and its rows are spread where it is hot.
     """
     edges = materialise(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), label
     )
-    seen = None
-    while True:
+    seen, n = None, edges.count()
+    while n:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_star = large.join(least, "u").filter("v != m").select(F.col("v").alias("x"), "m")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))
+        large = salted_join(both, least.drop("k"), "u", hot_keys(least, "u", 2 * n))
+        large = materialise(large.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct(), label)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        small_star = salted_join(large, least.drop("k"), "u", hot_keys(least, "u", n)).filter("v != m").select(F.col("v").alias("x"), "m")
         tied = small_star.select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v"))
         edges = materialise(tied.union(least.select("u", F.col("m").alias("v"))).distinct(), label)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n, state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
@@ -245,7 +265,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
 def rooted(rows: DataFrame, column: str, roots: DataFrame, to: str) -> DataFrame:
     """``rows`` with the root of ``column``, or itself where it has none."""
-    found = rows.join(small(roots, 16).withColumnRenamed("root", to), F.col(column) == F.col("node"), "left")
+    found = rows.join(small(roots).withColumnRenamed("root", to), F.col(column) == F.col("node"), "left")
     return found.withColumn(to, F.coalesce(to, column)).drop("node")
 
 
@@ -261,64 +281,75 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows, codes, weights = survey(docs, width)
     cuts = cuts_of(weights, FRAGMENTS)
     shared = spark.sparkContext.broadcast(codes)
-    classes = materialise(rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("k"))
+    classes = materialise(classes, "classes")
+    n_rows = classes.agg(F.sum("k")).first()[0] or 0
 
     first = materialise(prefixes(docs, shared, width, percent), "prefixes")
-    met = first.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    met = materialise(met.filter("low != high").select("token"), "tokens")
+    # The pivot has the fewest shingles that are rarer than the one they meet by: of a text and its edited copies, the text.
+    tokens = first.groupBy("token").agg(
+        F.min(F.struct("i", "n", "c")).alias("p"), F.min("n").alias("least"), F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")
+    )
+    tokens = tokens.filter("low != high").select("token", F.col("p.c").alias("a"), F.col("p.n").alias("na"), F.col("p.i").alias("ia"), "least", "k")
+    tokens = materialise(tokens, "tokens")
+    common = hot_keys(tokens, "token", tokens.agg(F.sum("k")).first()[0] or 0)
     # A class can link here only with a set as large as the least of this shingle, and only if enough of it comes from place i on.
     able = F.col("n") - F.col("i") >= needed(F.col("n"), F.greatest("least", F.col("n") * percent / 100), percent)
-    bucket = materialise(first.join(small(met, 8), "token").distinct(), "buckets")
-    # The pivot has the fewest shingles that are rarer than the one they meet by: of a text and its edited copies, the text.
-    pivot = bucket.groupBy("token").agg(F.min(F.struct("i", "n", "c"))["c"].alias("pivot"), F.min("n").alias("least"))
-    bucket = materialise(bucket.join(pivot, "token").filter(able).drop("least"), "pivots")
+    met = salted_join(first, tokens.drop("k"), "token", common).filter(able)
+    bucket = materialise(met.select("token", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), "a", "na", "ia").distinct(), "buckets")
 
     def likely(a: str, b: str) -> object:
         na, nb, ia, ib = (F.col(x) for x in (f"n{a}", f"n{b}", f"i{a}", f"i{b}"))
         fits = (100 * na >= percent * nb) & (100 * nb >= percent * na)
         return fits & (F.least(na - ia, nb - ib) >= needed(na, nb, percent))
 
-    side = lambda x: [F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}")]
-    pivots = bucket.filter("c = pivot").select("token", *side("a"))
-    star = materialise(
-        bucket.filter("c != pivot").select("token", *side("b")).join(pivots, "token").filter(likely("a", "b")).select("a", "b", "na", "nb").distinct(),
-        "star",
-    )
+    star = materialise(bucket.filter("a != b").filter(likely("a", "b")).select("a", "b", "na", "nb").distinct(), "star")
     count = lambda pairs: linked(pairs, docs, classes, shared, cuts, width, percent)
     roots = materialise(components(count(star), "star-edges"), "roots")
 
-    known = rooted(bucket.drop("pivot"), "c", roots, "root")
+    known = rooted(bucket.select("token", F.col("b").alias("c"), F.col("nb").alias("n"), F.col("ib").alias("i")), "c", roots, "root")
     sizes = known.groupBy("token", "root").agg(F.count("*").alias("k"))
     split = sizes.groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
-    open_ = materialise(known.join(split.filter("roots > 1").drop("roots"), "token"), "open")
-    outside = open_.filter("root != main").select("token", F.col("root").alias("ra"), *side("a"))
-    every = open_.select("token", F.col("root").alias("rb"), *side("b"))
-    rest = outside.join(every, "token").filter((F.col("ra") != F.col("rb")) & likely("a", "b"))
+    open_ = materialise(salted_join(known, split.filter("roots > 1").drop("roots"), "token", common), "open")
+    side = lambda x: [F.col("root").alias(f"r{x}"), F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("i").alias(f"i{x}")]
+    outside = open_.filter("root != main").select("token", *side("a"))
+    rest = salted_join(open_.select("token", *side("b")), outside, "token", common).filter((F.col("ra") != F.col("rb")) & likely("a", "b"))
     low = F.col("a") < F.col("b")
     pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
     rest = rest.select(
         pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb")
     ).distinct()
-    rest = materialise(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    both = star.select("a", "b").union(star.select("b", "a"))
+    rest = materialise(rest.join(both, ["a", "b"], "left_anti"), "rest")
     late = count(rest)
     late = rooted(rooted(late, "a", roots, "ra"), "b", roots, "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     again = materialise(components(late, "rest-edges"), "roots-again")
 
-    final = rooted(rooted(rows.filter("n > 0"), "c", roots, "r1"), "r1", again, "r2").select("doc_id", "n", "r2")
-    least = final.groupBy("r2").agg(F.min("doc_id").alias("component_id"))
-    whole = final.join(least, "r2").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # From rows to classes, from these to roots and to roots of roots: each step is a table of its own, joined where keys are hot.
+    own = rooted(classes, "c", roots, "r1")
+    by_root = materialise(own.groupBy("r1").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("k")), "by-root")
+    by_root = rooted(by_root, "r1", again, "r2")
+    whole = by_root.groupBy("r2").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("j"))
+    n_roots = by_root.count()
+    named = materialise(salted_join(by_root, whole.drop("j"), "r2", hot_keys(whole, "r2", n_roots, "j")).select("r1", "component_id", "k"), "named")
+    n_classes = classes.count()
+    of_class = materialise(salted_join(own, named.drop("k"), "r1", hot_keys(named, "r1", n_classes)).select("c", "component_id", "k"), "of-class")
+    found = salted_join(rows.filter("n > 0"), of_class.drop("k"), "c", hot_keys(of_class, "c", n_rows))
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return whole.union(alone)
+    return found.union(alone)
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their group; of rows that agree in doc_id and text, one."""
-    spark: SparkSession = docs.sparkSession
+    """The rows of ``docs`` that are the smallest doc_id of their group; of rows that agree in doc_id and text, one.
+
+    A row with a null doc_id stays, as no id names it. An empty table gives no rows; all columns are kept.
+    """
     found = materialise(groups(docs, width, percent), "groups")
     gone = materialise(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(small(gone, 8), "doc_id", "left_anti")
-    twice = materialise(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice")
-    if spark is None or twice.isEmpty():
+    kept = docs.join(small(gone), "doc_id", "left_anti")
+    twice = materialise(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "twice")
+    if twice.isEmpty():
         return kept
-    again = kept.join(small(twice, 8), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(small(twice, 8), "doc_id", "left_anti").unionByName(again)
+    again = kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small(twice), "doc_id", "left_anti").unionByName(again)
