@@ -63,7 +63,7 @@ def features(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def count_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task and language: counts of buckets and of letters by script."""
+    """Per task and language: the buckets, and behind them the scripts, that occur, and how often."""
     total: dict[str, np.ndarray] = {}
     _, script = letters.tables()
     for frame in frames:
@@ -73,12 +73,15 @@ def count_features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             got = np.bincount(np.concatenate([three, four]), minlength=2 * BUCKETS)
             got = np.concatenate([got, np.bincount(script[points[at]], minlength=letters.N_SCRIPTS)])
             total[language] = total.get(language, 0) + got
-    if total:
-        yield pd.DataFrame({"lang": list(total), "counts": [v.astype("<i8").tobytes() for v in total.values()]})
+    for language, counts in total.items():
+        place = np.flatnonzero(counts)
+        yield pd.DataFrame({"lang": language, "place": place.astype(np.int32), "n": counts[place]})
 
 
-def add_counts(frame: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(b, "<i8") for b in frame["counts"])
+def dense(frame: pd.DataFrame) -> pd.DataFrame:
+    """A language's counts as one array of a fixed size; it has at most one row for each place."""
+    total = np.zeros(2 * BUCKETS + letters.N_SCRIPTS, "<i8")
+    total[frame["place"]] = frame["n"]
     return pd.DataFrame({"lang": frame["lang"][:1], "counts": [total.tobytes()]})
 
 
@@ -93,8 +96,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, per_language / n))]), F.col("lang")
     )
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < keep * (1 << 20)).select("text", "lang")
-    kind = "lang string, counts binary"
-    rows = sample.mapInPandas(trimmed(count_features), kind).groupBy("lang").applyInPandas(add_counts, kind).collect()
+    counted = sample.mapInPandas(trimmed(count_features), "lang string, place int, n long")
+    summed = counted.groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    rows = summed.groupBy("lang").applyInPandas(dense, "lang string, counts binary").collect()
     rows = sorted((r["lang"], np.frombuffer(r["counts"], "<i8")) for r in rows)
     counts = np.array([c for _, c in rows], np.float64).T
     scores = []
