@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from galley.sources.workers import ship, trimmed
 
@@ -247,49 +248,56 @@ def fingerprint_documents(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, extra, key, doc_id, text) rows, sorted in each partition, in which the next row is the next document.
+    """(bucket, extra, doc_id, text) rows, sorted in each partition, in which the next row is the next document.
 
-    The order is by doc_id, null first, and then by text. Ids are cut into buckets by quantiles, some for each partition, so no
-    task holds the table. The last row of each bucket is an extra copy of the first document behind it, or of the first of all.
+    The order is by doc_id, null first, and then by text; doc_id may be of any type that has an order. Ids are cut into buckets,
+    some for each partition, so no task holds the table: at quantiles where ids are whole numbers, else at ids drawn by hash. The
+    last row of each bucket is an extra copy of the first document behind it, or of the first of all.
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    keyed = docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    many = 4 * n
-    cuts = keyed.agg(F.percentile_approx("key", [k / many for k in range(1, many)], 100 * many).alias("cuts")).first()["cuts"]
+    kind = docs.schema["doc_id"].dataType
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if isinstance(kind, IntegralType):
+        many = 4 * n
+        cuts = rows.agg(F.percentile_approx("doc_id", [k / many for k in range(1, many)], 100 * many).alias("cuts")).first()["cuts"]
+    else:
+        drawn = F.xxhash64("doc_id")
+        by_hash = rows.filter("doc_id is not null").groupBy(F.pmod(drawn, F.lit(16 * n)).alias("h")).agg(F.min_by("doc_id", drawn).alias("cut"))
+        cuts = [r["cut"] for r in by_hash.collect()]
     cuts = sorted(set(cuts or []))
     side = max(1, int(len(cuts) ** 0.5))
-    heads = F.array(*[F.lit(c).cast("long") for c in cuts[::side]])
-    every = F.array(*[F.lit(c).cast("long") for c in cuts])
-    block = F.greatest(F.size(F.filter(heads, lambda c: c <= F.col("key"))) - 1, F.lit(0)) * side
-    in_block = F.size(F.filter(F.slice(every, block + 1, side), lambda c: c <= F.col("key")))
-    bucketed = keyed.withColumn("bucket", block + in_block)
-    firsts = sorted((r["bucket"], r["first"]) for r in bucketed.groupBy("bucket").agg(F.min("key").alias("first")).collect())
+    heads = F.array(*[F.lit(c).cast(kind) for c in cuts[::side]])
+    every = F.array(*[F.lit(c).cast(kind) for c in cuts])
+    block = F.greatest(F.size(F.filter(heads, lambda c: c <= F.col("doc_id"))) - 1, F.lit(0)) * side
+    in_block = F.size(F.filter(F.slice(every, block + 1, side), lambda c: c <= F.col("doc_id")))
+    bucketed = rows.withColumn("bucket", block + in_block)
+    # The first of a bucket: its null ids, where it has some, else the least of its ids.
+    found = bucketed.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.bool_or(F.col("doc_id").isNull()).alias("none"))
+    firsts = sorted((r["bucket"], None if r["none"] else r["first"]) for r in found.collect())
     if not firsts:
-        return bucketed.withColumn("extra", F.lit(False)).select("bucket", "extra", "key", "doc_id", "text")
+        return bucketed.withColumn("extra", F.lit(False)).select("bucket", "extra", "doc_id", "text")
     before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}  # the first of all goes behind the last bucket
+    own = F.lit(before[None]) if None in before else F.lit(None).cast("int")
+    if named := {k: b for k, b in before.items() if k is not None}:
+        own = F.coalesce(F.element_at(F.create_map(*[x for k, b in named.items() for x in (F.lit(k).cast(kind), F.lit(b))]), F.col("doc_id")), own)
+    wanted = F.col("doc_id").isin(list(named)) | (F.col("doc_id").isNull() if None in before else F.lit(False))
     extra = (
-        keyed.filter(F.col("key").isin(list(before)))
-        .groupBy("key")
+        rows.filter(wanted)
+        .groupBy("doc_id")
         .agg(F.min("text").alias("text"))
-        .select(
-            F.element_at(F.create_map(*[F.lit(x) for k, b in before.items() for x in (k, b)]), F.col("key")).alias("bucket"),
-            F.lit(True).alias("extra"),
-            "key",
-            F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
-            "text",
-        )
+        .select(own.alias("bucket"), F.lit(True).alias("extra"), F.lit(None).cast(kind).alias("doc_id"), "text")
     )
-    rows = bucketed.select("bucket", F.lit(False).alias("extra"), "key", "doc_id", "text").unionByName(extra)
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", "key", "text")
+    both = bucketed.select("bucket", F.lit(False).alias("extra"), "doc_id", "text").unionByName(extra)
+    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", "doc_id", "text")
 
 
 def compare_with_edits(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     """Each document against an edited text, whose last quarter is from the next document, and against the next document.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; one row per input row. The next
-    document is the next by doc_id (null first), then by text; behind the last comes the first. Null texts count as empty.
+    document is the next by doc_id (null first), then by text; behind the last comes the first. Null texts count as empty. doc_id
+    may be of any type with an order. An only document is the next of itself; an empty table gives no rows.
     """
     shared = ship(docs.sparkSession).sparkContext.broadcast(ranks)
 
