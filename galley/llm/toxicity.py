@@ -80,11 +80,12 @@ def contexts(ids: np.ndarray, text: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """A model from (doc_id, text) and (doc_id, toxic) rows. Sampled by a hash of doc_id, by class.
 
-    Labels other than 0 and 1 are left out, and null texts count as empty. The sampled ids, about 2 * ``per_class``, are sent to
-    all tasks, so texts are not shuffled to find the sample; it is written to shared storage and read from there.
+    Labels other than 0 and 1 are left out, and null texts count as empty. A doc_id with several labels counts once, as toxic if
+    one says so. The sampled ids, about 2 * ``per_class`` as each is there once, are sent to all tasks, so texts are not shuffled
+    to find the sample; it is written to shared storage and read from there.
     """
     spark = ship(docs.sparkSession)
-    known = labels.filter("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model(curve=(0.0,) * (1 + len(STRETCHES)) + (20.0 if sizes.get(1) else -20.0,))
