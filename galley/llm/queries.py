@@ -32,6 +32,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by the wrapper of its host."""
     return wrappers.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -42,6 +43,7 @@ def tokenizer_file() -> str:
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, and what they decode to."""
     got = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file())
     return got.select(
         "doc_id",
@@ -52,21 +54,25 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against its edited text and against the next document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest.compare_with_edits(docs, digest.corpus_ranks(docs))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"
     )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that many sources share."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     got = F.col("line_dedup")
     return line_dedup.without_boilerplate(docs).select(
@@ -140,8 +146,9 @@ FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source"""
 _LINES_SQL = r"""
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
 k AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS key FROM l),
-b AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) > 0 AND length(key) - length(replace(key, ' ', '')) >= 2
-  GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(0) || 'null')) >= 5),
+n AS (SELECT greatest(5, ceil(count(DISTINCT coalesce(source, chr(0) || 'null')) / 2)) AS half FROM k WHERE length(key) > 0),
+b AS (SELECT key, min(doc_id) AS first FROM k, n WHERE length(key) > 0 GROUP BY key, half HAVING count(DISTINCT coalesce(source, chr(0) || 'null')) >=
+  CASE WHEN length(key) - length(replace(key, ' ', '')) < 2 AND strlen(key) < 16 THEN half ELSE 5 END),
 m AS (SELECT k.*, b.first IS NOT NULL AND doc_id <> b.first AS gone FROM k LEFT JOIN b USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
   length(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS n_chars,
