@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
+import uuid
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
+
+from galley.functions.amounts import VULGAR, lookup, words_of
+from galley.functions.bind import let
 
 
 def tokens(text: Column) -> Column:
@@ -20,8 +28,168 @@ def letters_only(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0), " ")
 
 
+def _each(f):  # noqa: ANN001, ANN202
+    """A pandas UDF of a function from text to text; null stays null."""
+
+    @F.pandas_udf(StringType())
+    def of(x: pd.Series) -> pd.Series:
+        return x.map(f, na_action="ignore")
+
+    return of
+
+
+def _without_marks(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents, with plain quotes and dashes. Text in ASCII never leaves the JVM's own functions."""
+    plain = F.translate(text, "\u2019\u2018\u201c\u201d\u2013\u2014", "''\"\"--")
+    return F.when(F.rlike(plain, F.lit(r"^\p{ASCII}*$")), F.lower(plain)).otherwise(_each(_without_marks)(plain))
+
+
+def evidence(text: Column) -> Column:
+    """Words as evidence compares them: NFKC, case folded, everything but letters, digits and underscores one space."""
+    return _each(lambda t: re.sub(r"\W+", " ", unicodedata.normalize("NFKC", t).casefold()).strip())(text)
+
+
+def decoded(text: Column) -> Column:
+    """Text without tags and with its character references decoded twice, as feeds encode them; white space is one space."""
+    bare = F.regexp_replace(_each(lambda t: html.unescape(html.unescape(t)))(text), "</?[a-zA-Z][^>]*>", " ")
+    return F.btrim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def named_id(space: str, *parts: Column) -> Column:
+    """The version-5 UUID of the parts joined by colons, in a name space: the same parts have the same id for ever."""
+    root = uuid.UUID(space)
+    return _each(lambda t: str(uuid.uuid5(root, t)))(F.concat_ws(":", *parts))
+
+
+# What a title or an ingredient's name is not about.
+TITLE_NOISE = "recipe video the a an and with w of".split()
+FILLER = "fresh freshly organic ripe good quality store bought homemade deli sliced plain regular pure real large medium small".split()
+SMALL_WORDS = "a an and as at but by for from in into nor of on or the to with".split()
+
+
+def singular(word: Column) -> Column:
+    """The singular of an English word by its ending; short words, and those in ss, us and is, stay."""
+    n, cut = F.length(word), lambda k: F.left(word, F.length(word) - k)
+    ends = lambda *e: reduce(lambda a, b: a | b, [F.endswith(word, F.lit(x)) for x in e])
+    return (
+        F.when(ends("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
+        .when(ends("oes", "ches", "shes", "sses") & (n > 4), cut(2))
+        .when(word.isin("leaves", "halves", "loaves"), F.concat(cut(3), F.lit("f")))
+        .when(ends("s") & ~ends("ss", "us", "is") & (n > 3), cut(1))
+        .otherwise(word)
+    )
+
+
+def title_key(title: Column) -> Column:
+    """A title as two sources compare it: folded, without remarks in brackets and words that say nothing."""
+    text = F.regexp_replace(F.replace(folded(title), F.lit('"'), F.lit(" ")), r"\([^)]*\)", " ")
+    text = F.regexp_replace(F.replace(text, F.lit("&"), F.lit(" and ")), r"\bny\b", "new york")
+    return F.array_join(F.filter(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), 0), lambda w: ~w.isin(*TITLE_NOISE)), " ")
+
+
+def ingredient_name(text: Column, units: list[str], skipped: list[str]) -> Column:
+    """An ingredient's name in the singular: without amounts, units, preparations and what stands behind a comma or in brackets."""
+    value = F.btrim(F.regexp_replace(folded(text), r"\([^)]*\)|\[[^\]]*\]", " "), F.lit(" ,;:*-"))
+    value = reduce(lambda v, end: F.substring_index(v, end, 1), (",", ";", " - ", "*"), value)
+    words = F.regexp_extract_all(F.regexp_replace(value, r"[^a-z ]", " "), F.lit("[a-z]{2,}"), 0)
+    return F.array_join(F.transform(F.filter(words, lambda w: ~w.isin(*units, *skipped)), singular), " ")
+
+
+def alias_keys(name: Column) -> Column:
+    """struct<exact, sorted, plain>: the keys by which a food is looked up, in this order; plain is null without filler words."""
+    text = F.regexp_replace(F.regexp_replace(F.replace(folded(name), F.lit("-"), F.lit(" ")), r"\(.*?\)", " "), "[^a-z0-9% ]+", " ")
+
+    def keys(words: Column, plain: Column) -> Column:
+        short = (F.size(plain) > 0) & (F.size(plain) < F.size(words))
+        return F.struct(
+            F.array_join(words, " ").alias("exact"),
+            F.array_join(F.array_sort(words), " ").alias("sorted"),
+            F.when(short, F.array_join(F.array_sort(plain), " ")).alias("plain"),
+        )
+
+    return let(F.transform(words_of(text), singular), lambda w: let(F.filter(w, lambda x: ~x.isin(*FILLER)), lambda p: keys(w, p)))
+
+
+NUMBER_WORDS = {w: str(n) for n, w in enumerate("one two three four five six seven eight nine ten eleven twelve".split(), 1)}
+
+
+def spaced_fractions(text: Column) -> Column:
+    return reduce(lambda t, g: F.replace(t, F.lit(g), F.lit(" " + VULGAR[g])), VULGAR, text)
+
+
+def numbers(text: Column) -> Column:
+    """array<string>: the numbers of a line in order of text, six as 6 and a vulgar fraction written out."""
+    words = F.regexp_extract_all(spaced_fractions(F.lower(text)), F.lit(r"\d+(?:[./]\d+)?|\b[a-z]+\b"), 0)
+    said = F.transform(words, lambda w: F.coalesce(lookup(NUMBER_WORDS, w), w))
+    return F.array_sort(F.filter(said, lambda w: F.rlike(w, F.lit(r"^\d"))))
+
+
+def trivial_edit(before: Column, after: Column) -> Column:
+    """Whether two lines differ at most in vulgar fractions, spaces, the case of the first letter and a last full stop."""
+
+    def key(text: Column) -> Column:
+        plain = F.rtrim(F.btrim(F.regexp_replace(spaced_fractions(F.coalesce(text, F.lit(""))), r"\s+", " ")), F.lit("."))
+        return F.concat(F.lower(F.left(plain, F.lit(1))), F.substr(plain, F.lit(2)))
+
+    return key(before) == key(after)
+
+
+def packed_sentences(text: Column, longest: int = 800, target: int = 700) -> Column:
+    """array<string>: a long text cut at sentence ends into parts of about ``target``; whole if that would lose a character."""
+    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda x: F.btrim(x)), lambda x: x != "")
+    last = lambda a: F.element_at(a, -1)
+    longer = lambda a, x: F.concat_ws(" ", last(a), x)
+    step = lambda a, x: F.when(F.size(a) == 0, F.array(x)).when(F.length(longer(a, x)) > target, F.concat(a, F.array(x))).otherwise(
+        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(longer(a, x)))
+    )
+    parts = F.aggregate(sentences, F.array().cast("array<string>"), step)
+    return F.when(F.length(text) <= longest, F.array(text)).otherwise(
+        let(parts, lambda p: F.when(F.array_join(p, " ") == text, p).otherwise(F.array(text)))
+    )
+
+
+def title_case(text: Column) -> Column:
+    """A title in capitals with only the first letters of its words in upper case; one in mixed case stays."""
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
+    words = F.transform(
+        words_of(F.lower(text)), lambda w, k: F.when((k > 0) & w.isin(*SMALL_WORDS), w).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2))))
+    )
+    return F.when((letters == 0) | (upper < 0.85 * letters), text).otherwise(F.array_join(words, " "))
+
+
+def embedding_text(title: Column, description: Column, tags: Column, ingredients: Column, steps: Column) -> Column:
+    """What is embedded of a document: its parts on lines of their own, the method cut at 1,500, the whole at 6,000 characters."""
+    named = lambda label, value: F.when(value != "", F.concat(F.lit(label), value))
+    parts = [
+        F.nullif(title, F.lit("")),
+        F.nullif(F.coalesce(description, F.lit("")), F.lit("")),
+        named("Tags: ", F.array_join(tags, ", ")),
+        F.concat(F.lit("Ingredients: "), F.array_join(F.filter(ingredients, lambda x: x != ""), "; ")),
+        F.concat(F.lit("Method: "), F.left(F.array_join(steps, " "), F.lit(1500))),
+    ]
+    return F.left(F.concat_ws("\n", *parts), F.lit(6000))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """What share of the first array's distinct values the second has; 0 if either is empty."""
+    x, y = F.array_distinct(a), F.array_distinct(b)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(x))
+
+
+def not_the_host(author: Column, site: Column) -> Column:
+    """The author, or null where it is only the name of the site."""
+    plain = lambda c: F.regexp_replace(F.lower(F.btrim(c)), r"^(https?://)?(www\.)?|/+$", "")
+    return F.when(~(plain(author) == plain(site)).eqNullSafe(F.lit(True)), author)
+
+
 def slug(text: Column, fallback: str = "item") -> Column:
-    cut = F.btrim(F.substring(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), 1, 80), F.lit("-"))
+    """Lower-case letters and digits joined by dashes, at most 80 characters; accents are folded first."""
+    cut = F.btrim(F.substring(F.regexp_replace(folded(text), "[^a-z0-9]+", "-"), 1, 80), F.lit("-"))
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit(fallback))
 
 

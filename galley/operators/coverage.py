@@ -26,10 +26,13 @@ def staple_keys(keys: DataFrame, staples: DataFrame, always: tuple[str, ...] = (
 def coverage(lines: DataFrame, staples: DataFrame, limit: int | None = None) -> DataFrame:
     """id, title, to_buy_count, percent_to_buy of (id, title, key) lines, least to buy first."""
     marked = lines.join(staple_keys(lines, staples).withColumn("have", F.lit(True)), "key", "left")
-    out = marked.groupBy("id", "title").agg(
-        F.count_distinct(F.when(F.col("have").isNull(), F.col("key"))).alias("to_buy_count"),
-        F.count_distinct("key").alias("keys"),
-    )
+    return missing_share(marked.withColumn("have", F.coalesce("have", F.lit(False))), limit)
+
+
+def missing_share(marked: DataFrame, limit: int | None = None) -> DataFrame:
+    """id, title, to_buy_count, percent_to_buy of (id, title, key, have) lines; repeated keys of an id count once."""
+    once = marked.groupBy("id", "title", "key").agg(F.bool_and("have").alias("have"))
+    out = once.groupBy("id", "title").agg(F.count_if(~F.col("have")).alias("to_buy_count"), F.count("*").alias("keys"))
     percent = F.bround(F.col("to_buy_count") * 100 / F.greatest("keys", F.lit(1))).cast("int")
     out = out.select("id", "title", "to_buy_count", percent.alias("percent_to_buy"))
     return out if limit is None else out.orderBy("percent_to_buy", "to_buy_count", "title", "id").limit(limit)

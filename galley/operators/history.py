@@ -68,3 +68,70 @@ def due_timers(timers: DataFrame, now: object, late: float = 600.0) -> DataFrame
     """Unsent timers that have ended, with deliver: false for those more than ``late`` seconds ago, which are only marked."""
     overdue = F.lit(now).cast("double") - F.col("ends_at")
     return timers.filter(F.col("sent_at").isNull() & (overdue >= 0)).withColumn("deliver", overdue <= late)
+
+
+def stale_proposals(proposals: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Pending proposals whose item has another version than they were made for, or another text than they replace.
+
+    proposals: key, base_version, before, status; items: key, version, text. Adds stale: a proposal without its item is stale too.
+    """
+    held = proposals.filter(F.col("status").isin("pending", "review")).join(items, key, "left")
+    same = F.col("base_version").eqNullSafe(F.col("version")) & F.col("before").eqNullSafe(F.col("text"))
+    return held.withColumn("stale", ~same)
+
+
+def checked_edits(edits: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """edits (key, expected_version) with conflict: whether the item is missing or has moved on since."""
+    at = items.select(key, F.col("version").alias("_v"))
+    return edits.join(at, key, "left").withColumn("conflict", ~F.col("expected_version").eqNullSafe(F.col("_v"))).drop("_v")
+
+
+def restored(revisions: DataFrame, key: str, version: Column) -> DataFrame:
+    """revisions (key, version, state) and, for each key that has the version to restore, its state as the next version."""
+    last = revisions.groupBy(key).agg((F.max("version") + 1).alias("_next"))
+    again = revisions.filter(F.col("version") == version).join(last, key).withColumn("version", F.col("_next")).drop("_next")
+    return revisions.unionByName(again)
+
+
+def recovered(jobs: DataFrame, orphans: DataFrame, key: str) -> DataFrame:
+    """jobs at a restart: running ones are queued again, and what waits without a job gets one."""
+    again = jobs.withColumn("status", F.when(F.col("status") == "running", "queued").otherwise(F.col("status")))
+    new = orphans.select(key).join(jobs.filter(F.col("status").isin("queued", "running")).select(key), key, "left_anti")
+    return again.select(key, "status").unionByName(new.withColumn("status", F.lit("queued")))
+
+
+def replaced_sets(current: DataFrame, wanted: DataFrame, owner: str) -> DataFrame:
+    """The rows of owners that sent no new set, and the new sets; an owner whose new set is empty is not in ``wanted``."""
+    return current.join(wanted.select(owner).distinct(), owner, "left_anti").unionByName(wanted)
+
+
+#: Which states of an inbox entry follow which. Fixed values.
+NEXT_STATES = {
+    "queued": ["fetching", "dismissed"], "fetching": ["extracting", "failed", "dismissed"], "extracting": ["ready", "failed", "dismissed"],
+    "failed": ["queued", "dismissed"], "ready": ["saved", "dismissed"],
+}
+
+
+def replayed_states(steps: DataFrame, key: str, order: str, start: str = "queued") -> DataFrame:
+    """key, state, refused: each entry's state after its (key, order, state) steps; a step that may not follow is refused.
+
+    The steps of one entry, a handful, meet in one array and are folded in order.
+    """
+    ahead = F.create_map(*[x for s, n in NEXT_STATES.items() for x in (F.lit(s), F.array(*map(F.lit, n)))])
+    may = lambda a, s: F.coalesce(F.array_contains(F.element_at(ahead, a["state"]), s), F.lit(False))
+    step = lambda a, x: F.struct(
+        F.when(may(a, x["state"]), x["state"]).otherwise(a["state"]).alias("state"), (a["refused"] + F.when(may(a, x["state"]), 0).otherwise(1)).alias("refused")
+    )
+    listed = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "state"))).alias("s"))
+    zero = F.struct(F.lit(start).alias("state"), F.lit(0).alias("refused"))
+    return listed.select(key, F.aggregate("s", zero, step).alias("r")).select(key, "r.state", "r.refused")
+
+
+def purged(timers: DataFrame, now: float, keep: float = 86_400.0) -> DataFrame:
+    """The timers that are still to be kept: unsent ones, and those sent within the last day."""
+    return timers.filter(F.col("sent_at").isNull() | (F.lit(now) - F.col("sent_at") <= keep))
+
+
+def not_listed(rows: DataFrame, column: str, values: list | None) -> DataFrame:
+    """The rows whose column is in none of the values. An empty list keeps no row: ``NOT IN (NULL)`` is never true."""
+    return rows.filter(~F.col(column).isin(values)) if values else rows.limit(0)

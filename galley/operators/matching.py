@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galley.functions.text import jaccard, ratio
 from galley.sources.tables import materialise
 
 
@@ -20,36 +23,56 @@ def shared_word_pairs(a: DataFrame, b: DataFrame, words: str, ids: tuple[str, st
     return met.groupBy(*ids, f"n{ids[0]}", f"n{ids[1]}").agg(F.count("*").alias("both"))
 
 
+def alike_pairs(items: DataFrame, words: str, least: float) -> DataFrame:
+    """(a, b, both, na, nb): pairs of (id, words) rows, a < b, whose Jaccard index is ``least`` or more.
+
+    Words have one order, rare ones first. Two sets that are alike enough share a word among the first few of each, so only these
+    are joined on, and common words, which nearly all share, hardly ever.
+    """
+    distinct = items.select("id", F.array_distinct(words).alias("w"))
+    rank = distinct.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    placed = distinct.select("id", F.explode("w").alias("word")).join(rank, "word").groupBy("id")
+    ordered = materialise(placed.agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o")).select("id", F.col("o.word").alias("w")), "ordered")
+    first = F.size("w") - F.ceil(F.size("w") * F.lit(least)).cast("int") + 1
+    prefix = lambda n: ordered.select(F.col("id").alias(n), F.explode(F.slice("w", F.lit(1), first)).alias("word"))
+    met = prefix("a").join(prefix("b"), "word").filter("a < b").select("a", "b").distinct()
+    side = lambda n: ordered.select(F.col("id").alias(n), F.col("w").alias(f"w{n}"))
+    sized = met.join(side("a"), "a").join(side("b"), "b").select(
+        "a", "b", F.size(F.array_intersect("wa", "wb")).cast("long").alias("both"), F.size("wa").alias("na"), F.size("wb").alias("nb")
+    )
+    return sized.filter(F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both")))
+
+
 def jaccard_of(both: Column, na: Column, nb: Column) -> Column:
     return both / (na + nb - both)
 
 
-def one_to_one(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+def one_to_one(pairs: DataFrame) -> DataFrame:
     """The greedy one-to-one matching of (a, b, score) pairs: best score first, then a, then b.
 
     Each round keeps the pairs that are first for both sides and drops what they touch; under one strict order that is the
-    greedy result. Rounds are few, as every round settles the best pair left of each neighbourhood.
+    greedy result. Rounds go on until no pair is left. The best pair left always wins, so each round settles at least one, and
+    usually the best of every neighbourhood; only a chain in which every score depends on the next takes a round for each pair.
     """
-    left, out = materialise(pairs, "pairs"), None
-    order = [F.desc("score"), F.col("a"), F.col("b")]
-    for _ in range(rounds):
-        first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order))
-        won = materialise(left.withColumns({"ra": first("a"), "rb": first("b")}).filter("ra = 1 and rb = 1").drop("ra", "rb"), "won")
-        if won.isEmpty():
-            break
-        out = won if out is None else out.unionByName(won)
+    left, out = materialise(pairs, "pairs"), []
+    best = lambda key: left.groupBy(F.col(key).alias("k")).agg(F.min(F.struct(-F.col("score"), "a", "b")).alias("best"))
+    while not left.isEmpty():
+        own = F.struct(-F.col("score"), "a", "b")
+        first = left.join(best("a"), F.col("a") == F.col("k")).filter(own == F.col("best")).drop("k", "best")
+        won = materialise(first.join(best("b"), F.col("b") == F.col("k")).filter(own == F.col("best")).drop("k", "best").distinct(), "won")
+        out.append(won)
         left = materialise(left.join(won.select("a"), "a", "left_anti").join(won.select("b"), "b", "left_anti"), "pairs")
-    return pairs.limit(0) if out is None else out
+    return reduce(DataFrame.unionByName, out) if out else pairs.limit(0)
 
 
-def token_overlap(rows: DataFrame, source: Column, found: Column) -> DataFrame:
-    """rows with n_source, n_found and both: sizes of two word lists and of what they share as multisets."""
-    counted = rows.withColumns({"_s": F.array_sort(source), "_f": F.array_sort(found)})
-    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    both = F.aggregate(
-        F.transform(F.array_intersect("_s", "_f"), lambda w: F.least(times(F.col("_s"), w), times(F.col("_f"), w))), F.lit(0), lambda a, x: a + x
+def token_overlap(rows: DataFrame, keys: list[str], source: Column, found: Column) -> DataFrame:
+    """keys, n_source, n_found, both: sizes of two word lists and of what they share as multisets. keys tell the rows apart."""
+    every = F.concat(F.transform(source, lambda w: F.struct(w.alias("w"), F.lit(1).alias("s"))), F.transform(found, lambda w: F.struct(w.alias("w"), F.lit(0).alias("s"))))
+    counted = rows.select(*keys, F.explode_outer(every).alias("e")).groupBy(*keys, "e.w").agg(
+        F.sum("e.s").alias("s"), (F.count("e.s") - F.sum("e.s")).alias("f")
     )
-    return counted.withColumns({"n_source": F.size("_s"), "n_found": F.size("_f"), "both": both}).drop("_s", "_f")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return counted.groupBy(*keys).agg(total("s").alias("n_source"), total("f").alias("n_found"), total(F.least("s", "f")).alias("both"))
 
 
 def f1(both: Column, n_source: Column, n_found: Column) -> Column:
@@ -91,3 +114,69 @@ def same_text_ids(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     nth = Window.partitionBy(key, "text").orderBy("place")
     o = old.select(key, "text", "id", F.row_number().over(nth).alias("_n"))
     return new.withColumn("_n", F.row_number().over(nth)).join(o, [key, "text", "_n"], "left").drop("_n")
+
+
+def near_titles(title: Column, other: Column) -> Column:
+    """How alike two normalised titles are: 1 if equal, 0 if one is empty, else the greater of block ratio and word overlap."""
+    words = lambda c: F.split(c, " ")
+    return F.when((title == "") | (other == ""), 0.0).when(title == other, 1.0).otherwise(F.greatest(ratio(title, other), jaccard(words(title), words(other))))
+
+
+def duplicates(drafts: DataFrame, known: DataFrame, per_draft: int = 5, alike: float = 0.9, least: float = 0.6) -> DataFrame:
+    """(draft, id, reason, score): what each draft may repeat, at most ``per_draft``, the best first.
+
+    Both have id, url, title (normalised) and names (array of ingredient names). The same url scores 1; else a title ratio of
+    ``alike`` is the same title, and one of ``least`` counts if as much of the names is shared. Titles that alike share a run
+    of three letters, so pairs meet by trigrams of titles and not each with each; titles of one or two letters meet by the whole.
+    """
+    gram = lambda c: F.when(F.length(c) < 3, F.array(c)).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3)))
+    )
+    d = drafts.select(F.col("id").alias("draft"), F.col("url").alias("u"), F.col("title").alias("t"), F.col("names").alias("n"))
+    k = known.select("id", "url", "title", "names")
+    met = d.select("draft", F.explode(gram(F.col("t"))).alias("g")).join(k.select("id", F.explode(gram(F.col("title"))).alias("g")), "g")
+    pairs = met.select("draft", "id").union(d.join(k, F.col("u") == F.col("url")).select("draft", "id")).distinct()
+    pairs = pairs.join(d, "draft").join(k, "id")
+    same = F.coalesce(F.col("u") == F.col("url"), F.lit(False))
+    scored = pairs.withColumn("r", ratio("t", "title")).withColumn("j", jaccard(F.col("n"), F.col("names")))
+    reason = F.when(same, "same URL").when(F.col("r") >= alike, "same title").when(
+        (F.col("r") >= least) & (F.col("j") >= least),
+        F.concat(F.lit("similar title, "), F.bround(F.col("j") * 100).cast("int").cast("string"), F.lit("% same ingredients")),
+    )
+    score = F.when(same, 1.0).otherwise(F.round(F.greatest("r", "j"), 3))
+    found = scored.select("draft", "id", reason.alias("reason"), score.alias("score")).filter("reason is not null")
+    place = F.row_number().over(Window.partitionBy("draft").orderBy(F.desc("score"), "id"))
+    return found.withColumn("place", place).filter(F.col("place") <= per_draft)
+
+
+def only_exact(a: DataFrame, b: DataFrame, matched: DataFrame) -> DataFrame:
+    """(a, b): empty rows of b with the title of exactly one row of a, both unmatched, none with another host; in order of b.
+
+    a and b: id, title, host, empty. Rows of b with one title compete for the rows of a in order of id: the first takes the one
+    hit, which leaves none for the next. If two rows of a have the title, no b gets one, until other hosts tell them apart.
+    """
+    left = a.join(matched.select(F.col("a").alias("id")), "id", "left_anti").select(F.col("id").alias("a"), "title", F.col("host").alias("ha"))
+    right = b.filter("empty").join(matched.select(F.col("b").alias("id")), "id", "left_anti").select(F.col("id").alias("b"), "title", F.col("host").alias("hb"))
+    hits = left.join(right, "title").filter("ha is null or hb is null or ha = hb")
+    single = hits.groupBy("b").agg(F.min("a").alias("a"), F.count("*").alias("n")).filter("n = 1")
+    return single.groupBy("a").agg(F.min("b").alias("b"))
+
+
+def pair_class(same_url: Column, title: Column, jaccard: Column, either_empty: Column) -> Column:
+    """What kind of repeat a pair of one source is, the first that holds; null for none."""
+    return (
+        F.when(same_url, "same canonical URL")
+        .when((title >= 0.7) & (jaccard >= 0.7), "title + ingredients (>= 0.7)")
+        .when((title >= 0.7) & either_empty, "same title, one side empty")
+        .when((title >= 0.75) | ((jaccard >= 0.4) & (title >= 0.5)), "possible")
+    )
+
+
+def line_recall(truth: DataFrame, found: DataFrame, key: str, least: float = 0.9) -> DataFrame:
+    """key, n, hit: how many lines of (key, line) have a line of the same key in ``found`` with a ratio of ``least`` or more."""
+    t = truth.select(key, "line", F.monotonically_increasing_id().alias("n"))
+    t = materialise(t, "truth")
+    pairs = t.join(found.select(key, F.col("line").alias("other")), key, "left")
+    close = F.coalesce(F.when(F.col("line") == F.col("other"), 1.0).otherwise(ratio("line", "other")), F.lit(0.0))
+    best = pairs.withColumn("r", close).groupBy(key, "n").agg(F.max("r").alias("best"))
+    return best.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("best") >= least).alias("hit"))

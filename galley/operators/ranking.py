@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galley.sources.tables import materialise
+
 
 def capped_top(rows: DataFrame, group: str, order: list[Column], cap: Column | int, limit: int | None = None) -> DataFrame:
     """At most ``cap`` rows of each group in ``order``, and of those the first ``limit``. The order must have no ties."""
@@ -40,10 +42,23 @@ def keep_last_in_first_place(rows: DataFrame, keys: list[str], place: str) -> Da
     return rows.withColumns({"_n": last, "_at": F.min(place).over(w)}).filter("_n = 1").withColumn(place, F.col("_at")).drop("_n", "_at")
 
 
-def numbered_slugs(rows: DataFrame, base: str, order: list[Column]) -> DataFrame:
-    """rows with slug: the base for the first of each base, base-2 for the second, and so on."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return rows.withColumn("slug", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("-", base, n.cast("string"))))
+def numbered_slugs(rows: DataFrame, base: str, order: str) -> DataFrame:
+    """rows with slug: the base for the first of each base in ``order``, base-2 for the second, and so on; no slug twice.
+
+    A base may itself end like a numbered one (pie-2). Of two rows that come to the same slug the earlier keeps it, and the other
+    and those behind it with its base move on by one; that is repeated until all differ, at least one row settling each time.
+    """
+    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
+    named = lambda df: df.withColumn("slug", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat_ws("-", base, F.col("_n").cast("string"))))
+    out = materialise(named(rows.withColumn("_n", n)), "slugs")
+    while True:
+        twice = out.groupBy("slug").agg(F.min(order).alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
+        lost = out.join(twice, "slug").filter(F.col(order) > F.col("first")).groupBy(base).agg(F.sort_array(F.collect_list("_n")).alias("lost"))
+        lost = materialise(lost, "slugs-lost")
+        if lost.isEmpty():
+            return out.drop("_n")
+        moved = F.coalesce(F.size(F.filter("lost", lambda k: k <= F.col("_n"))), F.lit(0))
+        out = materialise(named(out.join(lost, base, "left").withColumn("_n", F.col("_n") + moved).drop("lost", "slug")), "slugs")
 
 
 def islands(rows: DataFrame, keys: list[str], order: list[Column], is_head: Column) -> DataFrame:
@@ -75,3 +90,37 @@ def first_tier(rows: DataFrame, key: str, tiers: list[Column], order: list[Colum
     """rows in the first tier that holds for them, once for each key, with tier from 0; rows of no tier go."""
     tier = F.coalesce(*[F.when(t, F.lit(n)) for n, t in enumerate(tiers)])
     return keep_first(rows.withColumn("tier", tier).filter("tier is not null"), [key], [F.col("tier"), *order])
+
+
+def claimed(jobs: DataFrame, queue: str, order: list[Column]) -> DataFrame:
+    """The oldest job of each queue with status ``queued``, as a worker claims it."""
+    return keep_first(jobs.filter("status = 'queued'"), [queue], order)
+
+
+def overfetched(rows: DataFrame, order: list[Column], keep: Column, limit: int, times: int = 3, least: int = 30) -> DataFrame:
+    """The first ``limit`` of those that pass ``keep`` among the first ``times`` as many (``least`` or more) in ``order``."""
+    return rows.orderBy(*order).limit(max(limit * times, least)).filter(keep).orderBy(*order).limit(limit)
+
+
+def in_listed_order(value: Column, listed: list[str]) -> Column:
+    """A sort key: the place in a list of values; what is not in it comes last."""
+    place = F.array_position(F.array(*map(F.lit, listed)), value)
+    return F.when(place > 0, place.cast("int")).otherwise(len(listed) + 1)
+
+
+def title_order(title: Column) -> Column:
+    """A sort key for titles: without punctuation in front, regardless of case and accents."""
+    return F.collate(F.regexp_replace(title, r"^[^\p{L}\p{N}]+", ""), "UNICODE_CI_AI")
+
+
+def first_tiers(rows: DataFrame, key: list[str], first: Column, order: list[Column], cap: int) -> DataFrame:
+    """Per key the rows for which ``first`` holds, then the others, each in ``order``, at most ``cap``, with place."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(first.desc(), *order))
+    return rows.withColumn("place", place).filter(F.col("place") <= cap)
+
+
+def line_windows(lines: DataFrame, keys: list[str], place: str, text: str) -> DataFrame:
+    """keys, place, window: each line, and each line with the next one."""
+    after = F.lead(text).over(Window.partitionBy(*keys).orderBy(place))
+    pairs = lines.withColumn("_next", after)
+    return pairs.select(*keys, place, F.explode(F.array_compact(F.array(F.col(text), F.when(F.col("_next").isNotNull(), F.concat_ws(" ", text, "_next"))))).alias("window"))

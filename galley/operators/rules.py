@@ -48,31 +48,12 @@ def affinity(a: DataFrame, b: DataFrame, links: DataFrame, same: float = 0.85) -
     )
 
 
-def pairing_score(compat: Column, complement: Column, contrast: Column, similarity: Column, penalty: Column, votes: Column) -> Column:
-    """How well a dish goes beside another; votes count from -2 to 2."""
-    return compat * 3 + complement * 2 + contrast * 0.8 + similarity * 0.5 - penalty + F.greatest(F.lit(-2), F.least(F.lit(2), votes)) * 0.3
-
-
 def audit(checks: dict[str, DataFrame]) -> DataFrame:
     """(check, bad, ok): for each check how many rows break it."""
     rows = [df.agg(F.count("*").alias("bad")).select(F.lit(name).alias("check"), "bad") for name, df in checks.items()]
     return reduce(DataFrame.unionByName, rows).withColumn("ok", F.col("bad") == 0)
 
 
-def contrast(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """How well b sets off a, from 0 to 1. Keys: richness, acidity, weight (0 to 3), texture (array). The first rule that holds."""
-    soft, crisp = F.array(*map(F.lit, ("creamy", "soft", "tender", "saucy", "stewy"))), F.array(*map(F.lit, ("crisp", "crunchy", "crispy")))
-    has = F.arrays_overlap
-    return (
-        F.when((a["richness"] >= 2) & (b["acidity"] >= 2), 1.0)
-        .when(has(a["texture"], soft) & has(b["texture"], crisp), 0.8)
-        .when((a["weight"] >= 2) & (b["weight"] == 0), 0.7)
-        .when((a["acidity"] >= 2) & (b["richness"] >= 2), 0.6)
-        .when(has(a["texture"], crisp) & has(b["texture"], F.slice(soft, 1, 2)), 0.6)
-        .otherwise(0.0)
-    )
-
-
 def ledger(sources: DataFrame, outcomes: DataFrame, key: str, cascade: list[tuple[str, Column]], default: str) -> DataFrame:
     """Every source row with one outcome: the first of the cascade that holds for it and its outcome row, if any."""
     joined = sources.join(outcomes, key, "left")

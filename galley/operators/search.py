@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley.functions.text import ratio, tokens
 from galley.operators.ranking import fuse
+from galley.sources.tables import materialise
 
 #: Weights of the fields of a document. Fixed values.
 FIELDS = {"title": 5.0, "tags": 3.0, "ingredients": 2.0, "source": 1.0}
@@ -88,14 +90,15 @@ def hybrid(lexical_list: DataFrame, semantic_list: DataFrame, limit: int = 10, l
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents with any of the terms: Okapi BM25 over (id, text).
 
-    One pass counts words and matches of each document without spreading its words out; sums over all documents are one row.
+    One pass counts words and matches of each document without spreading its words out, and writes the counts, which the sums
+    over all documents and the scores then read.
     """
     words = tokens(F.coalesce(F.col("text"), F.lit("")))
-    each = docs.select("id", words.alias("w")).select(
+    each = materialise(docs.select("id", words.alias("w")).select(
         "id",
         F.size("w").alias("size"),
         *[(F.size("w") - F.size(F.array_remove("w", t))).alias(f"tf{k}") for k, t in enumerate(terms)],
-    )
+    ), "terms")
     total = each.agg(
         F.count("*").alias("docs"),
         F.avg("size").alias("mean"),
@@ -108,3 +111,46 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) ->
     )
     found = each.filter(F.greatest(*[tf(k) for k in range(len(terms))], F.lit(0)) > 0)
     return found.crossJoin(F.broadcast(total)).select("id", score.alias("score"))
+
+
+# Words that make a food special, and what they add to its score.
+SPECIAL = "nonfat fat free low reduced light imitation substitute dehydrated frozen canned cooked dried dry smoked cured breaded fried mix prepared".split()
+COOKED = "cooked roasted boiled baked fried grilled canned dried toasted".split()
+
+
+def all_then_any(docs: DataFrame, terms: list[str], fields: dict[str, float], title: str, pool: int = 200, limit: int = 10) -> DataFrame:
+    """(id, tier, score, place): documents with all terms, then those with any, ``limit`` in all.
+
+    Within a tier the ``pool`` best by weighted BM25 (less is better) are scored again: long titles, special forms and brands in
+    capitals lose, a first part of the title that holds a term and raw forms gain. docs: id, the fields and the title.
+    """
+    words = {f: tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields}
+    tf = lambda t: reduce(lambda a, b: a + b, [F.lit(w) * (F.size(words[f]) - F.size(F.array_remove(words[f], t))) for f, w in fields.items()])
+    size = reduce(lambda a, b: a + b, [F.size(w) for w in words.values()])
+    each = docs.select("id", F.col(title).alias("title"), size.alias("size"), *[tf(t).cast("double").alias(f"tf{k}") for k, t in enumerate(terms)])
+    each = materialise(each, "terms")
+    n = range(len(terms))
+    total = each.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in n])
+    idf = lambda k: F.greatest(F.ln((F.col("docs") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)), F.lit(1e-6))
+    part = lambda k: idf(k) * F.col(f"tf{k}") * 2.2 / (F.col(f"tf{k}") + 1.2 * (0.25 + 0.75 * F.col("size") / F.col("mean")))
+    found = reduce(lambda a, b: a + b, [(F.col(f"tf{k}") > 0).cast("int") for k in n])
+    scored = each.crossJoin(F.broadcast(total)).select(  # one row of sums
+        "id", "title", F.round(-reduce(lambda a, b: a + b, [part(k) for k in n]), 9).alias("bm"), found.alias("found")
+    )
+    low = F.lower("title")
+    first = F.regexp_extract(low, "^[^,(]*", 0)
+    said = tokens(F.col("title"))
+    head = reduce(lambda a, b: a | b, [F.contains(first, F.lit(t)) | F.startswith(first, F.lit(t[:4])) for t in terms])
+    special = F.size(F.array_intersect(said, F.array(*[F.lit(w) for w in SPECIAL if w not in terms])))
+    again = (
+        F.col("bm") + 0.04 * F.length("title") + 1.5 * special + F.when(head, -1.5).otherwise(0.0)
+        + F.when(F.array_contains(said, "raw") & F.lit(not set(terms) & set(COOKED)), -1.0).otherwise(0.0)
+        + F.when(F.rlike("title", F.lit(r"\b[A-Z][A-Z'&]{2,}\b")), 2.0).otherwise(0.0)
+    )
+    tiers = [scored.filter(F.col("found") == len(terms)), scored.filter((F.col("found") > 0) & (F.col("found") < len(terms)))]
+    best = reduce(
+        DataFrame.unionByName,
+        [t.orderBy("bm", "id").limit(pool).select("id", F.lit(k).alias("tier"), F.round(again, 6).alias("score")) for k, t in enumerate(tiers)],
+    )
+    order = Window.orderBy("tier", "score", "id")  # at most two pools of rows
+    return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)

@@ -164,21 +164,18 @@ def hash_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.hash_quota(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 3)
 
 
-@query("""WITH k AS (SELECT o_orderkey AS id, o_orderpriority AS title, p.p_name AS key, (p.p_size <= 20 OR p.p_type ILIKE 'small%') AS have
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part p ON p_partkey = l_partkey)
-SELECT id, title, count(DISTINCT key) FILTER (WHERE NOT have) AS to_buy_count,
-round_even(count(DISTINCT key) FILTER (WHERE NOT have) * 100.0 / greatest(count(DISTINCT key), 1), 0)::INT AS percent_to_buy FROM k GROUP BY 1, 2""")
+@query("""WITH k AS (SELECT o_orderkey AS id, o_orderpriority AS title, p.p_name AS key, bool_and(p.p_size <= 20 OR p.p_type ILIKE 'small%') AS have
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part p ON p_partkey = l_partkey GROUP BY 1, 2, 3)
+SELECT id, title, count(*) FILTER (WHERE NOT have) AS to_buy_count,
+round_even(count(*) FILTER (WHERE NOT have) * 100.0 / count(*), 0)::INT AS percent_to_buy FROM k GROUP BY 1, 2""")
 def coverage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each order's parts, how many are not at hand; small ones are."""
+    """Of each order's parts, how many are not at hand; a name is if all its parts are small ones."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey")
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("key"), ((F.col("p_size") <= 20) | F.ilike("p_type", F.lit("small%"))).alias("have")
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"))
-    got = lines.join(part, "l_partkey").join(orders, "id").groupBy("id", "title").agg(
-        F.count_distinct(F.when(~F.col("have"), F.col("key"))).alias("to_buy_count"), F.count_distinct("key").alias("keys")
-    )
-    return got.select("id", "title", "to_buy_count", F.bround(F.col("to_buy_count") * 100 / F.greatest("keys", F.lit(1))).cast("int").alias("percent_to_buy"))
+    return coverage.missing_share(lines.join(part, "l_partkey").join(orders, "id"))
 
 
 _UNITS = {"A": "cup", "N": "tbsp", "R": "lb"}
@@ -338,33 +335,41 @@ def site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH w AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark),
 e AS (SELECT id, len(w) AS n, unnest(w) AS word FROM w)
-SELECT a.id AS a, b.id AS b, round(count(*) / (a.n + b.n - count(*))::DOUBLE, 9) AS jaccard FROM e a JOIN e b ON a.word = b.word AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n""")
+SELECT a.id AS a, b.id AS b, round(count(*) / (a.n + b.n - count(*))::DOUBLE, 9) AS jaccard FROM e a JOIN e b ON a.word = b.word AND a.id < b.id
+GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.2 * (a.n + b.n - count(*))""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(text.tokens(F.col("text"))).alias("words"))
-    pairs = matching.shared_word_pairs(items, items, "words", same=True)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), text.tokens(F.col("text")).alias("words"))
+    pairs = matching.alike_pairs(items, "words", 0.2)
     return pairs.select("a", "b", F.round(matching.jaccard_of(F.col("both"), F.col("na"), F.col("nb")), 9).alias("jaccard"))
 
 
 @query()
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers of a nation, matched one to one by the nearest balance."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), "c_nationkey", "c_acctbal")
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("b"), "s_nationkey", "s_acctbal")
-    pairs = c.join(s, F.col("c_nationkey") == F.col("s_nationkey"))
-    near = pairs.filter(F.abs(F.col("c_acctbal") - F.col("s_acctbal")) < 500)
+    """Customers and suppliers of a nation, matched one to one by the nearest balance, less than 500 apart.
+
+    They meet by bands of 500: each customer its own band and the two beside it.
+    """
+    band = lambda c: F.floor(F.col(c) / 500)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("nation"), "c_acctbal", band("c_acctbal").alias("own"))
+    c = c.withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("nation"), "s_acctbal", band("s_acctbal").alias("band"))
+    near = c.join(s, ["nation", "band"]).filter(F.abs(F.col("c_acctbal") - F.col("s_acctbal")) < 500)
     return matching.one_to_one(near.select("a", "b", (-F.abs(F.col("c_acctbal") - F.col("s_acctbal"))).alias("score")))
 
 
-@query("""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS s, regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+') AS f FROM benchmark),
-cs AS (SELECT item_id, x, count(*) AS n FROM (SELECT item_id, unnest(s) AS x FROM w) GROUP BY 1, 2), cf AS (SELECT item_id, x, count(*) AS n FROM (SELECT item_id, unnest(f) AS x FROM w) GROUP BY 1, 2),
-b AS (SELECT cs.item_id, sum(least(cs.n, cf.n))::INT AS shared FROM cs JOIN cf USING (item_id, x) GROUP BY 1)
-SELECT item_id, len(s)::INT AS n_source, len(f)::INT AS n_found, coalesce(shared, 0) AS "both", round(2.0 * coalesce(shared, 0) / (len(s) + len(f)), 9)::DOUBLE AS f1 FROM w LEFT JOIN b USING (item_id)""")
+@query("""WITH w AS (SELECT c.conv_id, c.turn, regexp_extract_all(lower(p.text), '[a-z0-9]+') AS s, regexp_extract_all(lower(c.text), '[a-z0-9]+') AS f FROM conversations c
+JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1),
+e AS (SELECT conv_id, turn, w, sum(s) AS s, sum(1 - s) AS f FROM (SELECT conv_id, turn, unnest(s) AS w, 1 AS s FROM w UNION ALL SELECT conv_id, turn, unnest(f), 0 FROM w) GROUP BY 1, 2, 3),
+b AS (SELECT conv_id, turn, sum(s) AS s, sum(f) AS f, sum(least(s, f)) AS both FROM e GROUP BY 1, 2)
+SELECT w.conv_id, w.turn, coalesce(b.s, 0)::BIGINT AS n_source, coalesce(b.f, 0)::BIGINT AS n_found, coalesce(b.both, 0)::BIGINT AS "both",
+round(CASE WHEN coalesce(b.s + b.f, 0) = 0 THEN 0 ELSE 2.0 * b.both / (b.s + b.f) END, 9)::DOUBLE AS f1 FROM w LEFT JOIN b USING (conv_id, turn)""")
 def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark")
-    got = matching.token_overlap(rows, text.tokens(F.col("text")), text.tokens(F.substring("text", 1, 200)))
-    return got.select(
-        "item_id", "n_source", "n_found", "both", F.round(matching.f1(F.col("both"), F.col("n_source"), F.col("n_found")), 9).alias("f1")
-    )
+    """Each turn of a conversation against the turn before, both whole."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    words = lambda c: F.coalesce(text.tokens(F.col(c)), F.array().cast("array<string>"))
+    got = matching.token_overlap(turns.join(before, ["conv_id", "turn"]), ["conv_id", "turn"], words("before"), words("text"))
+    return got.withColumn("f1", F.round(matching.f1(F.col("both"), F.col("n_source"), F.col("n_found")), 9))
 
 
 _SECTIONS = [("moving", ["gear", "wheel", "bolt"]), ("warm", ["hot", "red"]), ("small", ["small", "mini"])]
@@ -455,11 +460,11 @@ def due_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (SELECT o_orderkey,
-trim(regexp_replace(lower(o_orderpriority || ' ' || o_orderstatus), '[^a-z0-9]+', '-', 'g'), '-') AS base, row_number() OVER (PARTITION BY base ORDER BY o_orderkey) AS n FROM orders)""")
+trim(regexp_replace(lower(o_orderpriority || ' ' || o_orderstatus || ' of ' || o_custkey), '[^a-z0-9]+', '-', 'g'), '-') AS base, row_number() OVER (PARTITION BY base ORDER BY o_orderkey) AS n FROM orders)""")
 def numbered_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Salted twice would be needed only if one title held most rows; a base here is one of a few dozen."""
-    base = text.slug(F.concat_ws(" ", "o_orderpriority", "o_orderstatus"))
-    return ranking.numbered_slugs(table(spark, sf_dir, "orders").select("o_orderkey", base.alias("base")), "base", [F.col("o_orderkey")]).drop("base")
+    """Titles of orders, which name the customer, so that no title holds many of them."""
+    base = text.slug(F.concat_ws(" ", "o_orderpriority", "o_orderstatus", F.lit("of"), "o_custkey"))
+    return ranking.numbered_slugs(table(spark, sf_dir, "orders").select("o_orderkey", base.alias("base")), "base", "o_orderkey").drop("base")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM lineitem""")
@@ -499,26 +504,41 @@ def capped_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.capped_tags(tags, {k: {"click": 4, "view": 2}.get(k, 1) for k in kinds})
 
 
-_LINES = ["1 1/2 cups flour, sifted", "2-3 cloves garlic, minced", "½ tsp. salt", "1 lb ground beef", "salt to taste", "3 large eggs"]
-
-
-@query("""SELECT * FROM (VALUES ('1 1/2 cups flour, sifted', 1.5, 'cups', 'flour', 354.885), ('2-3 cloves garlic, minced', 3.0, 'clove', 'garlic', 3.0), ('½ tsp. salt', 0.5, 'tsp', 'salt', 2.4645),
-('1 lb ground beef', 1.0, 'lb', 'ground beef', 453.59), ('salt to taste', NULL, NULL, 'salt', NULL), ('3 large eggs', 3.0, NULL, 'eggs', 3.0)) t(line, quantity, unit, food, base)""")
+@query("""WITH l AS (SELECT p_partkey, p_size // 4 AS w, p_size % 4 AS f, CASE p_type WHEN 'SMALL' THEN 'tsp.' WHEN 'LARGE' THEN 'cups' WHEN 'PROMO' THEN 'lb' WHEN 'MEDIUM' THEN 'cloves' ELSE 'big' END AS u, p_name FROM part)
+SELECT p_partkey, CASE WHEN w = 0 AND f = 0 THEN NULL ELSE w + f / 4 END::DOUBLE AS quantity, CASE WHEN w = 0 AND f = 0 THEN NULL ELSE CASE u WHEN 'tsp.' THEN 'tsp' WHEN 'cloves' THEN 'clove' WHEN 'big' THEN NULL ELSE u END END AS unit,
+CASE WHEN u = 'big' THEN 'big ' ELSE '' END || p_name AS food,
+round((CASE WHEN w = 0 AND f = 0 THEN NULL ELSE w + f / 4 END * CASE u WHEN 'tsp.' THEN 4.929 WHEN 'cups' THEN 236.59 WHEN 'lb' THEN 453.59 ELSE 1 END)::DOUBLE, 4) AS base FROM l""")
 def quantity_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = amounts.parse_amount(F.col("line"))
-    rows = spark.createDataFrame([(x,) for x in _LINES], "line string").withColumn("p", parsed)
-    return rows.select(
-        "line", "p.quantity", "p.unit", amounts.food_key(F.col("line")).alias("food"), F.round(F.col("p.quantity") * amounts.family(F.col("p.unit"))["per"], 4).alias("base")
-    )
-
-
-@query("""SELECT * FROM (VALUES ('PT1H5M', 65), ('1 hr 20 mins', 80), ('P1D', 1440), ('overnight', NULL), ('PT0S', NULL)) t(duration, minutes)""")
+    """Parts as ingredient lines: quarters of their size, a unit by their type, their name and a remark."""
+    whole, part = F.floor(F.col("p_size") / 4), F.col("p_size") % 4
+    shown = F.concat_ws(" ", F.when(whole > 0, whole.cast("string")), amounts.lookup({1: "1/4", 2: "½", 3: "3/4"}, part))
+    unit = F.coalesce(amounts.lookup({"SMALL": "tsp.", "LARGE": "cups", "PROMO": "lb", "MEDIUM": "cloves"}, F.col("p_type")), F.lit("big"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(shown, F.lit(" "), unit, F.lit(" "), F.col("p_name"), F.lit(", divided")).alias("line"))
+    rows = rows.withColumn("p", amounts.parse_amount(F.col("line")))
+    base = F.round(F.col("p.quantity") * amounts.family(F.col("p.unit"))["per"], 4)
+    return rows.select("p_partkey", "p.quantity", "p.unit", amounts.food_key(F.col("line")).alias("food"), base.alias("base"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN m > 0 THEN m END::INT AS minutes FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN (o_custkey % 30) * 60 + o_orderkey % 60
+WHEN 1 THEN (o_custkey % 30) * 60 + o_orderkey % 60 WHEN 2 THEN (o_custkey % 9) * 1440 END AS m FROM orders)""")
 def duration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("PT1H5M", "1 hr 20 mins", "P1D", "overnight", "PT0S")], "duration string")
-    return rows.withColumn("minutes", durations.duration_minutes(F.col("duration")))
+    """Keys of orders as durations: ISO 8601, words, days, and a text that is none."""
+    h, m = (F.col("o_custkey") % 30).cast("string"), (F.col("o_orderkey") % 60).cast("string")
+    said = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("PT"), h, F.lit("H"), m, F.lit("M")))
+        .when(F.col("o_orderkey") % 4 == 1, F.concat(h, F.lit(" hrs "), m, F.lit(" minutes")))
+        .when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("P"), (F.col("o_custkey") % 9).cast("string"), F.lit("D")))
+        .otherwise(F.lit("overnight"))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", durations.duration_minutes(said).alias("minutes"))
 
 
-@query()
+@query("""WITH l AS (SELECT conv_id AS id, role AS title, trim(unnest(string_split(lower(text), chr(10))), chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS key FROM conversations),
+s AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+')) AS w FROM documents),
+k AS (SELECT DISTINCT key FROM l), w AS (SELECT key, unnest(regexp_split_to_array(key, '[\\x20\\x09-\\x0D]+')) AS w FROM k),
+h AS (SELECT key FROM w SEMI JOIN s USING (w) WHERE w <> '' UNION SELECT key FROM k WHERE key IN ('', 'water', 'ice')),
+d AS (SELECT DISTINCT id, title, key, key IN (SELECT key FROM h) AS have FROM l)
+SELECT id, title, count(*) FILTER (WHERE NOT have) AS to_buy_count, round_even(count(*) FILTER (WHERE NOT have) * 100.0 / count(*), 0)::INT AS percent_to_buy FROM d GROUP BY 1, 2""")
 def staple_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as recipes, the lines of their turns as lines, against all words of the documents as staples."""
     line = F.explode(F.split(F.lower("text"), "\n", -1))
@@ -529,13 +549,15 @@ def staple_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.coverage(lines, staples)
 
 
-@query("""SELECT s.s_suppkey::BIGINT AS a, c.c_custkey AS b, CASE WHEN s.s_suppkey IS NULL THEN 'b' WHEN c.c_custkey IS NULL THEN 'a' ELSE 'both' END AS source,
+@query("""SELECT s.s_suppkey AS a, c.c_custkey AS b, CASE WHEN s.s_suppkey IS NULL THEN 'b' WHEN c.c_custkey IS NULL THEN 'a' ELSE 'both' END AS source,
 coalesce(s.s_name, c.c_name) AS name, least(s.s_acctbal, c.c_acctbal) AS low, greatest(s.s_acctbal, c.c_acctbal) AS high
-FROM (SELECT * FROM supplier WHERE s_suppkey % 7 <> 0) s FULL JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) c ON s.s_suppkey = c.c_custkey AND s.s_suppkey % 3 = 0""")
+FROM supplier s FULL JOIN customer c ON split_part(s.s_name, '#', 2) = split_part(c.c_name, '#', 2) AND s.s_nationkey % 5 = c.c_nationkey % 5""")
 def record_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey % 7 <> 0").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("low"), F.col("s_acctbal").alias("high"))
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("low"), F.col("c_acctbal").alias("high"))
-    pairs = s.join(c.select("id"), "id").filter("id % 3 = 0").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    """All suppliers and all customers, those of one number and region as one record."""
+    number = lambda c: F.element_at(F.split(c, "#"), 2).alias("number")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), number("s_name"), (F.col("s_nationkey") % 5).alias("r"), F.col("s_acctbal").alias("low"), F.col("s_acctbal").alias("high"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), number("c_name"), (F.col("c_nationkey") % 5).alias("r"), F.col("c_acctbal").alias("low"), F.col("c_acctbal").alias("high"))
+    pairs = s.select(F.col("id").alias("a"), "number", "r").join(c.select(F.col("id").alias("b"), "number", "r"), ["number", "r"]).select("a", "b")
     return matching.fused(s, c, pairs, ["name"], ["low"], ["high"])
 
 
