@@ -18,10 +18,12 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,13 @@ HINTS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 READERS = frozenset("comment comments disqus reply replies respond related recommended".split())
 ROOTS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Longer paths have a hash for their beginning.
+PATH = 400
+#: Two streams of more cells than this are aligned between the items that either has once.
+CELLS = 1_000_000
+#: An expression of more items has its repeats folded again.
+LONG_FORM = 64
 #: A slot is the host's own text if so many different pages have it and all say the same.
 SAME_ON = 3
 #: Pages with the same longest blocks are copies of one, whatever date or counter they differ in.
@@ -78,14 +87,38 @@ def attributes(rest: str) -> tuple[str, str]:
     return hint, first
 
 
+def entered(where: tuple[str, bool], tag: str, hint: str) -> tuple[str, bool]:
+    """Where an element's content stands, from where it is itself: ``article``, ``heading``, ``body``, ``readers`` or ``out``,
+    and whether an article's root is open."""
+    state, root = where
+    if tag in ROOTS and hint not in READERS and (state != "out" or not root):
+        return ("article", True) if state != "readers" else where
+    if hint in READERS:
+        state = "readers"
+    elif tag in OUTSIDE or hint and tag not in ("html", "body") or tag == "header" and not root:
+        state = "out" if state != "readers" else state
+    elif tag == "header":
+        state = "heading" if state == "article" else state
+    elif state == "heading" and tag in HEADINGS:
+        state = "article"
+    return state, root
+
+
+def place(path: str) -> str:
+    """Where a block's path stands: ``article``, ``body``, or ``out`` for what is not the article."""
+    return path.partition(" ")[0]
+
+
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(path, text, characters in links) of each block with text, in page order.
 
-    An element's part of the path is its name, its first class and, behind a ``!``, the hint that rules it out. Elements are
-    closed as browsers do for paragraphs, list items and table cells left open; an end tag without its start is ignored.
+    A path is the block's place, a space and its elements. An element's part is its name, its first class and, behind a ``!``, the
+    hint that rules it out; the parts of deep nesting are a hash, so a path has a bounded length. Elements are closed as browsers
+    do for paragraphs, list items and table cells left open; an end tag without its start is ignored.
     """
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, tuple[str, bool]]] = []
+    open_: Counter[str] = Counter()
     buffer: list[str] = []
     linked, in_link = 0, False
 
@@ -94,10 +127,16 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                out.append(("/".join(e for _, e in stack), text, linked))
+                path, (state, _) = stack[-1][1:] if stack else ("", ("body", False))
+                out.append((f"{'out' if state in ('readers', 'heading') else state} {path}", text, linked))
             buffer.clear()
         linked = 0
 
+    def cut(at: int) -> None:
+        for tag, _, _ in stack[at:]:
+            open_[tag] -= 1
+        del stack[at:]
+
     for m in TOKENS.finditer(page):
         if (text := m["text"]) is not None:
             buffer.append(text)
@@ -114,61 +153,41 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             continue
         block = tag in BLOCKS
         if m["end"]:
-            if block or tag == "span" or any(t == tag for t, _ in stack):
-                if any(t == tag for t, _ in stack):
-                    flush()
-                    while stack.pop()[0] != tag:
-                        pass
-                elif block:
-                    flush()
+            if open_[tag]:
+                flush()
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+            elif block:
+                flush()
             continue
         rest = m["rest"]
         hint, first = attributes(rest) if rest else ("", "")
         if block:
             flush()
-            if tag in CLOSES_P and stack and any(t == "p" for t, _ in stack):
-                at = max(k for k, (t, _) in enumerate(stack) if t == "p")
-                del stack[at:]
+            if tag in CLOSES_P and open_["p"]:
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"))
             if tag in ("li", "td", "th", "tr", "dd", "dt", "option"):
                 inner = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "option": ("select",)}.get(tag, ("tr", "table"))
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in inner:
                         break
                     if stack[k][0] == tag or tag in ("td", "th", "dd", "dt") and stack[k][0] in ("td", "th", "dd", "dt"):
-                        del stack[k:]
+                        cut(k)
                         break
         if tag in VOID:
             continue
         if block or hint or tag == "span" or tag in OUTSIDE:
             if hint and not block:
                 flush()
-            stack.append((tag, tag + (f".{first}" if first else "") + (f"!{hint}" if hint else "")))
+            above, where = stack[-1][1:] if stack else ("", ("body", False))
+            element = tag + (f".{first}" if first else "") + (f"!{hint}" if hint else "")
+            if len(above) > PATH:
+                above = f"#{hashed(above):08x}"
+            stack.append((tag, f"{above}/{element}", entered(where, tag, hint)))
+            open_[tag] += 1
     flush()
     return out
 
 
-@lru_cache(100_000)
-def place(path: str) -> str:
-    """Where a path stands: ``article``, ``body``, or ``out`` for what is not the article."""
-    state, root = "body", False
-    for element in path.split("/"):
-        tag, _, hint = element.partition("!")
-        tag = tag.partition(".")[0]
-        if tag in ROOTS and hint not in READERS and (state != "out" or not root):
-            if state != "readers":
-                state, root = "article", True
-            continue
-        if hint in READERS:
-            state = "readers"
-        elif tag in OUTSIDE or hint and tag not in ("html", "body") or tag == "header" and not root:
-            state = "out" if state != "readers" else state
-        elif tag == "header":
-            state = "heading" if state == "article" else state
-        elif state == "heading" and re.fullmatch("h[1-6]|hgroup", tag):
-            state = "article"
-    return "out" if state in ("readers", "heading") else state
-
-
 # Expressions are lists of items: a path, ["+", items] for a repeated group, ["?", items] for an optional one.
 
 
@@ -233,17 +252,62 @@ def marks_of(item: object) -> list[str]:
     return out
 
 
+def anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Pairs of places of what either list has exactly once, rising in both: the longest such run, by patience sorting."""
+    ca, cb = Counter(a), Counter(b)
+    at = {x: j for j, x in enumerate(b) if cb[x] == 1}
+    pairs = [(i, at[x]) for i, x in enumerate(a) if ca[x] == 1 and x in at]
+    tails: list[int] = []
+    ends: list[int] = []
+    back = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        n = bisect_left(ends, j)
+        back[k] = tails[n - 1] if n else -1
+        tails[n : n + 1], ends[n : n + 1] = [k], [j]
+    out, k = [], tails[-1] if tails else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def parts(a: list, b: list) -> Iterator[tuple[int, int, int, int]]:
+    """(i, j, k, l): stretches a[i:j] and b[k:l] to align on their own; one pair of whole lists unless that is too much."""
+    if len(a) * len(b) <= CELLS:
+        yield 0, len(a), 0, len(b)
+        return
+    i = k = 0
+    for x, y in [*anchors(a, b), (len(a), len(b))]:
+        yield i, x, k, y
+        if x < len(a):
+            yield x, x + 1, y, y + 1
+        i, k = x + 1, y + 1
+
+
 def aligned(a: list, b: list) -> list:
-    """The expression of two: their longest common sequence, with what either lacks as optional groups."""
+    """The expression of two: their longest common sequence, with what either lacks as optional groups.
+
+    Very long streams are aligned between anchors; what is too long even there has nothing in common.
+    """
     if a == b:
         return a
     ka, kb = [core(x) for x in a], [core(x) for x in b]
+    out: list = []
+    for i, j, k, n in parts(ka, kb):
+        out += stretch(a[i:j], b[k:n], ka[i:j], kb[k:n])
+    return folded(out) if len(out) > LONG_FORM else out
+
+
+def stretch(a: list, b: list, ka: list, kb: list) -> list:
+    optional = lambda x: x if isinstance(x, list) and x[0] == "?" else ["?", [x]]
+    if len(a) * len(b) > CELLS:
+        return [optional(x) for x in (*a, *b)]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
+        row, below, mine = best[i], best[i + 1], ka[i]
         for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
+            row[j] = below[j + 1] + 1 if mine == kb[j] else max(below[j], row[j + 1])
     out, i, j = [], 0, 0
-    optional = lambda x: x if isinstance(x, list) and x[0] == "?" else ["?", [x]]
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and ka[i] == kb[j]:
             out.append(marked(a[i], b[j]))
@@ -268,24 +332,35 @@ def matched(paths: list[str], form: list, cores: list | None = None) -> list[int
     at = list(range(len(own)))
     if own != cores:
         worth = [1 + ("?" not in marks_of(x)) for x in form]
-        best = [[0] * (len(form) + 1) for _ in range(len(own) + 1)]
-        for i in range(len(own) - 1, -1, -1):
-            row, below, mine = best[i], best[i + 1], own[i]
-            for j in range(len(form) - 1, -1, -1):
-                most = max(below[j], row[j + 1])
-                row[j] = max(most, below[j + 1] + worth[j]) if cores[j] == mine else most
-        at, i, j = [-1] * len(own), 0, 0
-        while i < len(own) and j < len(form):
-            if cores[j] == own[i] and best[i][j] == best[i + 1][j + 1] + worth[j]:
-                at[i] = j
-                i, j = i + 1, j + 1
-            elif best[i][j] == best[i][j + 1]:
-                j += 1
-            else:
-                i += 1
+        at = []
+        for i, j, k, n in parts(own, cores):
+            at += [x if x < 0 else x + k for x in places(own[i:j], cores[k:n], worth[k:n])]
     return [k for k, n in zip(at, sizes, strict=True) for _ in range(n)]
 
 
+def places(own: list, cores: list, worth: list[int]) -> list[int]:
+    """For each item of a page its place in an expression, or -1, with the greatest worth in all."""
+    at = [-1] * len(own)
+    if len(own) * len(cores) > CELLS:
+        return at
+    best = [[0] * (len(cores) + 1) for _ in range(len(own) + 1)]
+    for i in range(len(own) - 1, -1, -1):
+        row, below, mine = best[i], best[i + 1], own[i]
+        for j in range(len(cores) - 1, -1, -1):
+            most = max(below[j], row[j + 1])
+            row[j] = max(most, below[j + 1] + worth[j]) if cores[j] == mine else most
+    i = j = 0
+    while i < len(own) and j < len(cores):
+        if cores[j] == own[i] and best[i][j] == best[i + 1][j + 1] + worth[j]:
+            at[i] = j
+            i, j = i + 1, j + 1
+        elif best[i][j] == best[i][j + 1]:
+            j += 1
+        else:
+            i += 1
+    return at
+
+
 class Matcher:
     """Matches pages against one host's expression; streams seen before are not matched again."""
 
@@ -385,7 +460,7 @@ def expressions(pages: DataFrame) -> DataFrame:
 
 def rows_of(found: dict) -> Iterator[pd.DataFrame]:
     if found:
-        salt = zlib.crc32("".join(found).encode()) % 64
+        salt = TaskContext.get().partitionId() % 64
         yield pd.DataFrame({"host": list(found), "salt": salt, "wrapper": [json.dumps(w) for w in found.values()]})
 
 
@@ -441,7 +516,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of each (page_id, url, html) row; text is empty for null html or if nothing is left.
 
     The host is the url's, in lower case; rows whose url is null or has none share one wrapper. Character references are decoded,
-    white space in a block becomes one space, and blocks are joined by line ends. Repeated rows stay; other columns are ignored.
+    white space in a block becomes one space, and blocks are joined by line ends. Repeated rows stay; other columns are ignored,
+    whatever their names. An empty table gives no rows.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     held = pages.select("page_id", "url", "html", host.alias("host"))
