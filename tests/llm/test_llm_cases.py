@@ -234,3 +234,199 @@ def test_entry_without_the_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True)
     assert said.returncode == 0 and int(said.stdout.split()[0]) > 40
+
+
+def test_entry_with_the_pipeline_left(tmp_path):
+    """The pipeline alone does not hide the other queries, and a missing package is not taken for a missing folder."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parents[2]
+    shutil.copytree(root / "galley", tmp_path / "galley", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path)
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    said = run("import __spark_entry__ as e; print(len(e.queries()))")
+    assert said.returncode == 0 and int(said.stdout) > 90
+    shutil.copytree(root / "galley" / "llm", tmp_path / "galley" / "llm")
+    said = run("import sys; sys.modules['regex'] = None\nimport __spark_entry__")
+    assert said.returncode != 0 and "regex" in said.stderr
+
+
+def test_odd_pages(spark):
+    kind = "page_id long, url string, html string, text string, host string, wrapper string, salt int"
+    deep = "<div>" * 3000 + "deep" + "<p>y</p>" * 2000
+    rows = [
+        (1, "http://h.org/1", None, "t", "h", "w", 1), (2, "http://h.org/2", "", "t", "h", "w", 1), (None, None, "<p>null url", "t", "h", "w", 1),
+        (4, "no host", "<p>a &lt; b</p>", "t", "h", "w", 1), (4, "no host", "<p>a &lt; b</p>", "t", "h", "w", 1), (5, "http://d.org/", deep, "t", "h", "w", 1),
+        (6, "HTTP://H.org/3", "<p>x<script>no</script> \n y", "t", "h", "w", 1),
+    ]
+    got = wrappers.extract(spark.createDataFrame(rows, kind).repartition(3)).collect()
+    text = {(r["page_id"], r["url"]): r["text"] for r in got}
+    assert len(got) == len(rows) and text[1, "http://h.org/1"] == text[2, "http://h.org/2"] == ""
+    assert text[4, "no host"] == "a < b" and text[None, None] == "null url" and text[6, "HTTP://H.org/3"] == "x y"
+    assert text[5, "http://d.org/"] == "\n".join(["deep"] + ["y"] * 2000)
+    assert wrappers.extract(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_pages_without_article_or_hints(spark):
+    """Class names say nothing here; what all pages of the host say, and lists of links, are not the article."""
+    page = "<div class=q1><a href=/a>One</a> <a href=/b>Two</a></div><div class=q2><h2>T{0}</h2><p>Body number {0}.</p>{1}</div><div class=q3>Made by us</div>"
+    pages = [page.format(k, f"<p>More {k}</p>" * (k % 2)) for k in range(6)]
+    assert extracted(spark, pages) == ["\n".join([f"T{k}", f"Body number {k}."] + [f"More {k}"] * (k % 2)) for k in range(6)]
+
+
+def test_alignment_is_a_longest_common_sequence():
+    import itertools
+
+    random.seed(17)
+    for _ in range(150):
+        a, b = (random.choices("abcde", k=random.randint(0, 7)) for _ in range(2))
+        common = max(n for n in range(len(a) + 1) for x in itertools.combinations(a, n) if n == 0 or is_part(x, b))
+        got = wrappers.aligned(a, b)
+        assert sum(not isinstance(x, list) for x in got) == common
+        for own in (a, b):
+            assert [x for x in got if not isinstance(x, list)] == [x for x in got if x in own and not isinstance(x, list)]
+            assert is_part(own, [x[1][0] if isinstance(x, list) else x for x in got])
+
+
+def is_part(a, b):
+    rest = iter(b)
+    return all(x in rest for x in a)
+
+
+def test_long_streams_are_aligned_between_anchors():
+    a = [f"a{k}" for k in range(1500)]
+    b = [x for k, x in enumerate(a) if k % 10] + ["end"]
+    got = wrappers.aligned(a, b)
+    assert sum(not isinstance(x, list) for x in got) == len(b) - 1
+    assert wrappers.matched(b[:-1], a) == [k for k in range(1500) if k % 10]
+
+
+def test_kneser_ney_against_plain_python():
+    """Ratios of two classes from the definition: bigram, shared bigram, continuation count, shared continuation count."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    random.seed(19)
+    words = ["w" + c for c in "abcdefgh"]
+    texts = [[random.choice(words[: 8 - 3 * y]) for _ in range(12)] for y in (0, 1) for _ in range(6)]
+    label = [0] * 6 + [1] * 6
+    known = {int(h): k + 2 for k, h in enumerate(np.sort(toxicity.word_hashes([" ".join(words)])[0]))}
+    number = {w: known[int(toxicity.word_hashes([w])[0][0])] for w in words}
+    size, counts = len(words) + 2, [Counter(), Counter()]
+    for t, y in zip(texts, label):
+        for before, w in zip([1, *[number[x] for x in t]], [number[x] for x in t]):
+            counts[y][before, w] += 1
+    packed = [((y * size + a) * size + b, n) for y in (0, 1) for (a, b), n in counts[y].items()]
+    model = toxicity.smoothed(np.sort(np.array(list(known), np.uint64)), np.array([p for p, _ in packed]), np.array([float(n) for _, n in packed]))
+    D = toxicity.DISCOUNT
+    kinds = sorted(set(counts[0]) | set(counts[1]))
+    raw = {w: sum(any(b == w for _, b in counts[c]) for c in (0, 1)) + 0.01 for w in range(size)}
+    shared = {w: v / sum(raw.values()) for w, v in raw.items()}
+    both = {k: (k in counts[0]) + (k in counts[1]) for k in kinds}
+    total = Counter()
+    for (a, _), n in both.items():
+        total[a] += n
+
+    def probability(c, a, w):
+        after = Counter(b for _, b in counts[c])
+        n = sum(after.values())
+        own = max(after[w] - D, 0) / n + D * len(after) / n * shared[w]
+        pooled = max(both.get((a, w), 0) - D, 0) / max(total[a], 1)
+        rest = 1 - sum(max(v - D, 0) / max(total[a], 1) for (x, _), v in both.items() if x == a)
+        seen = sum(v for (x, _), v in counts[c].items() if x == a)
+        direct = max(counts[c][a, w] - D, 0) / max(seen, 1)
+        left = 1 - sum(max(v - D, 0) / max(seen, 1) for (x, _), v in counts[c].items() if x == a)
+        return direct + left * (pooled + rest * own)
+
+    for k, (a, w) in enumerate(kinds):
+        assert model.ratio[k] == pytest.approx(math.log(probability(1, a, w) / probability(0, a, w)), abs=1e-4)
+
+
+def test_fingerprint_features_against_plain_python():
+    """Entropy of each window, points of the rarest of each run, and chosen windows, one at a time."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    random.seed(23)
+    texts = [bytes(random.choices(b"abcdefghij klmn op\n", k=n)) for n in (64, 100, 180, 260)] + [b"ab" * 90]
+    W, R = digest.WIDTH, digest.RUN
+
+    def classes(t):
+        out = []
+        for k in range(len(t) - W + 1):
+            entropy = -sum(n / W * math.log2(n / W) for n in Counter(t[k : k + W]).values())
+            out.append(digest.CLASSES * entropy / math.log2(W))
+        return out
+
+    for t in texts:
+        got = digest.entropy_classes(np.frombuffer(t, np.uint8))
+        assert all(abs(a - b) <= 1.01 for a, b in zip(got, classes(t), strict=True))
+    ranks = digest.ranks_of(digest.class_counts(texts))
+    for t in texts:
+        key = [(int(ranks[c]), k) for k, c in enumerate(digest.entropy_classes(np.frombuffer(t, np.uint8)))]
+        points = Counter(min(key[k : k + R])[1] for k in range(len(key) - R + 1))
+        chosen = {k for k in range(len(key)) if points[k] >= digest.POINTS and key[k][0] < digest.NEVER}
+        if len(key) - R + 1 < digest.POINTS and min(key)[0] < digest.NEVER:
+            chosen.add(min(key)[1])
+        if not chosen:
+            chosen = {min(range(len(key)), key=lambda k: (-points[k], key[k]))}
+        want = {digest.mixed(np.frombuffer(t[k : k + W], np.uint8).reshape(1, W).view(np.uint64))[0] for k in chosen}
+        assert set(digest.features([t], ranks)[0]) == want
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "one text of some length " * 9), ("a", "another text " * 12), (None, "no id"), ("c", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    ranks = digest.corpus_ranks(docs)
+    got = {r["doc_id"]: r for r in digest.compare_with_edits(docs, ranks).collect()}
+    own = {r["doc_id"]: r["fingerprint"] for r in digest.fingerprint_documents(docs, ranks).collect()}
+    assert {k: r["fingerprint"] for k, r in got.items()} == own
+    order = [None, "a", "b", "c"]
+    for k, after in zip(order, order[1:] + order[:1]):
+        assert got[k]["near_next"] == pytest.approx(digest.likeness(digest.parsed(own[k]), digest.parsed(own[after])))
+
+
+def test_rows_without_an_id_keep_their_links(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join(words[:59] + ["x"])
+    docs = spark.createDataFrame([(None, " ".join(words)), (1, near), (2, "something else entirely here now")], "doc_id int, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.groups(docs).collect()}
+    assert got == {None: 1, 1: 1, 2: 2}
+
+
+def test_join_by_shuffles_alone(spark, monkeypatch):
+    """Beyond the bound for broadcasts the result is the same, copies of one text and hot keys included."""
+    random.seed(29)
+    base = [f"w{random.randrange(10**6)}" for _ in range(80)]
+    texts = [" ".join(base)] * 40
+    for _ in range(30):
+        w = list(base)
+        w[random.randrange(80)] = f"v{random.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"u{random.randrange(10**6)}" for _ in range(40)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    first = {r["doc_id"]: r["component_id"] for r in ngram_join.groups(docs).collect()}
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.groups(docs).collect()} == first == {k: 0 if k < 70 else k for k in range(90)}
+
+
+def test_short_lines_need_half_of_all_sites(spark):
+    rows = [(k, f"own text of number {k}\nRead more\n联系我们了解更多信息\nOk", f"s{k}") for k in range(6)] + [(k, f"own text {k} here", f"s{k}") for k in range(6, 14)]
+    rows += [(20 + k, "Ok", f"s{k}") for k in range(6, 9)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r["doc_id"]: r["line_dedup"]["text"] for r in line_dedup.without_boilerplate(docs).collect()}
+    assert got[0] == rows[0][1] and got[3] == "own text of number 3\nRead more" and got[27] == ""
+
+
+def test_another_seed_gives_another_mix(spark):
+    docs = spark.createDataFrame([(k, "a b c " * (1 + k % 5), f"s{k % 3}") for k in range(200)], "doc_id int, text string, source string")
+    taken = lambda seed: {r["doc_id"]: r["copies"] for r in mixing.mix(docs, seed=seed).collect()}
+    assert taken("") == taken("") != taken("x")

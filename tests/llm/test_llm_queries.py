@@ -148,3 +148,100 @@ def test_pipeline(spark, sf, docs):
     assert {r["doc_id"] for r in alone.collect()} == {i for i in sets if find(i) == i}
     done = corpus_pipeline.run(spark, sf)
     assert done.columns == ["doc_id", "n_tokens", "ids", "decoded"] and done.count() > 0
+
+
+def test_quality_verdict_against_plain_python(spark, sf, docs):
+    """Votes, expectation-maximisation and posterior written out once more, with products in place of sums of logarithms."""
+    got = rows(spark, sf, "op7_quality_rules")
+    patterns = {}
+    for d in docs:
+        text, r = d["text"] or "", got[d["doc_id"]]
+        words = WORD.findall(text)
+        n, lines = max(len(words), 1), max(sum(bool(WORD.search(x)) for x in text.split("\n")), 1)
+        upper = sum(bool(re.fullmatch(r"[^a-z]*[A-Z]{2,}[^a-z]*", w)) for w in words)
+        marked = sum(any(c in "#*$%&|<>" for c in w) for w in words)
+        bare = sum(not any(c.isalnum() for c in w) for w in words)
+        mean, chars = r["word_chars"] / n, r["word_chars"]
+        pairs = [
+            (len(words) >= 50, len(words) < 20), (3 <= mean <= 10, mean < 2.5 or mean > 14), (r["n_symbols"] <= 0.05 * n, r["n_symbols"] > 0.1 * n),
+            (r["n_symbols"] <= 0.02 * chars, r["n_symbols"] > 0.06 * chars), (marked <= 0.05 * n, marked > 0.2 * n), (bare <= 0.05 * n, bare > 0.2 * n),
+            (r["n_dup_lines"] <= 0.1 * lines, r["n_dup_lines"] > 0.5 * lines), (r["n_repeat_words"] <= 0.05 * n, r["n_repeat_words"] > 0.25 * n),
+            (upper <= 0.2 * n, upper > 0.5 * n),
+        ]
+        patterns[d["doc_id"]] = tuple(1 if g else 0 if b else None for g, b in pairs)
+    held = [p for i, p in patterns.items() if not got[i]["base_failed"]]
+    share, right = 0.9, [(0.9, 0.9)] * 9
+
+    def posterior(p):
+        good, bad = share, 1 - share
+        for v, (g, b) in zip(p, right):
+            if v is not None:
+                good, bad = good * (g if v else 1 - g), bad * (1 - b if v else b)
+        return good / (good + bad)
+
+    for _ in range(50):
+        p = [posterior(x) for x in held]
+        new = []
+        for k in range(9):
+            voted = [(q, x[k]) for q, x in zip(p, held) if x[k] is not None]
+            new.append(
+                ((2 + sum(q for q, v in voted if v)) / (3 + sum(q for q, _ in voted)), (2 + sum(1 - q for q, v in voted if not v)) / (3 + sum(1 - q for q, _ in voted)))
+            )
+        share, right = (sum(p) + 1) / (len(p) + 2), new
+    for i, p in patterns.items():
+        assert got[i]["probability"] == pytest.approx(posterior(p), abs=1e-6)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and posterior(p) >= 0.5)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Of labels that the models have not seen: how often a toxic document scores above an ordinary one."""
+    sf = "/root/testdata/sf0.01"
+    got = rows(spark, sf, "op9_toxicity")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    toxic, plain = ([got[i]["score"] for i, t in labels.items() if t == y and got[i]["held_out"]] for y in (1, 0))
+    auc = sum((a > b) + (a == b) / 2 for a in toxic for b in plain) / (len(toxic) * len(plain))
+    assert auc >= 0.75 and sum(b < 0.5 for b in plain) >= 0.9 * len(plain)
+
+
+def test_pipeline_stages_against_plain_python(spark, sf, docs):
+    """Line dedup, mixing and encoding of the pipeline, each on the documents themselves."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    held = spark.read.parquet(f"{sf}/documents.parquet")
+    key = lambda line: " ".join(WORD.findall(line))
+    sites, first = {}, {}
+    for d in docs:
+        for k in {key(x) for x in (d["text"] or "").split("\n")} - {""}:
+            sites.setdefault(k, set()).add(d["source"])
+            first[k] = min(first.get(k, d["doc_id"]), d["doc_id"])
+    half = max(5, -(-len({s for x in sites.values() for s in x}) // 2))
+    need = lambda k: half if k.count(" ") < 2 and len(k.encode()) < 16 else 5
+    want = {}
+    for d in docs:
+        if d["text"] is None:
+            want[d["doc_id"]] = None
+            continue
+        kept = [x for x in d["text"].split("\n") if not key(x) or len(sites[key(x)]) < need(key(x)) or first[key(x)] == d["doc_id"]]
+        text = "\n".join(kept)
+        if len(kept) == len(d["text"].split("\n")) or WORD.search(text):
+            want[d["doc_id"]] = text
+    deduped = corpus_pipeline.dedup_lines(spark, held, sf)
+    assert deduped.columns == held.columns and {r["doc_id"]: r["text"] for r in deduped.collect()} == want
+
+    taken = {r["doc_id"]: r for r in QUERIES["op5_source_mixing"](spark, sf).collect()}
+    mixed = corpus_pipeline.mix_sources(spark, held, sf)
+    assert mixed.columns == held.columns
+    copies, texts = {}, {d["doc_id"]: d["text"] for d in docs}
+    for r in mixed.collect():
+        copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+        assert r["text"] == texts[r["doc_id"]]
+    assert all(copies.get(i, 0) * r["size"] == r["taken"] for i, r in taken.items())
+
+    known = Tokenizer.from_file(queries.tokenizer_file())
+    encoded = corpus_pipeline.encode(spark, mixed.limit(40), sf).collect()
+    for r in encoded:
+        ids = known.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert list(array("I", bytes(r["ids"]))) == ids and r["n_tokens"] == len(ids)
+        assert r["decoded"] == known.decode(ids, skip_special_tokens=False)
