@@ -607,7 +607,7 @@ def full_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.audit(dict(zip(_CHECKS, found, strict=True)))
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title, lower(regexp_extract(html, '<html lang="([^"]*)"', 1)) AS lang FROM pages""")
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '\\s+', ' ', 'g')) AS title, lower(regexp_extract(html, '<html lang="([^"]*)"', 1)) AS lang FROM pages""")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What pages say of themselves."""
     return web.page_metadata(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "title", "lang")
