@@ -152,6 +152,43 @@ def packed_sentences(text: Column, longest: int = 800, target: int = 700) -> Col
     )
 
 
+def bounded_parts(text: Column, longest: int = 2000) -> Column:
+    """array<string>: a text of more than ``longest`` characters as parts of at most that many; no word is lost.
+
+    Sentences are packed as long as they fit. A sentence that is too long itself is cut at its last space, or inside a word where
+    that space lies in the first half. A text that is short enough is one part as it stands, null stays null.
+    """
+    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=([0-9]{1,3}[.)]\s*)?[A-Z])"), lambda x: F.btrim(x)), lambda x: x != "")
+
+    def cut(state: Column, _: Column) -> Column:
+        """(done, left) with one more part taken off what is left, if that is too long."""
+        left, done = state["left"], state["done"]
+        head = F.substring(left, 1, longest + 1)
+        space = longest + 1 - F.instr(F.reverse(head), " ")  # characters before the last space of the head
+        at = F.when((F.instr(head, " ") == 0) | (space < longest // 2), longest).otherwise(space)
+        taken = F.struct(F.concat(done, F.array(F.btrim(F.left(left, at)))).alias("done"), F.btrim(F.substr(left, at + 1)).alias("left"))
+        return F.when(F.length(left) <= longest, state).otherwise(taken)
+
+    none = F.array().cast("array<string>")
+    rounds = lambda x: F.sequence(F.lit(0), F.ceil(F.length(x) / max(1, longest // 2)).cast("int"))
+
+    def add(state: Column, sentence: Column) -> Column:
+        """A sentence behind what is held, or what is held done and the sentence held; a long one is cut first."""
+        held, done = state["left"], state["done"]
+        both = F.when(held == "", sentence).otherwise(F.concat_ws(" ", held, sentence))
+        closed = F.when(held == "", done).otherwise(F.concat(done, F.array(held)))
+        long = F.aggregate(rounds(sentence), F.struct(closed.alias("done"), sentence.alias("left")), cut)
+        return (
+            F.when(F.length(sentence) > longest, long)
+            .when(F.length(both) > longest, F.struct(closed.alias("done"), sentence.alias("left")))
+            .otherwise(F.struct(done.alias("done"), both.alias("left")))
+        )
+
+    packed = F.aggregate(sentences, F.struct(none.alias("done"), F.lit("").alias("left")), add)
+    parts = let(packed, lambda p: F.filter(F.concat(p["done"], F.array(p["left"])), lambda x: x != ""))
+    return F.when(F.length(text) <= longest, F.array(text)).otherwise(parts)
+
+
 def title_case(text: Column) -> Column:
     """A title in capitals with only the first letters of its words in upper case; one in mixed case stays."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))

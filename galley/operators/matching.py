@@ -180,3 +180,14 @@ def line_recall(truth: DataFrame, found: DataFrame, key: str, least: float = 0.9
     close = F.coalesce(F.when(F.col("line") == F.col("other"), 1.0).otherwise(ratio("line", "other")), F.lit(0.0))
     best = pairs.withColumn("r", close).groupBy(key, "n").agg(F.max("r").alias("best"))
     return best.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("best") >= least).alias("hit"))
+
+
+def extraction_verdict(n_true: tuple[Column, Column], n_found: tuple[Column, Column], step_f1: Column) -> tuple[Column, Column]:
+    """(exact, tolerant) of the numbers of ingredients and steps, the true and the extracted ones.
+
+    Exact: both numbers agree. Tolerant: ingredients differ by one at most, and steps by a quarter (half to even) or one, or the
+    words of the steps have an F1 of 0.9 or more.
+    """
+    apart = [F.abs(t - f) for t, f in zip(n_true, n_found, strict=True)]
+    slack = F.greatest(F.lit(1), F.bround(n_true[1] * 0.25).cast("int"))
+    return (apart[0] == 0) & (apart[1] == 0), (apart[0] <= 1) & ((apart[1] <= slack) | (step_f1 >= 0.9))

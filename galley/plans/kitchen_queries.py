@@ -636,3 +636,21 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(F.concat(F.lit('{"k": '), (F.col("event_id") % 100).cast("string"), F.lit("}")))
     rows = table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
     return nested.with_issues(rows, "doc", "k long").select("event_id", F.col("record.k").alias("k"), "issue")
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) FILTER (WHERE turn % 2 = 0) AS a, count(*) FILTER (WHERE turn % 2 = 1) AS b, count(*) FILTER (WHERE text IS NOT NULL) AS n FROM conversations GROUP BY 1)
+SELECT conv_id, a = b AND b = n // 2 AS exact, abs(a - b) <= 1 AND (abs(b - n // 2) <= greatest(1, round_even(b * 0.25, 0)) OR (b % 3) / 2.0 >= 0.9) AS tolerant FROM c""")
+def extraction_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of the two sides as true numbers, their halves as those found, and a step score from a number of turns."""
+    at = lambda k: F.count_if(F.col("turn") % 2 == k)
+    sizes = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(at(0).alias("a"), at(1).alias("b"), F.count("text").alias("n"))
+    exact, tolerant = matching.extraction_verdict((F.col("a"), F.col("b")), (F.col("b"), F.floor(F.col("n") / 2)), F.col("b") % 3 / 2.0)
+    return sizes.select("conv_id", exact.alias("exact"), tolerant.alias("tolerant"))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(text, '[^ \\t-\\r]')) AS n_marks, text IS NOT NULL AS fits FROM documents""")
+def bounded_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as parts of at most 2,000 characters, which keep all that is not white space."""
+    parts = table(spark, sf_dir, "documents").select("doc_id", text.bounded_parts(F.col("text")).alias("p"))
+    marks = F.length(F.regexp_replace(F.array_join("p", ""), r"[ \t-\r]", "")).cast("long")
+    return parts.select("doc_id", marks.alias("n_marks"), F.coalesce(F.forall("p", lambda x: F.length(x) <= 2000), F.lit(False)).alias("fits"))

@@ -1,5 +1,6 @@
 """Operators on small recipe-shaped inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from galley.functions import amounts
@@ -200,3 +201,30 @@ def test_pages_and_archives(spark, tmp_path):
 def test_empty_list_keeps_nothing(spark):
     rows = spark.createDataFrame([(1,), (2,)], "k int")
     assert history.not_listed(rows, "k", []).count() == 0 and [r["k"] for r in history.not_listed(rows, "k", [1]).collect()] == [2]
+
+
+@pytest.mark.parametrize(
+    "value, want",
+    [
+        (None, None),
+        ("Stir. Wait.", ["Stir. Wait."]),
+        ("Stir it all well. Wait a while. Serve", ["Stir it all well.", "Wait a while. Serve"]),
+        ("Stir well, then rest 2. 3) Serve it", ["Stir well, then rest", "2. 3) Serve it"]),
+        ("a" * 45, ["a" * 20, "a" * 20, "a" * 5]),
+        ("Go. " + "one two three four five six seven", ["Go. one two three", "four five six seven"]),
+        ("ab " + "c" * 30, ["ab " + "c" * 17, "c" * 13]),
+    ],
+)
+def test_bounded_parts(value, want, spark):
+    from galley.functions import text
+
+    got = spark.createDataFrame([(value,)], "v string").select(text.bounded_parts(F.col("v"), 20).alias("r")).first()["r"]
+    assert got == want
+
+
+def test_extraction_verdict(spark):
+    rows = [(8, 8, 8, 8, 0.0), (8, 8, 9, 10, 0.0), (8, 8, 10, 8, 1.0), (8, 8, 8, 11, 0.95), (8, 8, 8, 11, 0.5), (0, 2, 0, 3, 0.0)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, f double")
+    exact, tolerant = matching.extraction_verdict((F.col("a"), F.col("b")), (F.col("c"), F.col("d")), F.col("f"))
+    got = [tuple(r) for r in df.select(exact.alias("e"), tolerant.alias("t")).collect()]
+    assert got == [(True, True), (False, True), (False, False), (False, True), (False, False), (False, True)]
