@@ -169,23 +169,32 @@ def bounded_parts(text: Column, longest: int = 2000) -> Column:
         taken = F.struct(F.concat(done, F.array(F.btrim(F.left(left, at)))).alias("done"), F.btrim(F.substr(left, at + 1)).alias("left"))
         return F.when(F.length(left) <= longest, state).otherwise(taken)
 
-    none = F.array().cast("array<string>")
-    rounds = lambda x: F.sequence(F.lit(0), F.ceil(F.length(x) / max(1, longest // 2)).cast("int"))
-
-    def add(state: Column, sentence: Column) -> Column:
-        """A sentence behind what is held, or what is held done and the sentence held; a long one is cut first."""
-        held, done = state["left"], state["done"]
-        both = F.when(held == "", sentence).otherwise(F.concat_ws(" ", held, sentence))
-        closed = F.when(held == "", done).otherwise(F.concat(done, F.array(held)))
-        long = F.aggregate(rounds(sentence), F.struct(closed.alias("done"), sentence.alias("left")), cut)
-        return (
-            F.when(F.length(sentence) > longest, long)
-            .when(F.length(both) > longest, F.struct(closed.alias("done"), sentence.alias("left")))
-            .otherwise(F.struct(done.alias("done"), both.alias("left")))
+    def pieces_of(sentence: Column) -> Column:
+        """A sentence as (text, opens), or a long one's pieces, each of which opens a part."""
+        state = F.struct(F.array().cast("array<string>").alias("done"), sentence.alias("left"))
+        rounds = F.sequence(F.lit(0), F.ceil(F.length(sentence) / max(1, longest // 2)).cast("int"))
+        pieces = let(F.aggregate(rounds, state, cut), lambda s: F.concat(s["done"], F.array(s["left"])))
+        long = F.transform(pieces, lambda x: F.struct(x.alias("text"), F.lit(True).alias("opens")))
+        return F.when(F.length(sentence) > longest, long).otherwise(F.array(F.struct(sentence.alias("text"), F.lit(False).alias("opens"))))
+
+    def place(state: Column, piece: Column) -> Column:
+        """(starts, size, k): the numbers of the pieces that open a part, the held part's size, and the next piece's number."""
+        size = state["size"] + 1 + F.length(piece["text"])
+        opens = (state["k"] == 1) | piece["opens"] | (size > longest)
+        return F.struct(
+            F.when(opens, F.concat(state["starts"], F.array(state["k"]))).otherwise(state["starts"]).alias("starts"),
+            F.when(opens, F.length(piece["text"])).otherwise(size).alias("size"),
+            (state["k"] + 1).alias("k"),
         )
 
-    packed = F.aggregate(sentences, F.struct(none.alias("done"), F.lit("").alias("left")), add)
-    parts = let(packed, lambda p: F.filter(F.concat(p["done"], F.array(p["left"])), lambda x: x != ""))
+    def joined(pieces: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("size"), F.lit(1).alias("k"))
+        starts = F.aggregate(pieces, start, place)["starts"]
+        end = lambda s, k: F.coalesce(F.get(s, k + 1), F.size(pieces) + 1)
+        part = lambda at, to: F.array_join(F.slice(pieces, at, to - at)["text"], " ")
+        return let(starts, lambda s: F.transform(s, lambda at, k: part(at, end(s, k))))
+
+    parts = let(F.flatten(F.transform(sentences, pieces_of)), joined)
     return F.when(F.length(text) <= longest, F.array(text)).otherwise(parts)
 
 
