@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galley.functions import amounts, durations, text
-from galley.operators import aggregates, history, matching, nutrition, pairings, ranking, rules, search
+from galley.functions import amounts, durations, labels, text
+from galley.operators import aggregates, edits, history, matching, moves, nutrition, pairings, ranking, rules, search
 from galley.plans.catalog_queries import query
 from galley.sources import documents as nested
 from galley.sources import pages as web
+from galley.sources import report
 from galley.sources.tables import materialise, shared_dir, table
 
 
@@ -312,13 +313,13 @@ def restored_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.restored(revisions, "user_id", F.lit(2))
 
 
-@query("""WITH j AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'queued' ELSE 'done' END AS status FROM orders WHERE o_orderkey % 2 = 0)
+@query("""WITH j AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'queued' ELSE 'done' END AS status FROM orders)
 SELECT id, CASE status WHEN 'running' THEN 'queued' ELSE status END AS status FROM j UNION ALL SELECT o_orderkey, 'queued' FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey NOT IN (SELECT id FROM j WHERE status <> 'done')""")
 def recovered_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs after a restart; even orders have one, urgent ones need one."""
+    """Jobs after a restart; every order has one, urgent ones need one that is not done."""
     orders = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "queued").otherwise("done")
-    jobs = orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), status.alias("status"))
+    jobs = orders.select(F.col("o_orderkey").alias("id"), status.alias("status"))
     return history.recovered(jobs, orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id")), "id")
 
 
@@ -468,30 +469,31 @@ def duplicate_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.duplicates(items, items).filter("draft <> id")
 
 
-@query("""WITH a AS (SELECT s_suppkey AS id, s_nationkey AS title, s_suppkey % 2 AS host FROM supplier WHERE s_suppkey % 3 <> 0), b AS (SELECT c_custkey AS id, c_nationkey AS title, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_custkey % 3 END AS host FROM customer WHERE c_custkey % 4 = 0 AND c_custkey % 5 <> 0),
+@query("""WITH a AS (SELECT s_suppkey AS id, s_nationkey AS title, s_suppkey % 2 AS host FROM supplier WHERE s_acctbal >= 0), b AS (SELECT c_custkey AS id, c_nationkey AS title, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_custkey % 3 END AS host FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0),
 h AS (SELECT b.id AS b, min(a.id) AS a FROM a JOIN b ON a.title = b.title AND (a.host IS NULL OR b.host IS NULL OR a.host = b.host) GROUP BY 1 HAVING count(*) = 1)
 SELECT a, min(b) AS b FROM h GROUP BY 1""")
 def exact_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4: empty records with one exact title on the other side; some are matched already."""
-    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("title"), (F.col("s_suppkey") % 2).alias("host"))
+    """M4: empty records with one exact title on the other side; those with a debt are matched already."""
+    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("title"), (F.col("s_suppkey") % 2).alias("host"), "s_acctbal")
     k = F.col("c_custkey")
-    b = table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_nationkey").alias("title"), F.when(k % 2 != 0, k % 3).alias("host"), (k % 4 == 0).alias("empty"))
-    matched = a.filter("id % 3 = 0").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(
-        b.filter("id % 5 = 0").select(F.lit(None).cast("long").alias("a"), F.col("id").alias("b"))
+    b = table(spark, sf_dir, "customer").select(k.alias("id"), F.col("c_nationkey").alias("title"), F.when(k % 2 != 0, k % 3).alias("host"), (F.col("c_mktsegment") == "BUILDING").alias("empty"), "c_acctbal")
+    matched = a.filter("s_acctbal < 0").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(
+        b.filter("c_acctbal < 0").select(F.lit(None).cast("long").alias("a"), F.col("id").alias("b"))
     )
-    return matching.only_exact(a, b, matched)
+    return matching.only_exact(a.drop("s_acctbal"), b.drop("c_acctbal"), matched)
 
 
 @query("""SELECT l_orderkey AS a, l_linenumber AS b, round(l_discount * 10, 2) AS title, round(l_tax * 10, 2) AS jaccard, CASE WHEN l_returnflag = 'R' THEN 'same canonical URL' WHEN round(l_discount * 10, 2) >= 0.7 AND round(l_tax * 10, 2) >= 0.7 THEN 'title + ingredients (>= 0.7)'
 WHEN round(l_discount * 10, 2) >= 0.7 AND l_linestatus = 'O' THEN 'same title, one side empty' WHEN round(l_discount * 10, 2) >= 0.75 OR (round(l_tax * 10, 2) >= 0.4 AND round(l_discount * 10, 2) >= 0.5) THEN 'possible' END AS kind
-FROM lineitem WHERE (round(l_discount * 10, 2) >= 0.75 OR (round(l_tax * 10, 2) >= 0.4 AND round(l_discount * 10, 2) >= 0.5)) AND NOT (l_orderkey % 2 = 0 AND l_linenumber % 2 = 0)""")
+FROM lineitem WHERE (round(l_discount * 10, 2) >= 0.75 OR (round(l_tax * 10, 2) >= 0.4 AND round(l_discount * 10, 2) >= 0.5)) AND NOT (l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND l_linenumber <= 3)""")
 def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M5, M6: lines as scored pairs: those worth a look, as even orders and even numbers are matched, and their kind."""
+    """M5, M6: lines as scored pairs: those worth a look, as orders with a return and numbers up to three are matched, and their kind."""
     title, jac = F.round(F.col("l_discount") * 10, 2), F.round(F.col("l_tax") * 10, 2)
     kind = matching.pair_class(F.col("l_returnflag") == "R", title, jac, F.col("l_linestatus") == "O")
-    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b"), title.alias("title"), jac.alias("jaccard"), kind.alias("kind"))
-    even = lambda c: pairs.filter(F.col(c) % 2 == 0).select(c).distinct()
-    matched = even("a").withColumn("b", F.lit(None).cast("int")).unionByName(even("b").withColumn("a", F.lit(None).cast("long")))
+    lines, a, b = table(spark, sf_dir, "lineitem"), F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b")
+    pairs = lines.select(a, b, title.alias("title"), jac.alias("jaccard"), kind.alias("kind"))
+    returned = lines.filter("l_returnflag = 'R'").select(a, F.lit(None).cast("int").alias("b"))
+    matched = returned.distinct().unionByName(lines.filter("l_linenumber <= 3").select(F.lit(None).cast("long").alias("a"), b).distinct())
     return matching.review_band(pairs, matched)
 
 
@@ -543,11 +545,11 @@ def packed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(text.packed_sentences(F.col("text")), " ").alias("whole"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at, CASE WHEN o_custkey % 60 = 0 THEN '1 hr' ELSE CASE WHEN o_custkey >= 60 THEN (o_custkey // 60) || ' hr ' ELSE '' END || (o_custkey % 60) || ' min' END AS said,
-20 AS prep, CASE WHEN o_custkey % 90 > 0 THEN o_custkey % 90 END::INT AS cook FROM orders WHERE o_custkey > 0 AND o_custkey < 120""")
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at, nullif(concat_ws(' ', CASE WHEN o_custkey >= 60 THEN (o_custkey // 60) || ' hr' END, CASE WHEN o_custkey % 60 > 0 THEN (o_custkey % 60) || ' min' END), '') AS said,
+20 AS prep, CASE WHEN o_custkey % 90 > 0 THEN o_custkey % 90 END::INT AS cook FROM orders""")
 def time_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of orders as ISO texts, minutes as words, and times in notes."""
-    orders = table(spark, sf_dir, "orders").filter("o_custkey > 0 and o_custkey < 120")
+    orders = table(spark, sf_dir, "orders")
     notes = F.array(F.lit("Prep time: 20 minutes"), F.lit("Cook: until done"), F.concat(F.lit("Cook: "), (F.col("o_custkey") % 90).cast("string"), F.lit(" min")))
     times = durations.note_times(notes, {"prep time": "prep", "cook": "cook"})
     return orders.select(
@@ -654,3 +656,161 @@ def bounded_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "documents").select("doc_id", text.bounded_parts(F.col("text")).alias("p"))
     marks = F.length(F.regexp_replace(F.array_join("p", ""), r"[ \t-\r]", "")).cast("long")
     return parts.select("doc_id", marks.alias("n_marks"), F.coalesce(F.forall("p", lambda x: F.length(x) <= 2000), F.lit(False)).alias("fits"))
+
+
+_YIELDS = {
+    "'Serves ' || p_size": ("p_size::DOUBLE", "NULL"),
+    "'Makes ' || p_size || ' cookies'": ("p_size::DOUBLE", "NULL"),
+    "'About ' || p_size || ' to ' || (p_size + 2)": ("p_size::DOUBLE", "NULL"),
+    "'Yield: ' || p_size || ' cups'": ("NULL", "'volume/whole-dish yield, not servings'"),
+    "'Servings (' || p_size || ' g each)'": ("NULL", "'serving size only, no count'"),
+    "'serving: ' || p_size || 'bar'": ("NULL", "'serving size only, no count'"),
+    "p_size || ' (in two pans)'": ("p_size::DOUBLE", "'leading count assumed to be servings'"),
+    "'Two ' || p_size || ' inch pieces'": ("2.0", "NULL"),
+    "'enough'": ("NULL", "'no number'"),
+    "'fills ' || p_size || ' moulds'": ("NULL", "'unrecognized yield'"),
+}
+
+
+def _case(column: str, values: list[str]) -> str:
+    return f"CASE {column} % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+@query(f"SELECT p_partkey, {_case('p_partkey', [n for n, _ in _YIELDS.values()])} AS servings, {_case('p_partkey', [f for _, f in _YIELDS.values()])} AS flag FROM part")
+def yields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16: the sizes of parts in ten ways to say a yield."""
+    said = F.expr(_case("p_partkey", list(_YIELDS)))
+    got = labels.servings(said)
+    return table(spark, sf_dir, "part").select("p_partkey", got["servings"].alias("servings"), got["flag"].alias("flag"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'course' WHEN '2-HIGH' THEN 'protein' WHEN '3-MEDIUM' THEN 'cuisine' ELSE 'personal' END AS kind,
+CASE o_orderpriority WHEN '1-URGENT' THEN 'snack' WHEN '2-HIGH' THEN 'tofu/tempeh' WHEN '3-MEDIUM' THEN 'Thai' ELSE lower(o_orderpriority) || ': ' || lower(o_orderstatus) END AS value,
+CASE o_orderstatus WHEN 'O' THEN 'equipment' WHEN 'F' THEN 'course' ELSE 'personal' END AS other_kind, CASE o_orderstatus WHEN 'O' THEN 'slow cooker' WHEN 'F' THEN 'side' ELSE 'difficulty: p' END AS other_value,
+CASE o_orderstatus WHEN 'O' THEN 'fish' WHEN 'F' THEN 'Sichuan' ELSE NULL END AS modelled FROM orders""")
+def tag_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities and states of orders as tags of people, of the other catalog and of a model."""
+    by = lambda c, values, other: F.coalesce(amounts.lookup(values, F.col(c)), other)
+    free = labels.free_tag(by("o_orderpriority", {"1-URGENT": " Appetizers ", "2-HIGH": "protein:  Tofu", "3-MEDIUM": "thai"}, F.concat_ws(":", "o_orderpriority", "o_orderstatus")))
+    category = by("o_orderstatus", {"O": "cooking_method", "F": "meal_type"}, F.lit("difficulty"))
+    other = labels.category_tag(category, by("o_orderstatus", {"O": "Slow Cooker", "F": "Side dish"}, F.col("o_orderstatus")))
+    kind = by("o_orderstatus", {"O": "protein", "F": "cuisine"}, F.lit("diet"))
+    modelled = labels.model_tag(kind, by("o_orderstatus", {"O": "Salmon", "F": "sichuan"}, F.lit("paleo")), labels.CUISINES)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", free["kind"].alias("kind"), free["value"].alias("value"), other["kind"].alias("other_kind"), other["value"].alias("other_value"), modelled.alias("modelled")
+    )
+
+
+@query(r"""WITH l AS (SELECT doc_id, source, k, trim(line, chr(32) || chr(9) || chr(13)) AS line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents)),
+h AS (SELECT doc_id, k, line, trim(rtrim(line, ':')) AS v, source FROM l)
+SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE v <> '' AND length(v) <= 60 AND NOT regexp_matches(v, '[,;]') AND (ends_with(line, ':') OR regexp_matches(lower(v), '^(for|to make) | ingredients?$')
+ OR lower(v) IN ('cake', 'sauce', 'soup', 'salad', 'topping') OR (regexp_matches(v, '\p{L}') AND regexp_replace(v, '[^\p{L}]', '', 'g') = upper(regexp_replace(v, '[^\p{L}]', '', 'g'))))) AS headings,
+count(*) FILTER (WHERE lower(rtrim(line, '.:')) IN ('share', 'recipe') OR regexp_matches(lower(rtrim(line, '.:')), '^[0-9]+\s+likes?$')) AS leftovers FROM h GROUP BY 1""")
+def line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents that look like a component's heading, and those an import leaves behind."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line"))
+    line = F.btrim("line", F.lit(" \t\r"))
+    heading, left = labels.component_heading(line, F.lit(False)), labels.leftover(line, F.lit(None).cast("string"), F.lit("no title"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(heading).alias("headings"), F.count_if(left).alias("leftovers"))
+
+
+@query("""SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before, coalesce(text, '') AS after FROM conversations""")
+def turn_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changes from a turn to the next; what stays and goes is the one, what stays and comes the other."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("last"))
+    parts = rows.select("conv_id", "turn", edits.word_diff(F.col("last"), F.col("text")).alias("p"))
+    side = lambda gone: F.array_join(F.filter("p", lambda x: x["kind"] != gone)["text"], "")
+    return parts.select("conv_id", "turn", side("ins").alias("before"), side("del").alias("after"))
+
+
+_EDITS_SQL = """
+WITH l AS (SELECT o_custkey AS doc, o_orderkey AS id, o_orderstatus AS section, 'Mix ' || o_orderkey || ' cups' AS text, o_orderpriority AS f, o_totalprice AS p FROM orders),
+e AS (SELECT doc, id, CASE WHEN f = '5-LOW' THEN 'heading' WHEN f = '2-HIGH' THEN 'remove' ELSE 'edit' END AS op, CASE WHEN f = '5-LOW' THEN text WHEN f = '2-HIGH' THEN '' ELSE 'Mix ' || (id + 1) || ' cups' END AS after,
+ f NOT IN ('2-HIGH', '5-LOW') AS numbers_changed FROM l WHERE f = '5-LOW' OR (p >= 50000 AND f <> '1-URGENT'))"""
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A customer's orders as lines of a document, and what is proposed for them: by priority, and once more for the lowest."""
+    text_of = lambda k: F.concat(F.lit("Mix "), k.cast("string"), F.lit(" cups"))
+    n = F.col("o_orderkey")
+    lines = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc"), F.lit("step").alias("kind"), n.alias("id"), text_of(n).alias("text"), F.col("o_orderstatus").alias("section"), n.alias("place"),
+        F.lit("start").alias("heading"), F.lit(False).alias("protected"), "o_orderpriority", "o_totalprice",
+    )
+    said = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat("text", F.lit("."))).when(F.col("o_orderpriority") == "2-HIGH", "").otherwise(text_of(F.col("id") + 1))
+    reason = F.when(F.col("o_totalprice") < 50000, "already clean").otherwise("wording")
+    first = lines.select("doc", "kind", "id", F.lit("rewrite").alias("action"), said.alias("text"), reason.alias("reason"), F.lit(1).alias("seq"))
+    names = lines.filter("o_orderpriority = '5-LOW'").select("doc", "kind", "id", F.lit("remove").alias("action"), F.lit("").alias("text"), F.lit("a section name").alias("reason"), F.lit(2).alias("seq"))
+    return lines, first.unionByName(names)
+
+
+@query(_EDITS_SQL + "SELECT doc, id, op, after, numbers_changed FROM e")
+def standing_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the edits proposed for lines those that stand, one a line."""
+    lines, proposed = _edited(spark, sf_dir)
+    return edits.normalised(proposed, lines).select("doc", "id", "op", "after", "numbers_changed")
+
+
+@query(_EDITS_SQL + """, r AS (SELECT l.*, op, after, count(*) FILTER (WHERE op = 'heading') OVER w AS run, max(CASE WHEN op = 'heading' THEN id END) OVER w AS head
+ FROM l LEFT JOIN e USING (doc, id) WINDOW w AS (PARTITION BY l.doc, section ORDER BY id))
+SELECT doc, section, dense_rank() OVER (PARTITION BY doc, section ORDER BY run) - 1 AS part, CASE WHEN head IS NULL THEN 'start' ELSE 'Mix ' || head || ' cups' END AS heading, id, CASE WHEN op = 'edit' THEN after ELSE text END AS text
+FROM r WHERE coalesce(op, '') NOT IN ('remove', 'heading')""")
+def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines after their edits, their sections split where a line became a heading."""
+    lines, proposed = _edited(spark, sf_dir)
+    return edits.applied(lines, edits.normalised(proposed, lines)).drop("place")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS doc, l_returnflag || ' ' || l_linestatus || ' ' || l_linenumber AS text, l_tax < 0.005 AS low FROM lineitem), t AS (SELECT l_orderkey AS doc, l_linestatus || ' ' || l_linenumber || ' ' AS text, l_linestatus || ' ' || l_linenumber AS e, 'tail ' || l_linenumber AS x FROM lineitem WHERE l_discount > 0.08)
+SELECT doc, text FROM l WHERE low OR EXISTS (SELECT 1 FROM t WHERE t.doc = l.doc AND contains(l.text, t.e)) UNION SELECT doc, x FROM t""")
+def uncertain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders that need a look, as what was read with little confidence says them or is not among them."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_returnflag", "l_linestatus", "l_linenumber", "l_tax", "l_discount")
+    lines = rows.select("doc", F.concat_ws(" ", "l_returnflag", "l_linestatus", "l_linenumber").alias("text"), F.when(F.col("l_tax") < 0.005, "low").otherwise("high").alias("confidence"))
+    confidence = F.when(F.col("l_discount") > 0.08, "low").otherwise("high").alias("confidence")
+    said = F.array(F.concat_ws(" ", "l_linestatus", "l_linenumber"), F.concat(F.lit("tail "), F.col("l_linenumber").cast("string")))
+    return edits.uncertain(lines, rows.select("doc", F.explode(said).alias("text"), confidence))
+
+
+_ITEMS_SQL = "WITH i AS (SELECT o_custkey AS list, o_orderkey AS pos, lower(o_orderpriority) AS key, o_orderpriority AS name, o_orderstatus AS unit, o_orderstatus = 'F' AS checked, o_totalprice < 5000 AS unnamed FROM orders)"
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items on their customer's list."""
+    name = F.when(F.col("o_totalprice") < 5000, "  ").otherwise(F.concat(F.lit(" "), F.col("o_orderpriority")))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("list"), F.col("o_orderkey").alias("at"), name.alias("name"), F.lit("").alias("quantity"), F.col("o_orderstatus").alias("unit"), (F.col("o_orderstatus") == "F").alias("checked")
+    )
+
+
+@query(_ITEMS_SQL + "SELECT list, key, arg_min(name, pos) AS name, arg_min(unit, pos) AS unit, min(pos) AS first, count(*) AS n_sources FROM i WHERE NOT checked AND NOT unnamed GROUP BY 1, 2")
+def moved_shopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open items of each list, those of one name as one."""
+    return moves.shopping(_items(spark, sf_dir), "at").drop("quantity")
+
+
+@query(_ITEMS_SQL + """SELECT count(*) AS in_source, count(*) FILTER (WHERE checked) AS checked, count(*) FILTER (WHERE NOT checked AND unnamed) AS unnamed,
+count(DISTINCT CASE WHEN NOT checked AND NOT unnamed THEN list || '/' || key END) AS migrated, count(*) FILTER (WHERE NOT checked AND NOT unnamed) - count(DISTINCT CASE WHEN NOT checked AND NOT unnamed THEN list || '/' || key END) AS merged FROM i""")
+def shopping_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every item went."""
+    return moves.shopping_counts(_items(spark, sf_dir))
+
+
+@query("""SELECT o_orderdate::DATE AS day, o_orderkey AS id, s_name AS recipe, row_number() OVER (PARTITION BY o_orderdate::DATE ORDER BY CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 3 ELSE 10 END, o_orderkey) - 1 AS position,
+CASE o_orderstatus WHEN 'O' THEN 'breakfast · ' || o_orderpriority WHEN 'F' THEN 'dinner · ' || o_orderpriority ELSE 'tea · ' || o_orderpriority END AS note FROM orders JOIN supplier ON s_suppkey = o_custkey""")
+def moved_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as planned meals, in place within their day; those whose recipe (supplier) has not moved stay behind."""
+    meal = F.when(F.col("o_orderstatus") == "O", "breakfast").when(F.col("o_orderstatus") == "F", "dinner").otherwise("tea")
+    meals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"), meal.alias("meal"), F.col("o_custkey").alias("recipe"), F.col("o_orderpriority").alias("notes"))
+    moved = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("recipe"), F.col("s_name").alias("new"))
+    return moves.plan_entries(meals, moved)
+
+
+@query("""WITH s AS (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY 1)
+SELECT 0 AS part, row_number() OVER (ORDER BY status) + 1 AS line, '| ' || status || ' | ' || n || ' |' AS text FROM s UNION ALL SELECT 1, row_number() OVER (ORDER BY priority) + 1, '| ' || priority || ' | ' || n || ' |' FROM p
+UNION ALL VALUES (0, -1, '## Status'), (0, 0, '| status | n |'), (0, 1, '|---|---|'), (1, -1, '## Priority'), (1, 0, '| priority | n |'), (1, 1, '|---|---|')""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of orders as a report, written as text and read again by its parts."""
+    counts = lambda c, name: table(spark, sf_dir, "orders").groupBy(F.col(c).alias(name)).agg(F.count("*").alias("n"))
+    status, priority = counts("o_orderstatus", "status"), counts("o_orderpriority", "priority")
+    return report.sections({"Status": report.table_lines(status, ["status"]), "Priority": report.table_lines(priority, ["priority"])})
