@@ -814,3 +814,23 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = lambda c, name: table(spark, sf_dir, "orders").groupBy(F.col(c).alias(name)).agg(F.count("*").alias("n"))
     status, priority = counts("o_orderstatus", "status"), counts("o_orderpriority", "priority")
     return report.sections({"Status": report.table_lines(status, ["status"]), "Priority": report.table_lines(priority, ["priority"])})
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 2 THEN NULL ELSE p_size::VARCHAR END AS quantity, CASE p_size % 3 WHEN 0 THEN 'cups' WHEN 1 THEN 'g' END AS unit, p_name AS name,
+CASE p_size % 3 WHEN 0 THEN p_size || ' cups ' || p_name END AS us, CASE p_size % 3 WHEN 0 THEN (p_size * 240) || ' ml ' || p_name END AS metric FROM part""")
+def ingredient_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as ingredient lines with two measures, one and none."""
+    size, name = F.col("p_size").cast("string"), F.col("p_name")
+    double = F.concat(size, F.lit(" cups / "), (F.col("p_size") * 240).cast("string"), F.lit(" ml  "), name)
+    line = F.when(F.col("p_size") % 3 == 0, double).when(F.col("p_size") % 3 == 1, F.concat(size, F.lit("g "), name)).otherwise(name)
+    return table(spark, sf_dir, "part").select("p_partkey", labels.ingredient(line).alias("i")).select("p_partkey", "i.*")
+
+
+@query("""SELECT p_partkey, p_name AS title, CASE WHEN split_part(p_name, ' ', 1) = 'cold' THEN 'Cold Kitchen' END AS credit, CASE WHEN split_part(p_name, ' ', 1) = 'hot' THEN 'hot/slow cooker' ELSE 'slow cooker' END AS tags FROM part""")
+def title_clean_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as titles between the name of their site (brand) and its recipes, and whom they name."""
+    name = F.col("p_name")
+    site = F.concat(F.lit("www."), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")), F.lit(".example"))
+    title = labels.clean_title(F.concat(F.col("p_brand"), F.lit(" - "), name, F.lit("  | "), F.col("p_brand"), F.lit(" Recipes")), site)
+    notes = labels.title_notes(F.concat(name, F.lit(" in a Slow Cooker")), {"cold": (["cold"], "Cold Kitchen", None), "hot": (["hot"], None, ("flavour", "hot"))})
+    return table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), notes["credit"].alias("credit"), F.array_join(notes["tags"]["value"], "/").alias("tags"))

@@ -109,3 +109,43 @@ def test_report(spark, tmp_path):
     lines = report.sections({"Names": report.table_lines(rows, ["n"])})
     report.write_report(lines, f"file://{tmp_path}/r")
     assert [r["value"] for r in spark.read.text(f"file://{tmp_path}/r").collect()] == ["## Names", "| name | n |", "|---|---|", "|  | 1 |", "| b\\|c | 2 |"]
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [
+        ("1 1/2 cups rye flour", ("1 1/2", "cups", "rye flour", None, None)), ("250g oats", ("250", "g", "oats", None, None)), ("½ leek", ("½", None, "leek", None, None)),
+        ("2 (14 oz) tins beans", ("2", None, "(14 oz) tins beans", None, None)), ("salt", (None, None, "salt", None, None)), ("3 cups", ("3", "cups", "3 cups", None, None)),
+        ("1 cup / 240 ml milk", ("1", "cup", "milk", "1 cup milk", "240 ml milk")), ("1 cup / warm milk", ("1", "cup", "/ warm milk", None, None)), ("cupboard mix", (None, None, "cupboard mix", None, None)),
+        ("", (None, None, "", None, None)),
+    ],
+)
+def test_ingredient(spark, said, want):
+    assert tuple(spark.createDataFrame([(said,)], "t string").select(labels.ingredient(F.col("t")).alias("i")).first()["i"]) == want
+
+
+def test_clean_title(spark):
+    cases = [
+        ("Plum Pot: Leek Pie", "https://www.plumpot.example/x", "Leek Pie"), ("Leek Pie | Plum Pot Recipes", "plumpot.example", "Leek Pie"), ("Leek Pie - Best Of - Leek Pie | Plum Pot", "plumpot.example", "Leek Pie - Best Of"),
+        ("Rye – Caraway Bread", "plumpot.example", "Rye – Caraway Bread"), ("Another try at Ann Lee's Rye Recipe", None, "Rye"), ("Leek Pie (with video)", None, "Leek Pie"), ("  Crème   Brûlée | crème", None, "Crème Brûlée"),
+        ("Plum Pot", "plumpot.example", "Plum Pot"), ("", None, ""), (None, "plumpot.example", None),
+    ]
+    rows = spark.createDataFrame([(k, t, s) for k, (t, s, _) in enumerate(cases)], "k int, title string, site string")
+    got = rows.select("k", labels.clean_title(F.col("title"), F.col("site")).alias("t")).orderBy("k").collect()
+    assert [r["t"] for r in got] == [want for _, _, want in cases]
+    assert spark.createDataFrame([(None,)], "t string").select(labels.ingredient(F.col("t")).alias("i")).first()["i"] is None
+
+
+def test_title_notes(spark):
+    owners = {"Ann": (["ann", "ann's"], "Ann Lee", None), "SV": (["sv"], None, ("equipment", "sous vide"))}
+    cases = {
+        "Ann's Leek Pie (from Bo)": (["Ann", "(from bo)"], "Ann Lee", [("personal", "from bo")]),
+        "SV Egg, sous vide": (["SV"], None, [("equipment", "sous vide")]),
+        "Rye by Chef Mo Ek": (["by Chef"], "Mo Ek", []),
+        "Soup (Bo rec) in a Slow Cooker (from scratch)": (["(bo rec)"], None, [("equipment", "slow cooker"), ("personal", "from bo")]),
+        "Stew (bo weekend recipe)": (["(bo weekend recipe)"], None, [("personal", "bo weekend")]),
+        "Annual Pie": ([], None, []),
+        None: ([], None, []),
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", labels.title_notes(F.col("t"), owners).alias("n"))
+    assert {r["t"]: (r["n"]["owners"], r["n"]["credit"], [tuple(x) for x in r["n"]["tags"]]) for r in rows.collect()} == cases
