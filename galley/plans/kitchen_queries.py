@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galley.functions import amounts, durations, labels, text
-from galley.operators import aggregates, edits, history, matching, moves, nutrition, pairings, ranking, rules, search
+from galley.operators import aggregates, edits, extraction, history, matching, moves, nutrition, pairings, ranking, rules, search
 from galley.plans.catalog_queries import query
 from galley.sources import documents as nested
 from galley.sources import pages as web
@@ -834,3 +834,17 @@ def title_clean_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = labels.clean_title(F.concat(F.col("p_brand"), F.lit(" - "), name, F.lit("  | "), F.col("p_brand"), F.lit(" Recipes")), site)
     notes = labels.title_notes(F.concat(name, F.lit(" in a Slow Cooker")), {"cold": (["cold"], "Cold Kitchen", None), "hot": (["hot"], None, ("flavour", "hot"))})
     return table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), notes["credit"].alias("credit"), F.array_join(notes["tags"]["value"], "/").alias("tags"))
+
+
+@query("""SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'content left out' WHEN 2 THEN 'step not in the source; content left out' ELSE 'title is an address or empty; title not in the source; yield left out' END AS issues,
+round(CASE p_size % 4 WHEN 1 THEN 0.75 WHEN 2 THEN 1 / 3.0 ELSE 1 END::DOUBLE, 6) AS coverage FROM part""")
+def checked_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as recipes in words, and four ways to extract them: whole, short, invented, and without title and yield."""
+    k, brand = F.col("p_size") % 4, F.concat(F.lit("2 "), F.col("p_brand"))
+    mix = F.concat(F.lit("Mix "), F.col("p_type"), F.lit(" well"))
+    source = F.concat_ws("\n", "p_name", F.lit("Serves 4"), F.lit("Ingredients:"), brand, F.lit("salt"), F.lit("Method"), mix, F.lit("Notes"), F.lit("keeps"))
+    docs = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), source.alias("source"), F.when(k == 3, "www.kitchen.example").otherwise(F.col("p_name")).alias("title"), F.when(k != 3, "4").alias("yield_text"),
+        F.when(k == 1, F.array(brand)).otherwise(F.array(brand, F.lit("Salt"))).alias("ingredients"), F.array(F.when(k == 2, F.concat(F.lit("Bake "), F.col("p_type"))).otherwise(mix)).alias("steps"),
+    )
+    return extraction.checked(docs).select("id", F.array_join("issues", "; ").alias("issues"), F.round("coverage", 6).alias("coverage"))

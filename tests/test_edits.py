@@ -149,3 +149,17 @@ def test_title_notes(spark):
     }
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", labels.title_notes(F.col("t"), owners).alias("n"))
     assert {r["t"]: (r["n"]["owners"], r["n"]["credit"], [tuple(x) for x in r["n"]["tags"]]) for r in rows.collect()} == cases
+
+
+def test_checked_extractions(spark):
+    from galley.operators import extraction
+
+    rows = [
+        ("headless", "Rye bread. Flour, water.", "Rye bread", None, ["flour"], []), ("turned", "Method\nbake\nIngredients\nrye", "Rye", None, ["rye"], ["bake"]),
+        ("empty", None, None, None, None, None), ("yield", "Rye\nMakes: 2", "Rye", "2", [], []),
+    ]
+    docs = spark.createDataFrame(rows, "id string, source string, title string, yield_text string, ingredients array<string>, steps array<string>")
+    got = {r["id"]: (r["issues"], round(r["coverage"], 2)) for r in extraction.checked(docs).collect()}
+    assert got == {"headless": ([], 0.75), "turned": ([], 0.5), "empty": (["title is an address or empty"], 1.0), "yield": ([], 0.67)}
+    assert {r["id"] for r in extraction.checked(docs, whole=True).collect() if "content left out" in r["issues"]} == {"headless", "turned", "yield"}
+    assert extraction.checked(docs.limit(0)).count() == 0
