@@ -44,7 +44,8 @@ def shopping_counts(items: DataFrame) -> DataFrame:
 def plan_entries(meals: DataFrame, moved: DataFrame) -> DataFrame:
     """(day, id, recipe, position, note): the planned meals whose recipe has moved, numbered from 0 within their day.
 
-    meals: id, day, meal, recipe, notes; moved: recipe, new. Meals of a day stand in the order of meals, unknown ones last.
+    meals: id, day, meal, recipe, notes; moved: recipe, new. Meals of a day stand in the order of meals, unknown ones last; a day is
+    put in order in one task.
     """
     place = F.array_position(F.array(*map(F.lit, MEALS)), F.col("meal"))
     rows = meals.join(moved, "recipe").withColumn("place", F.when(place > 0, place).otherwise(F.lit(10)))

@@ -810,7 +810,7 @@ def moved_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 0 AS part, row_number() OVER (ORDER BY status) + 1 AS line, '| ' || status || ' | ' || n || ' |' AS text FROM s UNION ALL SELECT 1, row_number() OVER (ORDER BY priority) + 1, '| ' || priority || ' | ' || n || ' |' FROM p
 UNION ALL VALUES (0, -1, '## Status'), (0, 0, '| status | n |'), (0, 1, '|---|---|'), (1, -1, '## Priority'), (1, 0, '| priority | n |'), (1, 1, '|---|---|')""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of orders as a report, written as text and read again by its parts."""
+    """Counts of orders as the lines of a report, two tables below a heading each."""
     counts = lambda c, name: table(spark, sf_dir, "orders").groupBy(F.col(c).alias(name)).agg(F.count("*").alias("n"))
     status, priority = counts("o_orderstatus", "status"), counts("o_orderpriority", "priority")
     return report.sections({"Status": report.table_lines(status, ["status"]), "Priority": report.table_lines(priority, ["priority"])})
