@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, digest, language_id, line_dedup, mixing, ngram_join, quality, toxicity, wrappers
+from galley.llm import bpe, chat, digest, divergence, language_id, line_dedup, mixing, ngram_join, quality, toxicity, wrappers
 from galley.sources.tables import table
 
 
@@ -99,6 +99,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of every language against one another and against the language, by their terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -112,6 +117,7 @@ QUERIES = {
         op8_line_dedup,
         op9_toxicity,
         op10_ngram_join,
+        op13_source_divergence,
     )
 }
 _CHAT_SQL = r"""
@@ -166,10 +172,29 @@ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.node)
 SELECT n.doc_id, n.n AS n_shingles, min(root) AS component_id FROM r JOIN n ON n.doc_id = node GROUP BY 1, 2"""
 
+_DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT doc, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS whole FROM t GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(whole) AS n FROM k GROUP BY 1),
+o AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+n AS (SELECT lang, source, sum(c) AS n FROM o GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c, (1 + 1000000000 * (coalesce(o.c, 0) + 1)::HUGEINT // (coalesce(n.n, 0) + v.v))::BIGINT AS p,
+  (1 + 1000000000 * (whole + 1)::HUGEINT // (v.n + v.v))::BIGINT AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN o USING (lang, source, term) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY 1, 2, 3),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 200"""
+
 #: Languages, main texts, tokens, fingerprints, quality and toxicity have no SQL: they are tested against plain Python.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": _CHAT_SQL,
     "op5_source_mixing": _MIX_SQL,
     "op8_line_dedup": _LINES_SQL,
     "op10_ngram_join": _JOIN_SQL,
+    "op13_source_divergence": _DIVERGENCE_SQL,
 }
