@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm import bpe, chat, digest, divergence, language_id, line_dedup, mixing, ngram_join, quality, toxicity, wrappers
+from galley.llm import (
+    bpe,
+    chat,
+    digest,
+    divergence,
+    language_id,
+    line_dedup,
+    mixing,
+    near_vectors,
+    negatives,
+    ngram_join,
+    quality,
+    toxicity,
+    wrappers,
+)
 from galley.sources.tables import table
 
 
@@ -99,6 +113,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth row as anchor; every seventh has the label after its own."""
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one label whose vectors have a cosine of 0.98 or more, and the groups that they form."""
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources of every language against one another and against the language, by their terms."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -117,6 +143,8 @@ QUERIES = {
         op8_line_dedup,
         op9_toxicity,
         op10_ngram_join,
+        op11_hard_negatives,
+        op12_embedding_dedup,
         op13_source_divergence,
     )
 }
@@ -190,11 +218,34 @@ r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
   UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q)
 SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 200"""
 
+_NEGATIVES_SQL = r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM s WHERE alike QUALIFY place <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.r, p.place ORDER BY s.score DESC, s.vec_id)::INT AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.r = s.r AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10"""
+
+_NEAR_VECTORS_SQL = r"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+v AS (SELECT * FROM e WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND list_cosine_similarity(a.v, b.v) >= 0.98),
+t(node, root) AS (SELECT r, vec_id FROM e UNION SELECT l.a, t.root FROM t JOIN l ON l.b = t.node),
+c AS (SELECT node, min(root) AS component_id FROM t GROUP BY 1),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN c ON c.node = e.r LEFT JOIN n ON n.a = e.r"""
+
 #: Languages, main texts, tokens, fingerprints, quality and toxicity have no SQL: they are tested against plain Python.
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_formatting": _CHAT_SQL,
     "op5_source_mixing": _MIX_SQL,
     "op8_line_dedup": _LINES_SQL,
     "op10_ngram_join": _JOIN_SQL,
+    "op11_hard_negatives": _NEGATIVES_SQL,
+    "op12_embedding_dedup": _NEAR_VECTORS_SQL,
     "op13_source_divergence": _DIVERGENCE_SQL,
 }
