@@ -11,7 +11,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,35 +47,35 @@ def term_counts(docs: DataFrame) -> DataFrame:
     Each task counts its own documents first; it holds at most about ``TERMS_HELD`` terms and those of one text.
     """
 
-    def rows(counts: dict) -> pd.DataFrame:
-        parts = []
+    def rows(counts: dict) -> Iterator[pa.RecordBatch]:
         for (lang, source), (c, d) in counts.items():
-            terms = [t.decode("utf-8", "surrogatepass") for t in c]
-            parts.append(pd.DataFrame({"lang": lang, "source": source, "term": terms, "c": list(c.values()), "d": [d[t] for t in c]}))
-        return pd.concat(parts)
+            terms = pa.array(list(c), pa.binary()).cast(pa.string())
+            n = len(terms)
+            sums = [pa.array(list(c.values()), pa.int64()), pa.array([d[t] for t in c], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), pa.repeat(source, n), terms, *sums], ["lang", "source", "term", "c", "d"])
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held = {}, 0
-        for frame in frames:
-            for lang, source, text in zip(frame["lang"], frame["source"], frame["text"], strict=True):
+        for batch in batches:
+            for text, lang, source in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 c, d = counts.setdefault((lang, source), (Counter(), Counter()))
                 before, own = len(c), set()
-                for piece in pieces(text.encode("utf-8", "surrogatepass").translate(FOLDED)):
+                for piece in pieces(text.translate(FOLDED)):
                     terms = piece.split()
                     c.update(terms)
                     own.update(terms)
                 d.update(own)
                 held += len(c) - before
                 if held > TERMS_HELD:
-                    yield rows(counts)
+                    yield from rows(counts)
                     counts, held = {}, 0
-        if held:
-            yield rows(counts)
+        yield from rows(counts)
 
     ship(docs.sparkSession)
-    texts = docs.filter("text is not null").select("text", _name("lang"), _name("source"))
-    counted = texts.mapInPandas(trimmed(scan), "lang string, source string, term string, c long, d long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+    texts = docs.filter("text is not null").select(F.col("text").cast("binary").alias("text"), _name("lang"), _name("source"))
+    counted = texts.mapInArrow(trimmed(scan), "lang string, source string, term string, c long, d long")
+    # Tasks have summed what they hold, so a sum before the shuffle would find little; after it all of a term is in one place.
+    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
 def _name(column: str) -> Column:
@@ -87,8 +87,10 @@ def whole_part(a: Column, b: Column) -> Column:
 
 
 def share(count: Column, total: Column) -> Column:
-    """1 + floor(SCALE * (count + 1) / total), exactly, as a long."""
-    return whole_part((count + 1).cast("decimal(19,0)") * F.lit(SCALE), total.cast("decimal(19,0)")) + 1
+    """1 + floor(SCALE * (count + 1) / total), exactly, as a long; beyond what a long holds the product is a decimal."""
+    up = count + 1
+    wide = whole_part(up.cast("decimal(19,0)") * F.lit(SCALE), total.cast("decimal(19,0)"))
+    return F.when(up < (1 << 63) // SCALE, whole_part(up * F.lit(SCALE), total)).otherwise(wide) + 1
 
 
 def wide_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -145,9 +147,11 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, most_terms: int = 200)
 
     # (p - q)^2 / q is p^2 / q - 2p + q, and only its first part is no whole number; for p = q that part is p itself, so the sums of
     # the pairs of a source with itself give the rest.
-    by_source = terms.select("lang", "shares", F.posexplode("shares").alias("i", "p")).withColumn("pp", F.col("p") * F.col("p"))
-    made = by_source.select("lang", "i", F.posexplode(F.transform("shares", lambda q: whole_part(F.col("pp"), q))).alias("j", "f"))
-    summed = materialise(made.groupBy("lang", "i", "j").agg(F.sum("f").alias("f")), "pair-sums")
+    # Terms with the same counts give the same contributions.
+    alike = terms.groupBy("lang", "shares").agg(F.count("*").alias("m"))
+    by_source = alike.select("lang", "m", "shares", F.posexplode("shares").alias("i", "p")).withColumn("pp", F.col("p") * F.col("p"))
+    made = by_source.select("lang", "m", "i", F.posexplode(F.transform("shares", lambda q: whole_part(F.col("pp"), q))).alias("j", "f"))
+    summed = materialise(made.groupBy("lang", "i", "j").agg(F.sum(F.col("f") * F.col("m")).alias("f")), "pair-sums")
     own = summed.filter("i = j").select("lang", "i", F.col("f").alias("own"))
     first = langs.select("lang", "sources", F.posexplode("sources").alias("i", "source"))
     both = first.select("lang", "i", "source", F.posexplode("sources").alias("j", "item")).filter("i != j")
