@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from galley.operators import book_recipes, plain_recipes
+from galley.operators import book_recipes, plain_recipes, term_search
 from galley.plans.catalog_queries import query
 from galley.sources.tables import table
 
@@ -104,3 +104,57 @@ def book_recipes_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def book_order(by: str, column: str) -> WindowSpec:
     return Window.partitionBy(by).orderBy(column)
+
+
+#: Words as the client's search takes them, and what they match, for SQL.
+_TERMS = r"list_filter(list_transform(string_split_regex(coalesce({0}, ''), '[\n\r\p{{Z}}\p{{P}}]+'), lambda x: lower(x)), lambda x: x <> '')"
+_ALLOWED = "CASE WHEN length({0}) >= 8 THEN 2 WHEN length({0}) >= 5 THEN 1 ELSE 0 END"
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT unnest({_TERMS.format("p_name || ' ' || p_type || ' ' || p_brand || ' widgit plat anvils'")}) AS t FROM part),
+s AS (SELECT substr(t, 1, length(t) // 2) || substr(t, length(t) // 2 + 2) AS searched FROM a UNION SELECT t || 's' FROM a UNION SELECT substr(t, 2) || 'x' FROM a),
+w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS term FROM documents UNION SELECT t FROM a)
+SELECT searched, term, levenshtein(searched, term) AS edits FROM s JOIN w ON abs(length(searched) - length(term)) <= 2 AND searched <> term
+  AND levenshtein(searched, term) <= {_ALLOWED.format("searched")}""")
+def misspelt_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of parts with a letter dropped, added or changed at the end, against all words of documents and parts."""
+    part = table(spark, sf_dir, "part")
+    said = F.concat_ws(" ", "p_name", "p_type", "p_brand", F.lit("widgit plat anvils"))
+    words = part.select(F.explode(term_search.terms_of(said)).alias("t")).distinct()
+    half = F.floor(F.length("t") / 2).cast("int")
+    dropped = F.concat(F.left("t", half), F.substring("t", half + 2, F.length("t")))
+    forms = F.array(dropped, F.concat("t", F.lit("s")), F.concat(F.substring("t", F.lit(2), F.length("t")), F.lit("x")))
+    letters = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    known = table(spark, sf_dir, "documents").select(F.explode(letters).alias("t")).select(F.lower("t").alias("term")).unionAll(words.select("t"))
+    return term_search.near_terms(words.select(F.explode(forms).alias("searched")), known)
+
+
+@query(f"""
+WITH q AS (SELECT DISTINCT p_name AS query, substr(p_name, 1, length(p_name) - 1) || ' ' || CASE WHEN length(p_name) % 3 = 0 THEN 'brnad' ELSE lower(p_type) END AS text FROM part),
+f AS (SELECT p_partkey AS id, unnest(['title', 'tags', 'source']) AS field, unnest([{", ".join(_TERMS.format(c) for c in ("p_name", "p_type", "p_brand"))}]) AS terms FROM part),
+z AS (SELECT field, sum(len(list_distinct(terms))) / count(*) AS mean, count(*) AS docs FROM f GROUP BY 1),
+p AS (SELECT id, field, term, count(*) AS tf, any_value(size) AS size FROM (SELECT id, field, len(list_distinct(terms)) AS size, unnest(terms) AS term FROM f) GROUP BY 1, 2, 3),
+d AS (SELECT term, field, count(*) AS df FROM p GROUP BY 1, 2),
+a AS (SELECT query, s, count(*) AS times FROM (SELECT query, unnest({_TERMS.format("text")}) AS s FROM q) GROUP BY 1, 2),
+e AS (SELECT s, term, CASE WHEN s = term THEN 1.0 WHEN starts_with(term, s) AND length(s) >= 2 THEN 0.7 * length(term) / (length(term) + 0.3 * (length(term) - length(s)))
+  ELSE 0.3 * length(term) / (length(term) + levenshtein(s, term)) END AS weight
+  FROM (SELECT DISTINCT s FROM a) JOIN (SELECT DISTINCT term FROM p) ON s = term OR (starts_with(term, s) AND length(s) >= 2) OR levenshtein(s, term) <= {_ALLOWED.format("s")}),
+r AS (SELECT s, id, sum(weight * CASE field WHEN 'title' THEN 6.0 WHEN 'tags' THEN 3.0 ELSE 1.5 END::DOUBLE * ln(1 + (docs - df + 0.5) / (df + 0.5))
+  * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * size / mean)))) AS x FROM p JOIN d USING (term, field) JOIN z USING (field) JOIN e USING (term) GROUP BY 1, 2),
+g AS (SELECT query, id, sum(x * times) AS x, count(*) AS n FROM r JOIN a USING (s) GROUP BY 1, 2),
+h AS (SELECT g.*, n = (SELECT count(*) FROM a WHERE a.query = g.query) AS every FROM g),
+k AS (SELECT query, id, round(x * n, 6) AS score FROM h QUALIFY every OR NOT bool_or(every) OVER (PARTITION BY query)),
+t AS (SELECT * FROM k QUALIFY score >= 0.15 * max(score) OVER (PARTITION BY query))
+SELECT query, count(*) AS found, max(score) AS best, round(sum(score), 4) AS total, min(id) FILTER (WHERE rank = 1) AS first FROM
+  (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM t) GROUP BY 1""")
+def client_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name of a part, cut short and with its type or a misspelt word, searched in names, types and brands."""
+    part = table(spark, sf_dir, "part")
+    more = F.when(F.length("p_name") % 3 == 0, "brnad").otherwise(F.lower("p_type"))
+    asked = part.select(F.col("p_name").alias("query"), F.concat(F.expr("left(p_name, length(p_name) - 1)"), F.lit(" "), more).alias("text")).distinct()
+    docs = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("tags"), F.col("p_brand").alias("source"))
+    got = term_search.search(docs, asked, {f: term_search.BOOSTS[f] for f in ("title", "tags", "source")})
+    return got.groupBy("query").agg(
+        F.count("*").alias("found"), F.max("score").alias("best"), F.round(F.sum("score"), 4).alias("total"), F.min(F.when(F.col("rank") == 1, F.col("id"))).alias("first")
+    )
