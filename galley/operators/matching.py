@@ -23,24 +23,29 @@ def shared_word_pairs(a: DataFrame, b: DataFrame, words: str, ids: tuple[str, st
     return met.groupBy(*ids, f"n{ids[0]}", f"n{ids[1]}").agg(F.count("*").alias("both"))
 
 
-def alike_pairs(items: DataFrame, words: str, least: float) -> DataFrame:
-    """(a, b, both, na, nb): pairs of (id, words) rows, a < b, whose Jaccard index is ``least`` or more.
+def alike_pairs(items: DataFrame, words: str, percent: int) -> DataFrame:
+    """(a, b, both, na, nb): pairs of (id, words) rows, a < b, whose Jaccard index is ``percent`` hundredths or more, exactly.
 
     Words have one order, rare ones first. Two sets that are alike enough share a word among the first few of each, so only these
-    are joined on, and common words, which nearly all share, hardly ever.
+    are joined on, and common words, which nearly all share, hardly ever. Their sizes, and what can still follow the word that they
+    meet by, rule out most of the pairs before the sets themselves are fetched.
     """
     distinct = items.select("id", F.array_distinct(words).alias("w"))
     rank = distinct.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     placed = distinct.select("id", F.explode("w").alias("word")).join(rank, "word").groupBy("id")
     ordered = materialise(placed.agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("o")).select("id", F.col("o.word").alias("w")), "ordered")
-    first = F.size("w") - F.ceil(F.size("w") * F.lit(least)).cast("int") + 1
-    prefix = lambda n: ordered.select(F.col("id").alias(n), F.explode(F.slice("w", F.lit(1), first)).alias("word"))
-    met = prefix("a").join(prefix("b"), "word").filter("a < b").select("a", "b").distinct()
-    side = lambda n: ordered.select(F.col("id").alias(n), F.col("w").alias(f"w{n}"))
-    sized = met.join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", F.size(F.array_intersect("wa", "wb")).cast("long").alias("both"), F.size("wa").alias("na"), F.size("wb").alias("nb")
+    up = lambda c, k: F.expr(f"({c} + {k - 1}) div {k}")
+    first = (F.size("w") - up(f"size(w) * {percent}", 100) + 1).cast("int")
+    prefix = lambda n: ordered.select(
+        F.col("id").alias(n), F.size("w").alias(f"n{n}"), F.posexplode(F.slice("w", F.lit(1), first)).alias(f"i{n}", "word")
     )
-    return sized.filter(F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both")))
+    met = prefix("a").join(prefix("b"), "word").filter("a < b")
+    able = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= up(f"(na + nb) * {percent}", 100 + percent)
+    sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    met = met.groupBy("a", "b", "na", "nb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib")).filter(sizes & able)
+    side = lambda n: ordered.select(F.col("id").alias(n), F.col("w").alias(f"w{n}"))
+    sized = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("wa", "wb")).cast("long").alias("both"), "na", "nb")
+    return sized.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
 
 
 def jaccard_of(both: Column, na: Column, nb: Column) -> Column:

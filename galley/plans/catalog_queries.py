@@ -339,7 +339,7 @@ SELECT a.id AS a, b.id AS b, round(count(*) / (a.n + b.n - count(*))::DOUBLE, 9)
 GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.2 * (a.n + b.n - count(*))""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), text.tokens(F.col("text")).alias("words"))
-    pairs = matching.alike_pairs(items, "words", 0.2)
+    pairs = matching.alike_pairs(items, "words", 20)
     return pairs.select("a", "b", F.round(matching.jaccard_of(F.col("both"), F.col("na"), F.col("nb")), 9).alias("jaccard"))
 
 

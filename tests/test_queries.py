@@ -3,7 +3,7 @@ import pytest
 from galley.plans import kitchen_queries, merge_queries, recipe_queries, stream_queries  # noqa: F401  (they register their queries)
 from galley.plans.catalog_queries import ORACLE_SQL, QUERIES
 
-FULL = {"canonical_url": 50, "duplicate_finder": 1, "greedy_match": 1, "hybrid_search": 10, "inbox_states": 1, "lexical_fuzzy": 1, "line_recall": 1}
+FULL = {"canonical_url": 50, "duplicate_finder": 1, "greedy_match": 1, "hybrid_search": 1, "inbox_states": 1, "lexical_fuzzy": 1, "line_recall": 1}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
