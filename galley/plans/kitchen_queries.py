@@ -115,27 +115,98 @@ def nutrition_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nutrition.totals(ready, "l_orderkey", "servings", ["kcal_g", "fat_g"], places=4)
 
 
-@query("""WITH l AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'Cups' WHEN 'view' THEN 'oz' WHEN 'purchase' THEN 'large' WHEN 'signup' THEN 'tbsp.' END AS unit, round(value / 10, 1) AS q, user_id % 3 AS food,
-CASE WHEN user_id % 2 = 0 THEN 'chopped onions' ELSE 'two eggs' END AS txt FROM events)
-SELECT event_id, CASE WHEN q <= 0 THEN NULL WHEN unit = 'oz' THEN round(q * 28.3495, 6) WHEN food = 2 THEN NULL
-WHEN unit = 'Cups' THEN round(q * CASE WHEN txt = 'chopped onions' THEN 160 ELSE 120 END, 6)
-WHEN unit = 'tbsp.' THEN round(q * 14.7868 * CASE WHEN txt = 'chopped onions' THEN 160 ELSE 120 END / 236.588, 6)
-WHEN unit = 'large' THEN round(q * CASE food WHEN 0 THEN 50.0 ELSE 80.0 END, 6) WHEN unit IS NULL AND txt = 'two eggs' THEN round(q * CASE food WHEN 0 THEN 50.0 ELSE 80.0 END, 6) END AS grams,
-CASE WHEN q <= 0 THEN NULL WHEN unit = 'oz' THEN 'mass' WHEN food = 2 THEN NULL WHEN unit IN ('Cups', 'tbsp.') THEN 'volume portion' WHEN unit = 'large' THEN 'count portion' WHEN txt = 'two eggs' THEN 'count portion' END AS method FROM l""")
+_PIECE = "CASE WHEN p_partkey % 3 <> 1 THEN (80 + p_size) / 2.0 ELSE 30.0 END"
+_CUP = "(CASE WHEN user_id % 2 = 0 THEN 150 ELSE 100 END + p_size)"
+
+
+@query(f"""WITH l AS (SELECT event_id, event_type AS t, round(value / 10, 1) AS q, user_id, p_partkey, p_size FROM events LEFT JOIN part ON p_partkey = user_id)
+SELECT event_id, round(CASE WHEN q <= 0 THEN NULL WHEN t = 'view' THEN q * 28.3495 WHEN t = 'click' THEN q * {_CUP} WHEN t = 'signup' THEN q * 29.5735 * {_CUP} / 236.588
+WHEN t = 'purchase' THEN CASE WHEN p_partkey % 3 <> 1 THEN q * {_PIECE} END ELSE q * {_PIECE} END, 6) AS grams,
+CASE WHEN q <= 0 THEN NULL WHEN t = 'view' THEN 'mass' WHEN p_partkey IS NULL THEN NULL WHEN t IN ('click', 'signup') THEN 'volume portion' WHEN t = 'purchase' AND p_partkey % 3 = 1 THEN NULL ELSE 'count portion' END AS method FROM l""")
 def line_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as lines with an amount; the portions of two foods; what can't be weighed is null."""
-    unit = amounts.lookup({"click": "Cups", "view": "oz", "purchase": "large", "signup": "tbsp."}, F.col("event_type"))
-    lines = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("line"), (F.col("user_id") % 3).alias("food"), F.round(F.col("value") / 10, 1).alias("quantity"), unit.alias("unit"),
-        F.when(F.col("user_id") % 2 == 0, "chopped onions").otherwise("two eggs").alias("text"),
+    """events as lines with an amount, parts as foods with portions by volume, by piece and by serving.
+
+    A part without a large piece weighs by the piece that is named after it; a large one of it is not guessed.
+    """
+    unit = amounts.lookup({"click": "Cups", "view": "oz", "purchase": "lg", "signup": "fluid oz"}, F.col("event_type"))
+    part = table(spark, sf_dir, "part")
+    noun = F.element_at(F.split("p_name", " "), -1)
+    lines = table(spark, sf_dir, "events").join(part.select(F.col("p_partkey").alias("user_id"), noun.alias("noun")), "user_id", "left").select(
+        F.col("event_id").alias("line"), F.col("user_id").alias("food"), F.round(F.col("value") / 10, 1).alias("quantity"), unit.alias("unit"),
+        F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("chopped "), "noun", F.lit("s"))).otherwise("two eggs").alias("text"),
+    )
+    size = F.col("p_size").cast("double")
+    portion = lambda amount, unit, label, grams: F.struct(
+        F.lit(amount).alias("amount"), F.lit(unit).cast("string").alias("unit"), label.alias("label"), grams.alias("grams")
     )
-    portions = spark.createDataFrame(
-        [(f, n, *p) for f in (0, 1) for n, p in enumerate([(1.0, "cup", "1 cup", 120.0), (1.0, "cup", "1 cup, chopped onion", 160.0), (0.5 if f else 2.0, None, "large", 80.0 if f else 100.0)])],
-        "food long, place int, amount double, unit string, label string, grams double",
+    every = F.array(
+        portion(1.0, "cup", F.lit("1 cup"), 100 + size),
+        portion(1.0, "cup", F.concat(F.lit("1 cup, chopped "), noun), 150 + size),
+        portion(2.0, None, F.when(F.col("p_partkey") % 3 != 1, "large (2 in dia)").otherwise("serving, large"), 80 + size),
+        portion(0.5, None, noun, F.lit(30.0)),
+        portion(1.0, None, F.lit("large serving"), F.lit(999.0)),
     )
+    portions = part.select(F.col("p_partkey").alias("food"), F.col("p_name").alias("described"), F.posexplode(every).alias("place", "p")).select("food", "described", "place", "p.*")
     return nutrition.grams(lines, portions).select(F.col("line").alias("event_id"), F.round("grams", 6).alias("grams"), "method")
 
 
+@query("""
+WITH l AS (SELECT l_orderkey AS recipe, l_orderkey * 100 + l_linenumber AS line, l_partkey, l_quantity AS q, l_linenumber % 4 AS form, CASE l_suppkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'close' WHEN 2 THEN 'approximate' END AS quality,
+  l_linenumber = 5 AND l_linestatus = 'F' AS unread, CASE WHEN l_discount = 0.1 THEN 'to taste' END AS left_out, CASE WHEN l_tax < 0.02 THEN l_partkey END AS alias, l_suppkey % 5 = 0 AS byhand,
+  CASE WHEN l_suppkey % 10 = 0 THEN l_partkey END AS own_food, CASE WHEN l_suppkey % 20 = 0 THEN 77.0 END AS own_grams, p_size, p_partkey % 3 AS m FROM lineitem JOIN part ON p_partkey = l_partkey
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity, l_suppkey) = 1),
+f AS (SELECT *, byhand AND own_food IS NOT NULL AS hand, CASE WHEN byhand AND own_food IS NULL THEN 'excluded by user' WHEN unread AND NOT (byhand AND own_food IS NOT NULL) THEN 'could not parse' WHEN NOT byhand THEN left_out END AS gone FROM l),
+g AS (SELECT *, CASE WHEN gone IS NULL THEN coalesce(own_food, alias, CASE WHEN quality IS NOT NULL THEN l_partkey END) END AS food,
+  CASE WHEN unread THEN NULL WHEN form = 0 THEN q * 28.3495 WHEN form = 1 THEN q * (100 + p_size) WHEN form = 2 AND m <> 1 THEN q * (80 + p_size) / 2.0 END AS portion FROM f),
+w AS (SELECT *, CASE WHEN food IS NULL THEN NULL WHEN hand AND own_grams > 0 THEN own_grams WHEN portion IS NOT NULL THEN portion WHEN NOT unread AND form = 3 THEN 55.0 END AS grams FROM g)
+SELECT recipe, line, food, CASE WHEN food IS NULL THEN NULL WHEN hand THEN 'user override' WHEN alias IS NOT NULL THEN 'alias' ELSE 'model pick (' || quality || ')' END AS match, round(grams, 6) AS grams,
+  CASE WHEN grams IS NOT NULL THEN ['low', 'medium', 'high'][1 + least(CASE WHEN hand OR alias IS NOT NULL OR quality = 'exact' THEN 2 WHEN quality = 'close' THEN 1 ELSE 0 END,
+    CASE WHEN hand AND own_grams > 0 THEN 2 WHEN form = 3 THEN 0 WHEN form = 2 THEN 1 ELSE 2 END)] END AS confidence,
+  coalesce(gone, CASE WHEN food IS NULL THEN 'no FDC match' WHEN grams IS NULL THEN 'no amount that converts to grams' END) AS reason, byhand AS overridden FROM w""")
+def recipe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders with curated names, a model's picks and what people have set, weighed by the parts' portions."""
+    part = table(spark, sf_dir, "part")
+    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey").withColumn("n", F.row_number().over(first)).filter("n = 1")
+    key = (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line")
+    form, by = F.col("l_linenumber") % 4, F.col("l_suppkey")
+    quality = F.when(by % 4 == 0, "exact").when(by % 4 == 1, "close").when(by % 4 == 2, "approximate")
+    rows = lines.select(
+        F.col("l_orderkey").alias("recipe"), key, F.lit("a line").alias("text"), F.col("l_quantity").alias("quantity"),
+        F.when(form == 0, "ounces").when(form == 1, "c").when(form == 3, "handful").alias("unit"), F.when(form == 3, 55.0).alias("approx"),
+        ((F.col("l_linenumber") == 5) & (F.col("l_linestatus") == "F")).alias("unread"), F.when(F.col("l_discount") == 0.1, "to taste").alias("left_out"),
+        F.when(F.col("l_tax") < 0.02, F.col("l_partkey")).alias("alias"), F.when(quality.isNotNull(), F.col("l_partkey")).alias("pick"), quality.alias("quality"),
+    )
+    overrides = lines.filter("l_suppkey % 5 = 0").select(key, F.when(by % 10 == 0, F.col("l_partkey")).alias("food"), F.when(by % 20 == 0, 77.0).alias("grams"))
+    size = F.col("p_size").cast("double")
+    every = F.array(
+        F.struct(F.lit(1.0).alias("amount"), F.lit("cup").alias("unit"), F.lit("1 cup").alias("label"), (100 + size).alias("grams")),
+        F.struct(F.lit(2.0).alias("amount"), F.lit(None).cast("string").alias("unit"), F.when(F.col("p_partkey") % 3 != 1, "medium").otherwise("sliver").alias("label"), (80 + size).alias("grams")),
+    )
+    portions = part.select(F.col("p_partkey").alias("food"), F.posexplode(every).alias("place", "p")).select("food", "place", "p.*")
+    got = nutrition.computed_lines(rows, portions, part.select(F.col("p_partkey").alias("food"), F.col("p_name").alias("described")), overrides)
+    return got.select("recipe", "line", "food", "match", F.round("grams", 6).alias("grams"), "confidence", "reason", "overridden")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, round(sum(l_quantity * 3) / 4, 0) AS kcal, round(sum(l_linenumber) / 3, 1) AS protein_g FROM lineitem GROUP BY 1),
+p AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN round(round(o_totalprice / 100, 2), 1) WHEN 1 THEN round(round(o_totalprice / 100, 2) / 4.184, 1) WHEN 2 THEN 0.0 END AS kcal, round((o_orderkey % 900) / 1000.0, 1) AS protein FROM orders)
+SELECT l_orderkey, CASE WHEN p.kcal > 0 THEN 'publisher' ELSE 'computed' END AS source, CASE WHEN p.kcal > 0 THEN round(p.kcal, 0) ELSE c.kcal END AS kcal, CASE WHEN p.kcal > 0 THEN p.protein ELSE protein_g END AS protein_g,
+  CASE WHEN NOT coalesce(p.kcal > 0, false) THEN 'high' END AS badge, c.kcal AS computed_kcal FROM c JOIN p ON o_orderkey = l_orderkey""")
+def publisher_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a page says of an order, in kilocalories or kilojoules and milligrams, stands before what its lines come to."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    computed = lines.groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_quantity") * 3) / 4, 0).alias("kcal"), F.round(F.sum("l_linenumber") / 3, 1).alias("protein_g"))
+    key, price = F.col("o_orderkey") % 4, F.round(F.col("o_totalprice") / 100, 2).cast("decimal(18,2)").cast("string")
+    energy = F.when(key == 0, F.concat(price, F.lit(" kcal"))).when(key == 1, F.concat(price, F.lit("kJ"))).when(key == 2, "0 kcal").otherwise("unknown")
+    protein = F.concat((F.col("o_orderkey") % 900).cast("string"), F.lit(" mg"))
+    page = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), nutrition.publisher_value(energy, "kcal").alias("kcal"), nutrition.publisher_value(protein, "g").alias("protein_g")
+    )
+    got = nutrition.with_publisher(computed.withColumn("badge", F.lit("high")), page, "l_orderkey", ["kcal", "protein_g"])
+    return got.select("l_orderkey", "source", "kcal", "protein_g", "badge", "computed_kcal")
+
+
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1000 + event_id % 100 WHEN 1 THEN round(value / 4.184, 6) WHEN 2 THEN 12.5 ELSE NULL END::DOUBLE AS kcal,
 CASE event_id % 4 WHEN 2 THEN 0.0125 WHEN 3 THEN NULL WHEN 0 THEN 1000 + event_id % 100 ELSE round(value, 2) END::DOUBLE AS fat FROM events""")
 def publisher_values(spark: SparkSession, sf_dir: str) -> DataFrame:
