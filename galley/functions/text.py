@@ -86,9 +86,13 @@ def singular(word: Column) -> Column:
 
 def title_key(title: Column) -> Column:
     """A title as two sources compare it: folded, without remarks in brackets and words that say nothing."""
-    text = F.regexp_replace(F.replace(folded(title), F.lit('"'), F.lit(" ")), r"\([^)]*\)", " ")
-    text = F.regexp_replace(F.replace(text, F.lit("&"), F.lit(" and ")), r"\bny\b", "new york")
-    return F.array_join(F.filter(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), 0), lambda w: ~w.isin(*TITLE_NOISE)), " ")
+    tokens = F.regexp_extract_all(folded(title), F.lit("[a-z0-9]+|[()&]"), 0)
+    step = lambda a, w: F.struct(
+        F.when(w == "(", F.lit(True)).when(w == ")", F.lit(False)).otherwise(a["aside"]).alias("aside"),
+        F.when(a["aside"] | w.isin("(", ")", "&"), a["said"]).otherwise(F.concat(a["said"], F.array(F.when(w == "ny", "new york").otherwise(w)))).alias("said"),
+    )
+    said = F.aggregate(tokens, F.struct(F.lit(False).alias("aside"), F.array().cast("array<string>").alias("said")), step)["said"]
+    return F.array_join(F.filter(said, lambda w: ~w.isin(*TITLE_NOISE)), " ")
 
 
 def ingredient_name(text: Column, units: list[str], skipped: list[str]) -> Column:
