@@ -1,11 +1,11 @@
-"""Queries for merges: tags with a log, records with nested collections."""
+"""Queries for merges and nested documents: tags with a log, records with collections, documents that break a rule."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.operators import merging
+from galley.operators import merging, validity
 from galley.plans.catalog_queries import query
 from galley.sources.tables import table
 
@@ -96,3 +96,46 @@ def fused_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("images", lambda i: F.concat(i["side"], i["image"].cast("string"), F.lit(" "), i["role"])), ",").alias("images"),
         many("missing"), many("generated"), many("extra"), "favourite",
     )
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS doc, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS place, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+d AS (SELECT doc, doc % 10 AS form, max(n) AS n, count(DISTINCT l_linenumber) AS ids, arg_min(l_linenumber, place) AS first, arg_max(l_linenumber, place) AS last FROM l GROUP BY 1),
+r AS (SELECT doc, l_linenumber, row_number() OVER (PARTITION BY doc, l_linenumber ORDER BY place) AS nth FROM l)
+SELECT doc, 'repeated ingredient' AS rule, 's1' AS section, 'i' || l_linenumber AS id FROM r WHERE nth > 1
+UNION ALL SELECT doc, 'length of title', NULL, NULL FROM d WHERE form = 0
+UNION ALL SELECT doc, 'unknown line', 's1', 'a1' FROM d WHERE form = 1
+UNION ALL SELECT doc, 'reversed span', 's1', 'a1' FROM d WHERE form = 2 AND first < last
+UNION ALL SELECT doc, 'repeated action', 's1', 'a1' FROM d WHERE form = 3
+UNION ALL SELECT doc, 'id', 's1', '-x' FROM d WHERE form = 4
+UNION ALL SELECT doc, 'sequence', 's1', 'a1' FROM d WHERE form = 5
+UNION ALL SELECT doc, 'number of instructions sections', NULL, NULL FROM d WHERE form = 6
+UNION ALL SELECT doc, 'repeated section', 's1', 's1' FROM d WHERE form = 7
+UNION ALL SELECT doc, 'length of step', 's2', 'p1' FROM d WHERE form = 8""")
+def invalid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: each order as a document of its lines, in one of ten forms, nine of which break a rule; lines with one number break one too."""
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")))
+    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(rows.alias("l"))
+    form = F.col("doc") % 10
+    version = F.when(form >= 6, 2).otherwise(1)
+    name = lambda x: F.concat(F.lit("i"), x["l_linenumber"].cast("string"))
+    lines = F.transform("l", lambda x: F.struct(name(x).alias("id"), F.concat(x["l_partkey"].cast("string"), F.lit(" g")).alias("text")))
+    first, last = name(F.element_at("l", 1)), name(F.element_at("l", -1))
+    action = lambda a: F.struct(
+        F.lit(a).alias("id"), F.lit("mix").alias("label"), F.when(form == 5, -1).otherwise(3).alias("sequence"),
+        F.when(form == 1, "i99").when(form == 2, last).otherwise(first).alias("start"), F.when(form == 2, first).otherwise(last).alias("end"),
+    )
+    one = F.array(action("a1"))
+    actions = F.when(form == 3, F.array(action("a1"), action("a1"))).when(form == 4, F.array(action("a1"), action("-x"))).otherwise(one)
+    none_of = lambda a: F.slice(a, 1, 0)
+    step = F.array(F.struct(F.lit("p1").alias("id"), F.when(form == 8, " ").otherwise("Mix it.").alias("text")))
+    section = lambda i, kind, ingredients, steps, acts: F.struct(
+        F.lit(i).alias("id"), F.lit("Part").alias("heading"), F.lit(kind).alias("kind"), ingredients.alias("ingredients"), steps.alias("steps"), acts.alias("actions")
+    )
+    listed = section("s1", "ingredients", lines, none_of(step), none_of(one))
+    told = lambda i: section(i, "instructions", none_of(lines), step, none_of(one))
+    sections = (
+        F.when(version == 1, F.array(section("s1", "table", lines, none_of(step), actions))).when(form == 6, F.array(listed)).when(form == 7, F.array(listed, told("s1"))).otherwise(F.array(listed, told("s2")))
+    )
+    docs = docs.select("doc", version.alias("version"), F.when(form != 0, "Stew").alias("title"), F.lit("4").alias("yield_text"), F.array(F.lit("note")).alias("notes"), sections.alias("sections"))
+    return validity.breaches(docs, "doc")
