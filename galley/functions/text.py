@@ -103,6 +103,18 @@ def ingredient_name(text: Column, units: list[str], skipped: list[str]) -> Colum
     return F.array_join(F.transform(F.filter(words, lambda w: ~w.isin(*units, *skipped)), singular), " ")
 
 
+# Labels that do not change which food a name means.
+FREE_OF = ["gluten", "dairy", "grain", "nut", "soy"]
+LABELS = ["organic", "vegan", "non-gmo", "non gmo", "nongmo", "all-natural", "all natural", "allnatural"]
+
+
+def without_labels(name: Column) -> Column:
+    """A name, folded, without labels such as organic and gluten-free."""
+    said = [f"{x}{sep}free" for x in FREE_OF for sep in "- "] + LABELS
+    phrases = "|".join(sorted(said, key=len, reverse=True))
+    return F.btrim(F.regexp_replace(F.regexp_replace(folded(name), rf"\b(?:{phrases})\b", " "), r"\s+", " "))
+
+
 def alias_keys(name: Column) -> Column:
     """struct<exact, sorted, plain>: the keys by which a food is looked up, in this order; plain is null without filler words."""
     text = F.regexp_replace(F.regexp_replace(F.replace(folded(name), F.lit("-"), F.lit(" ")), r"\(.*?\)", " "), "[^a-z0-9% ]+", " ")

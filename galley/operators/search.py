@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galley.functions.text import ratio, tokens
+from galley.functions.text import alias_keys, ratio, tokens, without_labels
 from galley.operators.ranking import fuse
 from galley.sources.tables import materialise
 
@@ -113,21 +113,31 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) ->
     return found.crossJoin(F.broadcast(total)).select("id", score.alias("score"))
 
 
-# Words that make a food special, and what they add to its score.
-SPECIAL = "nonfat fat free low reduced light imitation substitute dehydrated frozen canned cooked dried dry smoked cured breaded fried mix prepared".split()
+# Words that make a food special, for infants or cooked, and categories of what is eaten out.
+SPECIAL = (
+    "nonfat free low reduced substitute imitation light lite diet dietetic sweetened unsweetened fortified dehydrated frozen canned cooked dried dry "
+    "smoked cured breaded fried mix prepared"
+).split()
 COOKED = "cooked roasted boiled baked fried grilled canned dried toasted".split()
+INFANT = ["babyfood", "infant", "formula"]
+EATEN_OUT = ["Restaurant Foods", "Fast Foods", "Baby Foods"]
 
 
 def all_then_any(docs: DataFrame, terms: list[str], fields: dict[str, float], title: str, pool: int = 200, limit: int = 10) -> DataFrame:
     """(id, tier, score, place): documents with all terms, then those with any, ``limit`` in all.
 
-    Within a tier the ``pool`` best by weighted BM25 (less is better) are scored again: long titles, special forms and brands in
-    capitals lose, a first part of the title that holds a term and raw forms gain. docs: id, the fields and the title.
+    Within a tier the ``pool`` best by weighted BM25 (less is better) are scored again: long titles, special forms, food for infants
+    or from restaurants and brands in capitals lose, a first part of the title that holds a term, raw forms and foods with portions
+    gain. docs: id, the fields, the title, and, if there are any, category and with_portions.
     """
     words = {f: tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields}
     tf = lambda t: reduce(lambda a, b: a + b, [F.lit(w) * (F.size(words[f]) - F.size(F.array_remove(words[f], t))) for f, w in fields.items()])
     size = reduce(lambda a, b: a + b, [F.size(w) for w in words.values()])
-    each = docs.select("id", F.col(title).alias("title"), size.alias("size"), *[tf(t).cast("double").alias(f"tf{k}") for k, t in enumerate(terms)])
+    given = docs.columns
+    category = F.col("category") if "category" in given else F.lit(None).cast("string")
+    portions = F.col("with_portions") if "with_portions" in given else F.lit(False)
+    kept = [F.col(title).alias("title"), category.alias("category"), portions.alias("with_portions"), size.alias("size")]
+    each = docs.select("id", *kept, *[tf(t).cast("double").alias(f"tf{k}") for k, t in enumerate(terms)])
     each = materialise(each, "terms")
     n = range(len(terms))
     total = each.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in n])
@@ -135,7 +145,7 @@ def all_then_any(docs: DataFrame, terms: list[str], fields: dict[str, float], ti
     part = lambda k: idf(k) * F.col(f"tf{k}") * 2.2 / (F.col(f"tf{k}") + 1.2 * (0.25 + 0.75 * F.col("size") / F.col("mean")))
     found = reduce(lambda a, b: a + b, [(F.col(f"tf{k}") > 0).cast("int") for k in n])
     scored = each.crossJoin(F.broadcast(total)).select(  # one row of sums
-        "id", "title", F.round(-reduce(lambda a, b: a + b, [part(k) for k in n]), 9).alias("bm"), found.alias("found")
+        "id", "title", "category", "with_portions", F.round(-reduce(lambda a, b: a + b, [part(k) for k in n]), 9).alias("bm"), found.alias("found")
     )
     low = F.lower("title")
     first = F.regexp_extract(low, "^[^,(]*", 0)
@@ -146,6 +156,8 @@ def all_then_any(docs: DataFrame, terms: list[str], fields: dict[str, float], ti
         F.col("bm") + 0.04 * F.length("title") + 1.5 * special + F.when(head, -1.5).otherwise(0.0)
         + F.when(F.array_contains(said, "raw") & F.lit(not set(terms) & set(COOKED)), -1.0).otherwise(0.0)
         + F.when(F.rlike("title", F.lit(r"\b[A-Z][A-Z'&]{2,}\b")), 2.0).otherwise(0.0)
+        + F.when(F.arrays_overlap(said, F.array(*map(F.lit, INFANT))), 5.0).otherwise(0.0)
+        + F.when(F.col("category").isin(EATEN_OUT), 4.0).otherwise(0.0) - F.when(F.col("with_portions"), 0.3).otherwise(0.0)
     )
     tiers = [scored.filter(F.col("found") == len(terms)), scored.filter((F.col("found") > 0) & (F.col("found") < len(terms)))]
     best = reduce(
@@ -154,3 +166,25 @@ def all_then_any(docs: DataFrame, terms: list[str], fields: dict[str, float], ti
     )
     order = Window.orderBy("tier", "score", "id")  # at most two pools of rows
     return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+
+
+def alias_lookup(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """names (with a column name) with food and tier: what a curated (name, food) list knows each name as, or null.
+
+    A name is looked up as it is, then by its words in any order, then without words that change nothing, each without labels such as
+    gluten-free. Of several foods with one key the smallest counts. Each distinct name is looked up once, however many rows have it;
+    null and empty names find nothing, other columns stay.
+    """
+    known = aliases.select("food", alias_keys(F.col("name")).alias("k"))
+    listed = F.array(F.struct(F.lit(1).alias("n"), F.col("k.exact").alias("key")), F.struct(F.lit(2).alias("n"), F.col("k.sorted").alias("key")))
+    known = known.select("food", F.inline(listed)).groupBy("n", "key").agg(F.min("food").alias("food"))
+    plain = without_labels(F.col("name"))
+    asked = names.select("name").distinct().withColumn("k", alias_keys(F.when(plain != "", plain).otherwise(F.col("name"))))
+    tiers = F.array(
+        F.struct(F.lit("exact").alias("tier"), F.lit(1).alias("n"), F.col("k.exact").alias("key")),
+        F.struct(F.lit("any order").alias("tier"), F.lit(2).alias("n"), F.col("k.sorted").alias("key")),
+        F.struct(F.lit("plain").alias("tier"), F.lit(2).alias("n"), F.col("k.plain").alias("key")),
+    )
+    asked = asked.select("name", F.posexplode(tiers).alias("place", "t")).select("name", "place", "t.*").filter("key <> ''")
+    best = asked.join(known, ["n", "key"]).groupBy("name").agg(F.min(F.struct("place", "food", "tier")).alias("best"))
+    return names.join(best, "name", "left").select(*names.columns, "best.food", "best.tier")

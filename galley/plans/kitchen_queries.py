@@ -40,24 +40,49 @@ def due_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOOD_SQL = """
-WITH p AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS title, regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+') AS a, regexp_extract_all(lower(p_type), '[a-z0-9]+') AS b FROM part),
-e AS (SELECT id, title, len(a) + len(b) AS size, 5.0 * len(list_filter(a, lambda x: x = 'blue')) + 0.5 * len(list_filter(b, lambda x: x = 'blue')) AS t0,
+WITH p AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS title, regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+') AS a, regexp_extract_all(lower(p_type), '[a-z0-9]+') AS b, p_size AS k FROM part),
+e AS (SELECT id, title, k, len(a) + len(b) AS size, 5.0 * len(list_filter(a, lambda x: x = 'blue')) + 0.5 * len(list_filter(b, lambda x: x = 'blue')) AS t0,
   5.0 * len(list_filter(a, lambda x: x = 'small')) + 0.5 * len(list_filter(b, lambda x: x = 'small')) AS t1 FROM p),
 s AS (SELECT count(*)::DOUBLE AS n, avg(size) AS mean, count(*) FILTER (WHERE t0 > 0) AS d0, count(*) FILTER (WHERE t1 > 0) AS d1 FROM e),
-f AS (SELECT id, title, (t0 > 0)::INT + (t1 > 0)::INT AS found, round((-(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * size / mean))
+f AS (SELECT id, title, k AS extra, (t0 > 0)::INT + (t1 > 0)::INT AS found, round((-(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * size / mean))
   + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * size / mean))))::DOUBLE, 9) AS bm FROM e, s),
 r AS (SELECT *, row_number() OVER (PARTITION BY found ORDER BY bm, id) AS k FROM f WHERE found > 0),
-g AS (SELECT id, 2 - found AS tier, round((bm + 0.04 * length(title) - CASE WHEN contains(lower(title), 'blue') OR contains(lower(title), 'small') OR starts_with(lower(title), 'smal') THEN 1.5 ELSE 0 END)::DOUBLE, 6) AS score FROM r WHERE k <= 200)
+g AS (SELECT id, 2 - found AS tier, round((bm + 0.04 * length(title) - CASE WHEN contains(lower(title), 'blue') OR contains(lower(title), 'small') OR starts_with(lower(title), 'smal') THEN 1.5 ELSE 0 END
+  + CASE WHEN extra % 9 = 0 THEN 4 ELSE 0 END - CASE WHEN extra % 2 = 0 THEN 0.3 ELSE 0 END)::DOUBLE, 6) AS score FROM r WHERE k <= 200)
 SELECT id, tier, score, row_number() OVER (ORDER BY tier, score, id) AS place FROM g QUALIFY place <= 12"""
 
 
 @query(_FOOD_SQL)
 def food_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve parts with both words, then with one; the limits are the feature."""
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.col("p_type").alias("kind"))
+    docs = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("title"), F.col("p_type").alias("kind"),
+        F.when(F.col("p_size") % 9 == 0, "Fast Foods").alias("category"), (F.col("p_size") % 2 == 0).alias("with_portions"),
+    )
     return search.all_then_any(docs, ["blue", "small"], {"title": 5.0, "kind": 0.5}, "title", limit=12)
 
 
+@query("""
+WITH a AS (SELECT p_name, min(p_partkey) AS food FROM part WHERE p_size % 5 <> 0 GROUP BY 1),
+n AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 5 = 2 AND split_part(p_name, ' ', 1) IN ('small', 'large') THEN 4 ELSE p_partkey % 5 END AS form FROM part)
+SELECT p_partkey, CASE WHEN form = 4 THEN NULL ELSE food END AS food, CASE WHEN form = 4 OR food IS NULL THEN NULL WHEN form IN (0, 3) THEN 'exact' WHEN form = 1 THEN 'any order' ELSE 'plain' END AS tier FROM n LEFT JOIN a USING (p_name)""")
+def alias_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as they are, turned round, with words that change nothing, with labels, and with a word that does.
+
+    Sizes are words that change nothing as well, so a name that begins with one is not found behind such words.
+    """
+    part = table(spark, sf_dir, "part")
+    first, noun = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    form = F.col("p_partkey") % 5
+    said = (
+        F.when(form == 0, F.concat(F.upper("p_name"), F.lit("s (raw)"))).when(form == 1, F.concat(noun, F.lit(" "), first)).when(form == 2, F.concat(noun, F.lit(" fresh, ripe "), first))
+        .when(form == 3, F.concat(F.lit("Gluten-free organic "), "p_name")).otherwise(F.concat(F.lit("golden "), "p_name"))
+    )
+    names = part.select("p_partkey", said.alias("name"))
+    aliases = part.filter("p_size % 5 <> 0").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("food"))
+    return search.alias_lookup(names, aliases).select("p_partkey", "food", "tier")
+
+
 @query("SELECT d.lang, coalesce(l.quality::VARCHAR, 'none') AS state, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL GROUP BY 1, 2")
 def progress_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the live documents are, by language."""

@@ -93,3 +93,25 @@ def test_search_against_plain_python(spark):
     assert all(abs(a[2] - b[2]) < 1e-5 for a, b in zip(got, want, strict=True))
     assert {q for q, *_ in got} == {"a", "b", "e", "f", "g", "h"}
     assert ts.search(frame.limit(0), asked, boosts).count() == 0
+
+
+def test_foods_for_infants_and_from_restaurants_come_later(spark):
+    from galley.operators import search
+
+    rows = [(1, "Peas, raw", "Vegetables", True), (2, "Babyfood, peas", "Vegetables", False), (3, "Peas, raw", "Fast Foods", False), (4, "Peas, raw", None, None), (5, "Peas, fat added", "Vegetables", False)]
+    docs = spark.createDataFrame(rows, "id int, title string, category string, with_portions boolean")
+    got = {r["id"]: r["score"] for r in search.all_then_any(docs, ["peas"], {"title": 5.0}, "title").collect()}
+    assert sorted(got, key=got.get) == [1, 4, 3, 2, 5] or sorted(got, key=got.get)[:2] == [1, 4]
+    assert round(got[4] - got[1], 6) == 0.3 and round(got[3] - got[4], 6) == 4.0 and got[2] > got[4] + 4
+
+
+def test_alias_tiers(spark):
+    from galley.operators import search
+
+    aliases = spark.createDataFrame([("basil", 1), ("chicken thigh, boneless", 2), ("Large Eggs", 3), ("egg", 4), ("crème fraîche", 5)], "name string, food int")
+    said = ["Fresh basil", "boneless chicken thighs", "eggs", "Organic eggs", "gluten-free basil (dried)", "creme fraiche", "vegan", "", None, "egg white", "large egg"]
+    names = spark.createDataFrame([(k, x) for k, x in enumerate([*said, "eggs"])], "k int, name string")
+    got = {r["k"]: (r["food"], r["tier"]) for r in search.alias_lookup(names, aliases).collect()}
+    assert [got[k] for k in range(12)] == [
+        (1, "plain"), (2, "any order"), (4, "exact"), (4, "exact"), (1, "exact"), (5, "exact"), (None, None), (None, None), (None, None), (None, None), (3, "exact"), (4, "exact"),
+    ]
