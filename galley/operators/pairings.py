@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galley.functions.amounts import lookup
 from galley.functions.bind import let
 
 # Weights of the parts of a score, caps of courses, and textures that set each other off.
@@ -16,6 +17,22 @@ SEASONING = ("seasoning", "spice blend", "masala", " rub", "spice mix")
 SOFT = "creamy soft tender saucy stewy".split()
 CRISP = "crisp crunchy crispy".split()
 SMOOTH = "creamy soft".split()
+#: What goes with a dish of a course, and how well; courses that make a meal; what a sauce would repeat; words of parts of dishes.
+COMPLEMENTS = {
+    "main": {"side": 1.0, "salad": 0.9, "bread": 0.7, "sauce/condiment": 0.5, "dessert": 0.5, "drink": 0.4, "soup": 0.3},
+    "soup": {"bread": 1.0, "salad": 0.9, "side": 0.5, "dessert": 0.4, "drink": 0.3},
+    "salad": {"bread": 0.8, "soup": 0.8, "main": 0.6, "drink": 0.3},
+    "breakfast": {"drink": 0.6, "side": 0.5, "bread": 0.6},
+    "side": {"main": 0.8, "sauce/condiment": 0.5},
+    "sauce/condiment": {"main": 0.9, "side": 0.6},
+    "bread": {"soup": 0.9, "salad": 0.7, "main": 0.6},
+    "dessert": {"drink": 0.6},
+    "snack": {"sauce/condiment": 0.6, "drink": 0.5},
+    "drink": {"snack": 0.6, "dessert": 0.5},
+}
+MEAL_COURSES = ["side", "salad", "bread", "sauce/condiment", "soup", "main", "dessert", "drink"]
+WET = ["saucy", "brothy", "stewy"]
+COMPONENT_WORDS = ["paste", "seasoning", "spice blend", "spice mix", "rub", "stock", "broth", "dough", "pastry", "crust"]
 PAIR_LEAST, SIMILAR_LEAST, NEUTRAL = 0.55, 0.6, 0.5
 MARKERS_LEAST = 2
 
@@ -83,20 +100,44 @@ def contrast(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.array_max(F.array(*[F.when(holds, worth).otherwise(0.0) for worth, holds in rules]))
 
 
+def course_options(anchor_courses: Column, courses: Column) -> Column:
+    """array<struct<course, complement>>: the courses of a dish that go with one of the anchor's, each with its best weight.
+
+    An anchor without courses counts as a main.
+    """
+    weights = {f"{a}|{c}": w for a, others in COMPLEMENTS.items() for c, w in others.items() if c in MEAL_COURSES}
+    anchors = F.when(F.size(F.coalesce(anchor_courses, F.array())) > 0, anchor_courses).otherwise(F.array(F.lit("main")))
+    best = lambda c: F.array_max(F.transform(anchors, lambda a: lookup(weights, F.concat(a, F.lit("|"), c))))
+    every = F.transform(F.coalesce(courses, F.array()), lambda c: F.struct(c.alias("course"), best(c).alias("complement")))
+    return F.filter(every, lambda o: o["complement"].isNotNull())
+
+
+def is_component(title: Column) -> Column:
+    """Whether a title names a part of dishes, such as a stock or a dough."""
+    said = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
+    return reduce(lambda a, b: a | b, [F.contains(said, F.lit(f" {w} ")) for w in COMPONENT_WORDS])
+
+
 def meals(pairs: DataFrame, limit: int = 6) -> DataFrame:
     """The dishes of a meal around each anchor: (anchor, id, course, score, place).
 
-    pairs: anchor, id, title, course, complement, affinity, neutral, anchor_has, has (whether either has a cuisine), sweet, savory,
-    contrast, similarity, both_meaty, favourite, votes, a row for each course in which a dish could serve. Of these the one that
-    complements the anchor most counts, of equal ones the last by name. A dish of another cuisine is left out unless it is
-    neutral, a sweet one beside a savory anchor too. Each course has its cap.
+    pairs: anchor, id, title, course, complement (``course_options``), affinity, neutral, anchor_has, has (whether either has a
+    cuisine), sweet, savory, contrast, similarity, both_meaty, favourite, votes, and, if given, component and anchor_wet; a row for
+    each course in which a dish could serve. Of these the one that complements the anchor most counts, of equal ones the last by
+    name. Left out are a dish of another cuisine unless it is neutral, a sweet one beside a savory anchor, a part of dishes as side,
+    bread or sauce, and a sauce beside an anchor that brings its own. Each course has its cap. Places go by the exact score, which is
+    shown to three digits, then by title and id.
     """
     best = F.row_number().over(Window.partitionBy("anchor", "id").orderBy(F.desc("complement"), F.desc("course")))
     one = pairs.withColumn("_n", best).filter("_n = 1").drop("_n")
     open_ = F.greatest(F.col("affinity"), F.when(F.col("neutral") | ~F.col("has"), NEUTRAL).otherwise(0.3))
     closed = F.when(F.col("affinity") >= PAIR_LEAST, F.col("affinity")).when(F.col("neutral"), NEUTRAL)
     late = F.col("course").isin("dessert", "drink")
-    kept = one.withColumn("compat", F.when(F.col("anchor_has"), closed).otherwise(open_)).filter(F.col("compat").isNotNull() & ~(F.col("sweet") & F.col("savory") & ~late))
+    given = lambda c: F.col(c) if c in pairs.columns else F.lit(False)
+    a_part = given("component") & F.col("course").isin("sauce/condiment", "side", "bread")
+    repeats = given("anchor_wet") & (F.col("course") == "sauce/condiment")
+    kept = one.withColumn("compat", F.when(F.col("anchor_has"), closed).otherwise(open_))
+    kept = kept.filter(F.col("compat").isNotNull() & ~(F.col("sweet") & F.col("savory") & ~late) & ~a_part & ~repeats)
     seasoning = reduce(lambda a, b: a | b, [F.contains(F.lower("title"), F.lit(w)) for w in SEASONING])
     score = (
         F.col("compat") * 3 + F.col("complement") * 2 + F.when(late, 0.0).otherwise(F.col("contrast")) * 0.8 + F.col("similarity") * 0.5
@@ -104,11 +145,13 @@ def meals(pairs: DataFrame, limit: int = 6) -> DataFrame:
         - F.when((F.col("course") == "sauce/condiment") & seasoning, 3.0).otherwise(0.0)
         + F.when(F.col("favourite"), 0.4).otherwise(0.0) + 0.3 * F.greatest(F.lit(-2), F.least(F.lit(2), F.col("votes")))
     )
-    scored = kept.select("anchor", "id", "title", "course", F.round(score, 3).alias("score"))
-    order = [F.desc("score"), F.col("title"), F.col("id")]
+    # Sums that differ only by how they are rounded on the way are equal.
+    scored = kept.select("anchor", "id", "title", "course", F.round(score, 9).alias("exact"))
+    order = [F.desc("exact"), F.col("title"), F.col("id")]
     cap = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in CAPS.items() for x in (k, n)]), F.col("course")), F.lit(1))
     capped = scored.withColumn("_c", F.row_number().over(Window.partitionBy("anchor", "course").orderBy(*order))).filter(F.col("_c") <= cap).drop("_c")
-    return capped.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy(*order))).filter(F.col("place") <= limit).drop("title")
+    placed = capped.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy(*order))).filter(F.col("place") <= limit)
+    return placed.select("anchor", "id", "course", F.round("exact", 3).alias("score"), "place")
 
 
 def more_like(pairs: DataFrame, limit: int = 6) -> DataFrame:

@@ -522,21 +522,28 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(_ANCHOR_SQL + """
-c AS (SELECT *, unnest([CASE k % 3 WHEN 0 THEN 'side' WHEN 1 THEN 'salad' ELSE 'dessert' END, 'sauce/condiment']) AS course, unnest([0.9, 0.4]) AS complement FROM p),
+_WEIGHTS = ", ".join(f"('{a}', '{c}', {w})" for a, others in pairings.COMPLEMENTS.items() for c, w in others.items())
+
+
+@query(_ANCHOR_SQL + f"""w AS (SELECT * FROM (VALUES {_WEIGHTS}) t(mine, course, complement) WHERE course <> 'snack'),
+c AS (SELECT p.*, w.course, w.complement FROM p JOIN w ON w.mine IN (SELECT unnest(CASE anchor % 3 WHEN 0 THEN ['main'] WHEN 1 THEN ['soup', 'side'] ELSE ['salad'] END))
+  AND w.course IN (SELECT unnest([CASE k % 3 WHEN 0 THEN 'side' WHEN 1 THEN 'bread' ELSE 'dessert' END, 'sauce/condiment', CASE WHEN k % 4 = 0 THEN 'soup' ELSE 'main' END]))),
 o AS (SELECT *, CASE WHEN anchor_has THEN CASE WHEN affinity >= 0.55 THEN affinity WHEN plain THEN 0.5 END ELSE greatest(affinity, CASE WHEN plain OR NOT has THEN 0.5 ELSE 0.3 END) END AS compat FROM c QUALIFY row_number() OVER (PARTITION BY anchor, id ORDER BY complement DESC, course DESC) = 1),
-s AS (SELECT anchor, id, title, course, round((compat * 3 + complement * 2 + CASE WHEN course = 'dessert' THEN 0 ELSE 0.7 END * 0.8 + (k % 10) / 10 * 0.5 - CASE WHEN course IN ('side', 'salad') AND k % 4 = 0 THEN 2.5 ELSE 0 END
- + CASE WHEN k % 5 = 0 THEN 0.4 ELSE 0 END + 0.3 * greatest(-2, least(2, k % 7 - 3)))::DOUBLE, 3) AS score FROM o WHERE compat IS NOT NULL AND NOT (k % 11 = 0 AND course <> 'dessert')),
-u AS (SELECT *, row_number() OVER (PARTITION BY anchor, course ORDER BY score DESC, title, id) AS n FROM s)
-SELECT anchor, id, course, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, title, id) AS place FROM u WHERE n <= CASE course WHEN 'side' THEN 2 WHEN 'salad' THEN 2 ELSE 1 END QUALIFY place <= 6""")
+s AS (SELECT anchor, id, title, course, round((compat * 3 + complement * 2 + CASE WHEN course = 'dessert' THEN 0 ELSE (k % 6) / 5 END * 0.8 + (k % 10) / 10 * 0.5 - CASE WHEN course IN ('side', 'salad') AND k % 4 = 0 THEN 2.5 ELSE 0 END
+ + CASE WHEN k % 5 = 0 THEN 0.4 ELSE 0 END + 0.3 * greatest(-2, least(2, k % 7 - 3)))::DOUBLE, 9) AS exact FROM o WHERE compat IS NOT NULL AND NOT (k % 11 = 0 AND anchor % 3 = 0 AND course <> 'dessert')
+ AND NOT (k % 13 = 0 AND course IN ('sauce/condiment', 'side', 'bread')) AND NOT (anchor % 2 = 0 AND course = 'sauce/condiment')),
+u AS (SELECT *, row_number() OVER (PARTITION BY anchor, course ORDER BY exact DESC, title, id) AS n FROM s)
+SELECT anchor, id, course, round(exact, 3) AS score, row_number() OVER (PARTITION BY anchor ORDER BY exact DESC, title, id) AS place FROM u WHERE n <= CASE course WHEN 'side' THEN 2 WHEN 'salad' THEN 2 ELSE 1 END QUALIFY place <= 6""")
 def build_a_meal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dishes beside three anchors; the number of slots is the feature."""
-    k = F.col("id")
-    course = F.when(k % 3 == 0, "side").when(k % 3 == 1, "salad").otherwise("dessert")
-    options = F.array(F.struct(course.alias("course"), F.lit(0.9).alias("complement")), F.struct(F.lit("sauce/condiment").alias("course"), F.lit(0.4).alias("complement")))
-    pairs = _pairs(spark, sf_dir).withColumn("o", F.explode(options)).select(
-        "*", "o.course", "o.complement", F.col("plain").alias("neutral"), (k % 11 == 0).alias("sweet"), F.lit(True).alias("savory"), F.lit(0.7).alias("contrast"),
+    k, anchor = F.col("id"), F.col("anchor")
+    mine = F.when(anchor % 3 == 0, F.array(F.lit("main"))).when(anchor % 3 == 1, F.array(F.lit("soup"), F.lit("side"))).otherwise(F.array(F.lit("salad")))
+    first = F.when(k % 3 == 0, "side").when(k % 3 == 1, "bread").otherwise("dessert")
+    courses = F.array(first, F.lit("sauce/condiment"), F.when(k % 4 == 0, "soup").otherwise("main"))
+    pairs = _pairs(spark, sf_dir).withColumn("o", F.explode(pairings.course_options(mine, courses))).select(
+        "*", "o.course", "o.complement", F.col("plain").alias("neutral"), (k % 11 == 0).alias("sweet"), (anchor % 3 == 0).alias("savory"), (k % 6 / 5).alias("contrast"),
         (k % 10 / 10).alias("similarity"), (k % 4 == 0).alias("both_meaty"), (k % 5 == 0).alias("favourite"), (k % 7 - 3).alias("votes"),
+        (k % 13 == 0).alias("component"), (anchor % 2 == 0).alias("anchor_wet"),
     )
     return pairings.meals(pairs)
 
