@@ -80,6 +80,27 @@ def stale_proposals(proposals: DataFrame, items: DataFrame, key: str) -> DataFra
     return held.withColumn("stale", ~same)
 
 
+#: States of a proposal that nobody has decided on. Fixed values.
+UNDECIDED = ["pending", "nochange", "error"]
+
+
+def review_items(items: DataFrame, proposals: DataFrame, key: str) -> DataFrame:
+    """items with status, edits and stale: what a review shows of each, whether or not anything was proposed for it.
+
+    items: key, version, archived; proposals: key, status, base_version, edits (array of before and after), one for each item at most.
+    An item without a proposal is ``unreviewed``; an archived one is shown only if its proposal says ``deleted``. Edits from nothing to
+    nothing are left out. A proposal is stale if nobody has decided on it and its item has moved on to another version.
+    """
+    made = proposals.select(key, "status", "base_version", "edits", F.lit(True).alias("_made"))
+    got = items.join(made, key, "left")
+    shown = ~F.coalesce(F.col("archived"), F.lit(False)) | F.coalesce(F.col("status") == "deleted", F.lit(False))
+    says = lambda x: F.coalesce(x, F.lit("")) != ""
+    edits = F.filter(F.coalesce(F.col("edits"), F.array()), lambda e: says(e["before"]) | says(e["after"]))
+    stale = F.col("_made") & F.col("status").isin(UNDECIDED) & ~F.col("base_version").eqNullSafe(F.col("version"))
+    got = got.filter(shown).withColumn("stale", F.coalesce(stale, F.lit(False))).withColumn("edits", edits)
+    return got.withColumn("status", F.when(F.col("_made").isNull(), "unreviewed").otherwise(F.col("status"))).drop("_made", "base_version")
+
+
 def checked_edits(edits: DataFrame, items: DataFrame, key: str) -> DataFrame:
     """edits (key, expected_version) with conflict: whether the item is missing or has moved on since."""
     at = items.select(key, F.col("version").alias("_v"))

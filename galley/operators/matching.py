@@ -107,11 +107,24 @@ def fused(a: DataFrame, b: DataFrame, pairs: DataFrame, fields: list[str], earli
 
 
 def review_band(pairs: DataFrame, matched: DataFrame, title: float = 0.75, overlap: float = 0.4, least: float = 0.5) -> DataFrame:
-    """(a, b, title, jaccard) pairs worth a look: alike titles, or some overlap and half-alike titles, not both matched."""
+    """pairs worth a look, with a_matched, b_matched and why, the most alike first: alike titles, or some overlap and half-alike ones.
+
+    pairs: a, b, title, jaccard, and, if given, a_title and other_site (whether the sides come from different sites). A pair both of
+    whose sides are matched already is left out. title and jaccard are shown to three digits, and the order goes by their sum, then by
+    a_title, a and b; it is the order of the rows, not a column.
+    """
     plausible = (F.col("title") >= title) | ((F.col("jaccard") >= overlap) & (F.col("title") >= least))
-    by_a, by_b = matched.select("a", F.lit(True).alias("_a")), matched.select("b", F.lit(True).alias("_b"))
+    by_a = matched.filter("a is not null").select("a", F.lit(True).alias("a_matched")).distinct()
+    by_b = matched.filter("b is not null").select("b", F.lit(True).alias("b_matched")).distinct()
     out = pairs.filter(plausible).join(by_a, "a", "left").join(by_b, "b", "left")
-    return out.filter(F.col("_a").isNull() | F.col("_b").isNull()).drop("_a", "_b")
+    out = out.fillna(False, ["a_matched", "b_matched"]).filter(~(F.col("a_matched") & F.col("b_matched")))
+    other = F.col("other_site") if "other_site" in pairs.columns else F.lit(False)
+    reasons = [
+        F.when(F.col("title") >= title, "similar title"), F.when(F.col("jaccard") >= overlap, "ingredient overlap"), F.when(other, "different source sites"),
+    ]
+    out = out.withColumn("why", F.concat_ws(", ", *reasons)).withColumns({c: F.round(c, 3) for c in ("title", "jaccard")})
+    names = [F.col("a_title")] if "a_title" in pairs.columns else []
+    return out.orderBy(F.desc(F.col("title") + F.col("jaccard")), *names, "a", "b")
 
 
 def same_text_ids(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

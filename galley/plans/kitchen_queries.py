@@ -586,18 +586,34 @@ def exact_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.only_exact(a.drop("s_acctbal"), b.drop("c_acctbal"), matched)
 
 
-@query("""SELECT l_orderkey AS a, l_linenumber AS b, round(l_discount * 10, 2) AS title, round(l_tax * 10, 2) AS jaccard, CASE WHEN l_returnflag = 'R' THEN 'same canonical URL' WHEN round(l_discount * 10, 2) >= 0.7 AND round(l_tax * 10, 2) >= 0.7 THEN 'title + ingredients (>= 0.7)'
-WHEN round(l_discount * 10, 2) >= 0.7 AND l_linestatus = 'O' THEN 'same title, one side empty' WHEN round(l_discount * 10, 2) >= 0.75 OR (round(l_tax * 10, 2) >= 0.4 AND round(l_discount * 10, 2) >= 0.5) THEN 'possible' END AS kind
-FROM lineitem WHERE (round(l_discount * 10, 2) >= 0.75 OR (round(l_tax * 10, 2) >= 0.4 AND round(l_discount * 10, 2) >= 0.5)) AND NOT (l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND l_linenumber <= 3)""")
+@query("""WITH p AS (SELECT l_orderkey AS a, l_linenumber AS b, round(l_discount * 10, 2) AS title, round(l_tax * 10, 2) AS jaccard, CASE WHEN l_returnflag = 'R' THEN 'same canonical URL' WHEN round(l_discount * 10, 2) >= 0.7 AND round(l_tax * 10, 2) >= 0.7 THEN 'title + ingredients (>= 0.7)'
+WHEN round(l_discount * 10, 2) >= 0.7 AND l_linestatus = 'O' THEN 'same title, one side empty' WHEN round(l_discount * 10, 2) >= 0.75 OR (round(l_tax * 10, 2) >= 0.4 AND round(l_discount * 10, 2) >= 0.5) THEN 'possible' END AS kind,
+l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS a_matched, l_linenumber <= 3 AS b_matched, l_suppkey % 3 = 0 AS other FROM lineitem)
+SELECT a, b, title, jaccard, kind, a_matched, b_matched, concat_ws(', ', CASE WHEN title >= 0.75 THEN 'similar title' END, CASE WHEN jaccard >= 0.4 THEN 'ingredient overlap' END, CASE WHEN other THEN 'different source sites' END) AS why
+FROM p WHERE (title >= 0.75 OR (jaccard >= 0.4 AND title >= 0.5)) AND NOT (a_matched AND b_matched)""")
 def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M5, M6: lines as scored pairs: those worth a look, as orders with a return and numbers up to three are matched, and their kind."""
+    """M5, M6: lines as scored pairs: those worth a look, as orders with a return and numbers up to three are matched, their kind and why."""
     title, jac = F.round(F.col("l_discount") * 10, 2), F.round(F.col("l_tax") * 10, 2)
     kind = matching.pair_class(F.col("l_returnflag") == "R", title, jac, F.col("l_linestatus") == "O")
     lines, a, b = table(spark, sf_dir, "lineitem"), F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b")
-    pairs = lines.select(a, b, title.alias("title"), jac.alias("jaccard"), kind.alias("kind"))
+    pairs = lines.select(a, b, title.alias("title"), jac.alias("jaccard"), kind.alias("kind"), (F.col("l_suppkey") % 3 == 0).alias("other_site"))
     returned = lines.filter("l_returnflag = 'R'").select(a, F.lit(None).cast("int").alias("b"))
     matched = returned.distinct().unionByName(lines.filter("l_linenumber <= 3").select(F.lit(None).cast("long").alias("a"), b).distinct())
-    return matching.review_band(pairs, matched)
+    return matching.review_band(pairs, matched).drop("other_site")
+
+
+@query("""WITH p AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag <> 'N' OR l_linestatus <> 'F') AS n_edits FROM lineitem GROUP BY 1),
+s AS (SELECT o_orderkey, o_custkey % 5 AS version, o_orderstatus = 'P' AS archived, n, n_edits, ['pending', 'applied', 'deleted', 'error', 'nochange'][1 + n % 5] AS status FROM orders LEFT JOIN p ON l_orderkey = o_orderkey)
+SELECT o_orderkey, coalesce(status, 'unreviewed') AS status, coalesce(n_edits, 0) AS n_edits, coalesce(status IN ('pending', 'nochange', 'error') AND n % 4 <> version, false) AS stale
+FROM s WHERE NOT archived OR status = 'deleted'""")
+def reviewed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items, their lines as what was proposed for them; orders without lines nobody has looked at."""
+    edit = F.struct(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("before"), F.when(F.col("l_linestatus") != "F", F.col("l_linestatus")).otherwise("").alias("after"))
+    made = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.collect_list(edit).alias("edits"))
+    status = F.element_at(F.array(*map(F.lit, ["pending", "applied", "deleted", "error", "nochange"])), (F.col("n") % 5 + 1).cast("int"))
+    made = made.select("o_orderkey", status.alias("status"), (F.col("n") % 4).alias("base_version"), "edits")
+    items = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("version"), (F.col("o_orderstatus") == "P").alias("archived"))
+    return history.review_items(items, made, "o_orderkey").select("o_orderkey", "status", F.size("edits").cast("long").alias("n_edits"), "stale")
 
 
 @query()

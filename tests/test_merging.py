@@ -65,3 +65,26 @@ def test_each_rule_of_collections(spark):
     assert [got[r]["favourite"] for r in ("r1", "r2", "r3")] == [20, None, None]
     assert lists("r3", "tags") == lists("r3", "images") == []
     assert merging.fused_collections(members.limit(0), *frames).count() == 0
+
+
+def test_what_a_review_shows(spark):
+    from galley.operators import history
+
+    items = spark.createDataFrame([(1, 3, False), (2, 3, False), (3, 1, True), (4, 1, True), (5, 2, None), (6, None, False)], "id int, version int, archived boolean")
+    edits = [(None, "x"), (None, None), ("", ""), ("a", None)]
+    made = [(1, "pending", 2, edits), (2, "applied", 2, None), (3, "deleted", 1, []), (4, "pending", 1, []), (6, "error", None, [])]
+    proposals = spark.createDataFrame(made, "id int, status string, base_version int, edits array<struct<before: string, after: string>>")
+    got = {r["id"]: (r["status"], len(r["edits"]), r["stale"]) for r in history.review_items(items, proposals, "id").collect()}
+    assert got == {1: ("pending", 2, True), 2: ("applied", 0, False), 3: ("deleted", 0, False), 5: ("unreviewed", 0, False), 6: ("error", 0, False)}
+
+
+def test_pairs_worth_a_look_in_order(spark):
+    from galley.operators import matching
+
+    rows = [(1, 1, 0.8, 0.0, "tart", False), (1, 2, 0.5, 0.4, "tart", True), (2, 1, 0.9, 0.9, "pie", True), (2, 2, 0.49, 0.9, "pie", False), (3, 3, 0.75, 0.15, "cake", False), (4, 4, 0.8, 0.1, "bun", None)]
+    pairs = spark.createDataFrame(rows, "a int, b int, title double, jaccard double, a_title string, other_site boolean")
+    matched = spark.createDataFrame([(2, None), (None, 1), (None, 3), (2, None)], "a int, b int")
+    got = [(r["a"], r["b"], r["a_matched"], r["b_matched"], r["why"]) for r in matching.review_band(pairs, matched).collect()]
+    assert got == [
+        (4, 4, False, False, "similar title"), (3, 3, False, True, "similar title"), (1, 2, False, False, "ingredient overlap, different source sites"), (1, 1, False, True, "similar title"),
+    ]
