@@ -186,11 +186,14 @@ def compare(model: Model, texts: list[str]) -> np.ndarray:
         pair = before * (len(model.words) + 2) + ids
         at = np.minimum(np.searchsorted(model.pairs, pair), len(model.pairs) - 1)
         ratio = np.where(model.pairs[at] == pair, model.ratio[at], ratio)
+    # What the classes share makes a bigram that one of them has seen no surprise to the other. A word that is toxic behind any
+    # other stays so behind one it was counted with: in a stretch a word counts as it does alone, if that is more.
+    strong = np.maximum(ratio, model.single[ids])
     first = np.flatnonzero(np.diff(text, prepend=-1))
     size = np.diff(first, append=len(text))
-    sums = np.concatenate([[0.0], np.cumsum(ratio)])
     number = text[first]
-    out[number, 0] = (sums[first + size] - sums[first]) / size
+    out[number, 0] = np.add.reduceat(ratio, first) / size
+    sums = np.concatenate([[0.0], np.cumsum(strong)])
     # The stretch that starts at each word; near a text's end it starts earlier, so that it is as long as the text allows.
     end, low = np.repeat(first + size, size), np.repeat(first, size)
     for k, stretch in enumerate(STRETCHES, 1):
@@ -201,19 +204,31 @@ def compare(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def curve(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 30) -> tuple[float, ...]:
-    """Weights of a logistic curve by Newton's method, with a small ridge; classes are weighted to their share of all labels."""
+    """Weights of a logistic curve by Newton's method, with a small ridge; classes are weighted to their share of all labels.
+
+    A higher ratio never speaks for an ordinary text, so no weight is negative: ratios that others stand for, and that would get a
+    negative one, are left out. Texts that the models have counted have higher ratios throughout than those the curve is fitted on,
+    and a negative weight would turn that against them.
+    """
     if not len(y) or y.min() == y.max():
         return (1.0,) * x.shape[1] + (-1.0,)
     scale = np.maximum(x.std(0), 1e-6)
-    z = np.column_stack([x / scale, np.ones(len(y))])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    w = np.zeros(z.shape[1])
-    ridge = np.diag([0.1] * x.shape[1] + [1e-6])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z.T * (weight * p * (1 - p) + 1e-9)) @ z + ridge, z.T @ (weight * (y - p)) - ridge @ w)
-        w = w + np.clip(step, -5, 5)
-    return (*(w[:-1] / scale).tolist(), float(w[-1]))
+    used = np.arange(x.shape[1])
+    while True:
+        z = np.column_stack([x[:, used] / scale[used], np.ones(len(y))])
+        w = np.zeros(z.shape[1])
+        ridge = np.diag([0.1] * len(used) + [1e-6])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z.T * (weight * p * (1 - p) + 1e-9)) @ z + ridge, z.T @ (weight * (y - p)) - ridge @ w)
+            w = w + np.clip(step, -5, 5)
+        if not len(used) or w[:-1].min() >= 0:
+            break
+        used = np.delete(used, w[:-1].argmin())
+    weights = np.zeros(x.shape[1])
+    weights[used] = w[:-1] / scale[used]
+    return (*weights.tolist(), float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
