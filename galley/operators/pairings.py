@@ -128,6 +128,12 @@ def meals(pairs: DataFrame, limit: int = 6) -> DataFrame:
     bread or sauce, and a sauce beside an anchor that brings its own. Each course has its cap. Places go by the exact score, which is
     shown to three digits, then by title and id.
     """
+    scored = scored_pairs(pairs).withColumn("exact", F.round("exact", 9))  # sums that differ only by how they are rounded on the way are equal
+    return served(scored.select("anchor", "id", "title", "course", "exact"), limit)
+
+
+def scored_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs of ``meals`` that may share a table, each in its best course, with their score as ``exact``."""
     best = F.row_number().over(Window.partitionBy("anchor", "id").orderBy(F.desc("complement"), F.desc("course")))
     one = pairs.withColumn("_n", best).filter("_n = 1").drop("_n")
     open_ = F.greatest(F.col("affinity"), F.when(F.col("neutral") | ~F.col("has"), NEUTRAL).otherwise(0.3))
@@ -145,15 +151,43 @@ def meals(pairs: DataFrame, limit: int = 6) -> DataFrame:
         - F.when((F.col("course") == "sauce/condiment") & seasoning, 3.0).otherwise(0.0)
         + F.when(F.col("favourite"), 0.4).otherwise(0.0) + 0.3 * F.greatest(F.lit(-2), F.least(F.lit(2), F.col("votes")))
     )
-    # Sums that differ only by how they are rounded on the way are equal.
-    scored = kept.select("anchor", "id", "title", "course", F.round(score, 9).alias("exact"))
+    return kept.withColumn("exact", score)
+
+
+def served(scored: DataFrame, limit: int) -> DataFrame:
+    """(anchor, id, course, score, place): the best of (anchor, id, title, course, exact), by the caps of courses."""
     order = [F.desc("exact"), F.col("title"), F.col("id")]
-    cap = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in CAPS.items() for x in (k, n)]), F.col("course")), F.lit(1))
-    capped = scored.withColumn("_c", F.row_number().over(Window.partitionBy("anchor", "course").orderBy(*order))).filter(F.col("_c") <= cap).drop("_c")
+    capped = scored.withColumn("_c", F.row_number().over(Window.partitionBy("anchor", "course").orderBy(*order))).filter(F.col("_c") <= cap_of(F.col("course"))).drop("_c")
     placed = capped.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy(*order))).filter(F.col("place") <= limit)
     return placed.select("anchor", "id", "course", F.round("exact", 3).alias("score"), "place")
 
 
+def cap_of(course: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in CAPS.items() for x in (k, n)]), course), F.lit(1))
+
+
+def meals_for_all(dishes: DataFrame, kinds: DataFrame, limit: int = 6) -> DataFrame:
+    """(anchor, id, course, score, place): the meal around every dish, as ``meals`` finds it, without looking at all pairs.
+
+    dishes: id, title, kind, own; kinds: anchor_kind, kind, course, base, a row for each pair of kinds that may share a table
+    (``scored_pairs`` over kinds in place of dishes). A pair's score is the base of its kinds and what the dish brings of its own,
+    such as votes. So of a kind only the best dishes can be on a table, as many as its course's cap and one for the anchor itself:
+    those are found for each kind once, those of each kind of anchor from them, and only the few that are left meet the anchors.
+
+    A dish whose kind goes with none has no meal; null kinds go with none. Of repeated ids each is a dish. An empty table gives no rows.
+    """
+    order = [F.desc("own"), F.col("title"), F.col("id")]
+    most = 1 + max([1, *CAPS.values()])
+    best = dishes.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+    exact = F.round(F.col("base") + F.col("own"), 9)
+    met = kinds.join(best, "kind").select("anchor_kind", "id", "title", "course", exact.alias("exact"))
+    order = [F.desc("exact"), F.col("title"), F.col("id")]
+    place = F.row_number().over(Window.partitionBy("anchor_kind", "course").orderBy(*order))
+    few = met.withColumn("_n", place).filter(F.col("_n") <= cap_of(F.col("course")) + 1).drop("_n")
+    anchors = dishes.select(F.col("id").alias("anchor"), F.col("kind").alias("anchor_kind"))
+    return served(anchors.join(few, "anchor_kind").filter("anchor <> id").drop("anchor_kind"), limit)
+
+
 def more_like(pairs: DataFrame, limit: int = 6) -> DataFrame:
     """(anchor, id, score, place): dishes like each anchor; a score of 0 or less goes after the cut, so a list may be short.
 

@@ -548,6 +548,51 @@ def build_a_meal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairings.meals(pairs)
 
 
+@query(f"""WITH {_KNOWN}, d AS (SELECT p_partkey AS id, p_name AS title, p_type AS tag, p_size // 10 AS band, p_partkey % 12 AS m, p_type IN (SELECT tag FROM k) AS has,
+  round((p_partkey % 10) / 10 * 0.5 + CASE WHEN p_partkey % 5 = 0 THEN 0.4 ELSE 0 END + 0.3 * greatest(-2, least(2, p_partkey % 7 - 3)), 9)::DOUBLE AS own FROM part),
+l AS (SELECT * FROM (VALUES ('north', 'south', 0.6), ('south', 'north', 0.6), ('north', 'north', 0.85), ('south', 'south', 0.85)) t(x, y, link)),
+f AS (SELECT x.tag AS ta, y.tag AS tb, max(x.weight * y.weight * link)::DOUBLE AS affinity FROM k x JOIN l ON x.region = l.x JOIN k y ON y.region = l.y GROUP BY 1, 2),
+w AS (SELECT * FROM (VALUES {_WEIGHTS}) t(mine, course, complement) WHERE course <> 'snack'),
+a AS (SELECT DISTINCT x.id AS anchor, y.*, x.m AS am, x.has AS anchor_has, CASE WHEN x.tag = y.tag THEN 1.0 ELSE coalesce(f.affinity, 0) END AS affinity
+  FROM d x JOIN d y ON x.id <> y.id AND abs(x.band - y.band) <= 1 LEFT JOIN f ON f.ta = x.tag AND f.tb = y.tag),
+c AS (SELECT a.*, w.course, w.complement FROM a JOIN w ON w.mine IN (SELECT unnest(CASE am % 3 WHEN 0 THEN ['main'] WHEN 1 THEN ['soup', 'side'] ELSE ['salad'] END))
+  AND w.course IN (SELECT unnest([CASE m % 3 WHEN 0 THEN 'side' WHEN 1 THEN 'bread' ELSE 'dessert' END, 'sauce/condiment', CASE WHEN m % 4 = 0 THEN 'soup' ELSE 'main' END]))),
+o AS (SELECT *, m % 2 = 0 AS plain, CASE WHEN anchor_has THEN CASE WHEN affinity >= 0.55 THEN affinity WHEN m % 2 = 0 THEN 0.5 END ELSE greatest(affinity, CASE WHEN m % 2 = 0 OR NOT has THEN 0.5 ELSE 0.3 END) END AS compat FROM c QUALIFY row_number() OVER (PARTITION BY anchor, id ORDER BY complement DESC, course DESC) = 1),
+s AS (SELECT anchor, id, title, course, round((compat * 3 + complement * 2 + CASE WHEN course = 'dessert' THEN 0 ELSE (m % 6) / 5 END * 0.8 - CASE WHEN course IN ('side', 'salad') AND m % 4 = 0 THEN 2.5 ELSE 0 END + own)::DOUBLE, 9) AS exact
+  FROM o WHERE compat IS NOT NULL AND NOT (m = 5 AND am % 3 = 0 AND course <> 'dessert') AND NOT (m = 7 AND course IN ('sauce/condiment', 'side', 'bread')) AND NOT (am % 2 = 0 AND course = 'sauce/condiment')),
+u AS (SELECT *, row_number() OVER (PARTITION BY anchor, course ORDER BY exact DESC, title, id) AS n FROM s)
+SELECT anchor, id, course, round(exact, 3) AS score, row_number() OVER (PARTITION BY anchor ORDER BY exact DESC, title, id) AS place FROM u WHERE n <= CASE course WHEN 'side' THEN 2 WHEN 'salad' THEN 2 ELSE 1 END QUALIFY place <= 6""")
+def meals_around_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A meal around every part. Parts of one type, size band and number mod 12 are of a kind."""
+    part = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    own = F.round(k % 10 / 10 * 0.5 + F.when(k % 5 == 0, 0.4).otherwise(0.0) + 0.3 * F.greatest(F.lit(-2), F.least(F.lit(2), k % 7 - 3)), 9)
+    band = F.floor(F.col("p_size") / 10)
+    kind = F.struct(F.col("p_type").alias("tag"), band.alias("band"), (k % 12).alias("m"))
+    dishes = part.select(k.alias("id"), F.col("p_name").alias("title"), kind.alias("kind"), own.alias("own"))
+
+    known = spark.createDataFrame(_REGIONS, "tag string, region string, weight double")
+    every = dishes.select("kind").distinct()
+    weights = every.select("kind", F.col("kind.tag").alias("tag")).join(F.broadcast(known), "tag").select(F.col("kind").alias("id"), "region", "weight")
+    near = every.select(F.col("kind").alias("anchor"), F.explode(F.array(*[F.col("kind.band") + n for n in (-1, 0, 1)])).alias("band"))
+    pairs = near.join(every.select(F.col("kind").alias("id"), F.col("kind.band").alias("band")), "band").drop("band")
+    shared = pairs.filter(F.col("anchor.tag").eqNullSafe(F.col("id.tag"))).select(F.col("anchor").alias("a"), F.col("id").alias("b"))
+    links = spark.createDataFrame(_LINKS, "left string, right string, link double")
+    affinity = pairings.affinity_of(weights, weights, links, shared).select(F.col("a").alias("anchor"), F.col("b").alias("id"), "affinity")
+    tagged = lambda c: F.coalesce(F.col(f"{c}.tag").isin(sorted({t for t, _, _ in _REGIONS})), F.lit(False))
+    am, m = F.col("anchor.m"), F.col("id.m")
+    mine = F.when(am % 3 == 0, F.array(F.lit("main"))).when(am % 3 == 1, F.array(F.lit("soup"), F.lit("side"))).otherwise(F.array(F.lit("salad")))
+    first = F.when(m % 3 == 0, "side").when(m % 3 == 1, "bread").otherwise("dessert")
+    courses = F.array(first, F.lit("sauce/condiment"), F.when(m % 4 == 0, "soup").otherwise("main"))
+    rows = pairs.join(affinity, ["anchor", "id"], "left").withColumn("o", F.explode(pairings.course_options(mine, courses))).select(
+        "anchor", "id", F.lit("").alias("title"), F.coalesce("affinity", F.lit(0.0)).alias("affinity"), tagged("anchor").alias("anchor_has"), tagged("id").alias("has"), "o.course", "o.complement",
+        (m % 2 == 0).alias("neutral"), (m == 5).alias("sweet"), (am % 3 == 0).alias("savory"), (m % 6 / 5).alias("contrast"), F.lit(0.0).alias("similarity"), (m % 4 == 0).alias("both_meaty"),
+        F.lit(False).alias("favourite"), F.lit(0).alias("votes"), (m == 7).alias("component"), (am % 2 == 0).alias("anchor_wet"),
+    )
+    kinds = pairings.scored_pairs(rows).select(F.col("anchor").alias("anchor_kind"), F.col("id").alias("kind"), "course", F.col("exact").alias("base"))
+    return pairings.meals_for_all(dishes, kinds)
+
+
 @query(_ANCHOR_SQL + """
 s AS (SELECT anchor, id, title, round((CASE WHEN k % 2 = 0 THEN (k % 10) / 10 ELSE 0.3 * 2 + 0.3 * affinity END + 0.25 * affinity + CASE WHEN k % 3 = 0 THEN 0.08 ELSE 0 END)::DOUBLE, 3) AS score FROM p
 WHERE k % 13 <> 0 AND NOT (anchor_has AND has AND affinity < 0.6) AND NOT (anchor_has AND NOT has AND NOT plain AND k % 2 = 1))
