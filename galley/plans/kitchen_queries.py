@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from galley.plans.catalog_queries import query
 from galley.sources import documents as nested
 from galley.sources import pages as web
 from galley.sources import report
-from galley.sources.tables import materialise, shared_dir, table
+from galley.sources.tables import materialise, publish, published, shared_dir, table
 
 
 @query("SELECT e.vec_id, d.lang, round(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS size FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.text IS NOT NULL")
@@ -788,12 +790,17 @@ def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("o_custkey", "n", F.sha2(F.array_join("j.json", "\n"), 256).alias("etag"))
 
 
-@query("SELECT n_regionkey, count(*) AS n, min(n_name) AS first FROM nation GROUP BY 1")
+@query("SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS before FROM orders GROUP BY 1")
 def rebuilt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table is copied, and the copy overwritten as a whole; what reads it sees one version or the other."""
-    path = f"{shared_dir(spark)}/galley/rebuilt-nation"
-    table(spark, sf_dir, "nation").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).groupBy("n_regionkey").agg(F.count("*").alias("n"), F.min("n_name").alias("first"))
+    """Half of the orders are copied as a table, which is then rebuilt from all; who had the first version still reads it."""
+    root = f"{shared_dir(spark)}/galley/rebuilt-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    publish(orders.filter("o_orderkey % 2 = 0"), root)
+    first = published(spark, root)
+    publish(orders, root)
+    before = first.groupBy("o_custkey").agg(F.count("*").alias("before"))
+    now = published(spark, root).groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
+    return now.join(before, "o_custkey", "left").fillna(0, ["before"])
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 100 END AS k, CASE WHEN event_id % 7 = 0 THEN 'malformed' ELSE NULL END AS issue FROM events")

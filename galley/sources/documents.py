@@ -136,3 +136,44 @@ def jdbc_rows(spark: SparkSession, url: str, name: str, casts: dict[str, str], p
     """A table of another database, read only, with its columns cast as given; the driver's JAR must be on the class path."""
     rows = spark.read.jdbc(url, name, properties={**(properties or {}), "readOnly": "true"})
     return rows.select(*[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c) for c in rows.columns])
+
+
+def jdbc_ranges(
+    spark: SparkSession,
+    url: str,
+    name: str,
+    key: str,
+    parts: int,
+    casts: dict[str, str] | None = None,
+    until: tuple[str, str] | None = None,
+    properties: dict[str, str] | None = None,
+    quote: str = '"',
+) -> DataFrame:
+    """A table of another database, read only, by ``parts`` ranges of a whole-number key, a task for each; columns cast as given.
+
+    One query asks for the least and the greatest key; the ranges between them are of equal width, the first has null keys and
+    whatever is below, the last whatever is above, so rows that come in meanwhile are not lost between ranges. Parts are read at
+    different moments: with ``until``, a column that says when a row was last written and a literal of the database, only rows
+    written up to then are read, by all parts alike. A table without a key in it is read by one task.
+    """
+    marked = lambda c: f"{quote}{c}{quote}"
+    bound = f"{marked(until[0])} <= {until[1]}" if until else "1 = 1"
+    asked = f"(SELECT MIN({marked(key)}) AS low, MAX({marked(key)}) AS high FROM {name} WHERE {bound}) ends"
+    options = {**(properties or {}), "readOnly": "true"}
+    low, high = spark.read.jdbc(url, asked, properties=options).first()
+    wanted = [f"({where}) AND {bound}" for where in key_ranges(marked(key), low, high, parts)]
+    rows = spark.read.jdbc(url, name, predicates=wanted, properties=options)
+    casts = casts or {}
+    return rows.select(*[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c) for c in rows.columns])
+
+
+def key_ranges(key: str, low: int | None, high: int | None, parts: int) -> list[str]:
+    """Conditions on a key that hold for each row exactly once, about ``parts`` of them between its least and greatest value."""
+    if low is None or parts < 2:
+        return ["1 = 1"]
+    low, high = int(low), int(high)
+    cuts = sorted({low + (high - low + 1) * k // parts for k in range(1, parts)} - {low})
+    if not cuts:
+        return ["1 = 1"]
+    between = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [f"{key} < {cuts[0]} OR {key} IS NULL", *between, f"{key} >= {cuts[-1]}"]

@@ -57,3 +57,30 @@ def drop_materialised(spark: SparkSession) -> None:
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def publish(df: DataFrame, root: str) -> None:
+    """Replace the table at ``root`` as a whole: ``df`` is written to a folder of its own, and then a pointer is moved to it.
+
+    Who reads the table meanwhile (``published``) gets the version before or this one, whole. A writer that fails leaves the pointer
+    as it was. Of two writers at once the last to finish stands. Earlier versions stay in ``root``, as somebody may still read them.
+    The pointer moves by a rename, which the file systems of a cluster do at once; a store without one needs a table format.
+    """
+    spark = df.sparkSession
+    version = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, pointer = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{version}.pointer", f"{root.rstrip('/')}/current"))
+    out = new.getFileSystem(conf).create(new)
+    out.write(bytearray(version, "utf-8"))
+    out.close()
+    rename = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = next(x for x in rename.getEnumConstants() if x.toString() == "OVERWRITE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, pointer, how)
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The version of the table at ``root`` that the pointer names now."""
+    version = spark.read.text(f"{root.rstrip('/')}/current", wholetext=True).first()[0]
+    return spark.read.parquet(version)
