@@ -704,11 +704,15 @@ def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", body.alias("body"), text.content_hash("m", F.col("text")).alias("hash"))
 
 
-@query("SELECT doc_id, text AS whole FROM documents WHERE text IS NOT NULL")
+@query(r"""WITH s AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(31) || '\2', 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, text, CASE WHEN len(s) > 0 THEN list_reduce(list_transform(s, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1] || ' ' || x[1]) > 700 THEN list_concat(a, x) ELSE list_concat(a[:-2], [a[-1] || ' ' || x[1]]) END) END AS p FROM s),
+c AS (SELECT doc_id, CASE WHEN length(text) > 800 AND array_to_string(p, ' ') = text THEN p ELSE [text] END AS parts FROM p)
+SELECT doc_id, len(parts)::INT AS n_parts, list_max(list_transform(parts, lambda x: length(x)))::INT AS longest, sha256(array_to_string(parts, '|')) AS parts FROM c""")
 def packed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts cut at sentence ends where that loses nothing; joined again they are the texts."""
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
-    return docs.select("doc_id", F.array_join(text.packed_sentences(F.col("text")), " ").alias("whole"))
+    """Texts cut at sentence ends where that loses nothing: how many parts, the longest of them, and all of them."""
+    parts = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.packed_sentences(F.col("text")).alias("p"))
+    longest = F.array_max(F.transform("p", F.length))
+    return parts.select("doc_id", F.size("p").alias("n_parts"), longest.alias("longest"), F.sha2(F.array_join("p", "|"), 256).alias("parts"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at, nullif(concat_ws(' ', CASE WHEN o_custkey >= 60 THEN (o_custkey // 60) || ' hr' END, CASE WHEN o_custkey % 60 > 0 THEN (o_custkey % 60) || ' min' END), '') AS said,
