@@ -70,6 +70,44 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else pairs.limit(0)
 
 
+def matched_records(a: DataFrame, b: DataFrame, title: float = 0.85, percent: int = 70, low: int = 30) -> DataFrame:
+    """(a, b, rule, title, jaccard, note): records of two sources that are one, by address first and then by title and ingredients.
+
+    a and b: id, url (canonical, null if there is none), host, title (normalised), names (array of ingredient names). Records of one
+    address are paired one to one, the most alike first; a pair with less than ``low`` hundredths of its ingredients in common, though b
+    has some, is noted. Of the rest, records of alike titles that share ``percent`` hundredths of their ingredients are paired in the
+    same way, never across two different hosts. Candidates of the second rule meet by their rarest ingredients, not each with each.
+    Ids are of one type in both tables and not null.
+    """
+    side = lambda df, n: df.select(
+        F.col("id").alias(n), F.col("url").alias(f"{n}_url"), F.col("host").alias(f"{n}_host"), F.coalesce("title", F.lit("")).alias(f"{n}_title"),
+        F.array_distinct(F.coalesce("names", F.array().cast("array<string>"))).alias(f"{n}_names"),
+    )
+    left, right = side(a, "a"), side(b, "b")
+    both = F.size(F.array_intersect("a_names", "b_names"))
+    union = F.size(F.array_union("a_names", "b_names"))
+    alike = lambda pairs: pairs.withColumn("title", near_titles(F.col("a_title"), F.col("b_title"))).withColumn(
+        "jaccard", F.when(union > 0, both / union).otherwise(0.0)
+    )
+    scored = lambda pairs: pairs.withColumn("score", F.col("title") + F.col("jaccard"))
+    kept = ["a", "b", "title", "jaccard"]
+
+    same = materialise(scored(alike(left.join(right, F.col("a_url") == F.col("b_url")))).select(*kept, "score", (F.size("b_names") == 0).alias("empty")), "same-address")
+    first = one_to_one(same.select("a", "b", "score")).select("a", "b").join(same, ["a", "b"])
+    noted = F.when((100 * F.col("jaccard") < low) & ~F.col("empty"), "same URL but low ingredient overlap").otherwise("")
+    first = materialise(first.select(F.lit("canonical_url").alias("rule"), *kept, noted.alias("note")), "matched-by-address")
+
+    tagged = lambda df, n: df.select(F.struct(F.lit(n).alias("side"), F.col(n).alias("id")).alias("id"), F.col(f"{n}_names").alias("words"))
+    left, right = left.join(first.select("a"), "a", "left_anti"), right.join(first.select("b"), "b", "left_anti")
+    near = alike_pairs(tagged(left, "a").unionByName(tagged(right, "b")), "words", percent).filter(F.col("a.side") != F.col("b.side"))
+    near = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).join(left, "a").join(right, "b")
+    conflict = F.coalesce(F.col("a_host") != F.col("b_host"), F.lit(False))
+    near = materialise(scored(alike(near.filter(~conflict))).filter(F.col("title") >= title).select(*kept, "score"), "alike-records")
+    second = one_to_one(near.select("a", "b", "score")).select("a", "b").join(near, ["a", "b"])
+    columns = ["a", "b", "rule", "title", "jaccard", "note"]
+    return first.select(columns).unionByName(second.withColumn("rule", F.lit("title_ingredients")).withColumn("note", F.lit("")).select(columns))
+
+
 def token_overlap(rows: DataFrame, keys: list[str], source: Column, found: Column) -> DataFrame:
     """keys, n_source, n_found, both: sizes of two word lists and of what they share as multisets. keys tell the rows apart."""
     every = F.concat(F.transform(source, lambda w: F.struct(w.alias("w"), F.lit(1).alias("s"))), F.transform(found, lambda w: F.struct(w.alias("w"), F.lit(0).alias("s"))))

@@ -63,3 +63,55 @@ def near(a, b):
 
     r = SequenceMatcher(None, a, b, autojunk=False).ratio() if abs(len(a) - len(b)) <= 2 and len(a) >= 4 else 0
     return r if r >= 0.8 else 0
+
+
+def test_records_matched_by_address_and_then_by_content(spark):
+    """The two rules one after the other over all pairs, in plain Python; titles here are equal, disjoint or share words."""
+    rng = random.Random(12)
+    pool = [f"food{k}" for k in range(14)]
+
+    def records(n, first):
+        out = []
+        for k in range(n):
+            words = rng.sample(["plum", "tart", "soup", "bean", "rye"], rng.randint(1, 3))
+            names = rng.sample(pool, rng.choice([0, 2, 3, 4, 6]))
+            out.append((first + k, rng.choice([None, "u1", "u2", "u3", "u4", "u5"]), rng.choice([None, "x.example", "y.example"]), " ".join(words), names))
+        return out
+
+    a, b = records(30, 0), records(34, 100)
+    b += [(200 + k, None, r[2], r[3], r[4]) for k, r in enumerate(a[:6])]
+
+    def scores(x, y):
+        if not x[3] or not y[3]:
+            title = 0.0
+        elif x[3] == y[3]:
+            title = 1.0
+        else:
+            from difflib import SequenceMatcher
+
+            wx, wy = set(x[3].split()), set(y[3].split())
+            title = max(SequenceMatcher(None, x[3], y[3], autojunk=False).ratio(), len(wx & wy) / len(wx | wy))
+        nx, ny = set(x[4]), set(y[4])
+        return title, len(nx & ny) / len(nx | ny) if nx | ny else 0.0
+
+    want, used = {}, set()
+    for rule in ("canonical_url", "title_ingredients"):
+        options = []
+        for x in a:
+            for y in b:
+                t, j = scores(x, y)
+                if rule == "canonical_url":
+                    fits = x[1] is not None and x[1] == y[1]
+                else:
+                    fits = t >= 0.85 and j >= 0.7 and not (x[2] and y[2] and x[2] != y[2])
+                if fits and x[0] not in used and y[0] not in used:
+                    note = "same URL but low ingredient overlap" if rule == "canonical_url" and j < 0.3 and y[4] else ""
+                    options.append((-(t + j), x[0], y[0], note))
+        for _, x, y, note in sorted(options):
+            if x not in used and y not in used:
+                want[x, y] = (rule, note)
+                used |= {x, y}
+    kind = "id int, url string, host string, title string, names array<string>"
+    got = matching.matched_records(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)).collect()
+    assert {(r["a"], r["b"]): (r["rule"], r["note"]) for r in got} == want and len(got) == len(want)
+    assert {v[0] for v in want.values()} == {"canonical_url", "title_ingredients"}
