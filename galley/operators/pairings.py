@@ -154,12 +154,12 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
     return kept.withColumn("exact", score)
 
 
-def served(scored: DataFrame, limit: int) -> DataFrame:
+def served(scored: DataFrame, limit: int, digits: int = 3) -> DataFrame:
     """(anchor, id, course, score, place): the best of (anchor, id, title, course, exact), by the caps of courses."""
     order = [F.desc("exact"), F.col("title"), F.col("id")]
     capped = scored.withColumn("_c", F.row_number().over(Window.partitionBy("anchor", "course").orderBy(*order))).filter(F.col("_c") <= cap_of(F.col("course"))).drop("_c")
     placed = capped.withColumn("place", F.row_number().over(Window.partitionBy("anchor").orderBy(*order))).filter(F.col("place") <= limit)
-    return placed.select("anchor", "id", "course", F.round("exact", 3).alias("score"), "place")
+    return placed.select("anchor", "id", "course", F.round("exact", digits).alias("score"), "place")
 
 
 def cap_of(course: Column) -> Column:
@@ -172,7 +172,8 @@ def meals_for_all(dishes: DataFrame, kinds: DataFrame, limit: int = 6) -> DataFr
     dishes: id, title, kind, own; kinds: anchor_kind, kind, course, base, a row for each pair of kinds that may share a table
     (``scored_pairs`` over kinds in place of dishes). A pair's score is the base of its kinds and what the dish brings of its own,
     such as votes. So of a kind only the best dishes can be on a table, as many as its course's cap and one for the anchor itself:
-    those are found for each kind once, those of each kind of anchor from them, and only the few that are left meet the anchors.
+    those are found for each kind once, those of each kind of anchor from them, and only the few that are left meet the anchors. Scores
+    are shown to nine digits.
 
     A dish whose kind goes with none has no meal; null kinds go with none. Of repeated ids each is a dish. An empty table gives no rows.
     """
@@ -185,7 +186,7 @@ def meals_for_all(dishes: DataFrame, kinds: DataFrame, limit: int = 6) -> DataFr
     place = F.row_number().over(Window.partitionBy("anchor_kind", "course").orderBy(*order))
     few = met.withColumn("_n", place).filter(F.col("_n") <= cap_of(F.col("course")) + 1).drop("_n")
     anchors = dishes.select(F.col("id").alias("anchor"), F.col("kind").alias("anchor_kind"))
-    return served(anchors.join(few, "anchor_kind").filter("anchor <> id").drop("anchor_kind"), limit)
+    return served(anchors.join(few, "anchor_kind").filter("anchor <> id").drop("anchor_kind"), limit, 9)
 
 
 def more_like(pairs: DataFrame, limit: int = 6) -> DataFrame:

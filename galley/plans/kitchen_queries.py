@@ -563,7 +563,7 @@ o AS (SELECT *, m % 2 = 0 AS plain, CASE WHEN anchor_has THEN CASE WHEN affinity
 s AS (SELECT anchor, id, title, course, round((compat * 3 + complement * 2 + CASE WHEN course = 'dessert' THEN 0 ELSE (m % 6) / 5 END * 0.8 - CASE WHEN course IN ('side', 'salad') AND m % 4 = 0 THEN 2.5 ELSE 0 END + own)::DOUBLE, 9) AS exact
   FROM o WHERE compat IS NOT NULL AND NOT (m = 5 AND am % 3 = 0 AND course <> 'dessert') AND NOT (m = 7 AND course IN ('sauce/condiment', 'side', 'bread')) AND NOT (am % 2 = 0 AND course = 'sauce/condiment')),
 u AS (SELECT *, row_number() OVER (PARTITION BY anchor, course ORDER BY exact DESC, title, id) AS n FROM s)
-SELECT anchor, id, course, round(exact, 3) AS score, row_number() OVER (PARTITION BY anchor ORDER BY exact DESC, title, id) AS place FROM u WHERE n <= CASE course WHEN 'side' THEN 2 WHEN 'salad' THEN 2 ELSE 1 END QUALIFY place <= 6""")
+SELECT anchor, id, course, exact AS score, row_number() OVER (PARTITION BY anchor ORDER BY exact DESC, title, id) AS place FROM u WHERE n <= CASE course WHEN 'side' THEN 2 WHEN 'salad' THEN 2 ELSE 1 END QUALIFY place <= 6""")
 def meals_around_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A meal around every part. Parts of one type, size band and number mod 12 are of a kind."""
     part = table(spark, sf_dir, "part")
