@@ -454,7 +454,7 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, epoch(TIMESTAMP '2024-01-20') - epoch(ts) <= 864000 AS deliver FROM events WHERE ts <= TIMESTAMP '2024-01-20' AND event_type = 'click'""")
 def due_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     timers = table(spark, sf_dir, "events").filter("event_type = 'click'").select(
-        "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("ends_at"), F.lit(None).cast("timestamp").alias("sent_at")
+        "event_id", F.col("ts").cast("timestamp").cast("double").alias("ends_at"), F.lit(None).cast("timestamp").alias("sent_at")
     )
     return history.due_timers(timers, 1705708800.0, 864_000).select("event_id", "deliver")
 

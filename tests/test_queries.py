@@ -47,3 +47,32 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def written(folder, **tables):
+    """A folder with tables that SQL gives."""
+    import duckdb
+
+    for name, sql in tables.items():
+        duckdb.sql(f"COPY ({sql}) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def agrees(spark, name, folder, **tables):
+    """Whether a query gives what its SQL gives on these tables."""
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("SET TimeZone = 'UTC'")
+    written(folder, **tables)
+    for other in tables:
+        db.execute(f"CREATE VIEW {other} AS SELECT * FROM '{folder}/{other}.parquet'")
+    got = QUERIES[name](spark, str(folder))
+    result = db.execute(ORACLE_SQL[name])
+    assert sorted(map(tuple, got.select(*[d[0] for d in result.description]).collect()), key=repr) == sorted(result.fetchall(), key=repr)
+
+
+def test_timers_end_within_a_second(spark, tmp_path):
+    """Ends half a second behind the moment, and half a second beyond what is still delivered."""
+    times = "(0, TIMESTAMP '2024-01-20 00:00:00.5'), (1, TIMESTAMP '2024-01-19 23:59:59.5'), (2, TIMESTAMP '2024-01-09 23:59:59.5'), (3, TIMESTAMP '2024-01-10 00:00:00')"
+    agrees(spark, "due_timers", tmp_path, events=f"SELECT k::BIGINT AS event_id, ts, 'click' AS event_type FROM (VALUES {times}) t(k, ts)")
