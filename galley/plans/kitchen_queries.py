@@ -224,7 +224,7 @@ def publisher_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a page says of an order, in kilocalories or kilojoules and milligrams, stands before what its lines come to."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
     computed = lines.groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_quantity") * 3) / 4, 0).alias("kcal"), F.round(F.sum("l_linenumber") / 3, 1).alias("protein_g"))
-    key, price = F.col("o_orderkey") % 4, F.round(F.col("o_totalprice") / 100, 2).cast("decimal(18,2)").cast("string")
+    key, price = F.col("o_orderkey") % 4, (F.round(F.col("o_totalprice") / 100 * 100) / 100).cast("decimal(18,2)").cast("string")
     energy = F.when(key == 0, F.concat(price, F.lit(" kcal"))).when(key == 1, F.concat(price, F.lit("kJ"))).when(key == 2, "0 kcal").otherwise("unknown")
     protein = F.concat((F.col("o_orderkey") % 900).cast("string"), F.lit(" mg"))
     page = table(spark, sf_dir, "orders").select(

@@ -76,3 +76,10 @@ def test_timers_end_within_a_second(spark, tmp_path):
     """Ends half a second behind the moment, and half a second beyond what is still delivered."""
     times = "(0, TIMESTAMP '2024-01-20 00:00:00.5'), (1, TIMESTAMP '2024-01-19 23:59:59.5'), (2, TIMESTAMP '2024-01-09 23:59:59.5'), (3, TIMESTAMP '2024-01-10 00:00:00')"
     agrees(spark, "due_timers", tmp_path, events=f"SELECT k::BIGINT AS event_id, ts, 'click' AS event_type FROM (VALUES {times}) t(k, ts)")
+
+
+def test_publisher_value_on_half_a_cent(spark, tmp_path):
+    """A price on half a cent is rounded as the double says, and so are the kilojoules made of it."""
+    orders = "SELECT k::BIGINT AS o_orderkey, p::DOUBLE AS o_totalprice FROM (VALUES (99869, 216082.5), (5, 216083.5), (8, 100.5), (2, 3.5), (3, 1)) t(k, p)"
+    lines = "SELECT k::BIGINT AS l_orderkey, 7::DOUBLE AS l_quantity, 2 AS l_linenumber FROM (VALUES (99869), (5), (8), (2), (3)) t(k)"
+    agrees(spark, "publisher_first", tmp_path, orders=orders, lineitem=lines)
