@@ -27,60 +27,82 @@ def stateful(spark: SparkSession) -> None:
 
 
 class Timers(StatefulProcessor):
-    """One timer for each key: it fires once when the watermark passes its end, and is forgotten a day after that."""
+    """A group of timers: each fires once when the watermark passes its end, and is forgotten a day after that.
+
+    A group's timers are one state, read and written as a whole, with one timer of Spark's for the next of them: the calls between a
+    Python worker and the state store are for each group and batch, not for each timer.
+    """
+
+    FIELDS = ["device", "timer", "set_at", "ends", "sent"]
 
     def __init__(self, late_ms: int) -> None:
         self.late_ms = late_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.timer = handle.getValueState("timer", "set_at long, ends long, sent boolean")
+        self.held = handle.getValueState("timers", "device array<string>, timer array<string>, set_at array<long>, ends array<long>, sent array<boolean>")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.timer.get() if self.timer.exists() else None
-        last = None
-        for frame in rows:
-            for set_at, ends in zip(frame["set_ms"], frame["ends_ms"], strict=True):
-                own = (int(set_at), None if pd.isna(ends) else int(ends))
-                if last is None or (own[0], own[1] or -1) > (last[0], last[1] or -1):
-                    last = own
-        if last is not None and (held is None or last[0] > held[0]):
-            for at in [t for t in self.handle.listTimers()]:
+    def rows(self) -> pd.DataFrame:
+        columns = self.held.get() if self.held.exists() else [[] for _ in self.FIELDS]
+        got = pd.DataFrame({f: pd.Series(list(c), dtype=object) for f, c in zip(self.FIELDS, columns, strict=True)})
+        return got.astype({"set_at": "int64", "ends": "Int64", "sent": bool})
+
+    def keep(self, rows: pd.DataFrame, after: int) -> None:
+        """Hold these timers, and come back for the next of them, behind ``after``."""
+        for at in [t for t in self.handle.listTimers()]:
+            if at > after:
                 self.handle.deleteTimer(at)
-            if last[1] is None:  # cancelled; remembered for a day, as an older setting may still arrive
-                self.timer.update((last[0], -1, True))
-                self.handle.registerTimer(last[0] + DAY_MS)
-            else:
-                self.timer.update((last[0], last[1], False))
-                self.handle.registerTimer(last[1])
+        if rows.empty:
+            self.held.clear()
+            return
+        plain = rows.astype({"ends": object})
+        plain["ends"] = plain["ends"].where(rows["ends"].notna(), None)
+        self.held.update(tuple(plain[f].tolist() for f in self.FIELDS))
+        self.handle.registerTimer(max(int(self.next_of(rows).min()), after + 1))
+
+    @staticmethod
+    def next_of(rows: pd.DataFrame) -> pd.Series:
+        """When each timer ends or, once it is sent or cancelled, is forgotten: an older setting may arrive for a day."""
+        ends = rows["ends"].fillna(rows["set_at"]).astype("int64")
+        return ends.where(~rows["sent"], ends + DAY_MS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).rename(columns={"set_ms": "set_at", "ends_ms": "ends"}).astype({"set_at": "int64", "ends": "Int64"})
+        new = new.assign(sent=new["ends"].isna(), order=new["ends"].fillna(-1).astype("int64"))[[*self.FIELDS, "order"]]
+        held = self.rows().assign(order=(1 << 62))  # of equal settings the one that is held stands
+        every = pd.concat([held, new]) if len(held) else new
+        last = every.sort_values(["set_at", "order"], kind="stable").drop_duplicates(["device", "timer"], keep="last")
+        self.keep(last[self.FIELDS], -1)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.timer.exists():
-            return
-        set_at, ends, sent = self.timer.get()
-        if sent:
-            self.timer.clear()
+        if not self.held.exists():
             return
-        late = timerValues.getCurrentWatermarkInMs() - ends
-        self.timer.update((set_at, ends, True))
-        self.handle.registerTimer(ends + DAY_MS)
-        yield pd.DataFrame({"device": [key[0]], "timer": [key[1]], "ends_ms": [ends], "deliver": [late <= self.late_ms]})
+        rows, now = self.rows(), timerValues.getCurrentWatermarkInMs()
+        rows = rows[~rows["sent"] | (self.next_of(rows) > now)]
+        due = ~rows["sent"] & (self.next_of(rows) <= now)
+        fired = rows[due]
+        self.keep(rows.assign(sent=rows["sent"] | due), now)
+        if len(fired):
+            ends = fired["ends"].astype("int64")
+            yield pd.DataFrame({"device": fired["device"], "timer": fired["timer"], "ends_ms": ends, "deliver": now - ends <= self.late_ms})
 
 
-def fired(timers: DataFrame, delay: str = "0 seconds", late_seconds: int = 600) -> DataFrame:
+def fired(timers: DataFrame, delay: str = "0 seconds", late_seconds: int = 600, groups: int = 1024) -> DataFrame:
     """(device, timer, ends_ms, deliver) of a stream of (device, timer, at, ends): each timer once when the time of the stream passes ends.
 
     at is when a timer was set; the last setting of a timer stands, null ends cancel it, and setting it again after it has fired
     starts it anew. deliver is false where the stream has moved on by more than ``late_seconds``. Time is the greatest ``at`` so far
-    less ``delay``; settings older than that are dropped as late.
+    less ``delay``; settings older than that are dropped as late. Timers are held in ``groups`` by a hash of device and timer, which
+    has to stay as it is from one start of a query to the next.
     """
     stateful(timers.sparkSession)
+    group = F.pmod(F.xxhash64("device", "timer"), F.lit(groups)).alias("group")
     rows = timers.withWatermark("at", delay).select(
-        "device", "timer", "at", F.unix_millis("at").alias("set_ms"), F.unix_millis("ends").alias("ends_ms")
+        group, "device", "timer", "at", F.unix_millis("at").alias("set_ms"), F.unix_millis("ends").alias("ends_ms")
     )
     kinds = "device string, timer string, ends_ms long, deliver boolean"
-    return rows.groupBy("device", "timer").transformWithStateInPandas(Timers(late_seconds * 1000), kinds, "Append", "EventTime")
+    return rows.groupBy("group").transformWithStateInPandas(Timers(late_seconds * 1000), kinds, "Append", "EventTime")
 
 
 class LastWriter(StatefulProcessor):

@@ -48,6 +48,24 @@ def test_timers_fire_once_across_restarts(spark, tmp_path):
     assert batch == {"d1/eggs": True, "d2/eggs": True, "d1/rice": False}
 
 
+def test_many_timers_in_few_groups(spark, tmp_path):
+    """Timers of one group end at different times, are set again and cancelled, each for itself; calls are for groups, not timers."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+
+    def run(rows):
+        write(spark, source, rows, TIMER)
+        keyed.run_available(keyed.fired(spark.readStream.schema(TIMER).parquet(source), groups=3), keyed.by_batch(out), state)
+        return sorted((r["device"], r["timer"], r["deliver"]) for r in spark.read.parquet(out).collect())
+
+    timers = [(f"d{k % 7}", f"t{k}", at(0), at(100 + k)) for k in range(2000)]
+    assert len(run([*timers, ("clock", "a", at(1099), None)])) == 1000
+    first = [(d, t, (1099 - 100 - k) <= 600) for k, (d, t, _, _) in enumerate(timers[:1000])]
+    run([("d0", "t1001", at(1100), None), ("d0", "t1400", at(1100), at(5000)), ("d3", "t1004", at(1100), None), ("clock", "b", at(1199), None)])
+    got = run([("clock", "c", at(2200), None)])
+    want = first + [(d, t, None) for k, (d, t, _, _) in enumerate(timers) if k >= 1000 and t not in ("t1001", "t1400", "t1004")]
+    assert [x[:2] for x in got] == sorted(x[:2] for x in want) and set(first) <= set(got)
+
+
 OPS = "item string, op string, at timestamp, seq long"
 
 
