@@ -13,7 +13,7 @@ from galley.plans.catalog_queries import query
 from galley.sources import documents as nested
 from galley.sources import pages as web
 from galley.sources import report
-from galley.sources.tables import materialise, publish, published, shared_dir, table
+from galley.sources.tables import materialise, publish, published, shared_dir, spread, table
 
 
 @query("SELECT e.vec_id, d.lang, round(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS size FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.text IS NOT NULL")
@@ -256,7 +256,7 @@ def amount_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
     line = F.concat(size, F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("-"), (F.col("p_size") + 2).cast("string"))).otherwise(""), F.lit(" cups "), F.col("p_name"))
     mean, parts = amounts.mean_amount(line), amounts.split_line(line)
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", mean.alias("m"), parts.alias("s"))
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", "p_size", mean.alias("m"), parts.alias("s"))
     given = F.when(F.col("p_size") % 2 == 0, "cup").otherwise("g")
     trusted = nutrition.reconciled(F.lit(9.0), given, F.col("m.quantity"), F.col("m.word"))
     return rows.select(
@@ -273,7 +273,7 @@ def fraction_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("p_size") / 4
     written = F.concat(F.col("p_size").cast("string"), F.lit("/4"))
     exact = amounts.exact(written)
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
         "p_partkey", amounts.nice(value).alias("shown"), amounts.scaled(written, 2.0).alias("doubled"), exact["n"].alias("n"), exact["d"].alias("d"),
         amounts.client_fraction(value).alias("client"),
     )
@@ -286,7 +286,7 @@ def converted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     hot = F.concat(F.lit("Bake at "), (F.col("p_size") * 5 + 200).cast("string"), F.lit("°F"))
     line = F.concat((F.col("p_size") * 50).cast("string"), F.lit(" g "), F.col("p_name"))
     us = F.element_at(F.split(amounts.converted(line, "us"), " "), -3)
-    return table(spark, sf_dir, "part").select("p_partkey", amounts.temperatures(hot, "metric").alias("metric"), amounts.scaled_line(line, 1.0).alias("line"), us.alias("unit"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", amounts.temperatures(hot, "metric").alias("metric"), amounts.scaled_line(line, 1.0).alias("line"), us.alias("unit"))
 
 
 @query("""SELECT a.conv_id, a.turn, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE round(len(list_intersect(a.w, b.w)) / len(a.w), 9) END AS share,
@@ -998,7 +998,7 @@ def ingredient_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, name = F.col("p_size").cast("string"), F.col("p_name")
     double = F.concat(size, F.lit(" cups / "), (F.col("p_size") * 240).cast("string"), F.lit(" ml  "), name)
     line = F.when(F.col("p_size") % 3 == 0, double).when(F.col("p_size") % 3 == 1, F.concat(size, F.lit("g "), name)).otherwise(name)
-    return table(spark, sf_dir, "part").select("p_partkey", labels.ingredient(line).alias("i")).select("p_partkey", "i.*")
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", labels.ingredient(line).alias("i")).select("p_partkey", "i.*")
 
 
 @query("""SELECT p_partkey, p_name AS title, CASE WHEN split_part(p_name, ' ', 1) = 'cold' THEN 'Cold Kitchen' END AS credit, CASE WHEN split_part(p_name, ' ', 1) = 'hot' THEN 'hot/slow cooker' ELSE 'slow cooker' END AS tags FROM part""")
@@ -1008,7 +1008,7 @@ def title_clean_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = F.concat(F.lit("www."), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")), F.lit(".example"))
     title = labels.clean_title(F.concat(F.col("p_brand"), F.lit(" - "), name, F.lit("  | "), F.col("p_brand"), F.lit(" Recipes")), site)
     notes = labels.title_notes(F.concat(name, F.lit(" in a Slow Cooker")), {"cold": (["cold"], "Cold Kitchen", None), "hot": (["hot"], None, ("flavour", "hot"))})
-    return table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), notes["credit"].alias("credit"), F.array_join(notes["tags"]["value"], "/").alias("tags"))
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", title.alias("title"), notes["credit"].alias("credit"), F.array_join(notes["tags"]["value"], "/").alias("tags"))
 
 
 @query("""SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'content left out' WHEN 2 THEN 'step not in the source; content left out' ELSE 'title is an address or empty; title not in the source; yield left out' END AS issues,
@@ -1018,7 +1018,7 @@ def checked_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, brand = F.col("p_size") % 4, F.concat(F.lit("2 "), F.col("p_brand"))
     mix = F.concat(F.lit("Mix "), F.col("p_type"), F.lit(" well"))
     source = F.concat_ws("\n", "p_name", F.lit("Serves 4"), F.lit("Ingredients:"), brand, F.lit("salt"), F.lit("Method"), mix, F.lit("Notes"), F.lit("keeps"))
-    docs = table(spark, sf_dir, "part").select(
+    docs = spread(table(spark, sf_dir, "part"), "p_partkey").select(
         F.col("p_partkey").alias("id"), source.alias("source"), F.when(k == 3, "www.kitchen.example").otherwise(F.col("p_name")).alias("title"), F.when(k != 3, "4").alias("yield_text"),
         F.when(k == 1, F.array(brand)).otherwise(F.array(brand, F.lit("Salt"))).alias("ingredients"), F.array(F.when(k == 2, F.concat(F.lit("Bake "), F.col("p_type"))).otherwise(mix)).alias("steps"),
     )
