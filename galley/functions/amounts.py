@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,9 +125,21 @@ def amount_of(text: Column) -> Column:
     return let(line, lambda x: let(words_of(x), lambda words: let(words_of(spelled(x)), lambda plain: shaped(words, plain))))
 
 
+def _plain(text: Column) -> tuple[Column, Column]:
+    """Whether a text is digits or a fraction of digits, as most amounts are, and its value, for which no grammar is needed."""
+    side = lambda k: F.split_part(F.trim(text), F.lit("/"), F.lit(k)).try_cast("double")
+    form = F.coalesce(F.rlike(F.trim(text), F.lit(r"^[0-9]+(?:\.[0-9]+|/[0-9]+)?$")), F.lit(False))
+    return form, F.when(F.contains(text, F.lit("/")), F.try_divide(side(1), side(2))).otherwise(side(1))
+
+
+def _read(text: Column) -> Column:
+    return let(amount_of(F.trim(text)), lambda got: F.when((got["used"] == F.size(got["words"])) & got["high"].isNull(), got["low"]))
+
+
 def number(text: Column) -> Column:
     """A number written as digits, a fraction, a mixed number or with a vulgar fraction; null for anything else."""
-    return let(amount_of(F.trim(text)), lambda got: F.when((got["used"] == F.size(got["words"])) & got["high"].isNull(), got["low"]))
+    plain, value = _plain(text)
+    return F.when(plain, value).otherwise(_read(text))
 
 
 def unit_at(words: Column, at: Column, bare: bool = False) -> Column:
@@ -215,6 +229,36 @@ def nearest(value: Column, denominators: list[int]) -> Column:
     return F.array_min(each)
 
 
+def nearest_of_many(value: Column, denominators: list[int]) -> Column:
+    """The same as ``nearest`` for a long list, which is tried for many values at once; null for null. Not for use inside ``let``."""
+    d = np.array(denominators, dtype="float64")
+
+    def half_up(x: np.ndarray) -> np.ndarray:
+        whole = np.trunc(x)
+        return whole + np.sign(x) * (np.abs(x - whole) >= 0.5)
+
+    @F.pandas_udf("error double, d int, n long")
+    def of(values: pd.Series) -> pd.DataFrame:
+        v = values.to_numpy(dtype="float64", na_value=np.nan)[:, None]
+        n = half_up(v * d)
+        error = half_up(np.abs(v - n / d) * 1e9) / 1e9
+        best = (np.arange(len(v)), np.lexsort((np.broadcast_to(d, error.shape), error))[:, 0])
+        known = ~np.isnan(v[:, 0])
+        shown = pd.DataFrame({"error": error[best], "d": d[best[1]], "n": n[best]}).astype({"d": "int32"})
+        with np.errstate(invalid="raise"):
+            shown["n"] = np.where(known, shown["n"], 0).astype("int64")
+        return shown
+
+    return F.when(value.isNotNull() & ~F.isnan(value), of(value))
+
+
+def nearest_to(text: Column, factor: Column | float, denominators: list[int]) -> Column:
+    """``nearest`` of an amount times a factor; null for what is no number."""
+    plain, value = _plain(text)
+    other = let(_read(text) * factor, lambda v: F.when(v.isNotNull(), nearest(v, denominators)))
+    return F.when(plain, nearest_of_many(value * factor, denominators)).otherwise(other)
+
+
 def shown_fraction(n: Column, d: Column, gap: str = "") -> Column:
     """A fraction in lowest terms as text: 7/4 is 1¾; one without a glyph is written out, behind ``gap``."""
 
@@ -254,17 +298,14 @@ def client_fraction(value: Column) -> Column:
 
 def exact(text: Column) -> Column:
     """struct<n, d>: an amount as a fraction with the least denominator up to 10,000; null for what is no number."""
-
-    def shown(v: Column, best: Column) -> Column:
-        return F.when(v.isNotNull(), F.struct(best["n"].alias("n"), best["d"].cast("long").alias("d")))
-
-    return let(number(text), lambda v: let(nearest(v, [*range(1, 129), 1000, 10000]), lambda best: shown(v, best)))
+    best = nearest_to(text, 1.0, [*range(1, 129), 1000, 10000])
+    return let(best, lambda x: F.when(x.isNotNull(), F.struct(x["n"].alias("n"), x["d"].cast("long").alias("d"))))
 
 
 def scaled(text: Column, factor: Column | float) -> Column:
     """An amount times a factor, as text, to the nearest fraction with a denominator up to 32; no number stays as it is."""
-    best = let(number(text) * factor, lambda v: nearest(v, list(range(1, 33))))
-    return let(best, lambda x: F.coalesce(shown_fraction(x["n"], x["d"]), text))
+    best = nearest_to(text, factor, list(range(1, 33)))
+    return F.coalesce(let(best, lambda x: shown_fraction(x["n"], x["d"])), text)
 
 
 def scaled_line(text: Column, factor: Column | float) -> Column:

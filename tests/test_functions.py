@@ -97,3 +97,25 @@ def test_golden(case, spark):
     f, value, want = CASES[case]
     got = spark.createDataFrame([(value,)], "v string").select(f(F.col("v")).alias("r")).first()["r"]
     assert (tuple(got) if isinstance(want, tuple) else got) == (pytest.approx(want) if isinstance(want, float) else want)
+
+
+def test_nearest_of_many_is_nearest(spark):
+    """The same fraction as the expression gives, also below zero, on ties and for null."""
+    values = [0.0, 0.125, 1 / 3, -1 / 3, 2.5, -2.5, 7.0078125, 0.99999, 123456.789, 1e-7, 0.5 / 129, None, *[k / 97 for k in range(60)]]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for among in ([*range(1, 129), 1000, 10000], list(range(1, 33))):
+        got = rows.select("v", amounts.nearest(F.col("v"), among).alias("one"), amounts.nearest_of_many(F.col("v"), among).alias("many")).collect()
+        assert all(r["many"] is None if r["v"] is None else tuple(r["one"]) == tuple(r["many"]) for r in got)
+
+
+def test_plain_numbers_need_no_grammar(spark):
+    said = {"7/4": 1.75, " 3 ": 3.0, "2.50": 2.5, "1/0": None, "1 1/2": 1.5, "½": 0.5, "1-2": None, "x": None, "": None, "3/": None}
+    rows = spark.createDataFrame([(k,) for k in said], "t string").select("t", amounts.number(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in rows} == said
+
+
+def test_long_work_is_dealt_out(spark, sf):
+    """The one file of parts is read by one task; what titles take is done by many."""
+    from galley.plans.catalog_queries import QUERIES
+
+    assert QUERIES["title_clean_up"](spark, sf).rdd.getNumPartitions() > 1
