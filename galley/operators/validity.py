@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galley.sources.tables import materialise
+
 STABLE_ID = "^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$"
 # The least and the greatest length of texts, and the numbers of parts, by version of the document where they differ.
 LENGTHS = {"title": (1, 240), "yield": (0, 160), "heading": (0, 160), "ingredient": (1, 500), "step": (1, 4000), "action": (1, 160)}
@@ -44,6 +46,7 @@ def breaches(documents: DataFrame, key: str) -> DataFrame:
     none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
     empty = lambda c: F.coalesce(F.col(c), F.array())
     docs = documents.select(F.monotonically_increasing_id().alias("n"), F.col(key).alias("key"), "version", "title", "yield_text", "notes", "sections")
+    docs = materialise(docs, "documents")  # each rule reads them, all with the same numbers
 
     of_kind = lambda k: F.size(F.filter(empty("sections"), lambda s: s["kind"] == k))
     whole = [("length of title", outside(size_of(F.col("title")), LENGTHS["title"])), ("length of yield", outside(size_of(F.col("yield_text")), LENGTHS["yield"]))]

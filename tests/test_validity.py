@@ -76,3 +76,21 @@ def test_many_documents_and_none(spark):
     frame = spark.createDataFrame(rows, KIND)
     assert [tuple(r) for r in validity.breaches(frame, "doc").collect()] == [(None, "repeated action", "s9", "a1")]
     assert validity.breaches(frame.limit(0), "doc").count() == 0
+
+
+def test_documents_are_made_once(spark):
+    """Every rule reads the same documents with the same numbers, and none makes them anew."""
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    def one(x):
+        made.add(1)
+        return x
+
+    docs = spark.range(20).select(F.udf(one, "long")("id").alias("doc"), F.lit(2).alias("version"), F.lit("Stew").alias("title"), F.lit("4").alias("yield_text"), F.array(F.lit("n")).alias("notes"))
+    part = "struct<id: string, text: string>"
+    kind = f"array<struct<id: string, heading: string, kind: string, ingredients: array<{part}>, steps: array<{part}>, actions: array<struct<id: string, label: string, sequence: int, start: string, end: string>>>>"
+    got = validity.breaches(docs.withColumn("sections", F.from_json(F.lit("[]"), kind)), "doc").collect()
+    assert made.value == 20
+    assert sorted({r["rule"] for r in got}) == ["number of ingredients sections", "number of instructions sections"] and len(got) == 40
