@@ -116,6 +116,13 @@ def test_plain_numbers_need_no_grammar(spark):
 
 def test_long_work_is_dealt_out(spark, sf):
     """The one file of parts is read by one task; what titles take is done by many."""
-    from galley.plans.catalog_queries import QUERIES
+    from galley.plans import kitchen_queries
 
-    assert QUERIES["title_clean_up"](spark, sf).rdd.getNumPartitions() > 1
+    assert kitchen_queries.title_clean_up(spark, sf).rdd.getNumPartitions() > 1
+
+
+def test_extractions_are_dealt_out(spark, sf):
+    """One task would read all parts and hold all of their words."""
+    from galley.plans import kitchen_queries
+
+    assert "REPARTITION_BY_NUM" in kitchen_queries.checked_extractions(spark, sf)._jdf.queryExecution().toString()
