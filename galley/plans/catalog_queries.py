@@ -345,16 +345,10 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers of a nation, matched one to one by the nearest balance, less than 500 apart.
-
-    They meet by bands of 500: each customer its own band and the two beside it.
-    """
-    band = lambda c: F.floor(F.col(c) / 500)
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("nation"), "c_acctbal", band("c_acctbal").alias("own"))
-    c = c.withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)))
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("nation"), "s_acctbal", band("s_acctbal").alias("band"))
-    near = c.join(s, ["nation", "band"]).filter(F.abs(F.col("c_acctbal") - F.col("s_acctbal")) < 500)
-    return matching.one_to_one(near.select("a", "b", (-F.abs(F.col("c_acctbal") - F.col("s_acctbal"))).alias("score")))
+    """Customers and suppliers of a nation, matched one to one by the nearest balance, less than 500 apart."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    return matching.nearest_one_to_one(c, s, "nation", "balance", 500)
 
 
 @query("""WITH w AS (SELECT c.conv_id, c.turn, regexp_extract_all(lower(p.text), '[a-z0-9]+') AS s, regexp_extract_all(lower(c.text), '[a-z0-9]+') AS f FROM conversations c

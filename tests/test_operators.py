@@ -1,5 +1,7 @@
 """Operators on small recipe-shaped inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +230,21 @@ def test_extraction_verdict(spark):
     exact, tolerant = matching.extraction_verdict((F.col("a"), F.col("b")), (F.col("c"), F.col("d")), F.col("f"))
     got = [tuple(r) for r in df.select(exact.alias("e"), tolerant.alias("t")).collect()]
     assert got == [(True, True), (False, True), (False, False), (False, True), (False, False), (False, True)]
+
+
+@pytest.mark.parametrize("most", [12, 60, 2000])
+def test_nearest_one_to_one_is_the_greedy_matching_of_all_pairs(spark, most, monkeypatch):
+    """Values that repeat and lie at equal distances, in chains that wait for others; no list of pairs is made."""
+    rng = random.Random(most)
+    draw = lambda n, first: [(first + 3 * k % n, rng.randrange(2), float(rng.randrange(-most, most))) for k in range(n)]
+    left, right = draw(151, 5), draw(80, 1000)
+    want, used = set(), set()
+    for apart, a, b in sorted((abs(x[2] - y[2]), x[0], y[0]) for x in left for y in right if x[1] == y[1]):
+        if apart < 9 and a not in used and b not in used:
+            want.add((a, b, -apart))
+            used |= {a, b}
+    monkeypatch.setattr(matching, "one_to_one", None)
+    odd = [(1, None, 0.0), (2, 0, None), (3, 1, float("nan"))]
+    frames = [spark.createDataFrame(rows + odd, f"{n} long, g int, v double") for rows, n in ((left, "a"), (right, "b"))]
+    got = [tuple(r) for r in matching.nearest_one_to_one(*frames, "g", "v", 9).select("a", "b", "score").collect()]
+    assert len(got) == len(want) and set(got) == want
