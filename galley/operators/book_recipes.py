@@ -17,6 +17,9 @@ from galley.sources.tables import materialise
 
 LOOK_BACK = 40
 
+#: Blocks that one task reads recipes from, about: each of its windows holds some of them.
+TASK_BLOCKS = 250_000
+
 # Units, words of amount, foods that stand without an amount, and how labels and notes begin.
 UNITS = (
     "cup cups c. tablespoon tablespoons tbsp tbsp. teaspoon teaspoons tsp tsp. ounce ounces oz oz. pound pounds lb lbs lb. lbs. gram grams g kg "
@@ -106,17 +109,21 @@ def classified(blocks: DataFrame, book: str) -> DataFrame:
         "label": label, "yields": yields, "prose": prose, "numbered": number | holds(classes, METHOD_CLASSES),
         "note": begins(text, NOTES) & (size > 12), "lettered": F.rlike(text, F.lit(r"^[a-h][.)]\s+\S")), "image": kind == "image",
     }
-    rows = blocks.filter("text is not null or kind = 'image'").withColumn("text", F.coalesce("text", F.lit("")))
+    # The place in the book first: a block is dealt to its book before it has its facts.
     order = Window.partitionBy("book").orderBy("place")
-    rows = rows.select(
-        F.col(book).alias("book"), "place", "text", F.coalesce("level", F.lit(0)).alias("level"), "kind", classes.alias("classes"),
-        *[F.coalesce(v, F.lit(False)).alias(k) for k, v in facts.items()],
+    rows = blocks.filter("text is not null or kind = 'image'").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.select(F.col(book).alias("book"), "place", "text", "level", "kind", "classes", "cell").withColumn("at", F.row_number().over(order) - 1)
+    return rows.select(
+        "book", "place", "text", F.coalesce("level", F.lit(0)).alias("level"), "kind", classes.alias("classes"),
+        *[F.coalesce(v, F.lit(False)).alias(k) for k, v in facts.items()], "at",
     )
-    return rows.withColumn("at", F.row_number().over(order) - 1)
 
 
-def lists(rows: DataFrame) -> DataFrame:
-    """(book, start, stop_list, title_at, stop) of the ingredient lists in each book; title_at is null where there is no title."""
+def marked(rows: DataFrame) -> DataFrame:
+    """Blocks with what lists are found by: the island of each that goes on, where its list would begin, the last title before that.
+
+    The title is the last one before the bare foods and sections right before a food, with which its list begins.
+    """
     order = Window.partitionBy("book").orderBy("at")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     food = F.col("ingredient")
@@ -128,35 +135,41 @@ def lists(rows: DataFrame) -> DataFrame:
     member &= F.coalesce(F.lag("ingredient").over(order), F.lit(False)) & (styled | between)
     goes_on = food | F.col("image") | F.col("bare") | (F.col("subhead") & ahead) | member
     opens = F.col("bare") | (F.col("subhead") & F.col("section"))
-    got = rows.withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
-    got = got.withColumn("island", F.count_if(~F.col("goes_on")).over(order)).withColumn("opened", F.max(F.when(~opens, F.col("at"))).over(before) + 1)
-    got = got.withColumn("opened", F.coalesce("opened", F.lit(0))).withColumn("titled", F.max(F.when(F.col("title"), F.col("at"))).over(before))
-    inside = got.filter("goes_on").groupBy("book", "island").agg(
+    got = rows.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).withColumn("titled", F.max(F.when(F.col("title"), F.col("at"))).over(order))
+    got = got.withColumn("island", F.count_if(~F.col("goes_on")).over(order)).withColumn("size", F.count("*").over(Window.partitionBy("book")))
+    opened = F.last(F.when(~opens, F.struct((F.col("at") + 1).alias("at"), "titled")), ignorenulls=True).over(before)
+    return got.withColumn("opened", opened).drop("titled")
+
+
+def lists(rows: DataFrame) -> DataFrame:
+    """(book, start, end, title_at, stop) of the ingredient lists in each book; title_at is null where there is no title."""
+    food = F.col("ingredient")
+    inside = rows.filter("goes_on").groupBy("book", "island").agg(
         F.min(F.when(food, F.col("at"))).alias("first"),
-        F.min_by("opened", F.when(food, F.col("at"))).alias("start"),
+        F.min_by("opened", F.when(food, F.col("at"))).alias("opened"),
         (F.max("at") + 1).alias("end"),
         F.count_if("ingredient").alias("strong"),
-        F.max(F.when(food, F.col("at"))).alias("last"),
         F.max("listed").alias("any_listed"),
+        F.max("size").alias("size"),
     )
     found = inside.filter((F.col("strong") >= 3) | ((F.col("strong") >= 2) & F.col("any_listed")))
     in_order = Window.partitionBy("book").orderBy("first")
-    found = found.withColumn("floor", F.coalesce(F.lag("end").over(in_order), F.lit(0))).withColumn("start", F.greatest("start", "floor"))
-    found = found.join(got.select("book", F.col("at").alias("start"), "titled"), ["book", "start"])
+    found = found.withColumn("floor", F.coalesce(F.lag("end").over(in_order), F.lit(0)))
+    found = found.withColumn("start", F.greatest(F.coalesce("opened.at", F.lit(0)), "floor")).withColumn("titled", F.col("opened.titled"))
     near_title = F.col("titled") >= F.greatest("floor", F.col("start") - LOOK_BACK)
     found = found.withColumn("title_at", F.when(near_title, F.col("titled")))
-    sizes = rows.groupBy("book").agg(F.count("*").alias("size"))
     stop = F.least(F.coalesce(F.lead("start").over(in_order), F.col("size")), F.coalesce(F.lead("title_at").over(in_order), F.col("size")))
-    return found.join(sizes, "book").select("book", "start", "end", "title_at", stop.alias("stop"))
+    return found.select("book", "start", "end", "title_at", stop.alias("stop"))
 
 
 def parts(rows: DataFrame, found: DataFrame) -> DataFrame:
     """The blocks of each recipe, from its title to its end, with the part that they belong to."""
     marks = found.filter("title_at is not null").select("book", F.col("title_at").alias("at"), F.struct("title_at", "start", "end", "stop").alias("own"))
-    order = Window.partitionBy("book").orderBy("at")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = rows.join(marks, ["book", "at"], "left").withColumn("own", F.last("own", ignorenulls=True).over(so_far))
-    got = got.filter(F.col("at") < F.col("own.stop"))
+    # A mark comes right before the block it stands for; so blocks are dealt to their books and no further.
+    so_far = Window.partitionBy("book").orderBy("at", F.col("text").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, 1 + rows.count() // TASK_BLOCKS)
+    got = rows.unionByName(marks, allowMissingColumns=True).repartition(tasks, "book").withColumn("own", F.last("own", ignorenulls=True).over(so_far))
+    got = got.filter(F.col("text").isNotNull() & (F.col("at") < F.col("own.stop")))
     part = (
         F.when(F.col("at") == F.col("own.title_at"), "title")
         .when(F.col("at") < F.col("own.start"), "head")
@@ -167,25 +180,28 @@ def parts(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def listed_foods(rows: DataFrame) -> DataFrame:
+    """Blocks with ``food``, (section, text), where they are a line of a list."""
     so_far = Window.partitionBy("book", "recipe").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    of_list = rows.filter((F.col("part") == "list") & ~F.col("image") & ~F.col("label"))
-    head = F.when(F.col("subhead") & ~F.col("ingredient"), F.regexp_replace("text", ":+$", ""))
-    of_list = of_list.withColumn("head", head).withColumn("under", F.last("head", ignorenulls=True).over(so_far)).filter("head is null")
-    return of_list.select("book", "recipe", "at", F.struct(F.col("under").alias("section"), "text").alias("food"))
+    inside = (F.col("part") == "list") & ~F.col("image") & ~F.col("label")
+    head = F.when(inside & F.col("subhead") & ~F.col("ingredient"), F.regexp_replace("text", ":+$", ""))
+    got = rows.withColumn("head", head).withColumn("under", F.last("head", ignorenulls=True).over(so_far))
+    food = F.when(inside & F.col("head").isNull(), F.struct(F.col("under").alias("section"), "text"))
+    return got.withColumn("food", food).drop("head", "under")
 
 
 def method_steps(rows: DataFrame) -> DataFrame:
-    """Steps, notes and introductions after each list.
+    """Blocks with ``step``, ``more``, ``note_text`` and ``early_text``: steps, their lettered lines, notes and introductions after each list.
 
     A method ends at a heading of a chapter or a title once it has begun, and a numbered one at the first line without a number.
-    In a method without numbers every line is a step, up to the first note, which takes what follows.
+    In a method without numbers every line is a step, up to the first note, which takes what follows. What is over stays over, so the
+    windows of blocks before it don't see it.
     """
-    recipe = Window.partitionBy("book", "recipe")
+    recipe = Window.partitionBy("book", "recipe", "inside")
     order = recipe.orderBy("at")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     no = F.lit(False)
-    got = rows.filter((F.col("part") == "method") & ~F.col("image"))
+    got = rows.withColumn("inside", (F.col("part") == "method") & ~F.col("image"))
     # What a table of yield and time or a label says before the first line of the method is none of it.
     detail = F.col("label") | F.col("yields") & (F.length("text") < 80)
     valued = F.coalesce(F.lag("label").over(order), no) & (F.lower(F.regexp_replace(F.lag("text").over(order), ":$", "")).isin([*LABELS, "note", "notes"]))
@@ -196,12 +212,12 @@ def method_steps(rows: DataFrame) -> DataFrame:
     other_head = F.col("subhead") & ~F.col("numbered") & (F.col("kind") == "heading") & ~F.col("section")
     ends = F.col("begun") & ~F.col("note") & (chapter | F.col("title") | other_head)
     ends = ends | (F.col("begun") & F.col("note") & (chapter | F.col("title")))
-    got = got.withColumn("over", F.max(ends).over(so_far)).filter(~F.col("over"))
-    got = got.withColumn("counts", F.col("line") & F.col("numbered") & ~F.col("lettered"))
+    got = got.withColumn("over", F.max(F.coalesce(ends, no)).over(so_far))
+    got = got.withColumn("counts", F.col("line") & F.col("numbered") & ~F.col("lettered") & ~F.col("over"))
     got = got.withColumn("any_number", F.max("counts").over(recipe)).withColumn("after_number", F.coalesce(F.max("counts").over(before), no))
     goes_on = F.col("lettered") & F.col("after_number")
     stray = F.col("line") & F.col("after_number") & ~F.col("numbered") & ~goes_on & ~F.col("subhead")
-    got = got.withColumn("over", F.max(stray).over(so_far)).filter(~F.col("over"))
+    got = got.withColumn("over", F.col("over") | F.max(stray).over(so_far))
     got = got.withColumn("noted", F.coalesce(F.max("note").over(before), no))
     head = F.when(F.col("subhead") & ~F.col("numbered") & ~F.col("line"), F.regexp_replace("text", ":+$", ""))
     got = got.withColumn("under", F.last(head, ignorenulls=True).over(so_far))
@@ -210,14 +226,13 @@ def method_steps(rows: DataFrame) -> DataFrame:
     step = F.col("line") & ~early & ~to_note & ~goes_on
     bare = F.trim(F.regexp_replace("text", r"^(?i:step ?)?[0-9]{1,2}(?: ?[.):] ?|\s+(?=[A-Z]))", ""))
     number = F.sum(F.when(step, 1).otherwise(0)).over(so_far)
+    holds = lambda is_it, what: F.when(F.col("inside") & ~F.col("over") & is_it, what)
     return got.select(
-        "book",
-        "recipe",
-        "at",
-        F.when(step, F.struct(F.col("under").alias("section"), bare.alias("text"))).alias("step"),
-        F.when(goes_on & F.col("line"), F.struct(number.alias("of"), "text")).alias("more"),
-        F.when(to_note, F.col("text")).alias("note"),
-        F.when(early, F.col("text")).alias("intro"),
+        *rows.columns,
+        holds(step, F.struct(F.col("under").alias("section"), bare.alias("text"))).alias("step"),
+        holds(goes_on & F.col("line"), F.struct(number.alias("of"), "text")).alias("more"),
+        holds(to_note, F.col("text")).alias("note_text"),
+        holds(early, F.col("text")).alias("early_text"),
     )
 
 
@@ -230,16 +245,16 @@ def find_recipes(blocks: DataFrame, book: str = "path") -> DataFrame:
     Blocks without a text are left out, pictures but for their place. A book without a list, and an empty table, give no rows. Blocks of one book
     meet in one task, and those of a null book are one book; blocks with equal places have no order among them. Other columns are ignored.
     """
-    rows = materialise(classified(blocks, book), "book-blocks")
+    rows = materialise(marked(classified(blocks, book)).drop("place"), "book-blocks")
     found = materialise(lists(rows), "book-lists")
-    of = parts(rows, found)
-    titles = of.filter("part = 'title'").select("book", "recipe", F.col("text").alias("title"))
-    intro = of.filter((F.col("part") == "head") & (F.col("kind") == "text") & ~F.col("label") & ~F.col("yields"))
-    joined = titles.unionByName(listed_foods(of), allowMissingColumns=True).unionByName(method_steps(of), allowMissingColumns=True)
-    joined = joined.unionByName(intro.select("book", "recipe", "at", F.col("text").alias("intro")), allowMissingColumns=True)
+    # From the blocks to the recipes all windows and sums are within books, to which the blocks are dealt once.
+    of = method_steps(listed_foods(parts(rows.drop("goes_on", "island", "opened", "size", "bare", "listed", "prose", "classes"), found)))
+    head = (F.col("part") == "head") & (F.col("kind") == "text") & ~F.col("label") & ~F.col("yields")
+    of = of.withColumn("intro", F.when(head, F.col("text")).otherwise(F.col("early_text"))).withColumn("note", F.col("note_text"))
     listed = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", c))))[c]
-    read = joined.groupBy("book", "recipe").agg(
-        F.max("title").alias("title"),
+    read = of.groupBy("book", "recipe").agg(
+        F.max("own.start").alias("start"),
+        F.max(F.when(F.col("part") == "title", F.col("text"))).alias("title"),
         listed("food").alias("ingredients"),
         listed("step").alias("steps"),
         listed("more").alias("more"),
@@ -249,8 +264,8 @@ def find_recipes(blocks: DataFrame, book: str = "path") -> DataFrame:
     extra = lambda k: F.transform(F.filter("more", lambda m: m["of"] == k + 1), lambda m: F.concat(F.lit(" "), m["text"]))
     whole = F.transform("steps", lambda s, k: F.struct(s["section"].alias("section"), F.concat(s["text"], F.array_join(extra(k), "")).alias("text")))
     read = read.withColumn("steps", F.filter(whole, lambda s: s["text"] != ""))
-    got = found.join(read, (found["book"].eqNullSafe(read["book"])) & (found["title_at"] == read["recipe"]), "left").drop(read["book"])
-    reason = F.when(F.col("title_at").isNull(), "no title").when(F.size("ingredients") == 0, "no ingredients").when(F.size("steps") == 0, "no method")
+    untitled = found.filter("title_at is null").select("book", "start", F.lit("no title").alias("reason"))
+    reason = F.when(F.size("ingredients") == 0, "no ingredients").when(F.size("steps") == 0, "no method")
+    got = read.withColumn("reason", reason).unionByName(untitled, allowMissingColumns=True)
     names = ["title", "ingredients", "steps", "notes", "introduction"]
-    got = got.withColumn("reason", reason)
     return got.select(F.col("book").alias(book), "start", "reason", *[F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in names])

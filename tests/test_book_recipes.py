@@ -145,3 +145,13 @@ def test_books_that_were_read(spark):
 
     columns = archives.read_books(spark.createDataFrame([], "path string, content binary"))
     assert set(FIELDS) <= set(columns.columns) and br.find_recipes(columns).count() == 0
+
+
+def test_blocks_are_dealt_to_their_books_once(spark):
+    """From the written blocks to the recipes there is one shuffle of blocks, by book, and none by recipe."""
+    books = [[("heading", 2, "Stew", "", False)] + [("text", 0, f"{k} cups beans", "", False) for k in range(2, 6)] + [("text", 0, "1. Stir well", "", False)]]
+    frame, _ = facts(spark, books)
+    found = br.find_recipes(frame, "path")
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert len(re.findall(r"Exchange hashpartitioning\(", plan)) == 1
+    assert [(r["title"], len(r["ingredients"]), len(r["steps"])) for r in found.collect()] == [("Stew", 4, 1)]
