@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galley.functions import amounts, durations, text, urls
 from galley.operators import aggregates, coverage, history, matching, ranking, rules, search
-from galley.sources.tables import table
+from galley.sources.tables import table, tasks_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -170,12 +170,14 @@ SELECT id, title, count(*) FILTER (WHERE NOT have) AS to_buy_count,
 round_even(count(*) FILTER (WHERE NOT have) * 100.0 / count(*), 0)::INT AS percent_to_buy FROM k GROUP BY 1, 2""")
 def coverage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each order's parts, how many are not at hand; a name is if all its parts are small ones."""
+    # Each join's rows are dealt by their number: Spark would cut tasks by bytes, and short rows take many times their bytes in memory.
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey")
+    tasks = tasks_for(lines, 500_000)
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("key"), ((F.col("p_size") <= 20) | F.ilike("p_type", F.lit("small%"))).alias("have")
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"))
-    return coverage.missing_share(lines.join(part, "l_partkey").join(orders, "id"))
+    return coverage.missing_share(lines.repartition(tasks, "l_partkey").join(part, "l_partkey").repartition(tasks, "id").join(orders, "id"))
 
 
 _UNITS = {"A": "cup", "N": "tbsp", "R": "lb"}

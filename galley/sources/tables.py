@@ -19,9 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of long work that ``spread`` gives to one task, about.
+TASK_ROWS = 50_000
+
+
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Tasks for ``df``, as it is stored, so that each has about ``rows`` rows; a stored table's count is in its files' footers."""
+    return max(3 * df.sparkSession.sparkContext.defaultParallelism, 1 + df.count() // rows)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt over all cores by its keys: one task reads a small file, too few where each row is long work."""
-    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+    """``df``, as it is stored, dealt over all cores by its keys: one task reads a small file, too few where each row is long work.
+
+    There are more tasks for more rows, so that what a task holds does not grow with the table.
+    """
+    return df.repartition(tasks_for(df), *keys)
 
 
 def shared_dir(spark: SparkSession) -> str:

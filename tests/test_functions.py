@@ -126,3 +126,14 @@ def test_extractions_are_dealt_out(spark, sf):
     from galley.plans import kitchen_queries
 
     assert "REPARTITION_BY_NUM" in kitchen_queries.checked_extractions(spark, sf)._jdf.queryExecution().toString()
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark, sf):
+    """What one task holds stays as it is when a table grows."""
+    from galley.plans import catalog_queries
+    from galley.sources.tables import table, tasks_for
+
+    parts = table(spark, sf, "part")
+    assert tasks_for(parts, 10) == 1 + parts.count() // 10
+    plan = catalog_queries.coverage_rank(spark, sf)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan
