@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from galley.functions.text import evidence
 from galley.operators.matching import token_overlap
+from galley.sources.tables import tasks_for
 
 # What stands alone on a line above ingredients, above steps and behind both, and what labels a yield.
 INGREDIENT_HEADINGS = ["ingredient", "ingredients", "ingredient checklist", "what you'll need", "what you’ll need"]
@@ -65,6 +66,8 @@ def checked(docs: DataFrame, whole: bool = False, least: float = LEAST) -> DataF
     every = F.array(region("w", "said", F.concat("t", "i", "s")))
     regions = rows.select("id", F.explode(F.when(F.col("both"), parted).otherwise(every)).alias("r")).select("id", "r.*")
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    # Dealt before they are words, by their number: the words of a document are counted in its task and not dealt out in turn.
+    regions = regions.repartition(tasks_for(docs), "id")
     shared = token_overlap(regions, ["id", "region"], words(F.col("source")), words(F.array_join("found", " ")))
     share = F.when(F.col("n_source") == 0, 1.0).otherwise(F.col("both") / F.col("n_source"))
     covered = shared.groupBy("id").agg(F.min(share).alias("coverage"))

@@ -137,3 +137,11 @@ def test_more_rows_are_dealt_to_more_tasks(spark, sf):
     assert tasks_for(parts, 10) == 1 + parts.count() // 10
     plan = catalog_queries.coverage_rank(spark, sf)._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_words_of_an_extraction_are_counted_where_it_is(spark, sf):
+    """Regions are dealt by number; words are not dealt out after that, by bytes, once and again."""
+    from galley.plans import kitchen_queries
+
+    plan = kitchen_queries.checked_extractions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan
