@@ -1,19 +1,21 @@
 """Recipes in plain text: title, ingredients and method read from the order of a text's lines, or a reason why not.
 
-Lines are rows. What the place of a line means depends on lines before it, so the states of a reader that goes line by line are
-windows over the lines of a text: the first heading of a kind bounds a zone, the last label before a line is its section, the line
-before an ingredient may be its amount. All windows share one partitioning, by text: lines are shuffled once to find the zones and
-once more, each for its own zone, to be read.
+A text stays one row, its lines are arrays, and no line is shuffled or written. What the place of a line means depends on lines
+before it, so the states of a reader that goes line by line are places in these arrays: the first heading of a kind bounds a zone,
+an array is cut into pieces before each label, the line before an ingredient may be its amount. Each step reads its array once or
+slices it into parts, so that a text costs what its length does. A text that gives no recipe by its headings and blocks alone is
+not read further.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galley.sources.tables import materialise
+from galley.functions.bind import let
 
 # The headings, labels and interface words that recipe pages use, in small letters.
 INGREDIENT_HEADINGS = [
@@ -62,15 +64,25 @@ REASONS = [
 
 
 def lines_of(texts: DataFrame, key: str) -> DataFrame:
-    """(text number, key, block, place, line): the lines that are not blank, by blocks between blank lines, white space collapsed."""
-    plain = F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), F.lit("\f"), F.lit("\n\n"))
-    plain = F.translate(plain, "\u00a0\u00ad\u200b\ufeff", " ")
-    trimmed = F.regexp_replace(plain, r"(?U)^\s+|\s+$", "")
-    numbered = texts.select(F.monotonically_increasing_id().alias("n"), F.col(key).alias("key"), trimmed.alias("text"))
-    blocks = numbered.select("n", "key", F.posexplode(F.split("text", r"(?U)\n\s*\n")).alias("block", "part"))
-    lines = blocks.select("n", "key", "block", F.posexplode(F.split("part", "\n")).alias("row", "raw"))
-    line = F.trim(F.regexp_replace("raw", r"(?U)\s+", " "))
-    return lines.select("n", "key", "block", F.struct("block", "row").alias("place"), line.alias("line"))
+    """(key, lines, names, blocks): the lines of each text that are not blank, white space collapsed; these as headings; its blocks.
+
+    Blocks stand between blank lines: the first, the second and all others as one. An empty text has one empty line.
+    """
+    raw = texts.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("raw"))
+    plain = F.replace(F.regexp_replace("raw", "\r\n?", "\n"), F.lit("\f"), F.lit("\n\n"))
+    plain = F.regexp_replace(plain, "[\u00ad\u200b\ufeff]+", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?U)[\s&&[^\n ]][\s&&[^\n]]*| [\s&&[^\n]]+", " "), " \n ?|\n ", "\n")
+    # a text of ASCII without other white space than single blanks in lines, as most have, is left as it is
+    other = F.octet_length("raw") != F.char_length("raw")
+    for space in ("\r", "\f", "\t", "\v", "  ", " \n", "\n "):
+        other |= F.contains("raw", F.lit(space))
+    clean = raw.select("key", F.when(other, plain).otherwise(F.col("raw")).alias("text"))
+    clean = clean.withColumn("text", F.btrim("text", F.lit(" \n")))
+    clean = clean.withColumn("lines", F.when(F.contains("text", F.lit("\n\n")), F.regexp_replace("text", "\n\n+", "\n")).otherwise(F.col("text")))
+    marks = F.contains("lines", F.lit("#")) | F.contains("lines", F.lit(":"))
+    bare = F.regexp_replace(F.regexp_replace("lines", "#(?<![^\n]#)#{0,5} *", ""), ":+(?![^\n])", "")
+    name = F.lower(F.when(marks, bare).otherwise(F.col("lines")))
+    return clean.select("key", F.split("lines", "\n").alias("lines"), F.split(name, "\n").alias("names"), F.split("text", "\n\n+", 3).alias("blocks"))
 
 
 def heading(line: Column) -> Column:
@@ -79,7 +91,10 @@ def heading(line: Column) -> Column:
 
 
 def any_of(words: list[str]) -> str:
-    return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"
+    """One of the words, the longest that fits; told by the first letter, so that most lines are tried against few."""
+    first = sorted({w[0] for w in words})
+    ends = {k: "|".join(re.escape(w[1:]) for w in sorted(words, key=len, reverse=True) if w[0] == k) for k in first}
+    return f"(?:(?=[{''.join(first)}])(?:{'|'.join(f'{k}(?:{e})' for k, e in ends.items())}))"
 
 
 def under(name: Column, headings: list[str]) -> Column:
@@ -100,29 +115,17 @@ def rest(line: Column) -> Column:
     return F.when(F.instr(line, " ") > 0, F.substring(line, F.instr(line, " ") + 1, F.length(line))).otherwise("")
 
 
-def shape(line: Column) -> Column:
-    """A line in small letters with each number as 0."""
-    return F.regexp_replace(F.lower(line), "[0-9]+", "0")
-
-
 def unbulleted(line: Column, marks: str = BULLETS + "☐☑") -> Column:
     """A line without the bullet or tick box that it begins with."""
-    box = F.substring_index(F.lower(line), "]", 1).isin("[", "[ ", "[x", "[ x") & line.contains("]") & F.lit("☐" in marks)
+    box = line.contains("]") & F.substring_index(F.lower(line), "]", 1).isin("[", "[ ", "[x", "[ x") & F.lit("☐" in marks)
     after_box = F.substring(line, F.instr(line, "]") + 1, F.length(line))
     bullet = F.substring(line, 1, 1).isin(list(marks))
     return F.trim(F.when(bullet, F.substring(line, 2, F.length(line))).when(box, after_box).otherwise(line))
 
 
 def amount_alone(line: Column) -> Column:
-    return shape(line).isin("0", "0.0", "0/0", "0 0/0") | line.isin(list(FRACTIONS))
-
-
-def page_mark(line: Column) -> Column:
-    """What a printed page has around its text: its address, its number, its date with a title."""
-    pages = ["page 0", "page 0 of 0"]
-    address = F.rlike(first_word(line), F.lit("^https?://.")) & shape(rest(line)).isin("", *pages)
-    dated = F.rlike(first_word(line), F.lit("^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}$")) & F.rlike(rest(line), F.lit(r".\|."))
-    return address | dated | shape(line).isin("0/0", "0 / 0", "0/ 0", "0 /0", *pages)
+    ends = F.substring(line, -1, 1).isin(list("0123456789" + FRACTIONS))
+    return ends & F.rlike(line, F.lit(rf"^(?:[0-9]+(?:\.[0-9]+|/[0-9]+| [0-9]+/[0-9]+)?|[{FRACTIONS}])$"))
 
 
 def is_label(label: Column) -> Column:
@@ -135,7 +138,7 @@ def label_and_value(line: Column) -> Column:
     for mark, k in ((":", 1), ("-", 1), ("-", 2), ("-", 3)):
         before = F.substring_index(line, mark, k)
         label, value = F.trim(F.lower(before)), F.trim(F.substring(line, F.length(before) + 2, F.length(line)))
-        found.append(F.when(is_label(label) & (value != ""), F.struct(label.alias("label"), value.alias("value"))))
+        found.append(F.when(line.contains(mark) & (value != "") & is_label(label), F.struct(label.alias("label"), value.alias("value"))))
     return F.coalesce(*found)
 
 
@@ -154,139 +157,217 @@ def numbered_step(line: Column) -> Column:
     return F.regexp_extract(line, r"^(?i:step )?[0-9]{1,3}[.)] ?", 0)
 
 
+def head_of(name: Column) -> Column:
+    """Which heading beside those of the zones a line is: of what is no recipe (stop), of equipment or of notes; else null."""
+    return F.when(under(name, STOP_HEADINGS), "stop").when(under(name, EQUIPMENT_HEADINGS), "equipment").when(under(name, NOTE_HEADINGS), "notes")
+
+
+def interface(name: Column) -> Column:
+    return name.isin(INTERFACE + ["level easy", "level intermediate", "level advanced"])
+
+
 def noise(line: Column, name: Column) -> Column:
+    """Whether a line is the page's own: interface, other headings, credits, details; or around its text its address, its number, its date."""
+    page = "page [0-9]+(?: of [0-9]+)?"
+    address = f"https?://[^ ]+(?: {page})?$"
+    dated = r"[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4} .+\|."
+    of_page = F.rlike(F.lower(line), F.lit(rf"^(?:{any_of(OTHER_LABELS)} ?[:-]|{address}|{page}$|[0-9]+ ?/ ?[0-9]+$|{dated})"))
     starts = F.rlike(name, F.lit(f"^{any_of(CREDIT_STARTS + INTERFACE_STARTS)}"))
-    levels = name.isin("level easy", "level intermediate", "level advanced")
-    other = F.rlike(F.lower(line), F.lit(f"^{any_of(OTHER_LABELS)} ?[:-]"))
-    return name.isin(INTERFACE) | under(name, STOP_HEADINGS) | page_mark(line) | other | levels | starts
-
-
-def zones(lines: DataFrame) -> DataFrame:
-    """Lines with their zone: title, ingredients or method; and the reason why a text has no zones."""
-    text = Window.partitionBy("n")
-    name = heading(F.col("line"))
-    of_list, of_method = name.isin(INGREDIENT_HEADINGS), name.isin(METHOD_HEADINGS)
-    rows = lines.withColumn("name", name).withColumn("is_list", of_list).withColumn("is_method", of_method)
-    rows = rows.withColumn("list_at", F.min(F.when(F.col("is_list"), F.col("place"))).over(text))
-    after = F.col("is_method") & (F.col("list_at").isNull() | (F.col("place") > F.col("list_at")))
-    rows = rows.withColumn("method_at", F.min(F.when(after, F.col("place"))).over(text))
-    rows = rows.withColumn("headed", F.col("list_at").isNotNull() & F.col("method_at").isNotNull())
-    n_lines = F.count_if(F.col("line") != "").over(text)
-    several = (F.sum(F.col("is_list").cast("int")).over(text) > 1) & (F.sum(F.col("is_method").cast("int")).over(text) > 1)
-    n_blocks = F.max("block").over(text) + 1
-    reason = (
-        F.when(n_lines < 3, "too few lines").when(several, "several lists").when(~F.col("headed") & (n_blocks < 3), "no blocks")
-    )
-    place, block = F.col("place"), F.col("block")
-    by_heading = (
-        F.when(place < F.col("list_at"), "title")
-        .when((place > F.col("list_at")) & (place < F.col("method_at")), "ingredients")
-        .when(place > F.col("method_at"), "method")
-    )
-    by_block = F.when(block == 0, "title").when(block == 1, "ingredients").otherwise("method")
-    return rows.withColumn("reason", reason).withColumn("zone", F.when(F.col("headed"), by_heading).otherwise(by_block))
+    return interface(name) | under(name, STOP_HEADINGS) | starts | of_page
 
 
-def title_rows(rows: DataFrame) -> DataFrame:
-    """What each line before the ingredients says: a title, a yield, a note or an author.
+def row_of(line: Column, name: Column) -> Column:
+    """(line, name, head, noise) of a line. Few begin as a heading or as noise does; only these are tried against each kind."""
+    words = STOP_HEADINGS + EQUIPMENT_HEADINGS + NOTE_HEADINGS + CREDIT_STARTS + INTERFACE_STARTS + OTHER_LABELS + ["http", "page "]
+    row = lambda head, other: F.struct(line.alias("line"), name.alias("name"), head.alias("head"), other.alias("noise"))
+    begins = F.rlike(name, F.lit(rf"^(?:{any_of(words)}|[0-9]+ ?[/-])"))
+    return F.when(begins, row(head_of(name), noise(line, name))).otherwise(row(F.lit(None).cast("string"), interface(name)))
 
-    A bare label takes the line after it as its value, and a value is no label in turn: in a run of lines that each could take the
-    next, every second one is a value.
-    """
-    line, name = F.col("line"), F.col("name")
-    order = Window.partitionBy("n").orderBy("place")
-    after, next_name = F.lead("line").over(order), F.lead("name").over(order)
-    got = rows.withColumn("own", F.coalesce(label_and_value(line), yield_at_front(line)))
-    split_label = name.isin(TIME_LABELS + YIELD_LABELS + ["author", "difficulty", "level"])
-    follows = F.coalesce((n_words(after) <= 8) & ~noise(after, next_name), F.lit(False))
-    got = got.withColumn("after", after).withColumn("takes", F.col("own").isNull() & split_label & follows)
-    got = got.withColumn("number", F.row_number().over(order))
-    last = F.max(F.when(~F.col("takes"), F.col("number"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.col("number") - 1 - F.coalesce(last, F.lit(0))
-    got = got.withColumn("taken", F.pmod(ahead, F.lit(2)) == 1).filter(~F.col("taken"))
-    label = F.coalesce(heading(F.col("own.label")), F.when(F.col("takes"), name))
-    value = F.coalesce("own.value", F.when(F.col("takes"), F.col("after")))
-    got = got.withColumn("label", label).withColumn("value", value)
-    label, value = F.col("label"), F.col("value")
-    capital = F.replace(F.initcap(label), F.lit("Hands-on"), F.lit("Hands-On"))
-    servings = F.when(F.lower(value).contains("serving"), value).otherwise(F.concat(value, F.lit(" servings")))
-    yields = (
-        F.when(label == "yield", value)
-        .when(label.isin("serving", "servings"), servings)
-        .when(label.isin("serves", "makes"), F.concat(capital, F.lit(" "), value))
-    )
-    plain = label.isNull() & ~name.isin("difficulty", "level")
-    author = F.when(label == "author", value).when(plain, byline(line))
-    bare = F.regexp_replace(F.trim(F.regexp_replace(line, r"(?i)^title\s*:\s*", "")), r"^#{1,6}\s*", "")
-    sentence = (n_words(bare) > 5) & F.rlike(bare, F.lit(r"[.!?]$"))
-    link = F.rlike(bare, F.lit("(?i)^https?://"))
-    good = (bare != "") & ~noise(bare, heading(bare)) & ~heading(bare).isin("recipe", "recipe card") & ~sentence & ~link & (n_words(bare) <= 8)
-    return got.select(
-        "n",
-        "place",
-        F.when(plain & byline(line).isNull() & good, bare).alias("title"),
-        yields.alias("yield"),
-        author.alias("author"),
-        F.when(label.isin(TIME_LABELS), F.concat(capital, F.lit(": "), value)).alias("time"),
-    )
 
+def first_place(rows: Column, flag: Callable[[Column], Column]) -> Column:
+    """The place, from 1, of the first row with a flag; behind the last one if none has it."""
+    return let(rows, lambda r: let(F.array_position(F.transform(r, flag), True), lambda at: F.when(at > 0, at.cast("int")).otherwise(F.size(r) + 1)))
 
-def ingredient_rows(rows: DataFrame) -> DataFrame:
-    """Lines between the headings as ingredients or equipment; an amount on a line of its own belongs to the next ingredient."""
-    line, name = F.col("line"), F.col("name")
-    so_far = Window.partitionBy("n").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    order = Window.partitionBy("n").orderBy("place")
-    ended = F.max(under(name, STOP_HEADINGS)).over(so_far)
-    tools = under(name, EQUIPMENT_HEADINGS)
-    got = rows.withColumn("ended", ended).withColumn("tools", F.max(tools & ~noise(line, name)).over(so_far))
-    got = got.filter(~F.col("ended") & ~noise(line, name) & ~name.isin(INGREDIENT_HEADINGS) & ~tools).withColumn("value", unbulleted(line))
-    value = F.col("value")
-    got = got.filter((value != "") & ~heading(value).isin(NOTE_HEADINGS))
-    got = got.filter(F.col("tools") | ~(value.endswith(":") & (n_words(value) <= 5)))
-    got = got.withColumn("alone", ~F.col("tools") & amount_alone(value))
-    before = F.when(F.lag("alone").over(order), F.lag("value").over(order))
-    last = F.lead("n").over(order).isNull() | F.lead("tools").over(order)
-    got = got.withColumn("before", before).withColumn("left", F.col("alone") & last)
-    food = F.when(F.col("before").isNull(), value).otherwise(F.concat("before", F.lit(" "), "value"))
-    return got.select(
-        "n",
-        "place",
-        F.when(~F.col("tools") & ~F.col("alone"), food).alias("ingredient"),
-        F.when(F.col("tools"), value).alias("equipment"),
-        F.when(F.col("alone") & F.col("before").isNotNull(), "two amounts in a row").when(F.col("left"), "amount without food").alias("reason"),
-    )
+
+def until(rows: Column, flag: Callable[[Column], Column]) -> Column:
+    """The rows before the first one with a flag."""
+    return let(rows, lambda r: F.slice(r, 1, first_place(r, flag) - 1))
+
+
+def pieces(rows: Column, flag: Callable[[Column], Column]) -> Column:
+    """The rows cut before each one with a flag; the first piece begins with the first row, whatever its flag is."""
+    starts = lambda r: F.array_compact(F.transform(r, lambda x, i: F.when((i == 0) | flag(x), i + 1)))
+    cut = lambda r, at: F.transform(at, lambda p, k: F.slice(r, p, F.coalesce(F.get(at, k + 1), F.size(r) + 1) - p))
+    return let(rows, lambda r: let(starts(r), lambda at: cut(r, at)))
 
 
-def method_rows(rows: DataFrame) -> DataFrame:
-    """Lines after the method's heading as steps with their section, equipment or notes."""
-    line, name = F.col("line"), F.col("name")
-    so_far = Window.partitionBy("n").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = rows.withColumn("ended", F.max(under(name, STOP_HEADINGS)).over(so_far)).filter(~F.col("ended"))
-    change = F.when(under(name, EQUIPMENT_HEADINGS), "equipment").when(under(name, NOTE_HEADINGS), "notes")
-    got = got.withColumn("change", change).withColumn("mode", F.last("change", ignorenulls=True).over(so_far))
-    step_only = F.rlike(F.lower(line), F.lit("^step [0-9]{1,3} ?:?$"))
-    got = got.filter(F.col("change").isNull() & ~noise(line, name) & ~name.isin(METHOD_HEADINGS) & ~step_only)
-    details = byline(line).isNotNull() | label_and_value(line).isNotNull()
-    label = F.col("mode").isNull() & line.endswith(":") & (n_words(line) <= 6)
-    got = got.withColumn("label", F.when(label, F.trim(F.regexp_replace(line, ":+$", ""))))
-    got = got.withColumn("section", F.last("label", ignorenulls=True).over(so_far))
-    number = numbered_step(line)
-    step = F.when(number != "", F.trim(F.substring(line, F.length(number) + 1, F.length(line)))).otherwise(unbulleted(line, BULLETS))
-    numbered = number.endswith(" ")
-    is_step = F.col("mode").isNull() & F.col("label").isNull() & (step != "") & ~details
-    extra = unbulleted(line)
-    kept = F.when(F.col("mode").isNotNull() & (extra != "") & ~details, extra)
+def last_of(values: Column) -> Column:
+    """The last value that is not null; null if there is none."""
+    return F.try_element_at(F.array_compact(values), F.lit(-1))
+
+
+def zones(texts: DataFrame) -> DataFrame:
+    """(key, early, title, foods, method): rows of each zone, (line, name, head, noise), or the reason why a text has no zones."""
+    kind = F.transform("names", lambda x: F.when(x.isin(INGREDIENT_HEADINGS), 1).when(x.isin(METHOD_HEADINGS), 2).otherwise(0))
+    got = texts.withColumn("kinds", kind).withColumn("n", F.size("lines"))
+    got = got.withColumn("list_at", F.array_position("kinds", 1).cast("int"))
+    after = F.slice("kinds", F.col("list_at") + 1, F.col("n"))
+    got = got.withColumn("to_method", F.when(F.col("list_at") > 0, F.array_position(after, 2).cast("int")).otherwise(0))
+    headed = F.col("to_method") > 0
+    count = lambda kind: F.size(F.filter("kinds", lambda x: x == kind))
+    early = (
+        F.when(F.col("n") < 3, "too few lines")
+        .when((count(1) > 1) & (count(2) > 1), "several lists")
+        .when(~headed & (F.size("blocks") < 3), "no blocks")
+    )
+    of_block = lambda k: F.size(F.split(F.get("blocks", F.lit(k)), "\n"))
+    bounds = F.struct(
+        F.when(headed, F.col("list_at") - 1).otherwise(of_block(0)).alias("title"),
+        F.when(headed, F.col("to_method") - 1).otherwise(of_block(1)).alias("foods"),
+        F.when(headed, 1).otherwise(0).alias("heads"),
+    )
+    got = got.withColumn("early", early).withColumn("bounds", F.when(F.col("early").isNull(), bounds))
+    line = F.transform(F.arrays_zip("lines", "names"), lambda x: row_of(x["lines"], x["names"]))
+    got = got.select("key", "early", "bounds", F.when(F.col("early").isNull(), line).alias("rows"), "n")
+    foods_at = F.col("bounds.title") + F.col("bounds.heads") + 1
+    method_at = foods_at + F.col("bounds.foods") + F.col("bounds.heads")
     return got.select(
-        "n",
-        "place",
-        F.when(is_step, F.struct(F.col("section"), step.alias("text"))).alias("step"),
-        F.when(is_step, numbered).alias("numbered"),
-        F.when(F.col("mode") == "equipment", kept).alias("equipment"),
-        F.when(F.col("mode") == "notes", kept).alias("note"),
-        F.when(details, "details in the method").alias("reason"),
+        "key",
+        "early",
+        F.slice("rows", 1, F.col("bounds.title")).alias("title"),
+        F.slice("rows", foods_at, F.col("bounds.foods")).alias("foods"),
+        F.slice("rows", method_at, F.col("n")).alias("method"),
     )
 
 
+def title_rows(rows: Column) -> Column:
+    """What each line before the ingredients says: a title, a yield, a time and an author, each of them or null.
+
+    A bare label takes the line after it as its value, and a value is no label in turn: in a run of lines that each could take the
+    next, every second one is a value.
+    """
+    bare_labels = TIME_LABELS + YIELD_LABELS + ["author", "difficulty", "level"]
+
+    def labelled(x: Column, after: Column) -> Column:
+        follows = F.coalesce((n_words(after["line"]) <= 8) & ~after["noise"], F.lit(False))
+        own = F.coalesce(label_and_value(x["line"]), yield_at_front(x["line"]))
+        takes = lambda o: o.isNull() & x["name"].isin(bare_labels) & follows
+        return let(own, lambda o: F.struct(x["line"], x["name"], o.alias("own"), takes(o).alias("takes"), after["line"].alias("after")))
+
+    def said(x: Column) -> Column:
+        line, name = x["line"], x["name"]
+        value = F.coalesce(x["own"]["value"], F.when(x["takes"], x["after"]))
+        label = F.coalesce(heading(x["own"]["label"]), F.when(x["takes"], name))
+        return let(F.struct(label.alias("label"), value.alias("value")), lambda v: meant(line, name, v["label"], v["value"]))
+
+    def meant(line: Column, name: Column, label: Column, value: Column) -> Column:
+        capital = F.replace(F.initcap(label), F.lit("Hands-on"), F.lit("Hands-On"))
+        servings = F.when(F.lower(value).contains("serving"), value).otherwise(F.concat(value, F.lit(" servings")))
+        yields = (
+            F.when(label == "yield", value)
+            .when(label.isin("serving", "servings"), servings)
+            .when(label.isin("serves", "makes"), F.concat(capital, F.lit(" "), value))
+        )
+        plain = label.isNull() & ~name.isin("difficulty", "level")
+        author = F.when(label == "author", value).when(plain, byline(line))
+        bare = F.regexp_replace(F.trim(F.regexp_replace(line, r"(?i)^title\s*:\s*", "")), r"^#{1,6}\s*", "")
+        title = F.when(plain & byline(line).isNull(), let(bare, lambda b: F.when(good_title(b), b)))
+        time = F.when(label.isin(TIME_LABELS), F.concat(capital, F.lit(": "), value))
+        return F.struct(title.alias("title"), yields.alias("yield"), author.alias("author"), time.alias("time"))
+
+    def good_title(bare: Column) -> Column:
+        sentence = (n_words(bare) > 5) & F.rlike(bare, F.lit(r"[.!?]$"))
+        link = F.rlike(bare, F.lit("(?i)^https?://"))
+        named = lambda n: ~noise(bare, n) & ~n.isin("recipe", "recipe card")
+        return (bare != "") & let(heading(bare), named) & ~sentence & ~link & (n_words(bare) <= 8)
+
+    got = let(rows, lambda r: F.transform(r, lambda x, i: labelled(x, F.get(r, i + 1))))
+    # a piece begins after each line that takes nothing: its second, fourth, ... rows are values
+    follows = let(got, lambda r: F.transform(r, lambda x, i: F.struct(x.alias("x"), (~F.get(r, i - 1)["takes"]).alias("begins"))))
+    lines = F.flatten(F.transform(pieces(follows, lambda x: x["begins"]), lambda p: F.filter(p, lambda x, i: i % 2 == 0)))
+    return F.transform(lines, lambda x: said(x["x"]))
+
+
+def ingredient_rows(rows: Column) -> Column:
+    """Ingredients and equipment between the headings, and what is wrong; an amount on a line of its own belongs to the next ingredient."""
+
+    def values(lines: Column) -> Column:
+        wanted = lambda x: ~x["noise"] & ~x["name"].isin(INGREDIENT_HEADINGS) & ~x["head"].eqNullSafe("equipment")
+        named = lambda x, v: F.when(v == x["line"], x["name"]).otherwise(heading(v))
+        value = lambda x: let(unbulleted(x["line"]), lambda v: F.when((v != "") & ~named(x, v).isin(NOTE_HEADINGS), v))
+        return F.array_compact(F.transform(F.filter(lines, wanted), value))
+
+    def read(foods: Column, tools: Column) -> Column:
+        before = lambda i: F.get(foods, i - 1)
+        amount = lambda i: F.when(before(i)["alone"], F.concat(before(i)["value"], F.lit(" "))).otherwise("")
+        food = F.transform(foods, lambda x, i: F.when(~x["alone"], F.concat(amount(i), x["value"])))
+        two = F.size(F.filter(foods, lambda x, i: x["alone"] & before(i)["alone"])) > 0
+        left = F.coalesce(F.try_element_at(foods, F.lit(-1))["alone"], F.lit(False))
+        return F.struct(F.array_compact(food).alias("ingredients"), tools.alias("equipment"), two.alias("two"), left.alias("left"))
+
+    def split(upto: Column, at: Column) -> Column:
+        foods = F.filter(values(F.slice(upto, 1, at - 1)), lambda v: ~(v.endswith(":") & (n_words(v) <= 5)))
+        foods = F.transform(foods, lambda v: F.struct(v.alias("value"), amount_alone(v).alias("alone")))
+        return let(foods, lambda f: read(f, values(F.slice(upto, at, F.size(upto)))))
+
+    tools_at = lambda x: x["head"].eqNullSafe("equipment") & ~x["noise"]
+    return let(until(rows, lambda x: x["head"].eqNullSafe("stop")), lambda upto: let(first_place(upto, tools_at), lambda at: split(upto, at)))
+
+
+def method_rows(rows: Column) -> Column:
+    """Steps with their section, equipment and notes after the method's heading, and what is wrong."""
+
+    def changes(x: Column) -> Column:
+        return F.coalesce(x["head"].isin("equipment", "notes"), F.lit(False))
+
+    def wanted(x: Column) -> Column:
+        step_only = x["name"].startswith("step ") & F.rlike(F.lower(x["line"]), F.lit("^step [0-9]{1,3} ?:?$"))
+        return ~changes(x) & ~x["noise"] & ~x["name"].isin(METHOD_HEADINGS) & ~step_only
+
+    def details(line: Column) -> Column:
+        return byline(line).isNotNull() | label_and_value(line).isNotNull()
+
+    def step(line: Column, number: Column) -> Column:
+        """A line before the first change: a section's label, or a step and whether it has a number."""
+        label = F.when(line.endswith(":") & (n_words(line) <= 6), F.trim(F.regexp_replace(line, ":+$", "")))
+        text = F.when(number != "", F.trim(F.substring(line, F.length(number) + 1, F.length(line)))).otherwise(unbulleted(line, BULLETS))
+        return F.struct(label.alias("label"), text.alias("text"), number.endswith(" ").alias("numbered"), details(line).alias("details"))
+
+    def is_step(x: Column) -> Column:
+        return x["label"].isNull() & (x["text"] != "") & ~x["details"]
+
+    def sections(lines: Column) -> Column:
+        cut = pieces(lines, lambda x: x["label"].isNotNull())
+        of = lambda p: F.transform(F.filter(p, is_step), lambda x: F.struct(F.get(p, F.lit(0))["label"].alias("section"), x["text"].alias("text")))
+        return F.flatten(F.transform(cut, of))
+
+    def noted(p: Column) -> Column:
+        lines = F.transform(F.filter(p, wanted), lambda x: F.struct(unbulleted(x["line"]).alias("text"), details(x["line"]).alias("details")))
+        return F.struct(F.get(p, F.lit(0))["head"].alias("mode"), lines.alias("lines"))
+
+    def read(body: Column, later: Column) -> Column:
+        texts = lambda ls: F.transform(F.filter(ls, lambda x: (x["text"] != "") & ~x["details"]), lambda x: x["text"])
+        under_mode = lambda mode: F.flatten(F.transform(F.filter(later, lambda p: p["mode"] == mode), lambda p: texts(p["lines"])))
+        wrong = F.exists(body, lambda x: x["details"]) | F.exists(later, lambda p: F.exists(p["lines"], lambda x: x["details"]))
+        some = F.exists(body, lambda x: is_step(x) & x["numbered"]) & F.exists(body, lambda x: is_step(x) & ~x["numbered"])
+        return F.struct(
+            sections(body).alias("steps"),
+            under_mode("equipment").alias("equipment"),
+            under_mode("notes").alias("notes"),
+            wrong.alias("details"),
+            some.alias("some_numbered"),
+        )
+
+    def split(upto: Column, at: Column) -> Column:
+        body = F.filter(F.slice(upto, 1, at - 1), wanted)
+        body = F.transform(body, lambda x: let(numbered_step(x["line"]), lambda number: step(x["line"], number)))
+        later = F.transform(pieces(F.slice(upto, at, F.size(upto)), changes), noted)
+        return let(F.struct(body.alias("body"), later.alias("later")), lambda b: read(b["body"], b["later"]))
+
+    upto = until(rows, lambda x: x["head"].eqNullSafe("stop"))
+    return let(upto, lambda u: let(first_place(u, changes), lambda at: split(u, at)))
+
+
 def parse(texts: DataFrame, key: str) -> DataFrame:
     """key, reason, title, yields, author, notes, ingredients, steps of (key, text) rows; one row per input row.
 
@@ -295,51 +376,34 @@ def parse(texts: DataFrame, key: str) -> DataFrame:
     Steps are (section, text). Notes hold times, then equipment, then what stands under notes.
 
     A null text counts as empty. Repeated rows are read each on its own, null keys as well. Other columns are ignored; an empty table
-    gives no rows. Nothing is cut: long lines and long lists stay whole.
+    gives no rows. Nothing is cut: long lines and long lists stay whole. Rows stay in the partitions that they are in.
     """
-    rows = materialise(zones(lines_of(texts, key)).select("n", "key", "place", "line", "name", "zone", "reason"), "recipe-lines")
-    read = rows.filter(F.col("reason").isNull() & (F.col("line") != ""))
-    of = lambda zone: read.filter(F.col("zone") == zone)
-    marks = rows.groupBy("n").agg(F.first("key").alias("key"), F.max("reason").alias("early"))
-    parts = marks.unionByName(title_rows(of("title")), allowMissingColumns=True)
-    parts = parts.unionByName(ingredient_rows(of("ingredients")), allowMissingColumns=True)
-    parts = parts.unionByName(method_rows(of("method")), allowMissingColumns=True)
-    listed = lambda c: F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("place", c))))[c]
-    flag = lambda reason: F.max(F.coalesce(F.col("reason") == reason, F.lit(False)))
-    got = parts.groupBy("n").agg(
-        F.max("key").alias("key"),
-        F.max("early").alias("early"),
-        F.max_by("title", F.when(F.col("title").isNotNull(), F.col("place"))).alias("title"),
-        F.array_distinct(listed("yield")).alias("yields"),
-        F.max_by("author", F.when(F.col("author").isNotNull(), F.col("place"))).alias("author"),
-        listed("time").alias("times"),
-        listed("ingredient").alias("ingredients"),
-        listed("step").alias("steps"),
-        listed("equipment").alias("equipment"),
-        listed("note").alias("noted"),
-        F.count_distinct("numbered").alias("kinds"),
-        *[flag(r).alias(f"r{k}") for k, r in enumerate(REASONS)],
-    )
+    got = zones(lines_of(texts, key))
+    got = got.select("key", "early", title_rows(F.col("title")).alias("t"), ingredient_rows(F.col("foods")).alias("f"), method_rows(F.col("method")).alias("m"))
+    got = got.withColumn("title", last_of(F.col("t.title")))
     reason = F.coalesce(
         "early",
         F.when(F.col("title").isNull(), "no title"),
-        *[F.when(F.col(f"r{REASONS.index(r)}"), r) for r in ("two amounts in a row", "amount without food", "details in the method")],
-        F.when(F.size("ingredients") == 0, "no ingredients"),
-        F.when(F.size("steps") == 0, "no method"),
-        F.when(F.col("kinds") > 1, "some steps numbered"),
+        F.when(F.col("f.two"), "two amounts in a row"),
+        F.when(F.col("f.left"), "amount without food"),
+        F.when(F.col("m.details"), "details in the method"),
+        F.when(F.size("f.ingredients") == 0, "no ingredients"),
+        F.when(F.size("m.steps") == 0, "no method"),
+        F.when(F.col("m.some_numbered"), "some steps numbered"),
     )
-    tools = F.when(F.size("equipment") > 0, F.array(F.concat(F.lit("Equipment: "), F.array_join("equipment", " ")))).otherwise(F.array())
-    notes = F.concat("times", tools, F.transform("noted", lambda x: F.concat(F.lit("Note: "), x)))
-    got = got.withColumn("reason", reason).withColumn("notes", notes)
+    equipment = F.concat("f.equipment", "m.equipment")
+    tools = F.when(F.size(equipment) > 0, F.array(F.concat(F.lit("Equipment: "), F.array_join(equipment, " ")))).otherwise(F.array())
+    notes = F.concat(F.array_compact("t.time"), tools, F.transform("m.notes", lambda x: F.concat(F.lit("Note: "), x)))
+    yields = let(F.array_distinct(F.array_compact("t.yield")), lambda y: F.when(F.size(y) > 0, F.array_join(y, " · ")))
+    got = got.withColumn("reason", reason)
     good = lambda c: F.when(F.col("reason").isNull(), c)
-    yields = F.when(F.size("yields") > 0, F.array_join("yields", " · "))
     return got.select(
         F.col("key").alias(key),
         "reason",
         good(F.col("title")).alias("title"),
         good(yields).alias("yields"),
-        good(F.col("author")).alias("author"),
-        good(F.col("notes")).alias("notes"),
-        good(F.col("ingredients")).alias("ingredients"),
-        good(F.col("steps")).alias("steps"),
+        good(last_of(F.col("t.author"))).alias("author"),
+        good(notes).alias("notes"),
+        good(F.col("f.ingredients")).alias("ingredients"),
+        good(F.col("m.steps")).alias("steps"),
     )

@@ -245,3 +245,25 @@ def test_against_a_reader_line_by_line(spark):
 
 def test_no_rows(spark):
     assert pr.parse(spark.createDataFrame([], "id long, text string"), "id").count() == 0
+
+
+def test_lines_stay_in_the_row_of_their_text(spark):
+    rows = spark.createDataFrame([(k, PIE) for k in range(40)], "id int, text string").repartition(3).cache()
+    got = pr.parse(rows, "id")
+    plan = got._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "Exchange" not in plan and "Window" not in plan and "Generate" not in plan
+    assert got.filter("title = 'Plum tart'").count() == 40
+
+
+def test_texts_of_many_lines(spark):
+    """Each line begins a piece, or has an amount or a value before it: what a line costs doesn't grow with the lines before."""
+    n = 2_500
+    title = ["Prep", "10 min"] * n
+    foods = ["1/2", "cup of milk"] * n
+    steps = ["Dough:", "1. Mix."] * n
+    notes = ["Notes", "Keep it.", "Equipment", "- pan"] * n
+    texts = ["\n".join(["Tart", *title, "Ingredients", *foods, "Method", *steps, *notes])]
+    texts += ["\n".join(["Tart", "Ingredients:", "1 egg", "## Method:", *["Fold\tit  over:"] * n, "Bake."]), "a\n\n1 egg\n\n" + "\n\n".join(["Mix."] * n)]
+    got = parsed(spark, texts)
+    assert [got[k] == read(x) for k, x in enumerate(texts)] == [True] * 3
+    assert [len(got[k][6]) for k in range(3)] == [n, 1, n]
